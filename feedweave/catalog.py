@@ -2,5 +2,439 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from feedweave.functions import destinations, postprocess, texts, urls
+from feedweave.functions import lexicon as L
+from feedweave.operators import admission, feeds, paging, segments, selectors, shred
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("feed_id"), "url", F.col("html").alias("body"), F.lit("text/html").alias("content_type"))
+
+
+def nav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Navigation links of every page by the selector engine: page_id, position, title, href, page_url, url."""
+    config = {"selectors": {"items": {"selector": "nav li a", "enhance": False}, "title": {}, "description": {"extractor": "attribute", "attribute": "href"}}}
+    got = selectors.query(responses(spark, sf_dir), config)
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("feed_id"), F.col("url").alias("page_url"))
+    out = got.join(pages, "feed_id").select(F.col("feed_id").alias("page_id"), "position", "title", F.col("description").alias("href"), "page_url")
+    return out.withColumn("url", F.concat(F.regexp_extract("page_url", r"^([a-z]+://[^/?#]*)", 1), "href"))
+
+
+def unent(x: str) -> str:
+    return f"replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+
+
+NAV = f"""nav AS (SELECT page_id, url AS page_url, CAST(i - 1 AS INTEGER) AS position, {unent('h[i]')} AS href, {unent('t[i]')} AS title,
+  regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || {unent('h[i]')} AS url
+ FROM (SELECT page_id, url, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS h, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS t FROM pages), unnest(range(1, len(h) + 1)) AS r(i))"""
+
+
+def quoted(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def lit(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+SEGS = "list_filter(string_split(coalesce(regexp_extract({u}, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/'), lambda s: s <> '')"
+
+
+def _junk(s: str) -> str:
+    return f"(list_contains({quoted(L.HIGH_JUNK)}, {s}) OR (regexp_matches({s}, {lit(L.HOST_SHAPED)}) AND NOT regexp_matches({s}, {lit(L.FILE_EXTENSION)})))"
+
+
+def facts_sql(source: str, columns: str) -> str:
+    """CTEs from source (columns, url) to facts."""
+    c, ut, v, tx = quoted(L.CONTENT), quoted(L.UTILITY), quoted(L.VANITY), quoted(L.TAXONOMY)
+    return f"""
+f1 AS (SELECT {columns}, url, {SEGS.format(u='url')} AS p FROM {source}),
+f2 AS (SELECT *, len(p) AS n, list_transform(p, lambda s: {_junk('s')}) AS j FROM f1),
+f3 AS (SELECT *, n > 0 AND j[1] AS lead, n > 0 AND j[n] AS lastjunk, p[n] AS last_, list_contains(j, true) AS anyj,
+  n > 1 AND NOT j[1] AND len(list_filter(p[1:n-1], lambda s: list_contains({c}, s) OR regexp_matches(s, '{L.YEARISH}') OR list_contains({quoted(L.DEEP_POST_CONTEXT)}, s))) > 0 AS trusted,
+  NOT list_contains(j, false) AS allj, n > 1 AND NOT list_contains(j[1:n-1], false) AS deep,
+  list_has_any(p, {ut}) AS utility_path, list_has_any(p, {v}) AS vanity_path, list_has_any(p, {tx}) AS taxonomy_path,
+  n <= 1 OR (n = 2 AND j[n]) AS shallow FROM f2),
+f4 AS (SELECT *, n > 0 AND NOT lastjunk AND NOT list_contains({v}, last_) AND (regexp_matches(last_, '{L.YEARISH}') OR regexp_matches(last_, '{L.POST_SLUG}')) AND trusted AS s0 FROM f3),
+f5 AS (SELECT *, coalesce(s0, false) AS strong_post_suffix, NOT lead AND (list_has_any(p, {c}) OR (len(list_filter(p, lambda s: regexp_matches(s, '{L.YEARISH}'))) > 0 AND (coalesce(s0, false) OR trusted))) AS content_path FROM f4),
+facts AS (SELECT *, NOT (n = 0 OR content_path OR strong_post_suffix) AND (anyj OR taxonomy_path OR allj OR deep OR (shallow AND (anyj OR vanity_path))) AS high_confidence_junk_path,
+  NOT (n = 0 OR content_path OR strong_post_suffix) AND (vanity_path OR taxonomy_path OR allj OR deep OR (shallow AND utility_path)) AS high_confidence_utility_destination FROM f5)"""
+
+
+FACTS = ("content_path", "utility_path", "vanity_path", "taxonomy_path", "shallow", "strong_post_suffix", "high_confidence_junk_path", "high_confidence_utility_destination")
+WC = r"CAST(len(regexp_extract_all({x}, '[\p{{L}}\p{{M}}\p{{Nd}}]+')) AS BIGINT)"
+DOMAIN = "array_to_string(list_slice(string_split(lower(regexp_extract({u}, '^[a-z]+://([^/?#:]*)', 1)), '.'), -2, -1), '.')"
+
+
+def sql_case(pairs, x: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, {lit(p)}) THEN '{r}'" for r, p in pairs) + " END"
+
+
+@query("flagship_article_feed", f"""SELECT page_id, trim({unent("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS language FROM pages""")
+def flagship_article_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items = article, title from h1, other fields filled; channel language beside it."""
+    pages = responses(spark, sf_dir)
+    got = admission.dedup(selectors.query(pages, {"selectors": {"items": {"selector": "article"}, "title": {"selector": "h1"}}}))
+    channel = feeds.channels(pages.withColumn("headers", F.create_map().cast("map<string,string>")))
+    return got.join(channel.select("feed_id", "language"), "feed_id").select(F.col("feed_id").alias("page_id"), "title", "language")
+
+
+@query("article_fields")
+def article_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selectors.query(responses(spark, sf_dir), {"selectors": {"items": {"selector": "article"}, "title": {"selector": "h1"}}})
+
+
+@query("channel_rows", f"""SELECT page_id AS feed_id, trim({unent("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS title, url, 'Latest items from ' || url AS description, regexp_extract(html, '<html lang="([^"]*)"', 1) AS language, CAST(360 AS INTEGER) AS ttl FROM pages""")
+def channel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = responses(spark, sf_dir).withColumn("headers", F.create_map().cast("map<string,string>"))
+    return feeds.channels(pages).select("feed_id", "title", "url", "description", "language", "ttl")
+
+
+@query("nav_items", f"WITH {NAV} SELECT page_id, position, title, href, url FROM nav")
+def nav_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nav(spark, sf_dir).select("page_id", "position", "title", "href", "url")
+
+
+@query("nav_items_reverse", f"WITH {NAV} SELECT page_id, CAST(count(*) OVER (PARTITION BY page_id) - 1 - position AS INTEGER) AS position, title FROM nav")
+def nav_items_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = {"selectors": {"items": {"selector": "nav li", "order": "reverse", "enhance": False}, "title": {"selector": "a"}}}
+    return selectors.query(responses(spark, sf_dir), config).select(F.col("feed_id").alias("page_id"), "position", "title")
+
+
+@query("node_histogram", """SELECT page_id, count(*) FILTER (x = 'a') AS links, count(*) FILTER (x = 'li') AS items, count(*) FILTER (x = 'article') AS articles, count(*) FILTER (x = 'h1') AS headings
+FROM (SELECT page_id, unnest(regexp_extract_all(html, '<(a|li|article|h1)[ >]', 1)) AS x FROM pages) GROUP BY page_id""")
+def node_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = shred.shred(table(spark, sf_dir, "pages"))
+    return nodes.groupBy("page_id").agg(*[F.count_if(F.col("tag") == t).alias(n) for t, n in (("a", "links"), ("li", "items"), ("article", "articles"), ("h1", "headings"))])
+
+
+@query("link_counts_by_path", f"""WITH {NAV} SELECT page_id, 'html>body>nav>ul>li>a' AS tag_path, count(*) AS links, CAST(1 AS INTEGER) AS rank FROM nav GROUP BY page_id HAVING count(*) >= 2""")
+def link_counts_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.link_lists(shred.shred(table(spark, sf_dir, "pages")))
+
+
+@query("semantic_segments", "SELECT page_id, 'article' AS tag, CAST(count(*) AS BIGINT) AS segments FROM (SELECT page_id, unnest(regexp_extract_all(html, '<article>')) FROM pages) GROUP BY page_id")
+def semantic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = shred.shred(table(spark, sf_dir, "pages"))
+    roots = segments.semantic(nodes).join(nodes.select("page_id", F.col("node_id").alias("root_id"), "tag"), ["page_id", "root_id"])
+    return roots.where("tag = 'article'").groupBy("page_id", "tag").agg(F.count("*").alias("segments"))
+
+
+@query("primary_links")
+def primary_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    nodes = shred.shred(pages)
+    roots = nodes.where("tag = 'li'").select("page_id", F.col("node_id").alias("root_id"), "last_desc")
+    return segments.primary_links(nodes, roots, pages)
+
+
+@query("list_segments")
+def list_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.list_segments(shred.shred(table(spark, sf_dir, "pages")))
+
+
+@query("cluster_groups")
+def cluster_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.clusters(shred.shred(table(spark, sf_dir, "pages"))).select("page_id", "signature", "size", "rank")
+
+
+@query("surface_class", """SELECT page_id, CASE WHEN len(regexp_extract_all(html, '<a href=')) >= 20 THEN 'high_entropy_surface' ELSE 'unsupported_surface' END AS surface FROM pages""")
+def surface_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    nodes = shred.shred(pages)
+    shell = F.col("dom_id").isin("app", "root", "__next") | F.contains(F.coalesce("dom_id", F.lit("")), F.lit("app-shell"))
+    per = nodes.groupBy("page_id").agg(F.count_if((F.col("tag") == "a") & F.col("href").isNotNull()).alias("anchors"), F.count_if(F.col("tag") == "article").alias("articles"), F.bool_or(shell).alias("shell"), F.max(F.when(F.col("tag") == "body", F.length("visible_text"))).alias("chars"))
+    both = pages.select("page_id", texts.interstitial(F.col("html")).alias("blocked")).join(per, "page_id")
+    surface = (
+        F.when(F.col("blocked").isNotNull(), "blocked_surface")
+        .when(F.col("shell") & (F.col("anchors") <= 2) & (F.col("articles") == 0) & (F.coalesce("chars", F.lit(0)) <= 220), "app_shell")
+        .when(F.col("anchors") >= 20, "high_entropy_surface")
+        .otherwise("unsupported_surface")
+    )
+    return both.select("page_id", surface.alias("surface"))
+
+
+@query("url_parts", r"""SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) AS scheme, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,
+ CASE WHEN contains(url, '?') THEN regexp_extract(url, '\?([^#]*)', 1) END AS query, CASE WHEN contains(url, '#') THEN regexp_extract(url, '#(.*)$', 1) END AS fragment FROM pages""")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", *[urls.part(F.col("url"), p).alias(p) for p in ("scheme", "host", "path", "query", "fragment")])
+
+
+@query("url_identity", "SELECT page_id, regexp_replace(url, '#.*$', '') AS identity, NOT contains(url, '@') AS valid_channel FROM pages")
+def url_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.without_fragment(F.col("url")).alias("identity"), urls.valid_channel(F.col("url")).alias("valid_channel"))
+
+
+@query("url_path_segments", f"SELECT page_id, array_to_string({SEGS.format(u='url')}, '|') AS segments, CAST(len({SEGS.format(u='url')}) AS INTEGER) AS n FROM pages")
+def url_path_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = urls.path_segments(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(s, "|").alias("segments"), F.size(s).alias("n"))
+
+
+@query("url_query_values", r"""SELECT page_id, k AS name, max_by(v, i) AS value FROM (SELECT page_id, i, regexp_extract(q[i], '^([^=]*)', 1) AS k, regexp_extract(q[i], '=(.*)$', 1) AS v
+ FROM (SELECT page_id, list_filter(string_split(CASE WHEN contains(url, '?') THEN regexp_extract(url, '\?([^#]*)', 1) ELSE '' END, '&'), lambda x: x <> '') AS q FROM pages), unnest(range(1, len(q) + 1)) AS r(i)) GROUP BY page_id, k""")
+def url_query_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(urls.query_values(F.col("url"))).alias("name", "value"))
+
+
+@query("url_channel_titleized", rf"""SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) || CASE WHEN len(s) > 0 THEN ': ' || array_to_string(list_transform(string_split(array_to_string(s, ' '), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') ELSE '' END AS title
+FROM (SELECT page_id, url, list_transform({SEGS.format(u='url')}, lambda x: regexp_replace(x, '[^A-Za-z0-9]+', ' ', 'g')) AS s FROM pages)""")
+def url_channel_titleized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.channel_titleized(F.col("url")).alias("title"))
+
+
+@query("registrable_domain", f"SELECT page_id, {DOMAIN.format(u='url')} AS domain FROM pages")
+def registrable_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.domain(F.col("url")).alias("domain"))
+
+
+@query("destination_facts", f"WITH {NAV}, {facts_sql('nav', 'page_id, position')} SELECT page_id, position, {', '.join(FACTS)} FROM facts")
+def destination_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nav(spark, sf_dir).withColumn("f", destinations.facts(F.col("url"))).select("page_id", "position", *[F.col(f"f.{c}").alias(c) for c in FACTS])
+
+
+@query("page_destination_facts", f"WITH {facts_sql('pages', 'page_id')} SELECT page_id, {', '.join(FACTS)} FROM facts")
+def page_destination_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").withColumn("f", destinations.facts(F.col("url"))).select("page_id", *[F.col(f"f.{c}").alias(c) for c in FACTS])
+
+
+@query("noise_anchor", f"""WITH {NAV}, {facts_sql('nav', 'page_id, position, title')} SELECT page_id, position, taxonomy_path OR (utility_path AND NOT content_path AND NOT strong_post_suffix AND {WC.format(x='title')} <= 3)
+ OR (regexp_matches(title, {lit(L.RECOMMENDED_TEXT)}) AND shallow) OR (regexp_matches(title, {lit(L.UTILITY_PREFIX_TEXT)}) AND high_confidence_utility_destination) OR (regexp_matches(title, {lit(L.UTILITY_TEXT)}) AND vanity_path)
+ OR (NOT content_path AND regexp_matches(title, {lit(L.UTILITY_TEXT)}) AND NOT strong_post_suffix) AS noise FROM facts""")
+def noise_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    no = F.lit(False)
+    return nav(spark, sf_dir).withColumn("f", destinations.facts(F.col("url"))).select("page_id", "position", destinations.noise_anchor(F.col("title"), F.col("f"), no, no, no).alias("noise"))
+
+
+def doc_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", "^([^\n]*)", 1).alias("title"), "text")
+
+
+TITLES = "t AS (SELECT doc_id, regexp_extract(text, '^([^\\n]*)', 1) AS title, text FROM documents)"
+
+
+@query("word_count_docs", f"SELECT doc_id, {WC.format(x='text')} AS words FROM documents")
+def word_count_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", texts.word_count(F.col("text")).alias("words"))
+
+
+@query("junk_title_reason", f"WITH {TITLES} SELECT doc_id, {sql_case(L.JUNK_TITLE_RULES, 'title')} AS reason, {WC.format(x='title')} < 3 AS low_word_count FROM t")
+def junk_title_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("title")
+    return doc_titles(spark, sf_dir).select("doc_id", texts.junk_title_reason(t).alias("reason"), (texts.word_count(t) < L.MIN_WORDS).alias("low_word_count"))
+
+
+CLEAN = f"""c AS (SELECT *, regexp_replace(url, '#.*$', '') AS identity, row_number() OVER (PARTITION BY page_id, regexp_replace(url, '#.*$', '') ORDER BY position) AS k FROM nav),
+{facts_sql('c', 'page_id, position, title, page_url, identity, k')},
+r AS (SELECT page_id, position, CASE WHEN trim(title) = '' THEN 'invalid' WHEN k > 1 THEN 'duplicate_url' WHEN identity = regexp_replace(page_url, '#.*$', '') THEN 'self_link'
+ WHEN {DOMAIN.format(u='url')} <> {DOMAIN.format(u='page_url')} THEN 'different_domain'
+ WHEN high_confidence_junk_path OR high_confidence_utility_destination OR (utility_path AND NOT content_path AND NOT strong_post_suffix) THEN 'excluded_destination'
+ WHEN {sql_case(L.JUNK_TITLE_RULES, 'trim(title)')} IS NOT NULL THEN {sql_case(L.JUNK_TITLE_RULES, 'trim(title)')} WHEN {WC.format(x='title')} < 3 THEN 'low_word_count' END AS reason FROM facts)"""
+
+
+def nav_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admission.reasons(nav(spark, sf_dir).withColumns({"id": F.col("href"), "description": F.lit(None).cast("string")}), by="page_id")
+
+
+@query("cleanup_reasons", f"WITH {NAV}, {CLEAN} SELECT page_id, position, reason FROM r")
+def cleanup_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nav_reasons(spark, sf_dir).select("page_id", "position", "reason")
+
+
+@query("admission_tallies", f"WITH {NAV}, {CLEAN} SELECT page_id, reason, count(*) AS drops FROM r WHERE reason IS NOT NULL GROUP BY page_id, reason")
+def admission_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tallied = admission.tallies(nav_reasons(spark, sf_dir), "page_id", "reason")
+    return tallied.select("page_id", F.explode("tallies").alias("reason", "drops"))
+
+
+@query("dedup_first", "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn) AS k FROM conversations) WHERE k = 1")
+def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    none = F.lit(None).cast("string")
+    rows = c.select(F.col("conv_id").alias("feed_id"), F.col("turn").alias("position"), none.alias("url"), F.col("text").alias("id"), none.alias("guid"), none.alias("title"), none.alias("description"))
+    return admission.dedup(rows).select(F.col("feed_id").alias("conv_id"), F.col("position").alias("turn"))
+
+
+@query("dedup_dropped", "SELECT source AS feed_id, count(*) - count(DISTINCT text) AS dropped FROM documents GROUP BY source")
+def dedup_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("feed_id"), F.col("doc_id").alias("position"), none.alias("url"), F.col("text").alias("id"), none.alias("guid"), none.alias("title"), none.alias("description"))
+    kept = admission.dedup(rows).groupBy("feed_id").agg(F.count("*").alias("kept"))
+    return rows.groupBy("feed_id").agg(F.count("*").alias("n")).join(kept, "feed_id").select("feed_id", (F.col("n") - F.col("kept")).alias("dropped"))
+
+
+SCORED = f"""{facts_sql('nav', 'page_id, position, title')},
+o AS (SELECT page_id, position, url, {WC.format(x='title')} AS w, length(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) AS pl, content_path AS cp, strong_post_suffix AS sp, utility_path AS up, shallow, high_confidence_junk_path AS jp,
+ regexp_matches(title, {lit(L.UTILITY_PREFIX_TEXT)}) AS pre, regexp_matches(title, {lit(L.RECOMMENDED_TEXT)}) AS rec FROM facts),
+s AS (SELECT page_id, position, url, CAST(40 * (w >= 3)::INT + 15 * (w >= 7)::INT + 20 * (pl > 6)::INT + 15 * cp::INT AS INTEGER) AS quality,
+ CAST(25 * (up AND NOT cp AND NOT sp)::INT + 15 * (pre AND w <= 6)::INT + 10 * shallow::INT + 10 + 10 * (rec AND NOT cp)::INT + 5 * jp::INT AS INTEGER) AS junk FROM o)"""
+
+
+def scored_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = nav(spark, sf_dir).withColumn("f", destinations.facts(F.col("url")))
+    no = F.lit(False)
+    n = n.withColumn("o", segments.observation(F.col("title"), F.col("f"), urls.part(F.col("url"), "path"), no, no, no, F.lit("")))
+    quality, junk = segments.score(F.col("o"))
+    return n.withColumns({"quality": quality, "junk": junk}).withColumn("score", F.col("quality") - F.col("junk"))
+
+
+@query("segment_scores", f"WITH {NAV}, {SCORED} SELECT page_id, position, quality, junk FROM s")
+def segment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_nav(spark, sf_dir).select("page_id", "position", "quality", "junk")
+
+
+@query("score_rank", f"WITH {NAV}, {SCORED} SELECT page_id, position, CAST(row_number() OVER (PARTITION BY page_id ORDER BY quality - junk DESC, position) AS INTEGER) AS rank FROM s WHERE quality - junk >= 0")
+def score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.rank_top(scored_nav(spark, sf_dir)).select("page_id", "position", "rank")
+
+
+@query("best_per_destination", f"WITH {NAV}, {SCORED} SELECT page_id, url, position FROM (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY quality - junk DESC, quality DESC, position) AS k FROM s) WHERE k = 1")
+def best_per_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admission.first_per(scored_nav(spark, sf_dir), ["page_id", "url"], [F.desc("score"), F.desc("quality"), F.col("position")]).select("page_id", "url", "position")
+
+
+@query("topk_per_group", "SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part) WHERE k <= 5")
+def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admission.first_per(table(spark, sf_dir, "part"), ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")], 5).select("p_brand", "p_partkey")
+
+
+@query("tier_short_circuit", """WITH c AS (SELECT user_id, event_id, event_id % 4 + 1 AS tier, value > 50 AS admitted FROM events),
+p AS (SELECT user_id, tier, count(*) AS raw, count(*) FILTER (admitted) AS adm FROM c GROUP BY 1, 2),
+b AS (SELECT *, coalesce(sum(raw) OVER w, 0) AS rb, coalesce(sum(adm) OVER w, 0) AS ab FROM p WINDOW w AS (PARTITION BY user_id ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT c.user_id, c.event_id, c.tier FROM c JOIN b ON c.user_id = b.user_id AND c.tier = b.tier WHERE NOT (rb >= 3 AND ab >= 3) AND NOT (c.tier = 4 AND ab > 0)""")
+def tier_short_circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 4 + 1).alias("tier"), (F.col("value") > 50).alias("admitted"))
+    return admission.run_tiers(c, limit=3, last_tier=4, by="user_id").select("user_id", "event_id", "tier")
+
+
+@query("status_tallies", "SELECT user_id AS feed_id, string_agg(event_type || ' (' || n || ')', ', ' ORDER BY event_type) AS tallies FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY user_id")
+def status_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("feed_id"), F.col("event_type").alias("scraper"))
+    return feeds.status(rows).select("feed_id", F.regexp_extract("generator", r"scrapers: (.*)\)$", 1).alias("tallies"))
+
+
+@query("gsub_part", "SELECT p_partkey, regexp_replace(p_name, '(?i)[aeiou]+', '*', 'g') AS name FROM part")
+def gsub_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", postprocess.gsub_column(F.col("p_name"), "/ [aeiou]+ /", "*").alias("name"))
+
+
+@query("substring_part", "SELECT p_partkey, substr(p_name, 3, 5) AS middle, substr(p_name, length(p_name) - 3, 3) AS tail FROM part WHERE length(p_name) >= 8")
+def substring_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").where(F.length("p_name") >= 8)
+    return p.select("p_partkey", postprocess.substring_column(F.col("p_name"), 2, 6).alias("middle"), postprocess.substring_column(F.col("p_name"), -4, -2).alias("tail"))
+
+
+@query("template_part", "SELECT p_partkey, p_brand || ' - ' || p_type || ' (' || CAST(p_size AS VARCHAR) || ')' AS label FROM part")
+def template_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = {c: F.col(f"p_{c}") for c in ("brand", "type", "size")}
+    return table(spark, sf_dir, "part").select("p_partkey", postprocess.template_column("%{brand} - %<type>s (%{size})", fields).alias("label"))
+
+
+@query("parse_time_rfc822", "SELECT event_id, strftime(ts, '%a, %d %b %Y %H:%M:%S +0000') AS published FROM events")
+def parse_time_rfc822(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", postprocess.parse_time_column(F.col("ts")).alias("published"))
+
+
+@query("json_pick", "SELECT event_id, props ->> '$.page' AS page, props ->> '$.ref' AS ref FROM events")
+def json_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", paging.json_cursor(F.col("props"), "page").alias("page"), paging.json_cursor(F.col("props"), "ref").alias("ref"))
+
+
+_DATE = " OR ".join(f"regexp_matches(x, {lit(p)})" for p in L.DATE_SHAPES)
+
+
+@query("description_rules", rf"""WITH {TITLES}, l AS (SELECT doc_id, title, list_transform(string_split_regex(text, '\n+'), lambda x: trim(regexp_replace(x, '[\s\p{{Z}}]+', ' ', 'g'))) AS x FROM t)
+SELECT doc_id, CASE WHEN len(k) > 0 THEN array_to_string(k, chr(10)) END AS description FROM (SELECT doc_id, list_filter(x, lambda x: x <> '' AND NOT list_contains({quoted([*L.CTA, *L.TYPE_CHIPS, *L.SECTION_NAMES])}, lower(x)) AND NOT suffix(x, ':') AND NOT ({_DATE}) AND NOT (lower(trim(title)) <> '' AND lower(x) = lower(trim(title)))) AS k FROM l)""")
+def description_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_titles(spark, sf_dir).select("doc_id", texts.description(F.col("text"), F.col("title")).alias("description"))
+
+
+@query("strip_title_echo", f"WITH {TITLES} SELECT doc_id, CASE WHEN instr(text, title) > 0 AND instr(text, title) - 1 <= floor(length(text) * 0.5) THEN substr(text, 1, instr(text, title) - 1) || substr(text, instr(text, title) + length(title)) ELSE text END AS rest FROM t")
+def strip_title_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_titles(spark, sf_dir).select("doc_id", texts.strip_title_echo(F.col("text"), F.col("title")).alias("rest"))
+
+
+@query("follow_up_join", f"WITH {NAV} SELECT n.page_id, n.position, p.page_id IS NOT NULL AS stored FROM nav n LEFT JOIN (SELECT DISTINCT regexp_replace(url, '#.*$', '') AS k, min(page_id) AS page_id FROM pages GROUP BY 1) p ON regexp_replace(n.url, '#.*$', '') = p.k")
+def follow_up_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = table(spark, sf_dir, "pages").groupBy(urls.without_fragment(F.col("url")).alias("url")).agg(F.min("page_id").alias("stored_id"))
+    got = paging.follow(nav(spark, sf_dir).select("page_id", "position", "url"), store)
+    return got.select("page_id", "position", F.col("stored_id").isNotNull().alias("stored"))
+
+
+@query("visited_anti_join", f"WITH {NAV} SELECT page_id, position, url FROM nav WHERE url NOT IN (SELECT url FROM pages)")
+def visited_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.unvisited(nav(spark, sf_dir).select("page_id", "position", "url"), table(spark, sf_dir, "pages"))
+
+
+@query("pagination_urls", r"""SELECT page_id, CAST(k AS INTEGER) AS page_no, CASE WHEN k = 0 THEN url ELSE regexp_extract(url, '^([^?#]*)', 1) || '?' || array_to_string(list_concat(list_filter(string_split(CASE WHEN contains(url, '?') THEN regexp_extract(url, '\?([^#]*)', 1) ELSE '' END, '&'), lambda x: x <> '' AND regexp_extract(x, '^([^=]*)', 1) <> 'page'), ['page=' || CAST(k + 1 AS VARCHAR)]), '&') || CASE WHEN contains(url, '#') THEN '#' || regexp_extract(url, '#(.*)$', 1) ELSE '' END END AS page_url FROM pages, unnest(range(0, 5)) AS r(k)""")
+def pagination_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.page_urls(table(spark, sf_dir, "pages"))
+
+
+@query("shared_tokens", "WITH w AS (SELECT p_brand, p_partkey, unnest(list_distinct(string_split(p_type, ' '))) AS token FROM part) SELECT w.p_brand, w.token FROM w JOIN (SELECT p_brand, count(*) AS parts FROM part GROUP BY 1) t ON w.p_brand = t.p_brand GROUP BY w.p_brand, w.token, t.parts HAVING count(*) = t.parts")
+def shared_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that all parts of a brand share, by counting (no list of sets per group)."""
+    p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.explode(F.array_distinct(F.split("p_type", " "))).alias("token"))
+    total = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("parts"))
+    return p.groupBy("p_brand", "token").agg(F.count("*").alias("n")).join(total, "p_brand").where("n = parts").select("p_brand", "token")
+
+
+@query("common_prefix", f"SELECT host, CAST(count(*) AS BIGINT) AS pages, min(s[1]) AS first_min, max(s[1]) AS first_max FROM (SELECT lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host, {SEGS.format(u='url')} AS s FROM pages) GROUP BY host")
+def common_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path prefixes per host: a shared first segment shows as equal bounds."""
+    p = table(spark, sf_dir, "pages").select(urls.part(F.col("url"), "host").alias("host"), F.get(urls.path_segments(F.col("url")), F.lit(0)).alias("s"))
+    return p.groupBy("host").agg(F.count("*").alias("pages"), F.min("s").alias("first_min"), F.max("s").alias("first_max"))
+
+
+@query("interstitial_hits", "SELECT page_id, CASE " + " ".join("WHEN " + " + ".join(f"regexp_matches(html, {lit(p)})::INT" for p in ps) + f" >= {n} THEN '{k}'" for k, n, ps in L.INTERSTITIALS) + " END AS blocked FROM pages")
+def interstitial_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", texts.interstitial(F.col("html")).alias("blocked"))
+
+
+@query("fallback_first_success", """SELECT o_custkey AS feed_id, min_by(o_orderpriority, o_orderkey) AS selected_strategy, min(o_orderkey) AS rank FROM orders WHERE o_totalprice > 200000 GROUP BY o_custkey""")
+def fallback_first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("feed_id"), F.col("o_orderpriority").alias("strategy"), F.col("o_orderkey").alias("rank"), (F.col("o_totalprice") > 200000).cast("int").alias("items"))
+    return paging.first_success(o)
+
+
+@query("json_feed_items", f"WITH {NAV} SELECT page_id AS feed_id, position, url AS item_url, title AS item_title FROM nav")
+def json_feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = {"selectors": {"items": {"selector": "nav li", "enhance": False}, "title": {"selector": "a"}, "url": {"selector": "a", "extractor": "href"}}}
+    got = feeds.json_items(selectors.query(responses(spark, sf_dir), config))
+    raw = nav(spark, sf_dir).select(F.col("page_id").alias("feed_id"), "position", F.col("url").alias("item_url"))
+    return got.join(raw, ["feed_id", "position"]).select("feed_id", "position", "item_url", F.col("item.title").alias("item_title"))
+
+
+@query("json_feed")
+def json_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = responses(spark, sf_dir)
+    got = selectors.query(pages, {"selectors": {"items": {"selector": "article"}, "title": {"selector": "h1"}}})
+    return feeds.json_feed(got, feeds.channels(pages.withColumn("headers", F.create_map().cast("map<string,string>"))))
+
+
+@query("rss_feed")
+def rss_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = responses(spark, sf_dir)
+    got = selectors.query(pages, {"selectors": {"items": {"selector": "nav li"}, "title": {"selector": "a"}}})
+    return feeds.rss(got, feeds.channels(pages.withColumn("headers", F.create_map().cast("map<string,string>"))))
+
