@@ -216,4 +216,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents the list or the base checks reject go."""
     rules = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return annotate(docs, rules).where("kept").select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("_row"), "doc_id", "text")  # own columns keep their values, whatever their names
+    return annotate(whole, rules).where("kept").select("_row.*")

@@ -165,15 +165,15 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """docs with every row as often as the mix takes it."""
     keyed = sized_documents(docs)
-    decided = materialize(copies(keyed.select(*KEY), seed).where("total > 0").select(*KEY, "rows", "total"), "copies")
+    decided = materialize(copies(keyed.select(*KEY), seed).where("total > 0").select(*KEY, F.col("rows").alias("_rows"), F.col("total").alias("_total")), "copies")
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in KEY]
-    joined = keyed.alias("d").join(decided.alias("c"), same).select("d.*", "c.rows", "c.total")
-    single = joined.where("rows = 1").select(*docs.columns, "total")
-    if not decided.where("rows > 1").isEmpty():  # equal rows: one of them stands for all copies
+    joined = keyed.alias("d").join(decided.alias("c"), same).select("d.*", "c._rows", "c._total")
+    single = joined.where("_rows = 1").select(*docs.columns, "_total")
+    if not decided.where("_rows > 1").isEmpty():  # equal rows: one of them stands for all copies
         first = [F.first(c).alias(c) for c in docs.columns]
-        many = joined.where("rows > 1").groupBy(*[F.col(c) for c in KEY]).agg(*first, F.first("total").alias("total"))
-        single = single.unionByName(many.select(*docs.columns, "total"))
-    again = single.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("total"))))
+        many = joined.where("_rows > 1").groupBy(*[F.col(c) for c in KEY]).agg(*first, F.first("_total").alias("_total"))
+        single = single.unionByName(many.select(*docs.columns, "_total"))
+    again = single.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_total"))))
     return again.select(*docs.columns)
 
 

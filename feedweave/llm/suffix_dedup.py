@@ -298,7 +298,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return marked(docs).select(*names, "marks").mapInArrow(run, ddl)
+    plain = [x if i == at else f"_c{i}" for i, x in enumerate(names)]  # names of the marks may not meet names of docs
+    return marked(docs.toDF(*plain)).select(*plain, "marks").mapInArrow(run, ddl)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
