@@ -11,8 +11,7 @@ from feedweave.functions.texts import let
 
 
 def _in(words: list[str]):
-    table = F.array(*[F.lit(w) for w in words])
-    return lambda s: F.array_contains(table, s)
+    return lambda s: F.array_contains(F.array(*[F.lit(w) for w in words]), s)
 
 
 def _like(pattern: str):
