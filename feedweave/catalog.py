@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedweave.functions import destinations, postprocess, texts, urls
 from feedweave.functions import lexicon as L
-from feedweave.operators import admission, feeds, paging, segments, selectors, shred
+from feedweave.operators import admission, feeds, followups, paging, segments, selectors, shred, structured
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -438,3 +438,108 @@ def rss_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = selectors.query(pages, {"selectors": {"items": {"selector": "nav li"}, "title": {"selector": "a"}}})
     return feeds.rss(got, feeds.channels(pages.withColumn("headers", F.create_map().cast("map<string,string>"))))
 
+
+
+def bodies(df: DataFrame, key: str, markup: str, *args: str) -> DataFrame:
+    """A response per row, its body by a format string over columns."""
+    return df.select(F.col(key).cast("long").alias("feed_id"), F.lit("https://shop.example/list").alias("url"), F.format_string(markup, *args).alias("body"))
+
+
+_LD = (
+    '<html><head><script type="application/ld+json">{"@context": "https://schema.org", "@type": "CollectionPage", "mainEntity": {"@type": "ItemList", "itemListElement": ['
+    '{"@type": "ListItem", "item": {"@type": "Thing", "name": "Item %1$d", "url": "/i/%1$d"}}, {"@type": ["WebPage", "https://schema.org/NewsArticle"], "headline": " ", "name": "Order %1$d", '
+    '"@id": "https://shop.example/o/%1$d", "url": "/o/%1$d?x=1", "datePublished": "%2$s", "author": [{"name": "%3$s"}, "desk"], "keywords": "%4$s; order|%3$s", "description": "ab", "articleBody": "abc %3$s"}, '
+    '{"@type": "Organization", "name": "none"}]}}</script></head><body></body></html>'
+)
+
+
+@query("schema_articles", """SELECT o_orderkey AS feed_id, 0 AS position, '/i/' || o_orderkey AS id, 'Item ' || o_orderkey AS title, NULL AS description, 'https://shop.example/i/' || o_orderkey AS url, NULL AS author, NULL AS published, '' AS categories FROM orders
+UNION ALL SELECT o_orderkey, 1, '/o/' || o_orderkey, 'Order ' || o_orderkey, 'abc ' || o_orderstatus, 'https://shop.example/o/' || o_orderkey || '?x=1', o_orderstatus || ', desk', strftime(o_orderdate, '%Y-%m-%d'), o_orderpriority || ',order,' || o_orderstatus FROM orders""")
+def schema_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    got = structured.scrape(bodies(o, "o_orderkey", _LD, "o_orderkey", "day", "o_orderstatus", "o_orderpriority"), ("schema",))
+    return got.select("feed_id", "position", "id", "title", "description", "url", "author", F.col("published_at_raw").alias("published"), F.array_join("categories", ",").alias("categories"))
+
+
+@query("microdata_products", "SELECT p_partkey AS feed_id, p_name AS title, 'https://shop.example/p/' || p_partkey AS url, 'https://shop.example/p/' || p_partkey || '.png' AS image, p_brand || ',' || p_type AS categories FROM part")
+def microdata_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    markup = (
+        '<div itemscope itemtype="https://schema.org/Product"><h2 itemprop="name">%2$s</h2><a itemprop="url" href="/p/%1$d">more</a><img itemprop="image" src="/p/%1$d.png">'
+        '<meta itemprop="articleSection" content="%3$s"><meta itemprop="keywords" content="%4$s"><div itemprop="review" itemscope itemtype="https://schema.org/Review"><b itemprop="name">no</b></div></div>'
+    )
+    got = structured.scrape(bodies(table(spark, sf_dir, "part"), "p_partkey", markup, "p_partkey", "p_name", "p_type", "p_brand"), ("microdata",))
+    return got.select("feed_id", "title", "url", "image", F.array_join("categories", ",").alias("categories"))
+
+
+@query("microformats_entries", "SELECT p_partkey AS feed_id, p_name AS title, 'https://shop.example/e/' || p_partkey AS url, '<b>' || p_type || '</b>' AS description, p_brand AS author, '2024-01-02' AS published FROM part")
+def microformats_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    markup = '<div class="h-entry x"><h1 class="p-name"> %2$s </h1><a class="u-url" href="/e/%1$d">l</a><div class="e-content"><b>%3$s</b></div><i class="p-author">%4$s</i><time class="dt-published" datetime="2024-01-02">x</time></div><div class="h-entry"></div>'
+    got = structured.scrape(bodies(table(spark, sf_dir, "part"), "p_partkey", markup, "p_partkey", "p_name", "p_type", "p_brand"), ("microformats2",))
+    return got.select("feed_id", "title", "url", "description", "author", F.col("published_at_raw").alias("published"))
+
+
+@query("json_state_articles", """SELECT event_id AS feed_id, 0 AS position, 's' || event_id AS id, event_type AS title, 'https://shop.example/s/' || event_id AS url, 'json_state' AS scraper FROM events
+UNION ALL SELECT event_id, 1, 'https://shop.example/w/' || event_id, 'W ' || user_id, 'https://shop.example/w/' || event_id, 'json_state' FROM events""")
+def json_state_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    markup = (
+        '<script type="application/json">{"a": {"b": [{"attributes": {"title": "%2$s"}, "id": "s%1$d", "link": "/s/%1$d"}, {"x": 1}]}}</script>'
+        '<script>var q = 1; window.__NUXT__ = {list: [{headline: "W %3$d", "path": "/w/%1$d", tags: ["}"],},],}; f();</script>'
+    )
+    got = structured.scrape(bodies(table(spark, sf_dir, "events"), "event_id", markup, "event_id", "event_type", "user_id"), ("json_state",))
+    # the two scripts count on in one page
+    return got.select("feed_id", "position", "id", "title", "url", "scraper")
+
+
+@query("captured_articles", "SELECT event_id AS feed_id, event_type AS title, 'https://shop.example/x/' || event_id AS url, props ->> '$.page' AS description FROM events")
+def captured_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("page", F.get_json_object("props", "$.page"))
+    body = F.to_json(F.struct(F.array(F.struct(F.col("event_type").alias("name"), F.concat(F.lit("/x/"), "event_id").alias("href"), F.col("page").alias("summary"))).alias("rows")))
+    return structured.captured(e.select(F.col("event_id").alias("feed_id"), F.lit("https://shop.example/list").alias("url"), body.alias("body"))).select("feed_id", "title", "url", "description")
+
+
+@query("meta_articles", "SELECT p_partkey AS feed_id, CASE WHEN p_partkey % 2 = 0 THEN 'Embed ' || p_brand ELSE p_name END AS title, 'https://shop.example/m/' || p_partkey AS url, p_type AS description, CASE WHEN p_partkey % 2 = 0 THEN 'E' ELSE p_brand END AS author FROM part")
+def meta_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    markup = '<head><meta property="og:title" content="%2$s"><meta name="twitter:title" content="later"><meta property="og:url" content="/m/%1$d"><meta name="twitter:description" content="%3$s"><meta property="article:author" content="%4$s"></head>'
+    got = structured.scrape(bodies(part, "p_partkey", markup, "p_partkey", "p_name", "p_type", "p_brand"), ("meta_oembed",))
+    stored = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("feed_id"), F.to_json(F.struct(F.concat(F.lit("Embed "), "p_brand").alias("title"), F.lit("E").alias("author_name"), F.lit("<b>x</b>").alias("html"))).alias("body"))
+    return followups.oembed(got.select("feed_id", "title", "url", "description", "author", "image"), stored).select("feed_id", "title", "url", "description", "author")
+
+
+@query("posts_articles", "SELECT o_orderkey AS feed_id, 0 AS position, '/p/' || o_orderkey AS id, 'A & ' || o_orderstatus AS title, 'https://shop.example/p/' || o_orderkey AS url, o_orderpriority AS description, '7,8' AS categories FROM orders UNION ALL SELECT o_orderkey, 2, '/?p=' || o_orderkey, NULL, 'https://shop.example/?p=' || o_orderkey, '<p>x</p>', '' FROM orders")
+def posts_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    markup = '[{"title": {"rendered": "A &amp; <i>%2$s</i>"}, "link": "/p/%1$d", "content": {"rendered": " "}, "excerpt": {"rendered": "%3$s"}, "categories": [7, 8]}, {"title": {"rendered": "no link"}}, {"link": "/?p=%1$d", "content": {"rendered": "<p>x</p>"}}]'
+    got = followups.posts(bodies(table(spark, sf_dir, "orders"), "o_orderkey", markup, "o_orderkey", "o_orderstatus", "o_orderpriority"))
+    return got.select("feed_id", "position", "id", "title", "url", "description", F.array_join("categories", ",").alias("categories"))
+
+
+@query("sitemap_entries", """SELECT o_orderkey AS feed_id, 'https://shop.example/?a=1&b=' || o_orderkey AS url, o_orderstatus AS title, CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) / 10 AS priority, o_orderdate AS published_at FROM orders WHERE substr(o_orderpriority, 1, 1) >= '3' AND o_orderdate >= TIMESTAMP '1998-08-01' - INTERVAL 30 DAY
+UNION ALL SELECT o_orderkey, 'https://shop.example/u/' || o_orderkey, NULL, 0.5, NULL FROM orders""")
+def sitemap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").withColumns({"day": F.date_format("o_orderdate", "yyyy-MM-dd"), "rank": F.substring("o_orderpriority", 1, 1)})
+    markup = (
+        "<urlset><url><loc>https://shop.example/?a=1&amp;b=%1$d</loc><lastmod>1990-01-01</lastmod><priority>0.%3$s</priority><news:news><news:publication_date>%2$s</news:publication_date><news:title>%4$s</news:title></news:news></url>"
+        "<url><loc> https://shop.example/u/%1$d </loc></url><url><loc>https://shop.example/n</loc><changefreq>Never</changefreq></url></urlset>"
+    )
+    got = followups.sitemap(bodies(o, "o_orderkey", markup, "o_orderkey", "day", "rank", "o_orderstatus"), "1998-08-01")
+    return got.select("feed_id", "url", "title", "priority", "published_at")
+
+
+_DAY = "date_trunc('day', o_orderdate)"
+
+
+@query("archive_ranges", f"""SELECT o_orderkey, 'archive' AS reason, strftime({_DAY}, '%Y-%m-%dT00:00:00Z') AS after, strftime({_DAY} + INTERVAL 1 DAY, '%Y-%m-%dT00:00:00Z') AS before, CAST(o_custkey + 1 AS VARCHAR) AS page, NULL AS category FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT o_orderkey, 'archive', NULL, NULL, NULL, CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderkey % 2 = 1""")
+def archive_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    even = F.col("o_orderkey") % 2 == 0
+    url = F.when(even, F.concat(F.lit("https://x.example/blog/"), F.date_format("o_orderdate", "yyyy/MM/dd"), F.lit("/page/"), (F.col("o_custkey") + 1).cast("string"))).otherwise("https://x.example/category/a")
+    scope = followups.archive_scope(F.when(even, "date").otherwise(F.concat(F.lit("archive category category-"), "o_custkey")), url)
+    q = F.col("scope.query")
+    return o.select("o_orderkey", scope.alias("scope")).select("o_orderkey", F.col("scope.reason").alias("reason"), *[q[k].alias(a) for k, a in (("after", "after"), ("before", "before"), ("page", "page"), ("categories", "category"))])
+
+
+@query("posts_endpoints", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'https://x.example/wp-json/wp/v2/posts?page=' || p_size ELSE 'https://x.example/?rest_route=%2Fwp%2Fv2%2Fposts&lang=en&page=' || p_size END AS url FROM part")
+def posts_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = F.when(F.col("p_partkey") % 2 == 0, "https://x.example/wp-json/").otherwise("https://x.example/?rest_route=/&lang=en")
+    return table(spark, sf_dir, "part").select("p_partkey", followups.posts_url(root, F.create_map(F.lit("page"), F.col("p_size").cast("string"))).alias("url"))
