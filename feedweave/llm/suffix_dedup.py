@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedweave.llm.common import documents, materialize, whole_text
@@ -231,19 +231,22 @@ def named(docs: DataFrame) -> DataFrame:
 def marked(docs: DataFrame) -> DataFrame:
     """named(docs) plus whole (array of s, n) and bits (array of start, bits) of its repeated windows; null where there are none."""
     texts = named(docs)
-    rows = piece_rows(texts)
-    by_gram, by_piece = Window.partitionBy("gram"), Window.partitionBy("gram", "piece")
-    counted = rows.withColumns({"grams": F.count("*").over(by_gram), "same": F.count("*").over(by_piece), "nth": F.row_number().over(by_piece.orderBy("h1", "h2", "s"))})
+    rows = materialize(piece_rows(texts), "pieces")
+    # counts combine before they are shuffled and meet the rows in joins, which adaptive execution splits: no common
+    # minimizer or piece meets whole in one task
+    grams = rows.groupBy("gram").agg(F.count("*").alias("grams"), (F.min("piece") < F.max("piece")).alias("differ")).where("grams > 1").drop("grams")
+    again = materialize(rows.join(grams, "gram"), "again")
+    first = F.min(F.struct("h1", "h2", "s", "n", "a")).alias("first")
+    kinds = materialize(again.groupBy("gram", "piece").agg(F.count("*").alias("same"), F.any_value("differ").alias("differ"), first), "kinds")
     # a piece is compared by cells if its minimizer has other pieces; of equal ones the first stands for all
-    compared = (F.col("grams") > F.col("same")) & (F.col("nth") == 1)
-    marks = counted.where("grams > 1").select("h1", "h2", "s", "n", (F.col("same") > 1).alias("whole"), F.when(compared, F.col("a")).alias("a")).where("whole or a is not null")
+    compared = kinds.where("differ").select("first.*")
     # equal texts have equal pieces
-    marks = materialize(marks.groupBy("h1", "h2", "s", "n", "whole").agg(F.min("a").alias("a")), "marks")
-    open_ = marks.where("a is not null").groupBy("h1", "h2").agg(F.collect_list(F.struct("s", "n", "a")).alias("open"))
+    repeated = again.select("h1", "h2", "gram", "piece", "s", "n").join(kinds.where("same > 1").select("gram", "piece"), ["gram", "piece"]).select("h1", "h2", "s", "n").distinct()
+    open_ = compared.groupBy("h1", "h2").agg(F.collect_list(F.struct("s", "n", "a")).alias("open"))
     once = texts.select("h1", "h2", "text").join(open_, ["h1", "h2"]).groupBy("h1", "h2").agg(F.any_value("text").alias("text"), F.any_value("open").alias("open"))
     bits = resolve(cell_rows(once))
     bits = bits.groupBy("h1", "h2", "start").agg(F.bit_or("bits").alias("bits"))
-    whole = marks.where("whole").select("h1", "h2", F.struct(F.col("s").alias("at"), F.col("n").cast("long").alias("v"), F.lit(False).alias("cell")).alias("m"))
+    whole = repeated.select("h1", "h2", F.struct(F.col("s").alias("at"), F.col("n").cast("long").alias("v"), F.lit(False).alias("cell")).alias("m"))
     part = bits.select("h1", "h2", F.struct(F.col("start").alias("at"), F.col("bits").alias("v"), F.lit(True).alias("cell")).alias("m"))
     found = whole.unionByName(part).groupBy("h1", "h2").agg(F.collect_list("m").alias("marks"))
     return texts.join(found, ["h1", "h2"], "left")
