@@ -183,7 +183,7 @@ def repeated_windows(core: np.ndarray, low: np.ndarray, high: np.ndarray, left:
 def resolve(found: DataFrame) -> DataFrame:
     """h1, h2, start, bits: the repeated windows of all cells."""
     found = materialize(found, "cells")
-    per = found.groupBy("core", "core2").agg(F.count("*").alias("cells")).where("cells > 1")
+    per = materialize(found.groupBy("core", "core2").agg(F.count("*").alias("cells")).where("cells > 1"), "cores")
     shared = found.join(per, ["core", "core2"])
     total = per.agg(F.sum("cells")).first()[0] or 0
     blocks = max(1, -(-int(total) // CELLS_PER_BLOCK))
@@ -202,7 +202,7 @@ def resolve(found: DataFrame) -> DataFrame:
     # the window's bytes around its core: j to the left, CELL - 1 - j to the right
     side = F.concat(F.expr("right(hex(left), 2 * j)"), F.lit("-"), F.expr(f"left(hex(right), 2 * ({CELL - 1} - j))"))
     each = each.select("core", "core2", "h1", "h2", "start", "j", F.when(F.col("j") == 0, F.concat(F.lit("-"), F.expr(f"left(hex(right), {2 * (CELL - 1)})"))).otherwise(side).alias("side"))
-    twice = each.groupBy("core", "core2", "j", "side").agg(F.count("*").alias("c")).where("c > 1")
+    twice = materialize(each.groupBy("core", "core2", "j", "side").agg(F.count("*").alias("c")).where("c > 1"), "twice")
     hot = each.join(twice, ["core", "core2", "j", "side"]).select("h1", "h2", "start", F.expr("shiftleft(1L, j)").alias("bits"))
     return cold.unionByName(hot)
 
@@ -233,9 +233,10 @@ def marked(docs: DataFrame) -> DataFrame:
     texts = named(docs)
     rows = materialize(piece_rows(texts), "pieces")
     # counts combine before they are shuffled and meet the rows in joins, which adaptive execution splits: no common
-    # minimizer or piece meets whole in one task
+    # minimizer or piece meets whole in one task. Counts are written first, as a join right on top of an aggregate is
+    # not split
     grams = rows.groupBy("gram").agg(F.count("*").alias("grams"), (F.min("piece") < F.max("piece")).alias("differ")).where("grams > 1").drop("grams")
-    again = materialize(rows.join(grams, "gram"), "again")
+    again = materialize(rows.join(materialize(grams, "grams"), "gram"), "again")
     first = F.min(F.struct("h1", "h2", "s", "n", "a")).alias("first")
     kinds = materialize(again.groupBy("gram", "piece").agg(F.count("*").alias("same"), F.any_value("differ").alias("differ"), first), "kinds")
     # a piece is compared by cells if its minimizer has other pieces; of equal ones the first stands for all
