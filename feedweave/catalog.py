@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from feedweave.functions import destinations, postprocess, texts, urls
 from feedweave.functions import lexicon as L
-from feedweave.operators import admission, feeds, followups, paging, segments, selectors, shred, structured
+from feedweave.operators import admission, auto, feeds, followups, paging, policy, segments, selectors, shred, structured
+from feedweave.sources import responses as stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -543,3 +544,47 @@ def archive_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def posts_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = F.when(F.col("p_partkey") % 2 == 0, "https://x.example/wp-json/").otherwise("https://x.example/?rest_route=/&lang=en")
     return table(spark, sf_dir, "part").select("p_partkey", followups.posts_url(root, F.create_map(F.lit("page"), F.col("p_size").cast("string"))).alias("url"))
+
+
+BLOCKED = "CASE " + " ".join("WHEN " + " + ".join(f"regexp_matches(html, {lit(p)})::INT" for p in ps) + f" >= {n} THEN '{k}'" for k, n, ps in L.INTERSTITIALS) + " END"
+
+
+@query("stored_responses", f"SELECT page_id, CASE WHEN {BLOCKED} IS NULL THEN md5(html) END AS digest, CASE WHEN {BLOCKED} IS NOT NULL THEN 'blocked_surface' END AS error FROM pages")
+def stored_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as raw bytes through decompression, charset, kind and guard."""
+    headers = F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=utf-8"))
+    raw = table(spark, sf_dir, "pages").select(F.col("page_id").alias("feed_id"), "url", F.lit(200).alias("status"), headers.alias("headers"), F.encode("html", "UTF-8").alias("payload"))
+    return stored.responses(raw).select(F.col("feed_id").alias("page_id"), F.md5("body").alias("digest"), "error")
+
+
+@query("follow_up_policy", r"""WITH u AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) AS scheme, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*?:([0-9]+)', 1) AS port FROM pages)
+SELECT page_id, CASE WHEN scheme = 'http' THEN 'unsupported_url_scheme' WHEN host <> 'example.com' OR port NOT IN ('', '443') THEN 'cross_origin_follow_up' END AS denial FROM u""")
+def follow_up_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages a feed of https://example.com/ may follow."""
+    return table(spark, sf_dir, "pages").select("page_id", policy.denial(F.col("url"), F.lit("https://example.com/"), F.lit("follow_up")).alias("denial"))
+
+
+@query("private_targets", "SELECT user_id, event_id, (a = 10 OR a = 127 OR a = 0 OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR a BETWEEN 224 AND 239) AS denied FROM (SELECT *, user_id % 256 AS a, event_id % 256 AS b FROM events)")
+def private_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal addresses made of event numbers."""
+    url = F.format_string("http://%d.%d.1.1/", F.col("user_id") % 256, F.col("event_id") % 256)
+    return table(spark, sf_dir, "events").select("user_id", "event_id", policy.private_target(url).alias("denied"))
+
+
+def open_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose navigation is main content, so that its links are candidates."""
+    body = F.regexp_replace("body", r"<(/?)nav\b", "<$1main")
+    return responses(spark, sf_dir).select("feed_id", "url", body.alias("body"))
+
+
+@query("auto_feed")
+def auto_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tiers, admission and limit on every page."""
+    return auto.auto_source(open_navigation(spark, sf_dir))
+
+
+@query("captured_selectors")
+def captured_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item selectors that lead to the navigation links of every page."""
+    articles = nav(spark, sf_dir).select(F.col("page_id").alias("feed_id"), "url")
+    return auto.capture(open_navigation(spark, sf_dir), articles)
