@@ -13,6 +13,10 @@
    remaining bits until it fits.
 6. Components by alternating large-star and small-star rounds, each cut by a written table.
 
+The pipeline's stage needs all pairs of a Jaccard similarity of 4/5 or more, some ten bits of 64 apart, where pigeonhole keys
+meet a large share of all pairs. There the search above proposes close pairs; the others are found by the pigeonhole
+principle on the shingle sets themselves (prefixes), and every pair is verified on the sets.
+
 Defined cases: null text counts as empty; texts without a word have fingerprint zero, linked like any other; null ids
 are rows that never name a component unless nothing else is in it; repeated rows share one component; an empty table
 gives an empty result; only doc_id and text are read.
@@ -23,8 +27,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,29 +42,42 @@ SAMPLE = 2048
 BUCKET = 4096
 #: Cost of a candidate distance, in emitted rows.
 PAIR_COST = 0.02
+#: Counters by which the stage orders shingles.
+SKETCH_BITS = 21
+SKETCH_SHIFT = np.uint64(64 - SKETCH_BITS)
+SKETCH_SLICES = 16
 
 
-def simhash(text: str | None, width: int) -> int:
-    """A bit is 1 if set in over half of the hashes of the word shingles (fewer words than width: of the whole sequence)."""
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the word shingles, repeats too (fewer words than width: of the whole sequence; no word: none)."""
     upper = (text or "").encode()
     words = upper.lower().split()  # bytes: A-Z only, and splits at 0x20 and 0x09-0x0D
     n = len(words)
     if not n:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if n <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     at = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
     starts = np.concatenate(([0], at[: n - width])).tolist()
     ends = (at[width - 1 :] - 1).tolist()
     h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
+    return np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the hashes."""
     votes = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65536):
         votes += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def simhash(text: str | None, width: int) -> int:
+    """A bit is 1 if set in over half of the hashes of the word shingles (fewer words than width: of the whole sequence)."""
+    return majority(shingles(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long)."""
 
@@ -287,9 +306,128 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def scanned(rows: DataFrame, width: int) -> DataFrame:
+    """row, fp, s1, s2 (name of the set of shingles); and per task its part of the sketch (slice, sketch; row is null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        for b in batches:
+            fp, name = np.empty(b.num_rows, np.uint64), bytearray()
+            for k, text in enumerate(b.column(1)):
+                hashes = shingles(text.as_py(), width)
+                own = np.unique(hashes)
+                np.add.at(counts, own >> SKETCH_SHIFT, 1)
+                fp[k] = majority(hashes)
+                name += xxhash.xxh3_128_digest(own.tobytes())
+            names = np.frombuffer(bytes(name), "<i8").reshape(-1, 2)
+            none = [pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), pa.array(names[:, 0]), pa.array(names[:, 1]), *none], names=["row", "fp", "s1", "s2", "slice", "sketch"])
+        if counts.any():
+            parts = [zstandard.compress(x.tobytes(), 1) for x in np.split(counts, SKETCH_SLICES)]
+            none = [pa.nulls(SKETCH_SLICES, pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SKETCH_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["row", "fp", "s1", "s2", "slice", "sketch"])
+
+    return rows.select("row", "text").mapInArrow(run, "row long, fp long, s1 long, s2 long, slice int, sketch binary")
+
+
+def sketch(scan: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each group of hashes; only an order is taken from it."""
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zstandard.decompress(x), np.int64) for x in pdf["sketch"])
+        return pd.DataFrame({"slice": [key[0]], "sketch": [zstandard.compress(total.tobytes(), 1)]})
+
+    got = scan.where("sketch is not null").select("slice", "sketch").groupBy("slice").applyInPandas(add, "slice int, sketch binary").collect()
+    out = np.zeros((SKETCH_SLICES, (1 << SKETCH_BITS) // SKETCH_SLICES), np.int64)
+    for r in got:
+        out[r["slice"]] = np.frombuffer(zstandard.decompress(bytes(r["sketch"])), np.int64)
+    return out.reshape(-1)
+
+
+def prefixes(nodes: DataFrame, counts: np.ndarray, width: int) -> DataFrame:
+    """token, node, n: of each set of n shingles the n // 5 + 1 rarest by counts (any fixed order is right).
+
+    Sets of similarity 4/5 or more share a token: of two sets in one order, the overlap of 4/5 of either cannot lie
+    beyond both prefixes.
+    """
+    shared = nodes.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens, lens, sizes = [], [], []
+            for text in b.column(1):
+                own = np.unique(shingles(text.as_py(), width))
+                first = own[np.argsort(shared.value[own >> SKETCH_SHIFT], kind="stable")[: len(own) // 5 + 1]]
+                tokens.append(first)
+                lens.append(len(first))
+                sizes.append(len(own))
+            token = np.concatenate(tokens).view(np.int64) if tokens else np.empty(0, np.int64)
+            node = np.repeat(b.column(0).to_numpy(), lens)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(np.repeat(np.array(sizes, np.int64), lens))], names=["token", "node", "n"])
+
+    return nodes.select("row", "text").mapInArrow(run, "token long, node long, n long")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """The pairs a, b of rows whose sets of shingles have a Jaccard similarity of 4/5 or more, exactly."""
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "pairs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingles(x.as_py(), width)).view(np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["row", "own"])
+
+    ids = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    sets = materialize(rows.join(ids, "row", "left_semi").select("row", "text").mapInArrow(run, "row long, own array<long>"), "sets")
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("own").alias("y")), "b")
+    both = both.where(5 * F.least(F.size("x"), F.size("y")) >= 4 * F.greatest(F.size("x"), F.size("y")))
+    common = F.size(F.array_intersect("x", "y")).cast("long")
+    return both.where(9 * common >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def similar(rows: DataFrame, width: int) -> DataFrame:
+    """row, root: components of the rows (row, text) by links of similarity 4/5 or more; no link is left out.
+
+    Equal sets are one node. Links within groups come first, from pairs of fingerprints within DISTANCE bits and from each
+    token's least node; then all pairs that share a token and are not yet in one component are compared, so that a large
+    group of near copies costs about one comparison each.
+    """
+    scan = materialize(scanned(rows, width), "scanned")
+    counts = sketch(scan)
+    names = scan.where("sketch is null").select("row", "fp", "s1", "s2")
+    sets = materialize(names.groupBy("s1", "s2").agg(F.min(F.struct("row", "fp")).alias("first")).select("s1", "s2", F.col("first.row").alias("node"), F.col("first.fp").alias("fp")), "sets")
+    # fingerprints of one node each that searches on for all of the same fingerprint
+    per = materialize(sets.groupBy("fp").agg(F.min("node").alias("least")), "distinct")
+    near = edges(per.select("fp"), per.count())
+    ends = near.join(per.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(per.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    equal = sets.join(per, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+
+    firsts = rows.join(sets.select(F.col("node").alias("row")), "row", "left_semi")
+    found = materialize(prefixes(firsts, counts, width), "prefixes")
+    again = materialize(found.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("n", "node")).alias("least")).where("c > 1"), "tokens")
+    shared = materialize(found.join(again, "token").select("token", "node", "n", F.col("least.node").alias("least"), F.col("least.n").alias("m")), "shared")
+    star = shared.where("5 * m >= 4 * n").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    links = materialize(verified(ends.unionByName(equal).unionByName(star), rows, width), "verified")
+
+    roots = components(links)
+    placed = shared.select("token", "node", "n").join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
+    placed = materialize(placed, "placed")
+    kinds = placed.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots"))
+    open_ = placed.join(materialize(kinds.where("roots > 1").select("token", F.col("most.root").alias("main")), "kinds"), "token")
+    open_ = materialize(open_, "open")
+    x = open_.where("root <> main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    y = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    across = x.join(y, "token").where("ra <> rb and 5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b")
+    links = links.unionByName(verified(across, rows, width))
+    roots = components(links)
+    by_set = sets.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
+    return names.join(by_set, ["s1", "s2"]).select("row", "root")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: five-word shingles; the document of least id stays of each component, rows without id stay."""
-    found = classes(docs, width=5)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    """Pipeline stage: the document of least id stays of each component of five-word shingle sets; rows without id stay."""
+    rows = materialize(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = rows.select("doc_id", "row").join(similar(rows, width=5), "row")
+    keep = found.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi")
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -75,6 +75,64 @@ def test_simhash(spark, docs):
     assert simhash_dedup.classes(docs.limit(0), 4).count() == 0
 
 
+def shingle_set(text, width=5):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+
+def near_rows():
+    """Near copies of similarity 0.75 to 0.95, a chain of them, passages shared by unlike texts, a large group of copies."""
+    rng = np.random.default_rng(11)
+
+    def fresh(n):
+        return ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n)]
+
+    def edited(words, n):
+        out = list(words)
+        for at in rng.choice(len(words), n, replace=False):
+            out[at] = fresh(1)[0]
+        return out
+
+    texts, common = [], fresh(60)
+    for k in range(24):
+        base = fresh(300)
+        texts += [base, edited(base, 1 + k % 9)]
+        texts.append(edited(texts[-1], 5))
+        texts.append(common + fresh(100))
+    group = fresh(200)
+    texts += [edited(group, int(n)) for n in rng.integers(0, 9, 60)]
+    texts += [[], [], ["one"], ["One"], ["one", "two", "three"]]
+    return [(i, " ".join(t), "en", "s", 0, 1, "x") for i, t in enumerate(texts)]
+
+
+def similar_groups(texts):
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(sets)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    return [top(i) for i in range(len(sets))]
+
+
+def test_near_dedup_stage_keeps_no_similar_pair(spark):
+    rows = near_rows()
+    groups = similar_groups([r[1] for r in rows])
+    assert 40 < len(set(groups)) < len(rows) - 60
+    docs = spark.createDataFrame(rows, DDL).repartition(3)
+    got = sorted(r.doc_id for r in simhash_dedup.stage(spark, docs, SF).collect())
+    assert got == sorted(set(groups))
+    assert simhash_dedup.stage(spark, docs.limit(0), SF).count() == 0
+
+
 def test_simhash_plan_keeps_all_links():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
