@@ -19,7 +19,7 @@ principle on the shingle sets themselves (prefixes), and every pair is verified
 
 Defined cases: null text counts as empty; texts without a word have fingerprint zero, linked like any other; null ids
 are rows that never name a component unless nothing else is in it; repeated rows share one component; an empty table
-gives an empty result; only doc_id and text are read.
+gives an empty result; only doc_id and text are read. The stage keeps one row of each component, whatever its ids.
 """
 
 from __future__ import annotations
@@ -425,9 +425,11 @@ def similar(rows: DataFrame, width: int) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document of least id stays of each component of five-word shingle sets; rows without id stay."""
-    rows = materialize(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
-    found = rows.select("doc_id", "row").join(similar(rows, width=5), "row")
-    keep = found.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Pipeline stage: one row stays of each component of five-word shingle sets, of least id (null ids last)."""
+    names = docs.columns
+    plain = [x if x in ("doc_id", "text") else f"_c{i}" for i, x in enumerate(names)]  # inner names may not meet names of docs
+    rows = materialize(docs.toDF(*plain).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = rows.select("doc_id", "row").join(similar(rows.select("row", "text"), width=5), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    keep = found.groupBy("root").agg(first).select(F.col("first.row").alias("row"))
+    return rows.join(keep, "row", "left_semi").select(*plain).toDF(*names)

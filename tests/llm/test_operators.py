@@ -133,6 +133,19 @@ def test_near_dedup_stage_keeps_no_similar_pair(spark):
     assert simhash_dedup.stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_near_dedup_stage_keeps_one_row_of_each_group(spark):
+    rng = np.random.default_rng(12)
+    a, b, c, d = (" ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 6)) for _ in range(80)) for _ in range(4))
+    texts = [(1, a), (1, a), (1, a), (None, a), (None, b), (None, b), (7, c), (None, c + " more"), (8, c + " more"), (None, d), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 1, "x") for i, t in texts], DDL).repartition(3)
+    out = simhash_dedup.stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = collections.Counter((r.doc_id, r.text or "") for r in out.collect())
+    assert got == collections.Counter([(1, a), (None, b), (7, c), (None, d), (None, "")])
+    left = collections.Counter((r.doc_id, r.text or "") for r in suffix_dedup.stage(spark, out, SF).collect())
+    assert left - collections.Counter([(None, "")]) == got - collections.Counter([(None, "")])
+
+
 def test_simhash_plan_keeps_all_links():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
