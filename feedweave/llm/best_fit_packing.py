@@ -75,7 +75,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, *, with_ids: bo
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, deal = tokens(path), TaskContext.get().partitionId() * 1_000_003
+        encode, deal = tokens(path), TaskContext.get().partitionId() << 33  # room for every piece of a task
         for b in batches:
             sizes = np.cumsum(pd.Series(b.column(1).to_pylist(), dtype=object).fillna("").str.len().to_numpy(np.int64))
             at = 0

@@ -209,6 +209,12 @@ def test_packing(spark, docs):
     assert best_fit_packing.packed_documents(docs.limit(0)).count() == 0
 
 
+def test_packing_numbers_of_large_tasks_do_not_meet(spark):
+    docs = spark.range(0, 2_000_200, 1, 2).selectExpr("id as doc_id", "'' as text")
+    r = best_fit_packing.pieces(docs, best_fit_packing.tokenizer_path()).selectExpr("count(*) as n", "count(distinct deal) as deals").first()
+    assert (r.n, r.deals) == (2_000_200, 2_000_200)
+
+
 def test_packing_rounds(spark):
     table = spark.range(3000).selectExpr("id as deal", "1 + pmod(xxhash64(id), 2048) as length")
     out = best_fit_packing.pack(table, 3000, group=20).collect()
