@@ -2,7 +2,8 @@
 
 The tokenizer never looks across white space, so a text's ids are the ids of its chunks. Each worker keeps a bounded cache
 of chunks; new chunks of Latin letters and ASCII signs are merged all at once with vector operations, others, and texts
-with other white space than blanks, tabs and line ends, go through the library. Equal to the library's ids (tested).
+with other white space than blanks, tabs and line ends, go through the library. Texts that may hold an added token (it is
+found before chunks are) go through the library as a whole. Equal to the library's ids (tested).
 """
 
 from __future__ import annotations
@@ -82,8 +83,12 @@ class WordTokens:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
+        self.exact = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
+        added = [re.escape(t["content"]) for t in whole.get("added_tokens") or ()]
+        self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE).search
         vocab, merges = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         letters = _byte_letters()
         self.plain = np.array([vocab[letters[b]] for b in range(256)], np.int64)
@@ -183,7 +188,7 @@ class WordTokens:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (uint32) of each text."""
-        odd = {k: np.array(self.lib.encode(t, add_special_tokens=False).ids, np.uint32) for k, t in enumerate(texts) if not t.isascii() and _ODD_SPACE.search(t) or _CONTROL.search(t)}
+        odd = {k: np.array(self.exact.encode(t, add_special_tokens=False).ids, np.uint32) for k, t in enumerate(texts) if not t.isascii() and _ODD_SPACE.search(t) or _CONTROL.search(t) or self.added(t)}
         split = [() if k in odd else t.split() for k, t in enumerate(texts)]
         if len(self.at) > CACHE:
             self.clear()

@@ -209,6 +209,16 @@ def test_packing(spark, docs):
     assert best_fit_packing.packed_documents(docs.limit(0)).count() == 0
 
 
+def test_tokens_equal_the_unaltered_library():
+    from tokenizers import Tokenizer
+
+    path = best_fit_packing.tokenizer_path()
+    lib = Tokenizer.from_file(path)
+    texts = ["one <|endoftext|> two", "<|startoftext|>", "a<|endoftext|>b c", "x <|ENDOFTEXT|> y", "<|endoftext|", "t\u2003<|endoftext|>", "\x1c <|startoftext|>\n", "é <|endoftext|>", "plain", "", "😀 ﬁ <|endoftext|><|endoftext|>"]
+    assert [x.tolist() for x in WordTokens(path)(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert WordTokens(path)(texts[:1])[0].tolist() == [637, 49407, 1237]
+
+
 def test_packing_numbers_of_large_tasks_do_not_meet(spark):
     docs = spark.range(0, 2_000_200, 1, 2).selectExpr("id as doc_id", "'' as text")
     r = best_fit_packing.pieces(docs, best_fit_packing.tokenizer_path()).selectExpr("count(*) as n", "count(distinct deal) as deals").first()
