@@ -46,6 +46,9 @@ PAIR_COST = 0.02
 SKETCH_BITS = 21
 SKETCH_SHIFT = np.uint64(64 - SKETCH_BITS)
 SKETCH_SLICES = 16
+#: Sets of na and nb shingles whose prefixes share c can have the overlap that a similarity of 4/5 takes: one set's prefix
+#: ends first, and only what follows there can add to c.
+ENOUGH = "9 * (c + greatest(na - na div 5 - 1, nb - nb div 5 - 1)) >= 4 * (na + nb)"
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -344,13 +347,13 @@ def sketch(scan: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def prefixes(nodes: DataFrame, counts: np.ndarray, width: int) -> DataFrame:
+def prefixes(rows: DataFrame, counts: np.ndarray, width: int) -> DataFrame:
     """token, node, n: of each set of n shingles the n // 5 + 1 rarest by counts (any fixed order is right).
 
     Sets of similarity 4/5 or more share a token: of two sets in one order, the overlap of 4/5 of either cannot lie
     beyond both prefixes.
     """
-    shared = nodes.sparkSession.sparkContext.broadcast(counts)
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -365,7 +368,7 @@ def prefixes(nodes: DataFrame, counts: np.ndarray, width: int) -> DataFrame:
             node = np.repeat(b.column(0).to_numpy(), lens)
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(np.repeat(np.array(sizes, np.int64), lens))], names=["token", "node", "n"])
 
-    return nodes.select("row", "text").mapInArrow(run, "token long, node long, n long")
+    return rows.select("row", "text").mapInArrow(run, "token long, node long, n long")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
@@ -377,7 +380,8 @@ def verified(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
             sets = [np.unique(shingles(x.as_py(), width)).view(np.int64) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["row", "own"])
 
-    ids = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    # written, so that the planner sees their size: few ids are broadcast and no text is shuffled
+    ids = materialize(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "ids")
     sets = materialize(rows.join(ids, "row", "left_semi").select("row", "text").mapInArrow(run, "row long, own array<long>"), "sets")
     both = pairs.join(sets.select(F.col("row").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("own").alias("y")), "b")
     both = both.where(5 * F.least(F.size("x"), F.size("y")) >= 4 * F.greatest(F.size("x"), F.size("y")))
@@ -386,11 +390,11 @@ def verified(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
 
 
 def similar(rows: DataFrame, width: int) -> DataFrame:
-    """row, root: components of the rows (row, text) by links of similarity 4/5 or more; no link is left out.
+    """row, root: components of the rows (row, text) by links of similarity 4/5 or more; no two components have a link.
 
-    Equal sets are one node. Links within groups come first, from pairs of fingerprints within DISTANCE bits and from each
-    token's least node; then all pairs that share a token and are not yet in one component are compared, so that a large
-    group of near copies costs about one comparison each.
+    Equal sets are one node. Links within groups come first, from pairs of fingerprints within DISTANCE bits and from the
+    least node of most of a node's tokens; then all pairs that share enough tokens and are not yet in one component are
+    compared, so that a large group of near copies costs about one comparison each.
     """
     scan = materialize(scanned(rows, width), "scanned")
     counts = sketch(scan)
@@ -402,22 +406,24 @@ def similar(rows: DataFrame, width: int) -> DataFrame:
     ends = near.join(per.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(per.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     equal = sets.join(per, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
 
-    firsts = rows.join(sets.select(F.col("node").alias("row")), "row", "left_semi")
-    found = materialize(prefixes(firsts, counts, width), "prefixes")
-    again = materialize(found.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("n", "node")).alias("least")).where("c > 1"), "tokens")
-    shared = materialize(found.join(again, "token").select("token", "node", "n", F.col("least.node").alias("least"), F.col("least.n").alias("m")), "shared")
-    star = shared.where("5 * m >= 4 * n").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    found = materialize(prefixes(rows, counts, width), "prefixes")
+    again = materialize(found.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "tokens")
+    shared = materialize(found.join(again, "token").join(sets.select("node"), "node", "left_semi").select("token", "node", "n"), "shared")
+    least = materialize(shared.groupBy("token").agg(F.min(F.struct("n", "node")).alias("least")).select("token", F.col("least.node").alias("b"), F.col("least.n").alias("nb")), "least")
+    star = shared.join(least, "token").where("node <> b").groupBy("node", "b").agg(F.count("*").alias("c"), F.first("n").alias("na"), F.first("nb").alias("nb"))
+    star = star.where(ENOUGH).groupBy("node").agg(F.max(F.struct("c", "b")).alias("best")).select(F.col("node").alias("a"), F.col("best.b").alias("b"))
     links = materialize(verified(ends.unionByName(equal).unionByName(star), rows, width), "verified")
 
     roots = components(links)
-    placed = shared.select("token", "node", "n").join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
-    placed = materialize(placed, "placed")
+    placed = materialize(shared.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root")), "placed")
     kinds = placed.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots"))
-    open_ = placed.join(materialize(kinds.where("roots > 1").select("token", F.col("most.root").alias("main")), "kinds"), "token")
-    open_ = materialize(open_, "open")
+    open_ = materialize(placed.join(materialize(kinds.where("roots > 1").select("token", F.col("most.root").alias("main")), "kinds"), "token"), "open")
     x = open_.where("root <> main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    across = x.join(y, "token").where("ra <> rb and 5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b")
+    y = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main")
+    # a pair outside the main component meets twice in a token and counts once
+    across = x.join(y, "token").where("ra <> rb and (rb = main or a < b) and 5 * least(na, nb) >= 4 * greatest(na, nb)")
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
+    across = across.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(ENOUGH).select("a", "b")
     links = links.unionByName(verified(across, rows, width))
     roots = components(links)
     by_set = sets.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
@@ -431,5 +437,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = materialize(docs.toDF(*plain).withColumn("row", F.monotonically_increasing_id()), "rows")
     found = rows.select("doc_id", "row").join(similar(rows.select("row", "text"), width=5), "row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    keep = found.groupBy("root").agg(first).select(F.col("first.row").alias("row"))
+    keep = materialize(found.groupBy("root").agg(first).select(F.col("first.row").alias("row")), "keep")
     return rows.join(keep, "row", "left_semi").select(*plain).toDF(*names)
