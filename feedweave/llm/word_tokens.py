@@ -87,8 +87,10 @@ class WordTokens:
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
         model = whole["model"]
-        added = [re.escape(t["content"]) for t in whole.get("added_tokens") or ()]
-        self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE).search
+        added = whole.get("added_tokens") or ()
+        self.literal = [t["content"] for t in added if not t.get("normalized")]
+        folded = [re.escape(t["content"]) for t in added if t.get("normalized")]
+        self.folded = re.compile("|".join(folded), re.IGNORECASE).search if folded else None
         vocab, merges = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         letters = _byte_letters()
         self.plain = np.array([vocab[letters[b]] for b in range(256)], np.int64)
@@ -102,6 +104,9 @@ class WordTokens:
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.clear()
 
+    def may_hold_added(self, text: str) -> bool:
+        return any(x in text for x in self.literal) or (self.folded is not None and self.folded(text) is not None)
+
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.flat, self.starts, self.lens = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -188,7 +193,7 @@ class WordTokens:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (uint32) of each text."""
-        odd = {k: np.array(self.exact.encode(t, add_special_tokens=False).ids, np.uint32) for k, t in enumerate(texts) if not t.isascii() and _ODD_SPACE.search(t) or _CONTROL.search(t) or self.added(t)}
+        odd = {k: np.array(self.exact.encode(t, add_special_tokens=False).ids, np.uint32) for k, t in enumerate(texts) if not t.isascii() and _ODD_SPACE.search(t) or _CONTROL.search(t) or self.may_hold_added(t)}
         split = [() if k in odd else t.split() for k, t in enumerate(texts)]
         if len(self.at) > CACHE:
             self.clear()
