@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: White space of every word definition here: space and 0x09-0x0D.
 WS_CLASS = r"\x20\x09-\x0D"
 WS_CHARS = " \t\n\x0b\f\r"
+#: Drops a query's shuffle files when it ends: what it wrote is a table, and nobody reads its shuffles again.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,18 +34,52 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def plain_names(names: list[str], keep: tuple[str, ...] = ()) -> list[str]:
+    """Inner names for a caller's columns, so that they cannot meet an operator's own; those in keep stay."""
+    return [x if x in keep else f"_in{i}" for i, x in enumerate(names)]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary one only where driver and tasks are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="feedweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def new_table(spark: SparkSession, name: str) -> str:
+    """Path of a new table in the shared folder; it goes when the application ends, if not before."""
+    path = f"{shared_dir(spark)}/feedweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    p, fs = _path(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
+def materialize(df: DataFrame, name: str = "step", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Cut the lineage: write df as a table to the shared folder and return its reader."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/feedweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_table(spark, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        p, fs = _path(t.sparkSession, t._table_path)
+        fs.delete(p, True)

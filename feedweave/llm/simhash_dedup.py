@@ -9,8 +9,8 @@
 4. Probe: a part with t = -1 emits nothing, t = 0 its key, t = 1 or 2 its key and all keys one bit away (two keys two bits
    apart meet at the key between them). Fingerprints that share a key are candidates.
 5. Verify: within a key all distances are computed in blocks, and a spanning forest of the links comes out, at most one
-   row per fingerprint, never all pairs. A key with more than BUCKET fingerprints is split by the same principle on the
-   remaining bits until it fits.
+   row per fingerprint, never all pairs. Keys are counted first; one with more than BUCKET fingerprints is split by a shuffle,
+   by the same principle on the remaining bits, until it fits, so no task gathers more than BUCKET of them.
 6. Components by alternating large-star and small-star rounds, each cut by a written table.
 
 The pipeline's stage needs all pairs of a Jaccard similarity of 4/5 or more, some ten bits of 64 apart, where pigeonhole keys
@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import documents, materialize
+from feedweave.llm.common import discard, documents, materialize, plain_names
 
 SEED = 42
 DISTANCE = 4
@@ -46,9 +46,14 @@ PAIR_COST = 0.02
 SKETCH_BITS = 21
 SKETCH_SHIFT = np.uint64(64 - SKETCH_BITS)
 SKETCH_SLICES = 16
+#: Hubs that a set is compared with before the search of all pairs that are left.
+STARS = 3
+STAR_ROUNDS = 2
 #: Sets of na and nb shingles whose prefixes share c can have the overlap that a similarity of 4/5 takes: one set's prefix
 #: ends first, and only what follows there can add to c.
 ENOUGH = "9 * (c + greatest(na - na div 5 - 1, nb - nb div 5 - 1)) >= 4 * (na + nb)"
+#: The first token that two such sets share, at places pa and pb, has enough behind it in both: a pair passes there.
+IN_TIME = "9 * least(na - pa, nb - pb) >= 4 * (na + nb)"
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -200,50 +205,46 @@ def forest(fps: np.ndarray, distance: int, block: int = 1024) -> tuple[np.ndarra
     return fps[label[member]], fps[member]
 
 
-def links_within(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """forest(), by keys of the remaining bits where there are many fingerprints."""
-    if len(fps) <= BUCKET:
-        return forest(fps, distance)
-    varying = np.bitwise_or.reduce(fps ^ fps[0])
-    among = [b for b in range(64) if int(varying) >> b & 1]
-    if len(among) <= distance:
-        return np.full(len(fps) - 1, fps[0]), fps[1:]
-    part, key, fp = keys(fps, plan(fps[:: max(1, len(fps) // 512)], len(fps), distance, among, parts_from=min(2, len(among))))
-    order = np.lexsort((fp, key, part))
-    part, key, fp = part[order], key[order], fp[order]
-    cut = np.nonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1]))[0] + 1
-    ends: list[tuple[np.ndarray, np.ndarray]] = []
-    for group in np.split(fp, cut):
-        if 1 < len(group) < len(fps):
-            ends.append(links_within(group, distance))
-        elif len(group) == len(fps):
-            ends.append(forest(group, distance))
-    return tuple(np.concatenate(x) for x in zip(*ends, strict=True)) if ends else (fps[:0], fps[:0])
-
-
-def _keyed(flips: Column, own: Column, part: int) -> Column:
-    return F.transform(flips, lambda f: F.struct(F.lit(part).alias("part"), own.bitwiseXOR(f).alias("key")))
+def _keyed(flips: Column, own: Column, part: int, mask: int) -> Column:
+    return F.transform(flips, lambda f: F.struct(F.lit(part).alias("part"), own.bitwiseXOR(f).alias("key"), F.lit(mask).alias("used")))
 
 
 def _probe(distinct: DataFrame, plan_: list[tuple[list[int], int]]) -> DataFrame:
-    """part, key, fp rows as column expressions."""
+    """g (name of part and key), used (the part's bits), fp rows as column expressions."""
     rows = []
     for i, (part, t) in enumerate(plan_):
         if t < 0:
             continue
         mask = int(np.uint64(_mask(part)).view(np.int64))
         flips = F.array(*[F.lit(int(np.uint64(f).view(np.int64))) for f in [0, *((1 << b for b in part) if t else ())]])
-        rows.append(_keyed(flips, F.col("fp").bitwiseAND(F.lit(mask)), i))
-    return distinct.select("fp", F.explode(F.concat(*rows)).alias("k")).select("k.part", "k.key", "fp")
+        rows.append(_keyed(flips, F.col("fp").bitwiseAND(F.lit(mask)), i, mask))
+    each = distinct.select("fp", F.explode(F.concat(*rows)).alias("k"))
+    return each.select(F.xxhash64("k.part", "k.key").alias("g"), "k.used", "fp")
 
 
-def edges(distinct: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
-    """a, b: a spanning set of links between distinct fingerprints (column fp)."""
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    fps = np.array([r["fp"] for r in sample], np.int64).view(np.uint64)
-    plan_ = plan(fps, n, distance)
-    buckets = _probe(distinct, plan_).groupBy("part", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+def split_keys(rows: DataFrame, distance: int) -> DataFrame:
+    """g, used, fp of large keys, dealt to keys of distance + 1 parts of the bits not used yet.
+
+    Of two fingerprints within the distance one part is equal, so they still meet. Both have the same used bits.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g, used, fp = (b.column(i).to_numpy() for i in range(3))
+            for mask in np.unique(used):
+                own = used == mask
+                free = [k for k in range(64) if not int(np.int64(mask).view(np.uint64)) >> k & 1]
+                parts = [free[k :: distance + 1] for k in range(min(distance + 1, len(free)))] or [[]]
+                for part in parts:
+                    bits = np.uint64(_mask(part)).view(np.int64)
+                    name = np.frombuffer(np.stack([g[own], np.full(own.sum(), bits), fp[own] & bits], 1).tobytes(), "V24")
+                    key = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in name), np.uint64, len(name)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), mask | bits)), pa.array(fp[own])], names=["g", "used", "fp"])
+
+    return rows.select("g", "used", "fp").mapInArrow(run, "g long, used long, fp long")
+
+
+def _forests(distance: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = b.column(0)
@@ -261,29 +262,50 @@ def edges(distinct: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
                     if near.any():
                         out.append((x[near], y[near]))
             for r in np.nonzero(~small)[0]:
-                out.append(links_within(np.unique(values[start[r] : start[r + 1]]), distance))
+                out.append(forest(np.unique(values[start[r] : start[r + 1]]), distance))
             if out:
                 a, c = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], names=["a", "b"])
 
-    return buckets.mapInArrow(verify, "a long, b long").distinct()
+    return verify
+
+
+def edges(distinct: DataFrame, n: int, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """a, b: a spanning set of links between distinct fingerprints (column fp)."""
+    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    fps = np.array([r["fp"] for r in sample], np.int64).view(np.uint64)
+    rows, out = _probe(distinct, plan(fps, n, distance)), None
+    while True:
+        counts = materialize(rows.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > bucket).select("g"), "large")
+        hot = not counts.isEmpty()
+        few = rows.join(counts, "g", "left_anti") if hot else rows
+        found = few.groupBy("g").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps").mapInArrow(_forests(distance), "a long, b long")
+        out = found if out is None else out.unionByName(found)
+        if not hot:
+            return out.distinct()
+        # distinct fingerprints run out of bits to share, so the rounds end: with 12 bits left a key has 4,096 at most
+        rows = materialize(split_keys(rows.join(counts, "g"), distance), "split")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root: for every node of a link its component's least node, by large-star and small-star rounds."""
+    """node, root: for every node of a link its component's least node, by large-star and small-star rounds.
+
+    Aggregates are written before rows meet them in a join, as adaptive execution splits a hub's rows only then.
+    """
     links = materialize(links, "links")
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b")
         large = large.where("a <> b").distinct()
         # small-star: each node points its smaller neighbours and itself to the least of them
         down = materialize(large.select(F.col("b").alias("n"), F.col("a").alias("s")), "star")
-        least = down.groupBy("n").agg(F.min("s").alias("m"), F.count("*").alias("c"))
+        least = materialize(down.groupBy("n").agg(F.min("s").alias("m")), "least")
         small = down.join(least, "n").select(F.col("m").alias("a"), F.explode(F.array("n", "s")).alias("b")).where("a <> b").distinct()
         nxt = materialize(small, "links")
         # done when every node hangs on one root and no root hangs on another
         done = nxt.select(F.col("b").alias("n")).groupBy("n").count().where("count > 1").isEmpty() and nxt.select(F.col("a").alias("n")).join(nxt.select(F.col("b").alias("n")), "n", "left_semi").isEmpty()
+        discard(links, low, down, least)
         links = nxt
         if done:
             break
@@ -299,8 +321,8 @@ def classes(docs: DataFrame, width: int, distance: int = DISTANCE) -> DataFrame:
     roots = components(edges(per.select("fp"), per.count(), distance))
     linked = per.alias("p").join(roots.alias("r"), F.col("p.fp") == F.col("r.node"), "left").select("p.fp", "p.least", F.coalesce("r.root", "p.fp").alias("root"))
     linked = materialize(linked, "linked")
-    low = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = linked.join(low, "root").select("fp", "component_id")
+    low = materialize(linked.groupBy("root").agg(F.min("least").alias("component_id")), "low")
+    names = materialize(linked.join(low, "root").select("fp", "component_id"), "names")
     return marked.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -348,7 +370,7 @@ def sketch(scan: DataFrame) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, counts: np.ndarray, width: int) -> DataFrame:
-    """token, node, n: of each set of n shingles the n // 5 + 1 rarest by counts (any fixed order is right).
+    """token, node, n, p: of each set of n shingles the n // 5 + 1 rarest by counts (any fixed order is right), p their places.
 
     Sets of similarity 4/5 or more share a token: of two sets in one order, the overlap of 4/5 of either cannot lie
     beyond both prefixes.
@@ -365,10 +387,12 @@ def prefixes(rows: DataFrame, counts: np.ndarray, width: int) -> DataFrame:
                 lens.append(len(first))
                 sizes.append(len(own))
             token = np.concatenate(tokens).view(np.int64) if tokens else np.empty(0, np.int64)
+            n = np.array(lens, np.int64)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
             node = np.repeat(b.column(0).to_numpy(), lens)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(np.repeat(np.array(sizes, np.int64), lens))], names=["token", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(np.repeat(np.array(sizes, np.int32), lens)), pa.array(place.astype(np.int32))], names=["token", "node", "n", "p"])
 
-    return rows.select("row", "text").mapInArrow(run, "token long, node long, n long")
+    return rows.select("row", "text").mapInArrow(run, "token long, node long, n int, p int")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
@@ -392,9 +416,9 @@ def verified(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
 def similar(rows: DataFrame, width: int) -> DataFrame:
     """row, root: components of the rows (row, text) by links of similarity 4/5 or more; no two components have a link.
 
-    Equal sets are one node. Links within groups come first, from pairs of fingerprints within DISTANCE bits and from the
-    least node of most of a node's tokens; then all pairs that share enough tokens and are not yet in one component are
-    compared, so that a large group of near copies costs about one comparison each.
+    Equal sets are one node. Links within groups come first, from pairs of fingerprints within DISTANCE bits and from a few
+    hubs that share a node's tokens; then all pairs that share tokens in time and are not yet in one component are compared,
+    so that most of a large group of near copies costs a few comparisons each.
     """
     scan = materialize(scanned(rows, width), "scanned")
     counts = sketch(scan)
@@ -408,32 +432,61 @@ def similar(rows: DataFrame, width: int) -> DataFrame:
 
     found = materialize(prefixes(rows, counts, width), "prefixes")
     again = materialize(found.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "tokens")
-    shared = materialize(found.join(again, "token").join(sets.select("node"), "node", "left_semi").select("token", "node", "n"), "shared")
-    least = materialize(shared.groupBy("token").agg(F.min(F.struct("n", "node")).alias("least")).select("token", F.col("least.node").alias("b"), F.col("least.n").alias("nb")), "least")
-    star = shared.join(least, "token").where("node <> b").groupBy("node", "b").agg(F.count("*").alias("c"), F.first("n").alias("na"), F.first("nb").alias("nb"))
-    star = star.where(ENOUGH).groupBy("node").agg(F.max(F.struct("c", "b")).alias("best")).select(F.col("node").alias("a"), F.col("best.b").alias("b"))
-    links = materialize(verified(ends.unionByName(equal).unionByName(star), rows, width), "verified")
-
-    roots = components(links)
-    placed = materialize(shared.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root")), "placed")
-    kinds = placed.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots"))
-    open_ = materialize(placed.join(materialize(kinds.where("roots > 1").select("token", F.col("most.root").alias("main")), "kinds"), "token"), "open")
-    x = open_.where("root <> main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main")
-    # a pair outside the main component meets twice in a token and counts once
-    across = x.join(y, "token").where("ra <> rb and (rb = main or a < b) and 5 * least(na, nb) >= 4 * greatest(na, nb)")
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-    across = across.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(ENOUGH).select("a", "b")
-    links = links.unionByName(verified(across, rows, width))
+    shared = materialize(found.join(again, "token").join(sets.select("node"), "node", "left_semi").select("token", "node", "n", "p"), "shared")
+    discard(found, again)
+    links = materialize(verified(ends.unionByName(equal), rows, width), "verified")
+    for salt in range(STAR_ROUNDS + 1):
+        roots = components(links)
+        placed = materialize(shared.join(roots, "node", "left").select("token", "node", "n", "p", F.coalesce("root", "node").alias("root")), "placed")
+        kinds = placed.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots"))
+        open_ = materialize(placed.join(materialize(kinds.where("roots > 1").select("token", F.col("most.root").alias("main")), "kinds"), "token"), "open")
+        discard(placed)
+        if salt < STAR_ROUNDS:
+            more = verified(stars(open_, salt), rows, width)
+            links = materialize(links.unionByName(more), "verified")
+    x = open_.where("root <> main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("root").alias("ra"))
+    y = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("root").alias("rb"), "main")
+    across = x.join(y, "token").where(f"ra <> rb and (rb = main or a < b) and 5 * least(na, nb) >= 4 * greatest(na, nb) and {IN_TIME}")
+    across = materialize(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
+    links = links.unionByName(verified(promising(across, shared), rows, width))
     roots = components(links)
     by_set = sets.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
     return names.join(by_set, ["s1", "s2"]).select("row", "root")
 
 
+def stars(open_: DataFrame, salt: int) -> DataFrame:
+    """Pairs a, b of components that share tokens (open_: token, node, n, p, root, main): each node with at most STARS hubs.
+
+    Hubs of a token are at first the set in which it is rarest of all, a document near the middle of its group, and the
+    smallest one; in later rounds two sets of its largest component, picked by a salted hash.
+    """
+    if salt:
+        open_hubs = open_.where("root = main")
+        first = [F.struct(F.xxhash64("node", F.lit(2 * salt + k)).alias("k"), "node", "n", "root") for k in (0, 1)]
+    else:
+        open_hubs, first = open_, [F.struct("p", "node", "n", "root"), F.struct("n", "node", "root")]
+    hubs = open_hubs.groupBy("token").agg(F.min(first[0]).alias("u"), F.min(first[1]).alias("v"))
+    kinds = [F.struct(F.col(f"{x}.node").alias("b"), F.col(f"{x}.n").alias("nb"), F.col(f"{x}.root").alias("rb")) for x in "uv"]
+    hubs = materialize(hubs.select("token", F.explode(F.array_distinct(F.array(*kinds))).alias("hub")).select("token", "hub.*"), "hubs")
+    met = open_.join(hubs, "token").where("root <> rb").groupBy("node", "b").agg(F.count("*").alias("c"), F.first("n").alias("na"), F.first("nb").alias("nb"))
+    # of the hubs of a document's own prefix
+    best = met.where(ENOUGH).groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), asc=False), 1, STARS).alias("best"))
+    return best.select(F.col("node").alias("a"), F.explode("best.b").alias("b"))
+
+
+def promising(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """The pairs a, b whose prefixes share so many tokens that a similarity of 4/5 is possible."""
+    ids = materialize(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
+    # one list per document, of its own prefix
+    lists = materialize(shared.join(ids, "node").groupBy("node").agg(F.first("n").alias("n"), F.collect_list("token").alias("own")), "lists")
+    both = pairs.join(lists.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("own").alias("x")), "a").join(lists.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("own").alias("y")), "b")
+    return both.withColumn("c", F.size(F.array_intersect("x", "y"))).where(ENOUGH).select("a", "b")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row stays of each component of five-word shingle sets, of least id (null ids last)."""
     names = docs.columns
-    plain = [x if x in ("doc_id", "text") else f"_c{i}" for i, x in enumerate(names)]  # inner names may not meet names of docs
+    plain = plain_names(names, ("doc_id", "text"))
     rows = materialize(docs.toDF(*plain).withColumn("row", F.monotonically_increasing_id()), "rows")
     found = rows.select("doc_id", "row").join(similar(rows.select("row", "text"), width=5), "row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")

@@ -10,8 +10,10 @@ A window is a string of LENGTH bytes inside one text. Which windows repeat is de
    string of at most 2 * CELL - 1 symbols, its windows are its substrings of CELL symbols. Cells whose core is nowhere
    else hold no repeat.
 3. Suffix arrays of the cells, those of one core in one array, by linear grouping over Lyndon prefixes (suffix_sort):
-   a window repeats if its CELL symbols equal those of a neighbour in suffix order. A core with more than HOT cells is
-   spread by its windows instead, and equal ones are counted by a shuffle, which gives the same answer.
+   a window repeats if its CELL symbols equal those of a neighbour in suffix order. Equal cells are one with a
+   multiplicity. A core with more than HOT cells is too much for one task: it is split by the bytes beside it into cores
+   of half the cell (windows that reach further left take the left bytes into their core, the others the right ones), and
+   again until it fits or a cell is one window.
 
 Texts are named by two hashes of their content; equal texts are one name, and all their pieces repeat. Whole texts meet
 their marks in two joins; nothing is collected per group but the cells of one core (HOT at most) and the marks of one text.
@@ -32,14 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import documents, materialize, whole_text
+from feedweave.llm.common import discard, documents, materialize, plain_names, whole_text
 from feedweave.llm.suffix_sort import suffix_array
 
 LENGTH = 200
 GRAM = 32
 CELL = 16
 HOT = 2048
-CELLS_PER_BLOCK = 8192
+CELLS_PER_BLOCK = 16_384
 _RNG = np.random.default_rng(0x5EED)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULT = _RNG.integers(1, 2**62, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,7 +118,7 @@ def piece_rows(texts: DataFrame) -> DataFrame:
     return texts.select("h1", "h2", "text").mapInArrow(run, PIECE)
 
 
-CELL_ROW = "core long, core2 long, shape string, h1 long, h2 long, start int, high int, low int, left binary, right binary"
+CELL_ROW = "core long, core2 long, h1 long, h2 long, start int, high int, low int, left binary, right binary"
 
 
 def cells(raw: bytes, s: int, n: int, a: int) -> Iterator[tuple]:
@@ -139,29 +141,33 @@ def cell_rows(texts: DataFrame) -> DataFrame:
                 for m in marks.as_py():
                     for k, core, low, high, left, right in cells(raw, m["s"], m["n"], m["a"]):
                         digest = xxhash.xxh3_128_intdigest(raw[core : core + LENGTH - CELL + 1], seed=k)
-                        rows.append((_signed(digest >> 64), _signed(digest & (1 << 64) - 1), "", h1, h2, core, high, low, left, right))
+                        rows.append((_signed(digest >> 64), _signed(digest & (1 << 64) - 1), h1, h2, core, high, low, left, right))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in CELL_ROW.split(", ")])
 
     return texts.select("h1", "h2", "text", "open").mapInArrow(run, CELL_ROW)
 
 
-def repeated_windows(core: np.ndarray, low: np.ndarray, high: np.ndarray, left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """For each cell the bits j of its windows that occur in another cell, by one suffix array."""
-    lens = high + 1 + (CELL - 1 - low)
+def repeated_windows(core: np.ndarray, low: np.ndarray, high: np.ndarray, left: list[bytes], right: list[bytes], cell: int = CELL) -> np.ndarray:
+    """For each cell the bits j of its windows that occur in another cell, by one suffix array over the different cells."""
+    kinds: dict[tuple, int] = {}
+    of = np.array([kinds.setdefault(x, len(kinds)) for x in zip(core.tolist(), low.tolist(), high.tolist(), left, right, strict=True)], np.int64)
+    many = np.bincount(of) > 1 if len(of) else np.empty(0, bool)
+    core, low, high = (np.array(x, np.int64) for x in list(zip(*kinds, strict=True))[:3]) if kinds else (of, of, of)
+    sides = [(x[3], x[4]) for x in kinds]
+    lens = high + 1 + (cell - 1 - low)
     ends = np.cumsum(lens + 1)
     starts = ends - lens - 1
     text = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
-    inner = np.frombuffer(b"".join(x + b"\0" + y + b"\0" for x, y in zip(left, right, strict=True)), np.uint8)
-    text[:] = inner
+    text[:] = np.frombuffer(b"".join(x + b"\0" + y + b"\0" for x, y in sides), np.uint8)
     text += 1 + len(core)
     text[starts + high] = 1 + len(core) + 256 + core  # the core, one symbol
     text[ends - 1] = np.arange(len(core))  # a separator of its own after each cell
     count = high - low + 1
-    cell = np.repeat(np.arange(len(core)), count)
-    within = np.arange(len(cell)) - np.repeat(np.cumsum(count) - count, count)
-    window = starts[cell] + within  # its first window is the one that starts furthest left
+    owner_cell = np.repeat(np.arange(len(core)), count)
+    within = np.arange(len(owner_cell)) - np.repeat(np.cumsum(count) - count, count)
+    window = starts[owner_cell] + within  # its first window is the one that starts furthest left
     order = suffix_array(text)
     owner = np.full(len(text), -1, np.int64)
     owner[window] = np.arange(len(window))
@@ -169,42 +175,67 @@ def repeated_windows(core: np.ndarray, low: np.ndarray, high: np.ndarray, left:
     ranked = ranked[ranked >= 0]
     at = window[ranked]
     same = np.ones(max(0, len(at) - 1), bool)
-    for k in range(CELL):
+    for k in range(cell):
         same &= text[at[1:] + k] == text[at[:-1] + k]
-    again = np.zeros(len(window), bool)
+    again = many[owner_cell]
     again[ranked[1:]] |= same
     again[ranked[:-1]] |= same
     bits = np.zeros(len(core), np.int64)
-    j = high[cell] - within
-    np.bitwise_or.at(bits, cell[again], np.int64(1) << j[again])
-    return bits
-
-
-def resolve(found: DataFrame) -> DataFrame:
-    """h1, h2, start, bits: the repeated windows of all cells."""
-    found = materialize(found, "cells")
-    per = materialize(found.groupBy("core", "core2").agg(F.count("*").alias("cells")).where("cells > 1"), "cores")
-    shared = found.join(per, ["core", "core2"])
-    total = per.agg(F.sum("cells")).first()[0] or 0
-    blocks = max(1, -(-int(total) // CELLS_PER_BLOCK))
-
+    j = high[owner_cell] - within
+    np.bitwise_or.at(bits, owner_cell[again], np.int64(1) << j[again])
+    return bits[of]
+
+
+def halves(found: DataFrame, cell: int) -> DataFrame:
+    """Cells of cell windows as cells of half as many, whose cores take the half bytes to the left or to the right in."""
+    half = cell // 2
+    side = lambda tag, body: {"core": F.xxhash64("core", "core2", F.lit(tag), body), "core2": F.xxhash64("core2", F.lit(tag), body, "core")}
+    sub = lambda col, at, n: F.substring(F.col(col), at, n)
+    reach = F.col("high") - half
+    to_left = found.where(F.col("high") >= half).withColumns(
+        side("left", sub("left", reach + 1, F.lit(half)))
+        | {"high": reach, "low": F.greatest(F.col("low") - half, F.lit(0)), "shift": F.col("shift") + half, "left": sub("left", F.lit(1), reach), "right": sub("right", F.lit(1), half - 1 - F.greatest(F.col("low") - half, F.lit(0)))}
+    )
+    top = F.least(F.col("high"), F.lit(half - 1))
+    to_right = found.where(F.col("low") < half).withColumns(
+        side("right", sub("right", F.lit(1), F.lit(half))) | {"high": top, "left": sub("left", F.col("high") - top + 1, top), "right": sub("right", F.lit(half + 1), half - 1 - F.col("low"))}
+    )
+    return to_left.unionByName(to_right)
+
+
+def _sorted(cell: int):
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
         core = pd.factorize(pd.MultiIndex.from_frame(pdf[["core", "core2"]]))[0]
-        bits = repeated_windows(core, pdf["low"].to_numpy().astype(np.int64), pdf["high"].to_numpy().astype(np.int64), list(pdf["left"]), list(pdf["right"]))
-        return pdf[["h1", "h2", "start"]].assign(bits=bits)[bits > 0]
+        bits = repeated_windows(core, pdf["low"].to_numpy().astype(np.int64), pdf["high"].to_numpy().astype(np.int64), list(pdf["left"]), list(pdf["right"]), cell)
+        return pdf[["h1", "h2", "start"]].assign(bits=bits << pdf["shift"].to_numpy().astype(np.int64))[bits > 0]
 
+    return sort
+
+
+def resolve(found: DataFrame, hot: int = HOT) -> DataFrame:
+    """h1, h2, start, bits: the repeated windows of all cells."""
     schema = "h1 long, h2 long, start int, bits long"
-    shared = materialize(shared, "shared")
-    few = shared.where(F.col("cells") <= HOT).withColumn("_g", F.pmod(F.xxhash64("core", "core2"), F.lit(blocks)))
-    cold = few.select("_g", "core", "core2", "h1", "h2", "start", "high", "low", "left", "right").groupBy("_g").applyInPandas(sort, schema)
-    many = shared.where(F.col("cells") > HOT)
-    each = many.withColumn("j", F.explode(F.sequence("low", "high")))
-    # the window's bytes around its core: j to the left, CELL - 1 - j to the right
-    side = F.concat(F.expr("right(hex(left), 2 * j)"), F.lit("-"), F.expr(f"left(hex(right), 2 * ({CELL - 1} - j))"))
-    each = each.select("core", "core2", "h1", "h2", "start", "j", F.when(F.col("j") == 0, F.concat(F.lit("-"), F.expr(f"left(hex(right), {2 * (CELL - 1)})"))).otherwise(side).alias("side"))
-    twice = materialize(each.groupBy("core", "core2", "j", "side").agg(F.count("*").alias("c")).where("c > 1"), "twice")
-    hot = each.join(twice, ["core", "core2", "j", "side"]).select("h1", "h2", "start", F.expr("shiftleft(1L, j)").alias("bits"))
-    return cold.unionByName(hot)
+    found = found.withColumn("shift", F.lit(0))
+    cell, out = CELL, None
+    while True:
+        found = materialize(found, "cells")
+        per = materialize(found.groupBy("core", "core2").agg(F.count("*").alias("cells")).where("cells > 1"), "cores")
+        shared = materialize(found.join(per, ["core", "core2"]), "shared")
+        discard(found)
+        few = shared.where(F.col("cells") <= hot) if cell > 1 else shared
+        if cell > 1:
+            total, large = per.agg(F.sum(F.when(F.col("cells") <= hot, F.col("cells"))), F.max("cells")).first()
+            blocks = max(1, -(-int(total or 0) // CELLS_PER_BLOCK))
+            dealt = few.withColumn("_g", F.pmod(F.xxhash64("core", "core2"), F.lit(blocks)))
+
+            # a number of partitions of its own: blocks are not put together into long tasks
+            got = dealt.select("_g", "core", "core2", "h1", "h2", "start", "high", "low", "shift", "left", "right").repartition(blocks, "_g").groupBy("_g").applyInPandas(_sorted(cell), schema)
+        else:  # a cell is one window, and its core the whole of it
+            large, got = 0, few.select("h1", "h2", "start", F.expr("shiftleft(1L, shift)").alias("bits"))
+        out = got if out is None else out.unionByName(got)
+        if (large or 0) <= hot:
+            return out
+        found, cell = halves(shared.where(F.col("cells") > hot).drop("cells"), cell), cell // 2
 
 
 OUT = "doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -243,13 +274,13 @@ def marked(docs: DataFrame) -> DataFrame:
     compared = kinds.where("differ").select("first.*")
     # equal texts have equal pieces
     repeated = again.select("h1", "h2", "gram", "piece", "s", "n").join(kinds.where("same > 1").select("gram", "piece"), ["gram", "piece"]).select("h1", "h2", "s", "n").distinct()
-    open_ = compared.groupBy("h1", "h2").agg(F.collect_list(F.struct("s", "n", "a")).alias("open"))
+    open_ = materialize(compared.groupBy("h1", "h2").agg(F.collect_list(F.struct("s", "n", "a")).alias("open")), "open")
     once = texts.select("h1", "h2", "text").join(open_, ["h1", "h2"]).groupBy("h1", "h2").agg(F.any_value("text").alias("text"), F.any_value("open").alias("open"))
     bits = resolve(cell_rows(once))
     bits = bits.groupBy("h1", "h2", "start").agg(F.bit_or("bits").alias("bits"))
     whole = repeated.select("h1", "h2", F.struct(F.col("s").alias("at"), F.col("n").cast("long").alias("v"), F.lit(False).alias("cell")).alias("m"))
     part = bits.select("h1", "h2", F.struct(F.col("start").alias("at"), F.col("bits").alias("v"), F.lit(True).alias("cell")).alias("m"))
-    found = whole.unionByName(part).groupBy("h1", "h2").agg(F.collect_list("m").alias("marks"))
+    found = materialize(whole.unionByName(part).groupBy("h1", "h2").agg(F.collect_list("m").alias("marks")), "marks")
     return texts.join(found, ["h1", "h2"], "left")
 
 
@@ -302,7 +333,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    plain = [x if i == at else f"_c{i}" for i, x in enumerate(names)]  # names of the marks may not meet names of docs
+    plain = plain_names(names, ("text",))
     return marked(docs.toDF(*plain)).select(*plain, "marks").mapInArrow(run, ddl)
 
 

@@ -51,9 +51,10 @@ def removed(texts):
         yield len(x), sum(m), sum(1 for i, v in enumerate(m) if v and not (i and m[i - 1])), hashlib.sha256(bytes(b for b, k in zip(x, m, strict=True) if not k)).hexdigest()
 
 
-@pytest.mark.parametrize("hot", [2048, 1])
+@pytest.mark.parametrize("hot", [2048, 3, 1])
 def test_suffix_dedup(spark, docs, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    whole = suffix_dedup.resolve
+    monkeypatch.setattr(suffix_dedup, "resolve", lambda found: whole(found, hot))  # small cores are split, too
     want = sorted(map(str, ((r[0], *x) for r, x in zip(odd_rows(), removed([(r[1] or "").encode() for r in odd_rows()]), strict=True))))
     assert sorted(str(tuple(r)) for r in suffix_dedup.digests(docs).collect()) == want
     assert suffix_dedup.digests(docs.limit(0)).count() == 0
@@ -146,6 +147,30 @@ def test_near_dedup_stage_keeps_one_row_of_each_group(spark):
     assert left - collections.Counter([(None, "")]) == got - collections.Counter([(None, "")])
 
 
+def test_simhash_splits_large_keys(spark):
+    rng = np.random.default_rng(4)
+    low = rng.integers(0, 2**14, 3000, dtype=np.uint64)
+    fps = np.unique(np.concatenate([low, low << np.uint64(40), rng.integers(0, 2**63, 500, dtype=np.uint64)]))
+    whole = simhash_dedup.forest(np.unique(fps), 4)
+    frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    links = [(r.a, r.b) for r in simhash_dedup.edges(frame, len(fps), bucket=40).collect()]
+    root = {int(x): int(x) for x in fps.view(np.int64)}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in links:
+        x, y = sorted((top(x), top(y)))
+        root[y] = x
+    want = {int(y): int(x) for x, y in zip(whole[0].view(np.int64), whole[1].view(np.int64), strict=True)}
+    groups = {}
+    for x in root:
+        groups.setdefault(want.get(x, x), set()).add(top(x))
+    assert all(len(v) == 1 for v in groups.values()) and len(groups) == len({top(x) for x in root})
+
+
 def test_simhash_plan_keeps_all_links():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
