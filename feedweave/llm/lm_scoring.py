@@ -1,23 +1,26 @@
 """LM scoring (operator 4): prediction by partial matching, trained on the corpus, and a word unigram base.
 
-Training: every task counts the nodes of the highest context order in its training texts and merges them as it goes; the
-counts meet in a reduction tree by slices of the node key (FAN groups of tasks at a time), so no task gathers more than
-FAN slices. Orders below follow from the highest. Of each order the nodes of largest count are kept, by one threshold for
-all, so that at most MAX_NODES are; that bound is what allows the model to be broadcast (about 24 bytes a node and order,
-some 100 MB at most). A pruned node only means an escape to a shorter context. All training texts count, at every size.
+No node of the trie is left out at any size, and nothing is broadcast but the counts of byte pairs (65,536 at most).
 
-Base: words are counted per block of documents (one task's rows, closed at BLOCK_WORDS distinct words), blocks exchange
-their distinct words for corpus counts by a shuffle of (block, word hash) rows, and every block's documents then look up
-counts by place. A word is known by a 128-bit hash, so that no two words meet.
+1. Scan. Every task cuts its texts into blocks of BLOCK_BYTES and lists a block's different (context, byte) keys of the
+   highest order and its different words, each with the count in the block's training texts (zero where only held-out
+   texts have it). Lists are dealt to slices, by the last two bytes of a context or the hash of a word.
+2. Slices. All blocks' lists of one slice meet: their counts add up to the slice's part of the trie (all orders from two
+   on of these contexts) or of the vocabulary, and every block gets its answers in its own order: the log10 probability of
+   each key, the corpus count of each word. The number of slices follows the input's size (SLICE_BYTES).
+3. Blocks. A block's texts and its answers meet and its documents are scored; the document's own counts come in here.
+
+A word is known by a 128-bit hash, so that no two words meet. Common keys and words are one entry per block and list, so
+no slice grows with a key's frequency.
 
 Defined cases: null text counts as empty (its end is still a token); a null id is in training; empty tables give empty
-results; repeated rows are scored, and trained on, each; without training texts all bytes are equally likely.
+results; repeated rows are scored, and trained on, each; without training texts all bytes are equally likely; one very
+long text is a block of its own; other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,18 +30,19 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedweave.llm import ppm
-from feedweave.llm.common import documents, materialize, shared_dir
+from feedweave.llm.common import documents, materialize
 
-MAX_NODES = 1 << 21
-SLICES = 32
-FAN = 64
-BLOCK_WORDS = 500_000
+BLOCK_BYTES = 12_000_000
+SLICE_BYTES = 32_000_000
 CHUNK = 1_000_000  # bytes counted or scored at once
 END_WORD = b"\n"  # no word holds white space
+NODES, WORDS, TEXTS, PAIRS = 0, 1, 2, 3
+ROW_DDL = "kind int, slice int, block long, doc_id long, held_out boolean, a binary, b binary, c binary"
+ROW = pa.schema([("kind", pa.int32()), ("slice", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -65,189 +69,197 @@ def _unpack(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(x), kind)
 
 
-def _slices(keys: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
-    """Sorted nodes by a hash of their last three bytes; keys as differences."""
-    low = keys & 0xFFFFFF
-    part = ((low * 0x9E3779B1) >> 16) % SLICES
-    for s in range(SLICES):
-        own = part == s
-        if own.any():
-            yield s, _pack(np.diff(keys[own], prepend=0)), _pack(n[own].astype("<i8"))
-
-
-def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return ppm.merge([(np.cumsum(_unpack(k, "<i8")), _unpack(n, "<i8")) for k, n in zip(pdf["keys"], pdf["n"], strict=True)])
-
-
-def train(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Node counts per order, at most MAX_NODES each."""
-
+def _rows(kind: int, cols: dict) -> pa.RecordBatch:
+    n = len(next(iter(cols.values())))
+    return pa.RecordBatch.from_arrays([pa.array([kind] * n, f.type) if f.name == "kind" else pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in ROW], schema=ROW)
+
+
+def _slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
+    """By the last two bytes of the context: all nodes of orders two and more below them are in one slice."""
+    return (((keys >> 8 & 0xFFFF) * 0x9E3779B1) >> 16) % slices
+
+
+class _Block:
+    """Texts of one block with what they ask for: keys and words, in the order in which they are packed."""
+
+    def __init__(self, number: int) -> None:
+        self.number, self.bytes, self.texts, self.size = number, 0, [], 0
+        self.place: dict[bytes, int] = {}
+        self.tf = np.zeros(0, np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, texts: list[bytes], held: list[bool]) -> list[np.ndarray]:
+        """Count some texts; the places of each one's words."""
+        place, ids = self.place, []
+        for t in texts:
+            found = [place.setdefault(w, len(place)) for w in t.lower().split()]
+            found.append(place.setdefault(END_WORD, len(place)))
+            ids.append(np.array(found, "<u4"))
+        trained = [x for x, out in zip(ids, held, strict=True) if not out]
+        tf = np.bincount(np.concatenate(trained), minlength=len(place)) if trained else np.zeros(len(place), np.int64)
+        tf[: len(self.tf)] += self.tf
+        self.tf = tf
+        for out in (False, True):
+            for chunk in _chunks([t for t, x in zip(texts, held, strict=True) if x == out]):
+                keys, n = ppm.count(ppm.spread(chunk)[0])
+                self.parts.append((keys, np.zeros_like(n) if out else n))
+                self.size += len(keys)
+        if len(self.parts) > 1 and self.size > 2 * len(self.parts[0][0]) + 500_000:  # as much has come as there was
+            self.parts = [ppm.merge(self.parts)]
+            self.size = len(self.parts[0][0])
+        self.bytes += sum(map(len, texts)) + len(texts)
+        return ids
+
+    def lists(self, slices: int) -> Iterator[pa.RecordBatch]:
+        keys, n = ppm.merge(self.parts)
+        part = _slice_of(keys, slices)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(slices + 1))
+        own = [s for s in range(slices) if cuts[s] < cuts[s + 1]]
+        groups = [order[cuts[s] : cuts[s + 1]] for s in own]
+        yield _rows(NODES, {"slice": own, "block": [self.number] * len(own), "a": [_pack(np.diff(keys[g], prepend=0)) for g in groups], "b": [_pack(n[g].astype("<i8")) for g in groups]})
+        h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.place)), "<i8").reshape(-1, 2)
+        part = (h[:, 0] & 0x7FFFFFFF) % slices
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(slices + 1))
+        own = [s for s in range(slices) if cuts[s] < cuts[s + 1]]
+        groups = [order[cuts[s] : cuts[s + 1]] for s in own]
+        # c: the words' places in the block, so that answers find back
+        yield _rows(WORDS, {"slice": own, "block": [self.number] * len(own), "a": [h[g].tobytes() for g in groups], "b": [_pack(self.tf[g].astype("<i8")) for g in groups], "c": [_pack(g.astype("<i4")) for g in groups]})
+        pairs, m = np.unique(keys & 0xFFFF, return_inverse=True)
+        sums = np.bincount(m, n, minlength=len(pairs)).astype("<i8")
+        yield _rows(PAIRS, {"a": [pairs[sums > 0].astype("<i4").tobytes()], "b": [sums[sums > 0].tobytes()]})
+
+
+def _scan(slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, parts, size, base = TaskContext.get().partitionId(), [], 0, 0
-        for b in batches:
-            texts = [(t or "").encode() for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not held_out(i)]
-            for chunk in _chunks(texts):
-                parts.append(ppm.count(ppm.spread(chunk)[0]))
-                size += len(parts[-1][0])
-                if size > 2 * base + 1_000_000:  # merge when as much has come as there was
-                    parts = [ppm.merge(parts)]
-                    size = base = len(parts[0][0])
-        if parts:
-            rows = list(_slices(*ppm.merge(parts)))
-            yield pa.RecordBatch.from_arrays([pa.array([task] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=["task", "slice", "keys", "n"])
-
-    schema = "task long, slice int, keys binary, n binary"
-    table = materialize(docs.select("doc_id", "text").mapInArrow(run, schema), "nodes")
-    tasks = table.agg(F.max("task")).first()[0]
-    groups = 1 if tasks is None else tasks + 1
-
-    def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, n = _merged(pdf)
-        return pd.DataFrame({"task": [key[1]], "slice": [key[0]], "keys": [_pack(np.diff(keys, prepend=0))], "n": [_pack(n)]})
-
-    while True:
-        groups = math.ceil(groups / FAN)
-        table = materialize(table.groupBy("slice", F.floor(F.col("task") / FAN).alias("task")).applyInPandas(join, schema), "nodes")
-        if groups <= 1:
-            break
-
-    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, row in pdf.iterrows():
-                keys, n = np.cumsum(_unpack(row["keys"], "<i8")), _unpack(row["n"], "<i8")
-                for k, (_, m) in enumerate(ppm.lower_orders(keys, n, ppm.ORDER)):
-                    got = np.bincount(np.floor(np.log2(m)).astype(int), minlength=1)
-                    yield pd.DataFrame({"k": k, "bits": np.arange(len(got)), "nodes": got})
-
-    seen = table.mapInPandas(sizes, "k int, bits int, nodes long").groupBy("k", "bits").agg(F.sum("nodes").alias("nodes")).collect()
-    least, floor = [], 0
-    for k in range(ppm.ORDER + 1):
-        total, at = 0, 0
-        for row in sorted((r for r in seen if r["k"] == k), key=lambda r: -r["bits"]):
-            total += row["nodes"]
-            if total > MAX_NODES and k > 1:
-                at = row["bits"] + 1
-                break
-        floor = max(floor, at)  # a node may stay only if its shorter contexts do
-        least.append(1 << floor)
-
-    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, row in pdf.iterrows():
-                keys, n = np.cumsum(_unpack(row["keys"], "<i8")), _unpack(row["n"], "<i8")
-                for k, (key, m) in enumerate(ppm.lower_orders(keys, n, ppm.ORDER)):
-                    stay = m >= (least[k] if k > 1 else 1)
-                    yield pd.DataFrame({"k": [k], "keys": [_pack(key[stay])], "n": [_pack(m[stay])]})
+        block = _Block(TaskContext.get().partitionId() << 24)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
+                texts = [(t.as_py() or "").encode() for t in b.column(1)]
+                held = [held_out(i) for i in b.column(0).to_pylist()]
+                ids = block.add(texts, held)
+                yield _rows(TEXTS, {"block": [block.number] * len(texts), "doc_id": b.column(0).to_pylist(), "held_out": held, "a": [zstandard.compress(t, 1) for t in texts], "b": [_pack(x) for x in ids]})
+                if block.bytes >= BLOCK_BYTES:
+                    yield from block.lists(slices)
+                    block = _Block(block.number + 1)
+        if block.parts:
+            yield from block.lists(slices)
 
-    levels: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ppm.ORDER + 1)]
-    for r in table.mapInPandas(kept, "k int, keys binary, n binary").toLocalIterator():
-        levels[r["k"]].append((_unpack(bytes(r["keys"]), "<i8"), _unpack(bytes(r["n"]), "<i8")))
-    empty = (np.empty(0, np.int64), np.empty(0, np.int64))
-    return [ppm.merge(x) if x else empty for x in levels]
+    return run
 
 
-_MODELS: dict[str, ppm.Model] = {}
+ANSWER = "kind int, block long, doc_id long, held_out boolean, a binary, b binary, tokens long, types long"
 
 
-def _model(shared) -> ppm.Model:
-    """One model a worker process."""
-    name, levels = shared.value
-    if name not in _MODELS:
-        _MODELS.clear()
-        _MODELS[name] = ppm.Model(levels)
-    return _MODELS[name]
+def _answers(kind: int, block: pd.Series, a: pd.Series, b: list[bytes], tokens: int = 0, types: int = 0) -> pd.DataFrame:
+    """tokens and types of the slice stand in its first row."""
+    first = np.arange(len(b)) == 0
+    return pd.DataFrame({"kind": kind, "block": block.to_numpy(), "doc_id": None, "held_out": None, "a": a.to_numpy(), "b": b, "tokens": first * tokens, "types": first * types})
 
 
-def _scores(model: ppm.Model, texts: list[bytes]) -> np.ndarray:
-    out = []
-    for chunk in _chunks(texts):
-        keys, owner, _ = ppm.spread(chunk)
-        out.append(np.bincount(owner, model.code(keys), minlength=len(chunk)))
-    return np.concatenate(out) if out else np.empty(0)
+def _answer(low):
+    """A slice's lists, of all blocks, to one row of answers per block."""
 
+    def nodes(pdf: pd.DataFrame) -> pd.DataFrame:
+        asked = [np.cumsum(_unpack(k, "<i8")) for k in pdf["a"]]
+        keys, n = ppm.merge(list(zip(asked, (_unpack(x, "<i8") for x in pdf["b"]), strict=True)))
+        known = n > 0
+        levels = ppm.lower_orders(keys[known], n[known], ppm.ORDER)
+        model = ppm.Model([*low.value, *levels[2:]])
+        logs = model.code(keys).astype("<f4")
+        body = [_pack(logs[np.searchsorted(keys, q)]) for q in asked]
+        return _answers(NODES, pdf["block"], pdf["a"], body)
 
-ROW = pa.schema(
-    [("kind", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("ids", pa.binary()), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64())), ("tf", pa.list_(pa.int64()))]
-)
-ROW_DDL = "kind int, block long, doc_id long, held_out boolean, score double, ids binary, h1 array<long>, h2 array<long>, tf array<long>"
+    def words(pdf: pd.DataFrame) -> pd.DataFrame:
+        lens = [len(x) // 16 for x in pdf["a"]]
+        h = np.frombuffer(b"".join(pdf["a"]), "<i8").reshape(-1, 2)
+        ids = _pair_ids(h)
+        tf = np.concatenate([_unpack(x, "<i8") for x in pdf["b"]])
+        total = np.bincount(ids, tf).astype("<i8")
+        cut = np.split(total[ids], np.cumsum(lens)[:-1])
+        return _answers(WORDS, pdf["block"], pdf["c"], [_pack(x) for x in cut], int(tf.sum()), int((total > 0).sum()))
 
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.reset_index(drop=True)
+        return nodes(pdf) if key[0] == NODES else words(pdf)
 
-def _scan(shared):
-    """Rows of kind 0: a block's words (hashes, counts in its training texts); of kind 1: a document with its words' places."""
+    return run
 
-    def words(block: int, place: dict[bytes, int], tf: np.ndarray) -> pa.RecordBatch:
-        h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, place)), "<i8").reshape(-1, 2)
-        lists = [pa.array([x], pa.list_(pa.int64())) for x in (h[:, 0], h[:, 1], tf[: len(place)])]
-        none = [pa.nulls(1, f.type) for f in list(ROW)[2:6]]
-        return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([block]), *none, *lists], schema=ROW)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shared)
-        block = TaskContext.get().partitionId() << 20
-        place: dict[bytes, int] = {}
-        tf = np.zeros(0, np.int64)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                texts = [(t or "").encode() for t in b.column(1).to_pylist()]
-                out = [held_out(i) for i in b.column(0).to_pylist()]
-                ids, trained = [], []
-                for t, held in zip(texts, out, strict=True):
-                    found = [place.setdefault(w, len(place)) for w in t.lower().split()]
-                    found.append(place.setdefault(END_WORD, len(place)))
-                    ids.append(np.array(found, "<u4"))
-                    if not held:
-                        trained.append(ids[-1])
-                if trained:
-                    new = np.bincount(np.concatenate(trained), minlength=max(len(place), len(tf)))
-                    new[: len(tf)] += tf
-                    tf = new
-                tf = np.pad(tf, (0, max(0, len(place) - len(tf))))
-                n = b.num_rows
-                cols = [pa.array([1] * n, pa.int32()), pa.array([block] * n, pa.int64()), b.column(0).cast(pa.int64()), pa.array(out), pa.array(_scores(model, texts)), pa.array([_pack(x) for x in ids], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*cols, *[pa.nulls(n, pa.list_(pa.int64()))] * 3], schema=ROW)
-                if len(place) >= BLOCK_WORDS:
-                    yield words(block, place, tf)
-                    block, place, tf = block + 1, {}, np.zeros(0, np.int64)
-        if place:
-            yield words(block, place, tf)
+def _pair_ids(h: np.ndarray) -> np.ndarray:
+    """A number for each different row of two longs."""
+    order = np.lexsort((h[:, 1], h[:, 0]))
+    new = np.concatenate(([True], (h[order][1:] != h[order][:-1]).any(1)))
+    out = np.empty(len(h), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
+
+
+def _score_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block's texts and answers to its documents' sums."""
+    asked = pdf[pdf["kind"] == NODES]
+    keys = np.concatenate([np.cumsum(_unpack(x, "<i8")) for x in asked["a"]])
+    logs = np.concatenate([_unpack(x, "<f4") for x in asked["b"]]).astype(np.float64)
+    find = pd.Index(keys).get_indexer
+    own = pdf[pdf["kind"] == WORDS]
+    places = np.concatenate([_unpack(x, "<i4") for x in own["a"]])
+    c = np.zeros(len(places), np.int64)
+    c[places] = np.concatenate([_unpack(x, "<i8") for x in own["b"]])
+    word_logs = np.log10(c + 1.0)
+    docs = pdf[pdf["kind"] == TEXTS]
+    scores = []
+    for chunk in _chunks([zstandard.decompress(x) for x in docs["a"]]):
+        at, owner, _ = ppm.spread(chunk)
+        scores.append(np.bincount(owner, ppm.adapted(chunk, owner, logs[find(at)]), minlength=len(chunk)))
+    ids = [_unpack(x, "<u4") for x in docs["b"]]
+    return pd.DataFrame(
+        {
+            "doc_id": docs["doc_id"].to_numpy(),
+            "held_out": docs["held_out"].to_numpy(),
+            "n_tokens": [len(x) for x in ids],
+            "n_known": [int((c[x] > 0).sum()) for x in ids],
+            "logs": [math.fsum(word_logs[x]) for x in ids],
+            "score": np.concatenate(scores),
+        }
+    )
+
+
+def slices_for(docs: DataFrame) -> int:
+    """A slice for every SLICE_BYTES of text."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    return max(8, math.ceil((size or 0) / SLICE_BYTES))
+
+
+def pair_counts(scanned: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Node counts of orders 0 and 1: at most 256 and 65,536."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a, b in zip(pdf["a"], pdf["b"], strict=True):
+                yield pd.DataFrame({"pair": np.frombuffer(a, "<i4"), "n": np.frombuffer(b, "<i8")})
 
-    return run
+    got = scanned.where(F.col("kind") == PAIRS).select("a", "b").mapInPandas(each, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).orderBy("pair").collect()
+    one = np.array([r["pair"] for r in got], np.int64), np.array([r["n"] for r in got], np.int64)
+    return ppm.lower_orders(*one, 1)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, train(docs)))
-    rows = docs.select("doc_id", "text").mapInArrow(_scan(shared), ROW_DDL)
-    path = f"{shared_dir(spark)}/feedweave/{spark.sparkContext.applicationId}/scored-{uuid.uuid4().hex}"
-    rows.write.partitionBy("kind").parquet(path)
-    table = spark.read.schema(ROW_DDL).parquet(path)
-    listed = table.where("kind = 0").select("block", F.posexplode(F.arrays_zip("h1", "h2", "tf")).alias("place", "w")).select("block", "place", "w.h1", "w.h2", "w.tf")
-    by_word = Window.partitionBy("h1", "h2")
-    counted = listed.select("block", "place", F.sum("tf").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("block")) == 1).alias("first"))
-    counted = materialize(counted, "counts")
-    sums = materialize(counted.agg(F.coalesce(F.sum(F.when(F.col("first"), F.col("c"))), F.lit(0)).alias("tokens"), F.count(F.when(F.col("first") & (F.col("c") > 0), 1)).alias("types")), "sums")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
-
-    def look_up(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        c = np.zeros(len(right), np.int64)
-        c[right["place"].to_numpy()] = right["c"].to_numpy()
-        logs = np.log10(c + 1.0)
-        ids = [_unpack(x, "<u4") for x in left["ids"]]
-        return pd.DataFrame(
-            {
-                "doc_id": left["doc_id"],
-                "held_out": left["held_out"],
-                "n_tokens": [len(x) for x in ids],
-                "n_known": [int((c[x] > 0).sum()) for x in ids],
-                "logs": [math.fsum(logs[x]) for x in ids],
-                "score": left["score"],
-            }
-        )
-
-    left = table.where("kind = 1").select("block", "doc_id", "held_out", "score", "ids")
-    each = left.groupBy("block").cogroup(counted.select("block", "place", "c").groupBy("block")).applyInPandas(look_up, schema)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    slices = slices_for(docs)
+    scanned = materialize(docs.mapInArrow(_scan(slices), ROW_DDL), "scanned", ("kind",))
+    low = spark.sparkContext.broadcast(pair_counts(scanned))
+    lists = scanned.where(F.col("kind") <= WORDS).select("kind", "slice", "block", "a", "b", "c").repartition(2 * slices, "kind", "slice")
+    answers = materialize(lists.groupBy("kind", "slice").applyInPandas(_answer(low), ANSWER), "answers")
+    sums = materialize(answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")), "sums")
+    texts = scanned.where(F.col("kind") == TEXTS).select("kind", "block", "doc_id", "held_out", "a", "b")
+    each = texts.unionByName(answers.select("kind", "block", "doc_id", "held_out", "a", "b")).groupBy("block").applyInPandas(_score_block, SCORED)
     total = each.crossJoin(F.broadcast(sums))  # one row
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.col("tokens") + F.col("types") + 1.0)
     return total.select("doc_id", "held_out", "n_tokens", "n_known", F.col("tokens").cast("long").alias("train_tokens"), base.alias("base_score"), "score")

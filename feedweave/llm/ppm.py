@@ -1,22 +1,28 @@
-"""Prediction by partial matching over bytes: a context trie of bounded order, held as sorted hashed nodes.
+"""Prediction by partial matching over bytes: a context trie of bounded order, held as sorted packed nodes.
 
 A text is coded as its UTF-8 bytes and one end byte 0xFF, after ORDER start bytes 0xFF (no UTF-8 text holds that byte).
 Node counts come from the training texts. A byte s after context c (longest first) costs
 
 * in c with count n(s), total T and q distinct bytes, after leaving out the bytes seen in the longer context (symbol
-  exclusion): n(s) / (T' + q'), T' and q' without the excluded bytes;
-* an escape q' / (T' + q') where c does not have s, and the search goes on with the next shorter context;
+  exclusion): (n(s) - 1/2) / T', T' without the excluded bytes;
+* an escape q' / (2 T') where c does not have s, and the search goes on with the next shorter context;
 * below order zero every byte not yet excluded is equally likely.
 
 The bytes seen after a context were all seen after each shorter one, so T' and q' depend on the two contexts only and are
 stored with the longer one: coding takes one table look-up per order tried, on whole arrays.
+
+``adapted`` then lets the document itself speak: contexts of OWN_ORDER bytes that it has shown before give a byte seen n
+of T times, with q distinct bytes, (n - 1/2 + (q/2 + 1) p) / (T + 1), where p is the trie's probability, which takes
+what the document's own counts leave to other bytes. Both are probabilities over all bytes.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 ORDER = 5
+OWN_ORDER = 6
 END = 0xFF
 
 
@@ -75,7 +81,6 @@ class HashIndex:
             rest = np.ones(len(left), bool)
             rest[np.nonzero(free)[0][won]] = False
             left, slot = left[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
-        self.probes = 1 << self.bits
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -114,12 +119,12 @@ class Model:
             q = np.diff(np.append(first, len(keys)))
             contexts.append((ctx[first], total, q, first))
             self.index.append(HashIndex(keys))
-            own = np.repeat(np.log10(total + q), q)
-            self.node.append((np.log10(n) - own).astype(np.float32))
+            own = np.repeat(np.log10(total), q)
+            self.node.append((np.log10(n - 0.5) - own).astype(np.float32))
         #: For each context: cost of an escape from it when it is the longest, of one after the next longer context, and
         #: the denominator there.
         self.context = [HashIndex(c[0]) for c in contexts]
-        self.escape = [(np.log10(c[2]) - np.log10(c[1] + c[2])).astype(np.float32) for c in contexts]
+        self.escape = [(np.log10(c[2]) - np.log10(2.0 * c[1])).astype(np.float32) for c in contexts]
         self.counts = [n for _, n in levels]
         self.cut = []
         for k in range(self.order + 1):
@@ -135,7 +140,7 @@ class Model:
             excluded = np.add.reduceat(seen, first) if len(first) else seen
             lower_ctx = self.context[k - 1](ctx & ((1 << 8 * (k - 1)) - 1))
             total, types = contexts[k - 1][1][lower_ctx] - excluded, contexts[k - 1][2][lower_ctx] - q
-            self.cut.append(((total + types).astype(np.float64), types.astype(np.float64)))
+            self.cut.append((total.astype(np.float64), types.astype(np.float64)))
 
     def code(self, keys: np.ndarray) -> np.ndarray:
         """Log10 probability of each packed (context, byte)."""
@@ -150,7 +155,7 @@ class Model:
             cost = self.node[k][at[hit]].astype(np.float64)
             if k < self.order:
                 after = a >= 0
-                cost[after] = np.log10(self.counts[k][at[hit][after]]) - np.log10(self.cut[k + 1][0][a[after]])
+                cost[after] = np.log10(self.counts[k][at[hit][after]] - 0.5) - np.log10(self.cut[k + 1][0][a[after]])
             out[i] += cost
             left, above, own = left[~hit], above[~hit], own[~hit]
             if not len(left):
@@ -164,9 +169,44 @@ class Model:
                 den, types = self.cut[k + 1][0][above[after]], self.cut[k + 1][1][above[after]]
                 step = np.zeros(len(den))
                 some = types > 0  # none: all bytes of the context are excluded, so nothing is coded in it
-                step[some] = np.log10(types[some]) - np.log10(den[some])
+                step[some] = np.log10(types[some]) - np.log10(2 * den[some])
                 out[left[after]] += step
             above = np.where(known, ctx, above if k == self.order else -1)
         base = np.where(above >= 0, np.log10(self.cut[0][0][np.maximum(above, 0)]) if len(self.cut[0][0]) else 0.0, np.log10(256.0))
         out[left] -= base
         return out
+
+
+def ranks(groups: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many earlier places have the same group, for places sorted by group (order)."""
+    ranked = groups[order]
+    first = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(order) else np.empty(0, bool)
+    start = np.nonzero(first)[0]
+    out = np.empty(len(groups), np.int64)
+    out[order] = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    return out
+
+
+def adapted(texts: list[bytes], owner: np.ndarray, log10p: np.ndarray) -> np.ndarray:
+    """log10p of all coded bytes of the texts (owner: the text of each), after the document's own counts."""
+    keys, _, _ = spread(texts, OWN_ORDER)
+    context = ((keys >> 8) & ((1 << 8 * OWN_ORDER) - 1)) * 0x9E3779B97F4A7 ^ owner * 0x1C3DFD2A2F0F1
+    code = pd.factorize(context)[0]
+    at = np.nonzero(np.bincount(code)[code] > 1)[0] if len(code) else code  # contexts the text shows once say nothing
+    if not len(at):
+        return log10p
+    code, symbol = code[at], (keys[at] & 0xFF)
+    both = pd.factorize(code.astype(np.int64) << 8 | symbol)[0]
+    order = np.argsort(code, kind="stable")
+    seen, same = ranks(code, order), ranks(both, np.argsort(both, kind="stable"))
+    new = (same == 0)[order]
+    types = np.empty(len(at), np.int64)
+    before = np.cumsum(new) - new  # distinct bytes so far, over all contexts; less those of contexts before
+    start = np.nonzero(seen[order] == 0)[0]
+    types[order] = before - np.repeat(before[start], np.diff(np.append(start, len(order))))
+    heard = seen > 0
+    at, seen, same, types = at[heard], seen[heard], same[heard], types[heard]
+    p = 10.0 ** log10p[at]
+    out = log10p.copy()
+    out[at] = np.log10((np.maximum(same - 0.5, 0) + (0.5 * types + 1) * p) / (seen + 1))
+    return out

@@ -263,20 +263,53 @@ def test_packing_rounds(spark):
     assert len(bins) <= 1.1 * sum(r.length for r in out) / 2048
 
 
-def test_lm(docs):
+def trie_logs(train, text, order=5, own=6):
+    """Log10 probability of text by counting tries in dictionaries, byte by byte."""
+    trie = collections.defaultdict(collections.Counter)
+    for t in train:
+        t = b"\xff" * order + t + b"\xff"
+        for i in range(order, len(t)):
+            for k in range(order + 1):
+                trie[t[i - k : i]][t[i]] += 1
+    shown = collections.defaultdict(collections.Counter)
+    text, total = b"\xff" * own + text + b"\xff", 0.0
+    for i in range(own, len(text)):
+        gone, p, byte = set(), 1.0, text[i]
+        for k in range(order, -1, -1):
+            left = {x: n for x, n in trie[text[i - k : i]].items() if x not in gone}
+            if not left:
+                continue
+            if byte in left:
+                p *= (left[byte] - 0.5) / sum(left.values())
+                break
+            p *= len(left) / (2 * sum(left.values()))
+            gone |= set(left)
+        else:
+            p /= 256 - len(gone)
+        have = shown[text[i - own : i]]
+        if have:
+            p = (max(have[byte] - 0.5, 0) + (len(have) / 2 + 1) * p) / (sum(have.values()) + 1)
+        have[byte] += 1
+        total += math.log10(p)
+    return total
+
+
+@pytest.mark.parametrize("block", [12_000_000, 900])
+def test_lm(docs, monkeypatch, block):
     rows = odd_rows()
     train = [(r[1] or "").encode() for r in rows if not lm_scoring.held_out(r[0])]
     c = collections.Counter(w for t in train for w in [*t.lower().split(), "end"])
     n, v = sum(c.values()), len(c)
-    model = ppm.Model(ppm.lower_orders(*ppm.count(ppm.spread(train)[0]), ppm.ORDER))
     want = collections.Counter()
     for r in rows:
         w = [*(r[1] or "").encode().lower().split(), "end"]
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)
-        want[r[0], lm_scoring.held_out(r[0]), len(w), sum(c[x] > 0 for x in w), n, round(base, 6), round(float(model.code(ppm.spread([(r[1] or "").encode()])[0]).sum()), 6)] += 1
-    got = collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm_scoring.score(docs).collect())
+        want[r[0], lm_scoring.held_out(r[0]), len(w), sum(c[x] > 0 for x in w), n, round(base, 6), round(trie_logs(train, (r[1] or "").encode()), 1)] += 1
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", block)
+    got = collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 1)) for r in lm_scoring.score(docs).collect())
     assert got == want
     assert lm_scoring.score(docs.limit(0)).count() == 0
+    assert all(r.train_tokens == 0 for r in lm_scoring.score(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")).collect())
 
 
 def test_ppm_sums_to_one():
