@@ -1,16 +1,21 @@
 """Media columns (operator 1): Ogg bitstreams in binary columns.
 
-``mux`` writes payload bytes as 8-bit unsigned PCM (1 channel, 8000 Hz) into two interleaved logical streams of one
-physical Ogg bitstream; ``demux`` reads any Ogg bitstream: it verifies every page checksum, reassembles packets from
-lacing values (packets may span pages), separates the logical streams by serial number, and derives packet timestamps
-from granule positions. ``packets`` explodes a media column into packet rows.
+``mux`` writes payload bytes as 8-bit unsigned PCM at 8000 Hz into two interleaved logical streams of one physical Ogg
+bitstream, as left and right channels: even bytes in the first, odd ones in the second, in packets of different lengths,
+so that pages hold several packets and long packets span pages. ``demux`` reads any Ogg bitstream: it verifies every page
+checksum, reassembles packets from lacing values, separates the logical streams by serial number, and derives packet
+timestamps: a page's granule position is the end of the last packet that ends on it, and those before it are counted back
+by their lengths. ``packets`` explodes a media column into packet rows.
 
 Page checksums use the unreflected polynomial 0x04C11DB7; they are computed with zlib on bit-reversed bytes, so the cost
 is that of two passes in C, not of a Python loop.
 
 Defined cases: null text counts as empty, and an empty payload is padded to 64 zero bytes; a null media value gives no
-packets; a damaged page raises OggError in ``demux`` and gives an error string in ``packets``; equal texts give equal
-bytes; memory holds one text and its media form at a time within a batch.
+packets; a damaged page raises OggError in ``demux`` and gives an error string in ``packets``; a page whose granule
+position does not fit its packets (one without a packet's end that has a position, or the reverse) is damaged; streams
+that are no PCM have a time only where a page ends; equal texts give equal bytes; very long texts are stored whole; memory
+holds one text and its media form at a time within a batch; repeated rows give repeated results; an empty table gives an
+empty result; ``store`` and ``packets`` read their own columns by place, so no other column's name can clash with theirs.
 """
 
 from __future__ import annotations
@@ -27,7 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from feedweave.llm.common import documents
 
 RATE = 8000
-PACKET = 4000  # samples a packet: half a second
+#: Samples a packet, in turn: several short packets share a page, the longest spans pages (65,025 bytes at most each).
+PACKETS = (200, 700, 3000, 66_000)
+PCM_NAME = b"PCM     "
 PAGE_SEGMENTS = 255
 BLOCK = 64
 CAPTURE = b"OggS"
@@ -58,49 +65,90 @@ def _page(flags: int, granule: int, serial: int, number: int, lacing: bytes, bod
 
 
 class _Writer:
-    """One logical stream: packets in, pages out."""
+    """One logical stream: packets in, pages out as they fill."""
 
     def __init__(self, serial: int) -> None:
         self.serial, self.number = serial, 0
-
-    def pages(self, packet: bytes, granule: int, *, first: bool = False, last: bool = False) -> Iterator[bytes]:
-        lacing = b"\xff" * (len(packet) // 255) + bytes([len(packet) % 255])
-        at = 0
-        for k in range(0, len(lacing), PAGE_SEGMENTS):
-            part = lacing[k : k + PAGE_SEGMENTS]
-            n, done = sum(part), k + PAGE_SEGMENTS >= len(lacing)
-            flags = (1 if k else 0) | (2 if first and not k else 0) | (4 if last and done else 0)
-            yield _page(flags, granule if done else -1, self.serial, self.number, part, packet[at : at + n])
-            self.number += 1
-            at += n
-
-
-def mux(payload: bytes, rate: int = RATE, packet: int = PACKET) -> bytes:
-    """Samples dealt to two logical streams packet by packet; granule positions are sample ends on the common clock."""
-    streams = [_Writer(1), _Writer(2)]
+        self.lacing, self.body, self.granule, self.open = bytearray(), bytearray(), -1, False
+
+    def page(self, flags: int = 0) -> bytes:
+        """What has gathered, as one page."""
+        out = _page((1 if self.open else 0) | (2 if not self.number else 0) | flags, self.granule, self.serial, self.number, bytes(self.lacing), bytes(self.body))
+        self.number += 1
+        self.open = bool(self.lacing) and self.lacing[-1] == 255
+        self.lacing, self.body, self.granule = bytearray(), bytearray(), -1
+        return out
+
+    def pages(self, packet: bytes, granule: int, *, flush: bool = False, last: bool = False) -> Iterator[bytes]:
+        """The pages that a packet which ends at granule fills; with flush or last also the one it ends on."""
+        lacing, at, done = b"\xff" * (len(packet) // 255) + bytes([len(packet) % 255]), 0, 0
+        while done < len(lacing):
+            if len(self.lacing) == PAGE_SEGMENTS:
+                yield self.page()
+            part = lacing[done : done + PAGE_SEGMENTS - len(self.lacing)]
+            n = sum(part)
+            self.lacing += part
+            self.body += packet[at : at + n]
+            done, at = done + len(part), at + n
+        self.granule = granule
+        if flush or last:
+            yield self.page(4 if last else 0)
+
+
+def mux(payload: bytes, rate: int = RATE, packets: tuple[int, ...] = PACKETS) -> bytes:
+    """Even and odd samples in two logical streams on one clock, their pages by time; granule positions are sample ends."""
     out: list[bytes] = []
-    for s in streams:
-        out += s.pages(PCM_HEAD.pack(b"PCM     ", 0, 0, 1, rate, 8, 1, 1, 0), 0, first=True)
-    cuts = [payload[i : i + packet] for i in range(0, len(payload), packet)]
-    ends = {k % 2: k for k in range(len(cuts))}
-    at = 0
-    for k, cut in enumerate(cuts):
-        at += len(cut)
-        out += streams[k % 2].pages(cut, at, last=ends[k % 2] == k)
-    for side in (0, 1):
-        if side not in ends:  # a stream without data ends with an empty packet
-            out += streams[side].pages(b"", 0, last=True)
-    return b"".join(out)
+    timed: list[tuple[int, int, list[bytes]]] = []
+    writers = [_Writer(1), _Writer(2)]
+    for w in writers:
+        out += w.pages(PCM_HEAD.pack(PCM_NAME, 0, 0, 1, rate, 8, 1, 1, 0), 0, flush=True)
+    for side, w in enumerate(writers):
+        samples, at, k = payload[side::2], 0, 0
+        while True:
+            cut = samples[at : at + packets[k % len(packets)]]
+            at, k = at + len(cut), k + 1
+            timed.append((at, side, list(w.pages(cut, at, last=at == len(samples)))))
+            if at == len(samples):
+                break
+    timed.sort(key=lambda x: x[:2])
+    return b"".join([*out, *(p for _, _, pages in timed for p in pages)])
 
 
 @dataclass
 class Stream:
     serial: int
     packets: list[bytes] = field(default_factory=list)
-    granules: list[int] = field(default_factory=list)  # -1: the packet does not end its page
+    ends: list[int] = field(default_factory=list)  # granule position of each packet's end; -1: not known
+    page_ends: list[tuple[int, int]] = field(default_factory=list)  # packets that had ended with a page, its granule position
     pages: int = 0
     ended: bool = False
 
+    @property
+    def pcm(self) -> bool:
+        return bool(self.packets) and self.packets[0][:8] == PCM_NAME
+
+
+def _timed(s: Stream) -> None:
+    """Ends of all packets, from those of pages."""
+    s.ends = [-1] * len(s.packets)
+    first, before = 0, 0
+    for k, (end, granule) in enumerate(s.page_ends):
+        s.ends[end - 1] = granule
+        if s.pcm:
+            at = granule
+            for i in range(end - 2, first - 1, -1):
+                at -= len(s.packets[i + 1]) if i + 1 else 0
+                s.ends[i] = at
+            start = at - (len(s.packets[first]) if first else 0)
+            if k and start != before:
+                if start > before or k + 1 < len(s.page_ends):
+                    raise OggError(f"stream {s.serial} has a gap or overlap at sample {before}")
+                at = before  # the last page may cut its samples short: count forward
+                for i in range(first, end - 1):
+                    at += len(s.packets[i])
+                    s.ends[i] = min(at, granule)
+        first, before = end, granule
+
 
 def demux(data: bytes) -> dict[int, Stream]:
     """All logical streams by serial number, in order of appearance."""
@@ -124,44 +172,54 @@ def demux(data: bytes) -> dict[int, Stream]:
         if number != s.pages or s.ended or (flags & 1 > 0) != bool(parts):
             raise OggError(f"page {number} of stream {serial} is out of sequence")
         s.pages += 1
-        pos = at + 27 + n_seg
+        pos, had = at + 27 + n_seg, len(s.packets)
         for x in lacing:
             parts.append(view[pos : pos + x])
             pos += x
             if x < 255:
                 s.packets.append(b"".join(parts))
-                s.granules.append(-1)
                 parts.clear()
-        if granule >= 0 and s.granules:
-            s.granules[-1] = granule
+        if (granule >= 0) != (len(s.packets) > had):
+            raise OggError(f"page {number} of stream {serial}: its granule position does not fit its packets")
+        if granule >= 0:
+            s.page_ends.append((len(s.packets), granule))
         s.ended = bool(flags & 4)
         at = end
     if any(open_.values()) or not all(s.ended for s in streams.values()):
         raise OggError("a stream is cut off")
+    for s in streams.values():
+        _timed(s)
     return streams
 
 
+def samples_of(s: Stream) -> bytes:
+    """A PCM stream's samples, each packet at its time; the last may be cut short."""
+    out = bytearray()
+    for p, end in zip(s.packets[1:], s.ends[1:], strict=True):
+        start = len(out)
+        if end < start or end > start + len(p):
+            raise OggError(f"stream {s.serial} has a gap or overlap at sample {start}")
+        out += p[: end - start]
+    return bytes(out)
+
+
 def read_pcm(data: bytes) -> tuple[bytes, int, dict[int, Stream]]:
-    """Samples of all PCM streams merged by time, and the rate. A packet begins where its samples end minus their number."""
+    """The samples of both channels merged by time, the rate, and the streams."""
     streams = demux(data)
-    timed, rate = [], RATE
-    for s in streams.values():
-        name, _, _, _, rate, *_ = PCM_HEAD.unpack_from(s.packets[0])
-        if name != b"PCM     ":
-            raise OggError("no PCM header")
-        timed += [(g - len(p), p) for p, g in zip(s.packets[1:], s.granules[1:], strict=True) if p]
-    timed.sort(key=lambda x: x[0])
-    at = 0
-    for start, p in timed:
-        if start != at:
-            raise OggError(f"gap at sample {at}")
-        at += len(p)
-    return b"".join(p for _, p in timed), rate, streams
+    if len(streams) != 2 or not all(s.pcm for s in streams.values()):
+        raise OggError("two PCM channels are expected")
+    left, right = (samples_of(s) for s in streams.values())
+    if len(left) != len(right):
+        raise OggError("the channels differ in length")
+    out = bytearray(2 * len(left))
+    out[::2], out[1::2] = left, right
+    rate = PCM_HEAD.unpack_from(next(iter(streams.values())).packets[0])[4]
+    return bytes(out), rate, streams
 
 
 def features(samples: bytes, rate: int, streams: dict[int, Stream]) -> str:
     """Stream and page counts, length in microseconds from the last granule position, mean level."""
-    last = max(g for s in streams.values() for g in s.granules)
+    last = max(g for s in streams.values() for g in s.ends)
     n_packets, n_pages = sum(len(s.packets) for s in streams.values()), sum(s.pages for s in streams.values())
     levels = sum(samples) / max(1, len(samples))
     return f"streams={len(streams)};pages={n_pages};packets={n_packets};us={last * 1_000_000 // rate};level={levels:.3f}"
@@ -180,7 +238,7 @@ def packets(df: DataFrame, media_col: str, key_col: str, rate: int = RATE) -> Da
                 rows, error = [], None
                 try:
                     for s in demux(media).values() if media is not None else ():
-                        rows += [(s.serial, i, g, g / rate if g >= 0 else None, p, None) for i, (p, g) in enumerate(zip(s.packets, s.granules, strict=True))]
+                        rows += [(s.serial, i, g, g / rate if g >= 0 else None, p, None) for i, (p, g) in enumerate(zip(s.packets, s.ends, strict=True))]
                 except OggError as e:
                     error = str(e)
                 if error:
