@@ -35,26 +35,37 @@ def uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / float(1 << 53)
 
 
+def ranked_sources(per: DataFrame) -> DataFrame:
+    """per (a row per source) plus _i, the source's place from 0 by code point, null last: ranges of sources are sorted and
+    each range's places start after the counts of those before."""
+    order = F.col("_s").asc_nulls_last()
+    ranged = per.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = materialize(ranged, "sources").withColumn("_range", F.shiftright("_id", 33))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("n")).withColumn("_all", F.lit(0))  # a row per task
+    before = Window.partitionBy("_all").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(counts.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "ranges")
+    return ranged.join(starts, "_range").select(*per.columns, (F.col("start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).alias("_i"))
+
+
 def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """_s, source_size, target: share of all words dealt by weight, capped at most times the source, the excess reshared.
 
-    Capped sources are those of the smallest cap per weight; running sums over the sources (one row each) find the water
-    level at which the caps hold.
+    All uncapped sources get the same level times their weight. The level starts as if none were capped; sources that it
+    fills are capped and the rest is dealt again, until none is above: each round is one sum over the sources.
     """
     per = sized.groupBy("_s").agg(F.sum("_n").alias("source_size"))
-    order = Window.orderBy(F.col("_s").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.row_number().over(order) - 1) % len(weights) + 1)
-    per = per.withColumn("_w", w).withColumn("_cap", F.col("source_size") * float(most))
-    by_level = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("_s").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    all_ = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).partitionBy()
-    total = F.sum("source_size").over(all_) * float(share)
-    level = (total - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / (F.sum("_w").over(all_) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
-    per = per.withColumn("_level", level)
-    # caps hold up to the first source that its level does not fill; from there all share that level
-    open_ = F.col("_cap") > F.col("_level") * F.col("_w")
-    final = F.min(F.when(open_, F.struct((F.col("_cap") / F.col("_w")).alias("r"), F.col("_level").alias("l")))).over(all_)["l"]
-    target = F.least(F.col("_cap"), F.coalesce(final * F.col("_w"), F.col("_cap")))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.col("_i").cast("int") % len(weights) + 1)
+    per = ranked_sources(per).withColumn("_w", w).withColumn("_cap", F.col("source_size") * float(most))
+    per = materialize(per.select("_s", "source_size", "_w", "_cap"), "weights")
+    whole = per.agg(F.sum("source_size")).first()[0] or 0
+    level, full = 0.0, -1
+    while True:
+        over = F.col("_cap") <= F.lit(level) * F.col("_w") if full >= 0 else F.lit(False)
+        got = per.agg(F.count(F.when(over, 1)), F.sum(F.when(over, F.col("_cap"))), F.sum(F.when(~over, F.col("_w")))).first()
+        if got[0] == full or not got[2]:
+            break
+        full, level = got[0], (float(share) * whole - (got[1] or 0.0)) / got[2]
+    target = F.least(F.col("_cap"), F.lit(level) * F.col("_w")) if got[2] else F.col("_cap")
     return per.select("_s", "source_size", target.alias("target"))
 
 
