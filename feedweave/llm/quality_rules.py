@@ -5,21 +5,23 @@ conjunctions for the rejected class on labelled statistics (one conjunction afte
 the set), and ``verdict`` turns the list into one ``CASE WHEN`` expression, so applying it stays inside codegen and needs
 no shuffle.
 
-Defined cases: null text counts as empty (no words, so base_failed); null doc_id is kept as a row; documents with no
-label do not take part in learning; an empty label table or one class only gives an empty list (all kept); repeated rows
-give repeated results; labels that repeat a document count once per row. Only the columns doc_id and text are read, so
-extra columns, clashing names included, pass untouched through ``annotate``.
+Defined cases: null text counts as empty (no words, so base_failed); null doc_id is kept as a row; very long texts are
+read whole; documents with no label do not take part in learning; an empty label table or one class only gives an empty
+list (all kept); an empty table gives an empty result; repeated rows give repeated results; labels that repeat a document
+count once per row; ids may be numbers or texts. ``annotate`` passes all other columns through, whatever their names; a
+column named like one of its results is replaced by it.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import WS_CHARS, documents, let, whole_text, words_of
+from feedweave.llm.common import WS_CHARS, documents, let, plain_names, whole_text, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Bounded sample of labelled rows used for learning (the smallest by a hash of their id).
@@ -192,19 +194,25 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[Ru
     return learn(rows)
 
 
-def hash_order(x: int) -> int:
+def hash_order(x: int | str) -> int:
     """A fixed mixing of ids, so that growing and pruning rows alternate without regard to id order."""
+    x = x if isinstance(x, int) else zlib.crc32(str(x).encode())
     return (x * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) ^ (x >> 7)
 
 
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def annotate(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """docs plus the statistics, base_failed and kept."""
-    df = text_statistics(docs)
+    names = docs.columns
+    plain = plain_names(names, ("doc_id", "text"))
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    return df.withColumns({"base_failed": failed, "kept": ~failed & verdict(rules)}).drop("_f")
+    df = text_statistics(docs.toDF(*plain)).withColumns({"base_failed": failed, "kept": ~failed & verdict(rules)})
+    return df.select(*[F.col(p).alias(x) for p, x in zip(plain, names, strict=True) if x not in RESULTS], *RESULTS)
 
 
-OUT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+OUT = ("doc_id", *RESULTS)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
