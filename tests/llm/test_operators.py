@@ -323,16 +323,21 @@ def test_ppm_sums_to_one():
 
 
 def test_ogg():
-    for payload in (b"\0" * 64, bytes(range(256)) * 300, b"x" * 64000):
+    for payload in (b"\0" * 64, bytes(range(256)) * 300, b"x" * 64000, bytes(np.random.default_rng(0).integers(0, 256, 400_000, dtype=np.uint8))):
         media = ogg_media.mux(payload)
         got, rate, streams = ogg_media.read_pcm(media)
         assert (got, rate, len(streams)) == (payload, 8000, 2)
+        for s in streams.values():
+            sizes = [0, *map(len, s.packets[1:])]
+            assert s.ends == np.cumsum(sizes).tolist()
         bad = bytearray(media)
         bad[len(media) // 2] ^= 1
         with pytest.raises(ogg_media.OggError):
             ogg_media.demux(bytes(bad))
         with pytest.raises(ogg_media.OggError):
             ogg_media.demux(media[:-3])
+    long = streams[1]
+    assert max(map(len, long.packets)) > 65_025 and long.pages < len(long.packets) * 2 and len(long.page_ends) < len(long.packets)
     crc = 0
     for b in b"OggS-check":
         crc ^= b << 24
@@ -340,29 +345,49 @@ def test_ogg():
             crc = (crc << 1 ^ 0x04C11DB7 if crc >> 31 else crc << 1) & 0xFFFFFFFF
     assert ogg_media.page_crc(b"OggS-check") == crc
     long = ogg_media._Writer(9)
-    data = b"".join([*long.pages(b"h", 0, first=True), *long.pages(b"y" * 70000, 5, last=True)])
+    data = b"".join([*long.pages(b"h", 0, flush=True), *long.pages(b"y" * 70000, 5, last=True)])
     assert [len(p) for p in ogg_media.demux(data)[9].packets] == [1, 70000]
+    with pytest.raises(ogg_media.OggError):  # a position, but no packet ends
+        ogg_media.demux(ogg_media._page(2, 7, 3, 0, b"\xff", b"a" * 255) + ogg_media._page(5, 7, 3, 1, b"\1", b"b"))
 
 
-def test_ogg_rows(docs):
+def test_ogg_counts_back_within_a_page():
+    head = ogg_media.PCM_HEAD.pack(b"PCM     ", 0, 0, 1, 8000, 8, 1, 1, 0)
+    pages = [ogg_media._page(2, 0, 4, 0, bytes([len(head)]), head), ogg_media._page(0, 30, 4, 1, bytes([10, 20]), b"a" * 30), ogg_media._page(4, 75, 4, 2, bytes([40, 10]), b"b" * 50)]
+    s = ogg_media.demux(b"".join(pages))[4]
+    assert s.ends == [0, 10, 30, 70, 75] and len(ogg_media.samples_of(s)) == 75  # the last page cuts five samples
+
+
+def test_ogg_rows(spark, docs):
     rows = docs.select("doc_id", "text").mapInArrow(ogg_media._digest, ogg_media.OUT_DDL).collect()
-    for r, src in zip(sorted(rows, key=str), sorted(rows, key=str), strict=True):
-        assert r.payload_bytes % 64 == 0 and r.payload_bytes >= 64 and r == src
-    null = next(r for r in rows if r.doc_id == 1)
-    assert null.payload_sha256 == hashlib.sha256(bytes(64)).hexdigest()
+    want = collections.Counter()
+    for i, text, *_ in odd_rows():
+        raw = (text or "").encode()
+        payload = raw + b"\0" * ((-len(raw)) % 64) if raw else bytes(64)
+        media = ogg_media.mux(payload)
+        want[i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest()] += 1
+    assert collections.Counter(tuple(r)[:7] for r in rows) == want
+    assert docs.limit(0).select("doc_id", "text").mapInArrow(ogg_media._digest, ogg_media.OUT_DDL).count() == 0
     media = ogg_media.store(docs.select("doc_id", "text"))
-    assert ogg_media.packets(media, "media", "doc_id").where("error is null").count() > 0
+    got = ogg_media.packets(media, "media", "doc_id").where("error is null")
+    assert got.where("seconds is null").count() == 0
+    ends = {(r.key, r.serial): r.end for r in got.where("key = 7").groupBy("key", "serial").agg({"granule": "max"}).withColumnRenamed("max(granule)", "end").collect()}
+    size = len(odd_rows()[7][1].encode())
+    assert ends == {(7, k): (size + (-size) % 64) // 2 for k in (1, 2)}
+    broken = spark.createDataFrame([(1, b"nothing"), (2, None)], "id long, m binary")
+    assert [(r.key, r.error) for r in ogg_media.packets(broken, "m", "id").collect()] == [(1, "no page at byte 0")]
 
 
 def test_quality(spark, docs):
-    got = {r.doc_id: r for r in quality_rules.annotate(docs.select("doc_id", "text"), []).collect()}
-    for i, text, *_ in odd_rows():
+    extra = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(20, "# a |b\n# a |b\n$$ <>")], "doc_id long, text string"))
+    got = {r.doc_id: r for r in quality_rules.annotate(extra, []).collect()}
+    for i, text, *_ in [*odd_rows(), (20, "# a |b\n# a |b\n$$ <>")]:
         w = WORDS.findall(text or "")
         lines = [x for x in (text or "").split("\n") if WORDS.search(x)]
         grams = collections.Counter(zip(w, w[1:], w[2:], strict=False))
         hit = {k for p in range(len(w) - 2) if grams[w[p], w[p + 1], w[p + 2]] > 1 for k in (p, p + 1, p + 2)}
         r = got[i]
-        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(hit))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in text or ""), len(lines) - len(set(lines)), len(hit))
         assert r.base_failed == (len(w) < 50 or 100 * len(hit) > 50 * len(w)) and r.kept == (not r.base_failed)
 
 
@@ -377,6 +402,22 @@ def test_decision_list():
     assert quality_rules.learn([r | {"bad": 0} for r in rows]) == []
 
 
+def test_quality_verdict_and_clashes(spark, docs):
+    rules = [quality_rules.Rule([("mean_word", "<=", 4.9)]), quality_rules.Rule([("n_words", ">", 200.0), ("repeat_share", "<=", 0.9)])]
+    df = docs.withColumnRenamed("n_chars", "n_words").withColumnRenamed("s", "_f").withColumnRenamed("rows", "_s")
+    out = quality_rules.annotate(df, rules)
+    assert out.columns == ["doc_id", "text", "lang", "source", "_s", "_f", *quality_rules.RESULTS]
+    for r in out.collect():
+        w = WORDS.findall(r.text or "")
+        mean = sum(map(len, w)) / max(1, len(w))
+        rejected = mean <= 4.9 or (len(w) > 200 and r.n_repeat_words / max(1, len(w)) <= 0.9)
+        assert (r.kept, r._f, r._s) == (not r.base_failed and not rejected, "x", 1)
+    assert quality_rules.annotate(df.limit(0), rules).count() == 0
+    labels = spark.createDataFrame([("a", 0), ("b", 1)], "doc_id string, quality int")
+    texts = spark.createDataFrame([("a", "x " * 60), ("b", "y"), (None, None)], "doc_id string, text string")
+    assert quality_rules.fit(texts, labels) == [] and quality_rules.fit(texts, labels.limit(0)) == []
+
+
 def test_queries_equal_sql(spark):
     c = duckdb.connect()
     for t in ("pages", "documents", "conversations"):
@@ -388,20 +429,83 @@ def test_queries_equal_sql(spark):
         assert sorted(str([r[k] for k in sorted(r)]) for r in (x.asDict() for x in query(spark, SF).collect())) == want
 
 
-def test_urls_and_chat_edges(spark):
-    pages = spark.createDataFrame([(1, None, "h"), (2, "no-scheme", "h"), (3, "http://A.Example.COM/en/7?x", "h"), (4, "x://b.net/de/", "h"), (4, "x://b.net/de/", "h"), (5, "http://notexample.community/en/7", "h")], "page_id long, url string, host string")
-    got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(pages, url_filters.default_rules()).where("page_id <> 1").collect())
-    assert got == [(2, "", "", None, "allow"), (3, "a.example.com", "/en/7", "example.com/en/7", "allow"), (4, "b.net", "/de/", "net/de/", "block"), (4, "b.net", "/de/", "net/de/", "block"), (5, "notexample.community", "/en/7", None, "allow")]
-    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, None, None), (1, 300, "user", "late"), (None, None, "bob", "x"), (2, 0, "system", "only")], "conv_id long, turn long, role string, text string")
-    out = {(r.conv_id, r.part, r.speaker): (r.text, [tuple(m) for m in r.mask]) for r in chat_perspectives.render(turns).collect()}
-    assert out[1, 0, "user"] == ("<|assistant|>\nhi<|end|>\n<|user:unknown|>\n<|end|>\n", [(14, 16)])
-    assert (None, 0, "bob") in out and (1, 1, "unknown") in out and not any(k[0] == 2 for k in out)
+def test_urls(spark):
+    pages = spark.createDataFrame([(1, None, "h"), (2, "no-scheme", "h"), (3, "http://A.Example.COM/en/7?x", "h"), (4, "x://b.net/de/", "h"), (4, "x://b.net/de/", "h"), (5, "http://notexample.community/en/7", "h"), (6, "http://h.com/" + "a/" * 5000 + "login", "h")], "page_id long, url string, host string")
+    out = url_filters.judge(pages, url_filters.default_rules())
+    assert out.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+    got = sorted((r.page_id, r.host, r.path[:20], r.rule, r.verdict) for r in out.collect())
+    assert got == [(1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "a.example.com", "/en/7", "example.com/en/7", "allow"), (4, "b.net", "/de/", "net/de/", "block"), (4, "b.net", "/de/", "net/de/", "block"), (5, "notexample.community", "/en/7", None, "allow"), (6, "h.com", "/a/a/a/a/a/a/a/a/a/a", None, "block")]
+    anywhere = url_filters.UrlRule("digits", "block", "[0-9]$", (), 5)
+    assert {r.page_id: r.rule for r in url_filters.judge(pages, [anywhere]).collect()} == {1: None, 2: None, 3: "digits", 4: None, 5: "digits", 6: None}
+    assert {r.verdict for r in url_filters.judge(pages, []).collect()} == {"allow"}
+    assert url_filters.judge(pages.limit(0), [anywhere]).count() == 0
+
+
+def test_url_rule_files(spark, tmp_path):
+    (tmp_path / "rules.txt").write_text("# a list\nblock com/en/\n\nallow example.com/en/7  # keep\n")
+    assert url_filters.read_rules(spark, str(tmp_path / "rules.txt")) == [url_filters.host_rule("com/en/", "block"), url_filters.host_rule("example.com/en/7", "allow")]
+
+
+def test_chat_renders_whole_dialogues(spark):
+    rows = [(1, k, "ann" if k % 2 else "bob", f"turn {k}") for k in range(600)] + [(1, 3, "ann", "turn 3"), (1, None, None, None), (None, None, "bob", "x"), (2, 0, "system", "only"), (3, 0, "system", "s"), (3, 1, "ann", None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    out = chat_perspectives.render(turns)
+    by = collections.defaultdict(list)
+    for r in out.collect():
+        by[r.conv_id, r.speaker].append(r)
+    assert {k: len(v) for k, v in by.items()} == {(1, "ann"): 3, (1, "bob"): 3, (1, "unknown"): 3, (None, "bob"): 1, (3, "ann"): 1}
+    ordered = sorted(((c, -1 if t is None else t, r or "unknown", x or "") for c, t, r, x in rows if c == 1))
+    for who in ("ann", "bob", "unknown"):
+        text, mask = "", []
+        for _, _, role, said in ordered:
+            text += f"<|{'assistant' if role == who else 'user:' + role}|>\n"
+            if role == who:
+                mask.append((len(text), len(text) + len(said)))
+            text += said + "<|end|>\n"
+        pieces = sorted(by[1, who], key=lambda r: r.part)
+        assert "".join(r.text for r in pieces) == text and [tuple(m) for r in pieces for m in r.mask] == mask
+        assert [r.start for r in pieces] == [0, len(pieces[0].text), len(pieces[0].text) + len(pieces[1].text)]
+    assert {(r.conv_id, r.speaker): r.text for r in chat_perspectives.dialogues(out).collect()}[3, "ann"] == "<|system|>\ns<|end|>\n<|assistant|>\n<|end|>\n"
+    assert chat_perspectives.render(turns.limit(0)).count() == 0
 
 
 def test_license_rules(spark):
-    rows = [(1, "Released under the MIT License."), (2, "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."), (3, None), (4, "")]
-    got = {r.doc_id: r.licenses for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: "MIT", 2: "GPL-3.0-or-later", 3: "", 4: ""}
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."
+    rows = [(1, "Released under the MIT License.", 9), (2, gpl, 9), (3, None, 9), (4, "", 9), (5, gpl + "\n" + gpl, 9), (5, "Licensed under the ISC License. Unknown. Licensed under the ISC License.", 9), (6, "word. " * 20000 + "Licensed under CC0-1.0.", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _ids int")
+    got = [(r.doc_id, r.licenses, r.sentence_ids.count(" ") + 1 if r.sentence_ids else 0) for r in license_scan.scan(df).collect()]
+    assert sorted(got) == [(1, "MIT", 1), (2, "GPL-3.0-or-later", 3), (3, "", 0), (4, "", 0), (5, "GPL-3.0-or-later", 6), (5, "ISC", 2), (6, "CC0-1.0", 1)]
+    assert license_scan.scan(df).columns == ["doc_id", "text", "_ids", "n_sentences", "sentence_ids", "licenses"]
+    assert license_scan.scan(df.limit(0)).count() == 0 and len({v for v, _ in license_scan.RULES}) >= 35
+
+
+def licences(ids):
+    """Rules one after another over a plain list of identifiers."""
+    rest, found = list(ids), []
+    for name, rule in license_scan.RULES:
+        k, hit = 0, False
+        while k + len(rule) <= len(rest):
+            if tuple(rest[k : k + len(rule)]) == rule:
+                rest[k : k + len(rule)] = ["-"]
+                hit = True
+            k += 1
+        if hit and name not in found:
+            found.append(name)
+    return ",".join(found)
+
+
+def test_license_rules_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    known = sorted(license_scan.SENTENCES)
+    rows = []
+    for k in range(120):
+        picked = [known[i] for i in rng.integers(0, len(known), int(rng.integers(0, 12)))]
+        name, rule = license_scan.RULES[int(rng.integers(0, len(license_scan.RULES)))]
+        whole = [next(s for s, v in license_scan.SENTENCES.items() if v == x) for x in rule]
+        rows.append((k, ". ".join([*picked, *whole * int(rng.integers(0, 3)), "no such sentence", *picked[:2]]) + "."))
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        ids = [license_scan.SENTENCES.get(x.strip(" .")) for x in r.text.split(". ")]
+        assert r.licenses == licences([x or "-" for x in ids])
 
 
 def test_pipeline(spark):
