@@ -2,8 +2,9 @@
 
 Texts become pieces of at most CAPACITY tokens. A piece goes to the open sequence for which the sum over residual gaps of
 the squared number of open sequences with that gap becomes smallest (a new sequence is one of the choices; ties: the
-tightest). Pieces are dealt evenly over groups of about GROUP pieces whatever their ids or lengths; each group is packed
-by one task, long pieces first. Its sequences that stay open are then pieces themselves: FAN groups at a time meet in the
+tightest). The squares keep many kinds of gaps for pieces to come; the last pieces of a group, ENDGAME of its tokens, have
+none after them and go to the tightest gap. Pieces are dealt evenly over groups of about GROUP pieces whatever their ids or
+lengths; each group is packed by one task, long pieces first. Its sequences that stay open are then pieces themselves: FAN groups at a time meet in the
 next round, up to one last group, so open ends do not grow with the number of groups.
 
 Memory: one batch of texts while tokenizing, the gap counts and one group's pieces while packing. Defined cases: null
@@ -32,10 +33,12 @@ END = 0
 GROUP = 16_384
 FAN = 64
 BATCH_CHARS = 4_000_000
+ENDGAME = 0.2
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """Bin number and offset of each length, in the order given."""
+def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY, endgame: float = ENDGAME) -> tuple[np.ndarray, np.ndarray]:
+    """Bin number and offset of each length, in the order given; the last endgame of all tokens take the tightest gap."""
+    last = np.cumsum(lengths) > (1 - endgame) * np.sum(lengths)
     counts = np.zeros(capacity + 1, np.int64)  # open bins per gap
     bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     used: list[int] = []
@@ -43,7 +46,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     huge = np.int64(2**62)
     for k, size in enumerate(lengths.tolist()):
         best = None
-        if size < capacity:
+        if size < capacity and last[k]:
+            open_ = np.nonzero(counts[size:capacity])[0]
+            best = int(open_[0]) + size if len(open_) else None
+        elif size < capacity:
             # from gap g to gap g - size: the squares change by 2 (N[g - size] - N[g] + 1), a full bin leaves the sum
             have = counts[size:capacity]
             change = -2 * have + 1
