@@ -250,6 +250,40 @@ def test_packing_numbers_of_large_tasks_do_not_meet(spark):
     assert (r.n, r.deals) == (2_000_200, 2_000_200)
 
 
+def squares(gaps):
+    return sum(n * n for g, n in collections.Counter(gaps).items() if 0 < g < 40)
+
+
+def test_packing_rule_equals_brute_force():
+    rng = np.random.default_rng(6)
+    for t in range(60):
+        lengths = rng.integers(1, 41, int(rng.integers(1, 40)))
+        where, offset = best_fit_packing.sum_of_squares(lengths, 40, 0.0)
+        gaps = []
+        for size, bin_, at in zip(lengths.tolist(), where.tolist(), offset.tolist(), strict=True):
+            choices = {}
+            for g in sorted({x for x in gaps if x >= size}):
+                after = list(gaps)
+                after[after.index(g)] = g - size
+                choices[g] = squares(after)
+            new = squares([*gaps, 40 - size])
+            best = min(choices.values(), default=None)
+            if best is not None and best <= new:
+                want = min(g for g, v in choices.items() if v == best)
+                assert bin_ < len(gaps) and gaps[bin_] == want and at == 40 - want
+                gaps[bin_] -= size
+            else:
+                assert bin_ == len(gaps) and at == 0
+                gaps.append(40 - size)
+        where, _ = best_fit_packing.sum_of_squares(np.sort(lengths)[::-1], 40)
+        assert np.bincount(where, np.sort(lengths)[::-1]).max() <= 40
+
+
+def test_packing_needs_few_sequences(spark):
+    got = best_fit_packing.op5_best_fit_packing(spark, "/root/testdata/sf0.01").selectExpr("count(distinct sequence_id) as n", "ceil(sum(length) / 2048) as least").first()
+    assert got.n <= got.least + 2
+
+
 def test_packing_rounds(spark):
     table = spark.range(3000).selectExpr("id as deal", "1 + pmod(xxhash64(id), 2048) as length")
     out = best_fit_packing.pack(table, 3000, group=20).collect()
@@ -508,9 +542,65 @@ def test_license_rules_equal_brute_force(spark):
         assert r.licenses == licences([x or "-" for x in ids])
 
 
-def test_pipeline(spark):
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    shared = " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 6)) for _ in range(60))
+    rows = [r for r in near_rows()[:24]] + [(100, None, "en", None, 0, 1, "x"), (101, "", "en", "b", 0, 1, "x"), (102, "few words", "en", "b", 0, 1, "x"), (103, "same same same " * 40, "en", "b", 0, 1, "x")]
+    for k in (200, 201):
+        rows.append((k, " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 6)) for _ in range(90)) + " " + shared, "en", "c", 0, 1, "x"))
+    rows += [rows[0], (None, *rows[0][1:]), (None, " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 6)) for _ in range(90)), "en", None, 0, 1, "x")]
+    spark.createDataFrame(rows, DDL).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    outs = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), name)
+        outs.append(docs)
+    for out in outs[:-1]:
+        assert out.columns == [x.split()[0] for x in DDL.split(", ")]
+
+    def passes(text):
+        w = WORDS.findall(text or "")
+        grams = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        hit = {k for p in range(len(w) - 2) if grams[w[p], w[p + 1], w[p + 2]] > 1 for k in (p, p + 1, p + 2)}
+        return len(w) >= 50 and 100 * len(hit) <= 50 * len(w)
+
+    left = [r for r in rows if passes(r[1])]
+    assert collections.Counter(tuple(r) for r in outs[0].collect()) == collections.Counter(left) and 0 < len(left) < len(rows)
+    groups = similar_groups([r[1] for r in left])
+    first = [min((r for r, g in zip(left, groups, strict=True) if g == k), key=lambda r: (r[0] is None, r[0] or 0)) for k in sorted(set(groups))]
+    assert sorted(str(r[0]) for r in outs[1].collect()) == sorted(str(r[0]) for r in first)
+    texts = [r.text for r in outs[1].collect()]
+    want = {t: x for t, x in zip(texts, removed([t.encode() for t in texts]), strict=True)}
+    by_id = {r.doc_id: r.text for r in outs[1].collect()}
+    for r in outs[2].collect():
+        kept = hashlib.sha256(r.text.encode()).hexdigest()
+        assert kept == want[by_id[r.doc_id]][3] and r.n_chars == len(r.text)
+    assert outs[2].count() == sum(x[1] < x[0] for x in want.values())
+    sizes = collections.Counter()
+    for r in outs[2].collect():
+        sizes[r.source] += len(WORDS.findall(r.text))
+    taken, copies = collections.Counter(), collections.Counter()
+    for r in outs[3].collect():
+        taken[r.source] += len(WORDS.findall(r.text))
+        copies[r.doc_id] += 1
+    assert max(copies.values()) <= 2 and all(taken[s] <= 2 * sizes[s] for s in sizes)
+    assert abs(sum(taken.values()) - 1.5 * sum(sizes.values())) <= 300 * len(sizes)
+    bins = collections.defaultdict(list)
+    for r in outs[4].collect():
+        bins[r.sequence_id].append((r.offset, r.length))
+    for v in bins.values():
+        v.sort()
+        assert v[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(v, v[1:], strict=False)) and sum(n for _, n in v) <= 2048
+    assert collections.Counter(r.doc_id for r in outs[4].where("piece = 0").collect()) == copies
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
     import corpus_pipeline
 
-    got = corpus_pipeline.run(spark, SF)
-    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    assert got.count() > 0
+    spark.createDataFrame([], DDL).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() == 0
