@@ -52,6 +52,8 @@ STAR_ROUNDS = 2
 #: Sets of na and nb shingles whose prefixes share c can have the overlap that a similarity of 4/5 takes: one set's prefix
 #: ends first, and only what follows there can add to c.
 ENOUGH = "9 * (c + greatest(na - na div 5 - 1, nb - nb div 5 - 1)) >= 4 * (na + nb)"
+#: Neither set is over 5/4 of the other.
+ALIKE = "5 * least(na, nb) >= 4 * greatest(na, nb)"
 #: The first token that two such sets share, at places pa and pb, has enough behind it in both: a pair passes there.
 IN_TIME = "9 * least(na - pa, nb - pb) >= 4 * (na + nb)"
 
@@ -410,7 +412,9 @@ def verified(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     both = pairs.join(sets.select(F.col("row").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("own").alias("y")), "b")
     both = both.where(5 * F.least(F.size("x"), F.size("y")) >= 4 * F.greatest(F.size("x"), F.size("y")))
     common = F.size(F.array_intersect("x", "y")).cast("long")
-    return both.where(9 * common >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    out = materialize(both.where(9 * common >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "verified")
+    discard(pairs, ids, sets)
+    return out
 
 
 def similar(rows: DataFrame, width: int) -> DataFrame:
@@ -434,21 +438,23 @@ def similar(rows: DataFrame, width: int) -> DataFrame:
     again = materialize(found.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "tokens")
     shared = materialize(found.join(again, "token").join(sets.select("node"), "node", "left_semi").select("token", "node", "n", "p"), "shared")
     discard(found, again)
-    links = materialize(verified(ends.unionByName(equal), rows, width), "verified")
+    links = verified(ends.unionByName(equal), rows, width)
     for salt in range(STAR_ROUNDS + 1):
         roots = components(links)
         placed = materialize(shared.join(roots, "node", "left").select("token", "node", "n", "p", F.coalesce("root", "node").alias("root")), "placed")
         kinds = placed.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots"))
-        open_ = materialize(placed.join(materialize(kinds.where("roots > 1").select("token", F.col("most.root").alias("main")), "kinds"), "token"), "open")
-        discard(placed)
+        kinds = materialize(kinds.where("roots > 1").select("token", F.col("most.root").alias("main")), "kinds")
+        open_ = materialize(placed.join(kinds, "token"), "open")
+        discard(placed, kinds)
         if salt < STAR_ROUNDS:
-            more = verified(stars(open_, salt), rows, width)
-            links = materialize(links.unionByName(more), "verified")
+            links = links.unionByName(verified(stars(open_, salt), rows, width))
+            discard(open_)
     x = open_.where("root <> main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("root").alias("ra"))
     y = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("root").alias("rb"), "main")
-    across = x.join(y, "token").where(f"ra <> rb and (rb = main or a < b) and 5 * least(na, nb) >= 4 * greatest(na, nb) and {IN_TIME}")
+    across = x.join(y, "token").where(f"ra <> rb and (rb = main or a < b) and {ALIKE} and {IN_TIME}")
     across = materialize(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
     links = links.unionByName(verified(promising(across, shared), rows, width))
+    discard(open_, shared, across)
     roots = components(links)
     by_set = sets.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
     return names.join(by_set, ["s1", "s2"]).select("row", "root")
@@ -470,7 +476,7 @@ def stars(open_: DataFrame, salt: int) -> DataFrame:
     hubs = materialize(hubs.select("token", F.explode(F.array_distinct(F.array(*kinds))).alias("hub")).select("token", "hub.*"), "hubs")
     met = open_.join(hubs, "token").where("root <> rb").groupBy("node", "b").agg(F.count("*").alias("c"), F.first("n").alias("na"), F.first("nb").alias("nb"))
     # of the hubs of a document's own prefix
-    best = met.where(ENOUGH).groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), asc=False), 1, STARS).alias("best"))
+    best = met.where(f"{ALIKE} and {ENOUGH}").groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), asc=False), 1, STARS).alias("best"))
     return best.select(F.col("node").alias("a"), F.explode("best.b").alias("b"))
 
 

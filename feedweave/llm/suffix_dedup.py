@@ -212,8 +212,9 @@ def _sorted(cell: int):
     return sort
 
 
-def resolve(found: DataFrame, hot: int = HOT) -> DataFrame:
-    """h1, h2, start, bits: the repeated windows of all cells."""
+def resolve(found: DataFrame, hot: int = HOT) -> tuple[DataFrame, list[DataFrame]]:
+    """h1, h2, start, bits: the repeated windows of all cells; and the tables that they are read from."""
+    tables = []
     schema = "h1 long, h2 long, start int, bits long"
     found = found.withColumn("shift", F.lit(0))
     cell, out = CELL, None
@@ -222,6 +223,7 @@ def resolve(found: DataFrame, hot: int = HOT) -> DataFrame:
         per = materialize(found.groupBy("core", "core2").agg(F.count("*").alias("cells")).where("cells > 1"), "cores")
         shared = materialize(found.join(per, ["core", "core2"]), "shared")
         discard(found)
+        tables += [per, shared]
         few = shared.where(F.col("cells") <= hot) if cell > 1 else shared
         if cell > 1:
             total, large = per.agg(F.sum(F.when(F.col("cells") <= hot, F.col("cells"))), F.max("cells")).first()
@@ -234,7 +236,7 @@ def resolve(found: DataFrame, hot: int = HOT) -> DataFrame:
             large, got = 0, few.select("h1", "h2", "start", F.expr("shiftleft(1L, shift)").alias("bits"))
         out = got if out is None else out.unionByName(got)
         if (large or 0) <= hot:
-            return out
+            return out, tables
         found, cell = halves(shared.where(F.col("cells") > hot).drop("cells"), cell), cell // 2
 
 
@@ -267,7 +269,9 @@ def marked(docs: DataFrame) -> DataFrame:
     # minimizer or piece meets whole in one task. Counts are written first, as a join right on top of an aggregate is
     # not split
     grams = rows.groupBy("gram").agg(F.count("*").alias("grams"), (F.min("piece") < F.max("piece")).alias("differ")).where("grams > 1").drop("grams")
-    again = materialize(rows.join(materialize(grams, "grams"), "gram"), "again")
+    grams = materialize(grams, "grams")
+    again = materialize(rows.join(grams, "gram"), "again")
+    discard(rows, grams)
     first = F.min(F.struct("h1", "h2", "s", "n", "a")).alias("first")
     kinds = materialize(again.groupBy("gram", "piece").agg(F.count("*").alias("same"), F.any_value("differ").alias("differ"), first), "kinds")
     # a piece is compared by cells if its minimizer has other pieces; of equal ones the first stands for all
@@ -276,11 +280,12 @@ def marked(docs: DataFrame) -> DataFrame:
     repeated = again.select("h1", "h2", "gram", "piece", "s", "n").join(kinds.where("same > 1").select("gram", "piece"), ["gram", "piece"]).select("h1", "h2", "s", "n").distinct()
     open_ = materialize(compared.groupBy("h1", "h2").agg(F.collect_list(F.struct("s", "n", "a")).alias("open")), "open")
     once = texts.select("h1", "h2", "text").join(open_, ["h1", "h2"]).groupBy("h1", "h2").agg(F.any_value("text").alias("text"), F.any_value("open").alias("open"))
-    bits = resolve(cell_rows(once))
+    bits, tables = resolve(cell_rows(once))
     bits = bits.groupBy("h1", "h2", "start").agg(F.bit_or("bits").alias("bits"))
     whole = repeated.select("h1", "h2", F.struct(F.col("s").alias("at"), F.col("n").cast("long").alias("v"), F.lit(False).alias("cell")).alias("m"))
     part = bits.select("h1", "h2", F.struct(F.col("start").alias("at"), F.col("bits").alias("v"), F.lit(True).alias("cell")).alias("m"))
     found = materialize(whole.unionByName(part).groupBy("h1", "h2").agg(F.collect_list("m").alias("marks")), "marks")
+    discard(again, kinds, open_, *tables)
     return texts.join(found, ["h1", "h2"], "left")
 
 
