@@ -47,8 +47,8 @@ SKETCH_BITS = 21
 SKETCH_SHIFT = np.uint64(64 - SKETCH_BITS)
 SKETCH_SLICES = 16
 #: Hubs that a set is compared with before the search of all pairs that are left.
-STARS = 3
-STAR_ROUNDS = 2
+STARS = 4
+SALTED = 4
 #: Sets of na and nb shingles whose prefixes share c can have the overlap that a similarity of 4/5 takes: one set's prefix
 #: ends first, and only what follows there can add to c.
 ENOUGH = "9 * (c + greatest(na - na div 5 - 1, nb - nb div 5 - 1)) >= 4 * (na + nb)"
@@ -297,20 +297,19 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     links = materialize(links, "links")
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
-        large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b")
-        large = large.where("a <> b").distinct()
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")), "low")
+        # done when every node with a lesser neighbour has no other: all hang on one root, and no root on another
+        if low.where("m < a and c > 1").isEmpty():
+            discard(low)
+            break
+        large = both.where("b > a").join(low.select("a", F.least("a", "m").alias("m")), "a").select(F.col("m").alias("a"), "b")
         # small-star: each node points its smaller neighbours and itself to the least of them
-        down = materialize(large.select(F.col("b").alias("n"), F.col("a").alias("s")), "star")
+        down = materialize(large.where("a <> b").distinct().select(F.col("b").alias("n"), F.col("a").alias("s")), "star")
         least = materialize(down.groupBy("n").agg(F.min("s").alias("m")), "least")
         small = down.join(least, "n").select(F.col("m").alias("a"), F.explode(F.array("n", "s")).alias("b")).where("a <> b").distinct()
         nxt = materialize(small, "links")
-        # done when every node hangs on one root and no root hangs on another
-        done = nxt.select(F.col("b").alias("n")).groupBy("n").count().where("count > 1").isEmpty() and nxt.select(F.col("a").alias("n")).join(nxt.select(F.col("b").alias("n")), "n", "left_semi").isEmpty()
         discard(links, low, down, least)
         links = nxt
-        if done:
-            break
     else:
         raise RuntimeError("components did not settle")
     return links.select(F.col("b").alias("node"), F.col("a").alias("root"))
@@ -438,17 +437,13 @@ def similar(rows: DataFrame, width: int) -> DataFrame:
     again = materialize(found.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "tokens")
     shared = materialize(found.join(again, "token").join(sets.select("node"), "node", "left_semi").select("token", "node", "n", "p"), "shared")
     discard(found, again)
-    links = verified(ends.unionByName(equal), rows, width)
-    for salt in range(STAR_ROUNDS + 1):
-        roots = components(links)
-        placed = materialize(shared.join(roots, "node", "left").select("token", "node", "n", "p", F.coalesce("root", "node").alias("root")), "placed")
-        kinds = placed.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots"))
-        kinds = materialize(kinds.where("roots > 1").select("token", F.col("most.root").alias("main")), "kinds")
-        open_ = materialize(placed.join(kinds, "token"), "open")
-        discard(placed, kinds)
-        if salt < STAR_ROUNDS:
-            links = links.unionByName(verified(stars(open_, salt), rows, width))
-            discard(open_)
+    links = verified(ends.unionByName(equal).unionByName(stars(shared)), rows, width)
+    roots = components(links)
+    placed = materialize(shared.join(roots, "node", "left").select("token", "node", "n", "p", F.coalesce("root", "node").alias("root")), "placed")
+    kinds = placed.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots"))
+    kinds = materialize(kinds.where("roots > 1").select("token", F.col("most.root").alias("main")), "kinds")
+    open_ = materialize(placed.join(kinds, "token"), "open")
+    discard(placed, kinds)
     x = open_.where("root <> main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("root").alias("ra"))
     y = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("root").alias("rb"), "main")
     across = x.join(y, "token").where(f"ra <> rb and (rb = main or a < b) and {ALIKE} and {IN_TIME}")
@@ -460,21 +455,18 @@ def similar(rows: DataFrame, width: int) -> DataFrame:
     return names.join(by_set, ["s1", "s2"]).select("row", "root")
 
 
-def stars(open_: DataFrame, salt: int) -> DataFrame:
-    """Pairs a, b of components that share tokens (open_: token, node, n, p, root, main): each node with at most STARS hubs.
+def stars(shared: DataFrame) -> DataFrame:
+    """Pairs a, b that share tokens (shared: token, node, n, p): each node with at most STARS hubs.
 
-    Hubs of a token are at first the set in which it is rarest of all, a document near the middle of its group, and the
-    smallest one; in later rounds two sets of its largest component, picked by a salted hash.
+    Hubs of a token are the set in which it is rarest of all, a document near the middle of its group, the smallest one,
+    and some that salted hashes pick.
     """
-    if salt:
-        open_hubs = open_.where("root = main")
-        first = [F.struct(F.xxhash64("node", F.lit(2 * salt + k)).alias("k"), "node", "n", "root") for k in (0, 1)]
-    else:
-        open_hubs, first = open_, [F.struct("p", "node", "n", "root"), F.struct("n", "node", "root")]
-    hubs = open_hubs.groupBy("token").agg(F.min(first[0]).alias("u"), F.min(first[1]).alias("v"))
-    kinds = [F.struct(F.col(f"{x}.node").alias("b"), F.col(f"{x}.n").alias("nb"), F.col(f"{x}.root").alias("rb")) for x in "uv"]
+    first = {"u": F.struct("p", "node", "n"), "v": F.struct("n", "node")}
+    first |= {f"w{k}": F.struct(F.xxhash64("node", F.lit(k)).alias("k"), "node", "n") for k in range(SALTED)}
+    hubs = shared.groupBy("token").agg(*[F.min(x).alias(k) for k, x in first.items()])
+    kinds = [F.struct(F.col(f"{x}.node").alias("b"), F.col(f"{x}.n").alias("nb")) for x in first]
     hubs = materialize(hubs.select("token", F.explode(F.array_distinct(F.array(*kinds))).alias("hub")).select("token", "hub.*"), "hubs")
-    met = open_.join(hubs, "token").where("root <> rb").groupBy("node", "b").agg(F.count("*").alias("c"), F.first("n").alias("na"), F.first("nb").alias("nb"))
+    met = shared.join(hubs, "token").where("node <> b").groupBy("node", "b").agg(F.count("*").alias("c"), F.first("n").alias("na"), F.first("nb").alias("nb"))
     # of the hubs of a document's own prefix
     best = met.where(f"{ALIKE} and {ENOUGH}").groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), asc=False), 1, STARS).alias("best"))
     return best.select(F.col("node").alias("a"), F.explode("best.b").alias("b"))
