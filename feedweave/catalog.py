@@ -537,7 +537,7 @@ def archive_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.when(even, F.concat(F.lit("https://x.example/blog/"), F.date_format("o_orderdate", "yyyy/MM/dd"), F.lit("/page/"), (F.col("o_custkey") + 1).cast("string"))).otherwise("https://x.example/category/a")
     scope = followups.archive_scope(F.when(even, "date").otherwise(F.concat(F.lit("archive category category-"), "o_custkey")), url)
     q = F.col("scope.query")
-    return o.select("o_orderkey", scope.alias("scope")).select("o_orderkey", F.col("scope.reason").alias("reason"), *[q[k].alias(a) for k, a in (("after", "after"), ("before", "before"), ("page", "page"), ("categories", "category"))])
+    return o.select("o_orderkey", F.explode(F.array(scope)).alias("scope")).select("o_orderkey", F.col("scope.reason").alias("reason"), *[q[k].alias(a) for k, a in (("after", "after"), ("before", "before"), ("page", "page"), ("categories", "category"))])
 
 
 @query("posts_endpoints", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'https://x.example/wp-json/wp/v2/posts?page=' || p_size ELSE 'https://x.example/?rest_route=%2Fwp%2Fv2%2Fposts&lang=en&page=' || p_size END AS url FROM part")

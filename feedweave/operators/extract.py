@@ -5,6 +5,7 @@ from __future__ import annotations
 import mimetypes
 import re
 import zlib
+from datetime import datetime, timezone
 
 from feedweave.dom import css
 from feedweave.dom.text import collapse, eligible_link, visible_text
@@ -164,11 +165,20 @@ def categories_of(item: Node, title: str | None) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def _instant(stamp: str) -> tuple[float, str]:
+    """Seconds since 1970, local times read as UTC."""
+    try:
+        t = datetime.fromisoformat(stamp)
+    except ValueError:
+        return float("inf"), stamp
+    return (t if t.tzinfo else t.replace(tzinfo=timezone.utc)).timestamp(), stamp
+
+
 def published_of(item: Node, lines: list[str]) -> str | None:
-    """The earliest of the machine dates; else the first date-shaped line."""
+    """The earliest of the machine dates by instant (those that cannot be read come last); else the first date-shaped line."""
     stamps = [n.attrs["datetime"].strip() for n in item.walk() if n.attrs.get("datetime", "").strip()]
     if stamps:
-        return min(stamps)
+        return min(stamps, key=_instant)
     return next((date_core(x) for x in lines if date_shaped(x)), None)
 
 

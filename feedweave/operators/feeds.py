@@ -29,7 +29,7 @@ def channels(responses: DataFrame, overrides: dict | None = None, *, min_ttl: in
     ttl = F.coalesce(F.lit(o.get("ttl")).cast("int"), F.when(max_age != "", F.ceil(F.expr("try_cast(regexp_extract(coalesce(headers['cache-control'], ''), 'max-age=(\\\\d+)', 1) as bigint)") / 60)).cast("int"), F.lit(DEFAULT_TTL))
     head_lang = F.regexp_extract(F.coalesce(F.col("headers").getItem("content-language"), F.lit("")), "^([A-Za-z]{2})", 1)
     page_lang = F.regexp_extract(body, r'(?i)<[a-z][^>]*\blang=["\']([^"\']+)["\']', 1)
-    stamp = F.to_timestamp(F.regexp_replace(F.col("headers").getItem("last-modified"), "^[A-Za-z]+, | GMT$", ""), "dd MMM yyyy HH:mm:ss")
+    stamp = F.try_to_timestamp(F.regexp_replace(F.col("headers").getItem("last-modified"), "^[A-Za-z]+, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
     return responses.select(
         "feed_id",
         title.alias("title"),

@@ -32,8 +32,10 @@ def archive_bounds(segments: Column) -> Column:
 
     A month or day out of its range counts as absent, so that the archive widens.
     """
-    tail = archive_path(segments)
+    return let(archive_path(segments), _bounds)
 
+
+def _bounds(tail: Column) -> Column:
     def number(i: int, most: int) -> Column:
         n = F.get(tail, F.lit(i)).try_cast("int")
         return F.when(n.between(1, most), n)
@@ -51,13 +53,31 @@ def archive_scope(body_class: Column, url: Column) -> Column:
 
     Categories, tags and authors need the number in a class; dates need bounds; single pages are no archive.
     """
-    classes = F.split(F.coalesce(body_class, F.lit("")), r"\s+")
     segments = urls.path_segments(url)
-    page = F.try_element_at(segments, F.lit(-1)).try_cast("int")
-    paged = F.coalesce((F.size(segments) >= 2) & (F.try_element_at(segments, F.lit(-2)) == "page") & (page >= 1), F.lit(False))
-    path = F.when(paged, F.slice(segments, F.lit(1), F.greatest(F.size(segments) - 2, F.lit(0)))).otherwise(segments)
-    number = F.coalesce(F.nullif(F.regexp_extract(urls.part(url, "query"), r"(?:^|&)paged=0*([1-9]\d*)(?:&|$)", 1), F.lit("")), F.when(paged, page.cast("string")))
-    bounds = archive_bounds(path)
+    query_page = F.nullif(F.regexp_extract(urls.part(url, "query"), r"(?:^|&)paged=0*([1-9]\d*)(?:&|$)", 1), F.lit(""))
+    given = F.struct(F.split(F.coalesce(body_class, F.lit("")), r"\s+").alias("classes"), segments.alias("segments"), query_page.alias("query_page"))
+
+    def paging(g: Column) -> Column:
+        segments = g["segments"]
+        page = F.try_element_at(segments, F.lit(-1)).try_cast("int")
+        paged = F.coalesce((F.size(segments) >= 2) & (F.try_element_at(segments, F.lit(-2)) == "page") & (page >= 1), F.lit(False))
+        path = F.when(paged, F.slice(segments, F.lit(1), F.greatest(F.size(segments) - 2, F.lit(0)))).otherwise(segments)
+        return F.struct(g["classes"].alias("classes"), path.alias("path"), F.coalesce(g["query_page"], F.when(paged, page.cast("string"))).alias("number"))
+
+    def dating(g: Column) -> Column:
+        return F.struct(g["classes"].alias("classes"), g["path"].alias("path"), g["number"].alias("number"), archive_bounds(g["path"]).alias("bounds"), archive_path(g["path"]).isNotNull().alias("dated"))
+
+    # each step is bound once, as the next one uses it many times
+    return let(let(let(given, paging), dating), _scope)
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: a one-element array binds it to a lambda variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scope(g: Column) -> Column:
+    classes, path, number, bounds = g["classes"], g["path"], g["number"], g["bounds"]
     head = F.get(path, F.lit(0))
 
     def has(name: str) -> Column:
@@ -66,7 +86,7 @@ def archive_scope(body_class: Column, url: Column) -> Column:
     def ident(name: str) -> Column:
         return F.get(F.filter(F.transform(classes, lambda c: F.regexp_extract(c, rf"^{name}-(\d+)$", 1)), lambda x: x != ""), F.lit(0))
 
-    dated = F.array_contains(classes, "date") | archive_path(path).isNotNull()
+    dated = F.array_contains(classes, "date") | g["dated"]
     single = F.arrays_overlap(classes, F.array(*map(F.lit, ("page", "single", "singular", "attachment")))) | F.exists(classes, lambda c: F.regexp_like(c, F.lit(r"^(page-id|postid)-\d+$")))
     none = F.create_map().cast("map<string,string>")
 
