@@ -9,6 +9,7 @@ from feedweave.functions import destinations, postprocess, texts, urls
 from feedweave.functions import lexicon as L
 from feedweave.operators import admission, auto, feeds, followups, paging, policy, segments, selectors, shred, structured
 from feedweave.sources import responses as stored
+from feedweave.sources import shared
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,8 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to be parsed: a table of fewer splits than cores is dealt over them, a larger one is read by its splits."""
+    pages, cores = table(spark, sf_dir, "pages"), spark.sparkContext.defaultParallelism
+    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("feed_id"), "url", F.col("html").alias("body"), F.lit("text/html").alias("content_type"))
+    return pages_of(spark, sf_dir).select(F.col("page_id").alias("feed_id"), "url", F.col("html").alias("body"), F.lit("text/html").alias("content_type"))
 
 
 def nav(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,25 +132,25 @@ def nav_items_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("node_histogram", """SELECT page_id, count(*) FILTER (x = 'a') AS links, count(*) FILTER (x = 'li') AS items, count(*) FILTER (x = 'article') AS articles, count(*) FILTER (x = 'h1') AS headings
 FROM (SELECT page_id, unnest(regexp_extract_all(html, '<(a|li|article|h1)[ >]', 1)) AS x FROM pages) GROUP BY page_id""")
 def node_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = shred.shred(table(spark, sf_dir, "pages"))
+    nodes = shred.shred(pages_of(spark, sf_dir), columns=("page_id", "tag"))
     return nodes.groupBy("page_id").agg(*[F.count_if(F.col("tag") == t).alias(n) for t, n in (("a", "links"), ("li", "items"), ("article", "articles"), ("h1", "headings"))])
 
 
 @query("link_counts_by_path", f"""WITH {NAV} SELECT page_id, 'html>body>nav>ul>li>a' AS tag_path, count(*) AS links, CAST(1 AS INTEGER) AS rank FROM nav GROUP BY page_id HAVING count(*) >= 2""")
 def link_counts_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.link_lists(shred.shred(table(spark, sf_dir, "pages")))
+    return segments.link_lists(shred.shred(pages_of(spark, sf_dir)))
 
 
 @query("semantic_segments", "SELECT page_id, 'article' AS tag, CAST(count(*) AS BIGINT) AS segments FROM (SELECT page_id, unnest(regexp_extract_all(html, '<article>')) FROM pages) GROUP BY page_id")
 def semantic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = shred.shred(table(spark, sf_dir, "pages"))
+    nodes = shred.shred(pages_of(spark, sf_dir))
     roots = segments.semantic(nodes).join(nodes.select("page_id", F.col("node_id").alias("root_id"), "tag"), ["page_id", "root_id"])
     return roots.where("tag = 'article'").groupBy("page_id", "tag").agg(F.count("*").alias("segments"))
 
 
 @query("primary_links")
 def primary_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = pages_of(spark, sf_dir)
     nodes = shred.shred(pages)
     roots = nodes.where("tag = 'li'").select("page_id", F.col("node_id").alias("root_id"), "last_desc")
     return segments.primary_links(nodes, roots, pages)
@@ -151,17 +158,17 @@ def primary_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("list_segments")
 def list_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.list_segments(shred.shred(table(spark, sf_dir, "pages")))
+    return segments.list_segments(shred.shred(pages_of(spark, sf_dir)))
 
 
 @query("cluster_groups")
 def cluster_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.clusters(shred.shred(table(spark, sf_dir, "pages"))).select("page_id", "signature", "size", "rank")
+    return segments.clusters(shred.shred(pages_of(spark, sf_dir))).select("page_id", "signature", "size", "rank")
 
 
 @query("surface_class", """SELECT page_id, CASE WHEN len(regexp_extract_all(html, '<a href=')) >= 20 THEN 'high_entropy_surface' ELSE 'unsupported_surface' END AS surface FROM pages""")
 def surface_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = pages_of(spark, sf_dir)
     nodes = shred.shred(pages)
     shell = F.col("dom_id").isin("app", "root", "__next") | F.contains(F.coalesce("dom_id", F.lit("")), F.lit("app-shell"))
     per = nodes.groupBy("page_id").agg(F.count_if((F.col("tag") == "a") & F.col("href").isNotNull()).alias("anchors"), F.count_if(F.col("tag") == "article").alias("articles"), F.bool_or(shell).alias("shell"), F.max(F.when(F.col("tag") == "body", F.length("visible_text"))).alias("chars"))
@@ -589,3 +596,117 @@ def captured_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item selectors that lead to the navigation links of every page."""
     articles = nav(spark, sf_dir).select(F.col("page_id").alias("feed_id"), "url")
     return auto.capture(open_navigation(spark, sf_dir), articles)
+
+
+@query("listed_links", """SELECT p_partkey AS page_id, CAST(position AS INTEGER) AS position, 'section' AS tag, '/' || way || '/' || p_partkey AS href
+FROM part, (VALUES (0, 'a'), (1, 'b')) AS w(position, way)""")
+def listed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two cards that share a link path, beside navigation of three: each link climbs to its card."""
+    markup = '<html><body><nav><a href="/x">x</a><a href="/y">y</a><a href="/z">z</a></nav><main><section><p><a href="/a/%1$d">One</a></p><i>%2$s</i></section><section><p><a href="/b/%1$d">Two</a></p></section></main></body></html>'
+    pages = bodies(table(spark, sf_dir, "part"), "p_partkey", markup, "p_partkey", "p_name").select(F.col("feed_id").alias("page_id"), F.col("body").alias("html"))
+    nodes = shared.written(shred.shred(pages), "nodes")
+    found = segments.list_segments(nodes)
+    roots, links = nodes.select("page_id", F.col("node_id").alias("root_id"), "tag"), nodes.select("page_id", F.col("node_id").alias("link_id"), "href")
+    return found.join(roots, ["page_id", "root_id"]).join(links, ["page_id", "link_id"]).select("page_id", "position", "tag", "href")
+
+
+@query("large_page_nodes", """WITH n AS (SELECT n_nationkey AS page_id, 4990 + n_nationkey AS k FROM nation), s AS (SELECT page_id, k, least(k, 4998) AS i FROM n)
+SELECT page_id, CAST(i AS BIGINT) AS italics, CAST(5 AS BIGINT) AS paragraphs, CAST(len(list_filter(range(1, 6), lambda j: 2 + i + 2 * j - 1 < 5000)) AS BIGINT) AS bolds, 2 + k + 10 > 5000 AS degraded FROM s""")
+def large_page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages about as large as the node limit: beyond it only structural elements stay."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), F.concat(F.lit("<html><body>"), F.repeat(F.lit("<i>x</i>"), (4990 + F.col("n_nationkey")).cast("int")), F.repeat(F.lit("<p>y</p><b>z</b>"), F.lit(5)), F.lit("</body></html>")).alias("html"))
+    nodes = shred.shred(n, columns=("page_id", "tag", "degraded"))
+    return nodes.groupBy("page_id").agg(*[F.count_if(F.col("tag") == t).alias(name) for t, name in (("i", "italics"), ("p", "paragraphs"), ("b", "bolds"))], F.bool_or("degraded").alias("degraded"))
+
+
+@query("deep_page_nodes", "SELECT n_nationkey AS page_id, CAST(1001 + 200 * n_nationkey AS INTEGER) AS deepest, CAST(2 AS INTEGER) AS body_words FROM nation")
+def deep_page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements nested thousands deep, read without recursion."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), F.concat(F.lit("<html><body>"), F.repeat(F.lit("<div>"), (1000 + 200 * F.col("n_nationkey")).cast("int")), F.lit("two words")).alias("html"))
+    nodes = shred.shred(n, columns=("page_id", "tag", "depth", "words"))
+    return nodes.groupBy("page_id").agg(F.max("depth").alias("deepest"), F.max(F.when(F.col("tag") == "body", F.col("words"))).alias("body_words"))
+
+
+@query("rel_next_links", "SELECT p_partkey AS feed_id, 'https://shop.example/n/' || p_partkey AS url FROM part")
+def rel_next_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    markup = '<head><link rel="Prev" href="/x"><link rel="Next nofollow" href=" /n/%1$d "></head><body><a rel="next" href="/later">%2$s</a></body>'
+    return paging.rel_next(bodies(table(spark, sf_dir, "part"), "p_partkey", markup, "p_partkey", "p_name"))
+
+
+_CHAIN = """WITH store AS (SELECT p_partkey AS k, 'https://shop.example/p/' || p_partkey AS url, p_partkey + CASE WHEN p_size <= 40 THEN 1 ELSE 0 END AS follow FROM part)
+SELECT k AS feed_id, 0 AS page_no, url FROM store
+UNION ALL SELECT a.k, 1, b.url FROM store a JOIN store b ON b.k = a.follow AND b.k <> a.k
+UNION ALL SELECT a.k, 2, c.url FROM store a JOIN store b ON b.k = a.follow AND b.k <> a.k JOIN store c ON c.k = b.follow AND c.k <> b.k"""
+
+
+def _chain(spark: SparkSession, sf_dir: str, markup: str) -> tuple[DataFrame, DataFrame]:
+    """A stored page per part that leads to the next part, or to itself where the part is large; and feeds that start at each."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("feed_id"), (F.col("p_partkey") + (F.col("p_size") <= 40).cast("int")).alias("follow"))
+    at = F.concat(F.lit("https://shop.example/p/"), F.col("feed_id").cast("string"))
+    store = p.select(at.alias("url"), F.format_string(markup, "follow").alias("body"))
+    return store, p.select("feed_id", at.alias("url"))
+
+
+@query("crawled_rel_next", _CHAIN)
+def crawled_rel_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three pages of each feed: a visited or unknown page ends it."""
+    store, start = _chain(spark, sf_dir, '<body><a href="/q">no</a><a rel="next" href="/p/%1$d#top">on</a></body>')
+    return paging.crawl(store, start, paging.rel_next, 3).select("feed_id", "page_no", urls.without_fragment(F.col("url")).alias("url"))
+
+
+@query("crawled_selector", _CHAIN)
+def crawled_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a selector whose element holds the address as text."""
+    store, start = _chain(spark, sf_dir, '<body><b class="more"> /p/%1$d </b><b class="more">/q</b></body>')
+    return paging.crawl(store, start, paging.by_selector("b.more"), 3).select("feed_id", "page_no", "url")
+
+
+@query("offset_urls", """SELECT p_partkey AS page_id, CAST(n AS INTEGER) AS page_no, CASE WHEN p_size > 25 THEN 'https://shop.example/l/' || CAST(n * 20 AS VARCHAR) ELSE 'https://shop.example/l?k=' || p_partkey || '&offset=' || CAST(n * 20 AS VARCHAR) END AS url FROM part, range(1, 4) AS r(n)""")
+def offset_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.when(F.col("p_size") > 25, "https://shop.example/l/{offset}").otherwise(F.concat(F.lit("https://shop.example/l?k="), F.col("p_partkey").cast("string"))).alias("base"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page_no"))
+    return p.select("page_id", "page_no", paging.offset_url(F.col("base"), F.col("page_no") * 20).alias("url"))
+
+
+_KINDS = ("image/png", "video/mp4", "audio/mpeg", "application/pdf", "text/plain")
+_ATTRS = 'loading="lazy" referrerpolicy="no-referrer" decoding="async" crossorigin="anonymous"'
+
+
+@query("item_descriptions", f"""WITH a AS (SELECT p_partkey, p_name, p_type, p_size % 7 AS kind, CASE WHEN p_size > 25 THEN p_name || ' is ' || p_type || ', of ' || p_brand ELSE p_type || ', of ' || p_brand || ', is ' || p_name END AS said FROM part),
+m AS (SELECT *, CASE kind WHEN 0 THEN '<img src="https://shop.example/m?a=1&amp;b=' || p_partkey || '" alt="' || p_name || '" title="' || p_name || '" {_ATTRS}>'
+ WHEN 1 THEN '<video controls preload="none" referrerpolicy="no-referrer" crossorigin="anonymous" playsinline><source src="https://shop.example/m?a=1&amp;b=' || p_partkey || '" type="video/mp4"></video>'
+ WHEN 2 THEN '<audio controls preload="none" referrerpolicy="no-referrer" crossorigin="anonymous"><source src="https://shop.example/m?a=1&amp;b=' || p_partkey || '" type="audio/mpeg"></audio>'
+ WHEN 3 THEN '<iframe src="https://shop.example/m?a=1&amp;b=' || p_partkey || '" width="100%" height="75vh" sandbox="" referrerpolicy="no-referrer" loading="lazy"></iframe>'
+ WHEN 4 THEN '<img src="https://shop.example/i.png" alt="' || p_name || '" title="' || p_name || '" {_ATTRS}>' WHEN 5 THEN '<img src="https://shop.example/i.png" alt="' || p_name || '" title="' || p_name || '" {_ATTRS}>' END AS media,
+ instr(said, p_name) - 1 AS place FROM a)
+SELECT p_partkey AS feed_id, concat_ws(chr(10) || chr(10), media, trim(CASE WHEN place <= floor(length(said) / 2) THEN said[1:place] || said[place + length(p_name) + 1:] ELSE said END)) AS description FROM m""")
+def item_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media before the text, else the image; a title in the first half of the text goes. Kind 4 has an enclosure without a rendering, kind 6 nothing."""
+    kind = F.col("p_size") % 7
+    link = F.concat(F.lit("https://shop.example/m?a=1&b="), F.col("p_partkey").cast("string"))
+    enclosure = F.struct(link.alias("url"), F.get(F.array(*map(F.lit, _KINDS)), kind).alias("type"), F.lit(0).cast("long").alias("bytes_length"))
+    short = F.concat_ws(", ", "p_type", F.concat(F.lit("of "), F.col("p_brand")))
+    said = F.when(F.col("p_size") > 25, F.concat("p_name", F.lit(" is "), short)).otherwise(F.concat(short, F.lit(", is "), F.col("p_name")))
+    articles = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("feed_id"), F.col("p_name").alias("title"), said.alias("description"), F.lit("https://shop.example/").alias("url"),
+        F.when(kind < 6, "https://shop.example/i.png").alias("image"), F.when(kind < 5, F.array(enclosure)).otherwise(F.array().cast("array<struct<url:string,type:string,bytes_length:bigint>>")).alias("enclosures"),
+    )
+    return articles.select("feed_id", feeds.described(articles).alias("description"))
+
+
+@query("earliest_dates", """SELECT o_orderkey AS feed_id, CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate - INTERVAL 1 DAY, '%Y-%m-%d') || 'T10:00:00+00:00' ELSE strftime(o_orderdate, '%Y-%m-%d') || 'T00:30:00+09:00' END AS published FROM orders""")
+def earliest_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two machine dates with unlike offsets: the earlier instant counts, whatever its text, and keeps its offset."""
+    markup = '<article><h2><a href="/o/%1$d">Order number %1$d</a></h2><time datetime="%2$sT00:30:00+09:00">a</time><time datetime="%3$sT%4$s:00:00Z">b</time></article>'
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.date_format(F.date_sub("o_orderdate", 1), "yyyy-MM-dd").alias("before"), F.when(F.col("o_orderstatus") == "F", "10").otherwise("20").alias("hour"))
+    pages = bodies(o, "o_orderkey", markup, "o_orderkey", "day", "before", "hour").withColumn("content_type", F.lit("text/html"))
+    got = feeds.json_items(selectors.query(pages, {"selectors": {"items": {"selector": "article"}, "title": {"selector": "h2"}}}))
+    return got.select("feed_id", F.col("item.date_published").alias("published"))
+
+
+@query("selected_and_found", """SELECT p_partkey AS feed_id, CAST(position AS INTEGER) AS position, 'https://shop.example/' || way || '/' || p_partkey AS url, scraper FROM part, (VALUES (0, 'a', 'selectors'), (1, 'b', 'selectors'), (3, 'c', 'semantic_html')) AS w(position, way, scraper)""")
+def selected_and_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selector articles and automatic ones of the same pages: what both found stays once, from the selectors."""
+    markup = '<body><ul><li><a href="/a/%1$d">A</a></li><li><a href="/b/%1$d">B</a></li></ul><div><a href="/b/%1$d">B</a></div><div><a href="/c/%1$d">%2$s</a></div></body>'
+    pages = bodies(table(spark, sf_dir, "part"), "p_partkey", markup, "p_partkey", "p_name").withColumn("content_type", F.lit("text/html"))
+    one, two = ({"selectors": {"items": {"selector": s, "enhance": False}, "url": {"selector": "a", "extractor": "href"}}} for s in ("li", "div"))
+    return admission.united(selectors.query(pages, one), selectors.query(pages, two).withColumn("scraper", F.lit("semantic_html"))).select("feed_id", "position", "url", "scraper")

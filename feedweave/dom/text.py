@@ -20,24 +20,52 @@ def eligible_link(n: Node) -> bool:
     return n.name == "a" and href != "" and not href.lower().startswith(SKIP_HREF)
 
 
+def silent(n: Node) -> bool:
+    """Elements whose text is not seen from outside: invisible ones and same-page anchors."""
+    return n.name in INVISIBLE or (n.name == "a" and n.attrs.get("href", "").startswith("#"))
+
+
+class _Text:
+    """The text of one open element as it grows."""
+
+    __slots__ = ("block", "children", "node", "parts")
+
+    def __init__(self, node: Node) -> None:
+        self.node, self.children, self.parts, self.block = node, iter(node.children), [], False
+
+    def add(self, text: str, gap: str, *, block: bool) -> None:
+        if text:
+            if self.parts:
+                self.parts.append(gap if block or self.block else " ")
+            self.parts.append(text)
+            self.block = block
+
+    def joined(self) -> str:
+        if len(self.parts) == 1:
+            return self.parts[0].strip()
+        return re.sub(" {2,}", " ", "".join(self.parts)).strip()
+
+
 def visible_text(node: Node, exclude: tuple = (), separator: str = " ") -> str | None:
-    """Text with line ends around blocks and ``- `` before list items; same-page anchors and invisible elements are left out."""
-    parts: list[str] = []
-    last = False
-    for c in node.children:
-        if isinstance(c, str):
-            text, block = collapse(c), False
+    """Text with line ends around blocks and ``- `` before list items; same-page anchors and invisible elements are left out.
+
+    Open elements are kept in a list, so nesting of any depth is read; an only child's text is handed up as it is.
+    """
+    gap = "\n" if separator == " " else separator
+    stack = [_Text(node)]
+    while True:
+        top = stack[-1]
+        for c in top.children:
+            if isinstance(c, str):
+                top.add(collapse(c), gap, block=False)
+            elif c.children and not silent(c) and not any(c is x for x in exclude):
+                stack.append(_Text(c))
+                break
         else:
-            if any(c is x for x in exclude) or c.name in INVISIBLE or (c.name == "a" and c.attrs.get("href", "").startswith("#")):
-                continue
-            text = (visible_text(c, exclude, separator) or "").strip() if c.children else ""
-            if text and c.name == "li":
+            stack.pop()
+            text = top.joined()
+            if not stack:
+                return text if top.parts else None
+            if text and top.node.name == "li":
                 text = f"- {text}"
-            block = c.name in BLOCKS
-        if not text:
-            continue
-        if parts:
-            parts.append(("\n" if separator == " " else separator) if block or last else " ")
-        parts.append(text)
-        last = block
-    return re.sub(" {2,}", " ", "".join(parts)).strip() if parts else None
+            stack[-1].add(text, gap, block=top.node.name in BLOCKS)

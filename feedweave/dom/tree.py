@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
@@ -63,14 +64,26 @@ class Node:
             n = n.parent
 
     def html(self) -> str:
-        if self.name == "#document":
-            return "".join(c.html() if isinstance(c, Node) else escape(c, quote=False) for c in self.children)
-        attrs = "".join(f' {k}="{escape(v)}"' for k, v in self.attrs.items())
-        if self.name in VOID:
-            return f"<{self.name}{attrs}>"
-        raw = self.name in ("script", "style")
-        body = "".join(c.html() if isinstance(c, Node) else c if raw else escape(c, quote=False) for c in self.children)
-        return f"<{self.name}{attrs}>{body}</{self.name}>"
+        """Markup of this element; of a document, of its children. Pending items are nodes, texts and (end tag,) tuples."""
+        out, pending = [], [self]
+        while pending:
+            x = pending.pop()
+            if isinstance(x, tuple):
+                out.append(x[0])
+            elif isinstance(x, str):
+                out.append(escape(x, quote=False))
+            else:
+                inner: list = x.children
+                if x.name != "#document":
+                    attrs = "".join(f' {k}="{escape(v)}"' for k, v in x.attrs.items())
+                    out.append(f"<{x.name}{attrs}>")
+                    if x.name in VOID:
+                        continue
+                    if x.name in ("script", "style"):
+                        inner = [(c,) if isinstance(c, str) else c for c in inner]
+                    pending.append((f"</{x.name}>",))
+                pending.extend(reversed(inner))
+        return "".join(out)
 
 
 class _Builder(HTMLParser):
@@ -80,6 +93,7 @@ class _Builder(HTMLParser):
         self.html = Node("html", parent=self.root)
         self.root.children.append(self.html)
         self.open = [self.html]
+        self.opened: Counter[str] = Counter()
         self.head: Node | None = None
         self.body: Node | None = None
 
@@ -94,7 +108,14 @@ class _Builder(HTMLParser):
             node = Node(name, parent=self.html)
             setattr(self, name, node)
             self.html.children.append(node)
-        self.open = [self.html, node]
+        self._cut(1)
+        self.open.append(node)
+
+    def _cut(self, k: int) -> None:
+        """Close the open elements from place k on; opened counts those inside head or body by name."""
+        for n in self.open[max(k, 2) :]:
+            self.opened[n.name] -= 1
+        del self.open[k:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         given = {}
@@ -114,31 +135,34 @@ class _Builder(HTMLParser):
                     self._enter("head")
             elif len(self.open) == 1 or self.open[-1] is self.head:
                 self._enter("body")
-        if tag in CLOSES_P and any(n.name == "p" for n in self.open):
+        if tag in CLOSES_P and self.opened["p"]:
             self._close("p", ("td", "th", "table", "button"))
         if tag in IMPLIED:
             for name in IMPLIED[tag]:
                 self._close(name, FENCE[tag])
-        if tag in ("a", "button") and any(n.name == tag for n in self.open):
+        if tag in ("a", "button") and self.opened[tag]:
             self._close(tag, ("table",))
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and self.open[-1].name in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         parent = self._inside()
         node = Node(tag, given, parent)
         parent.children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.opened[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].name == tag and tag in ("svg", "path", "circle", "rect", "use", "line", "g"):
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
     def _close(self, name: str, fence: tuple = ()) -> None:
         """Close the nearest open name unless a fence element is nearer; inline elements it cuts through stay closed."""
+        if not self.opened[name]:
+            return
         for k in range(len(self.open) - 1, 1, -1):
             if self.open[k].name == name:
-                del self.open[k:]
+                self._cut(k)
                 return
             if self.open[k].name in fence:
                 return
@@ -147,7 +171,7 @@ class _Builder(HTMLParser):
         if tag in ("html", "body"):
             return
         if tag == "head":
-            self.open = [self.html]
+            self._cut(1)
             return
         if tag == "br":
             self.handle_starttag("br", [])
@@ -177,22 +201,17 @@ def parse(html: str) -> Node:
 def lift(value: object) -> Node:
     """A JSON value as elements: objects, arrays, keys as names, scalars as text."""
     root = Node("#document")
-
-    def put(x: object, parent: Node) -> None:
-        if isinstance(x, dict):
-            at = Node("object", parent=parent)
-            parent.children.append(at)
-            for k, v in x.items():
-                child = Node(str(k), parent=at)
-                at.children.append(child)
-                put(v, child)
-        elif isinstance(x, list):
-            at = Node("array", parent=parent)
+    pending = [(value, root)]
+    while pending:
+        x, parent = pending.pop()
+        if isinstance(x, (dict, list)):
+            at = Node("object" if isinstance(x, dict) else "array", parent=parent)
             parent.children.append(at)
-            for v in x:
-                put(v, at)
+            if isinstance(x, dict):
+                at.children = [Node(str(k), parent=at) for k in x]
+                pending.extend(zip(x.values(), list(at.children), strict=True))
+            else:
+                pending.extend((v, at) for v in reversed(x))
         elif x is not None:
             parent.children.append(("true" if x else "false") if isinstance(x, bool) else str(x))
-
-    put(value, root)
     return root

@@ -128,7 +128,11 @@ CHROME_ROOTS = ("nav", "footer", "header")
 STRIPPED = ("script", "style", "noscript", "iframe", "svg", "template")
 CLUSTER_EXCLUDED = ("html", "body", "nav", "footer", "header", "svg", "script", "style")
 LAYOUT = ("div", "section", "article", "li", "ul", "ol")
+
+#: The elements of a page that are kept, those kept beyond that many, and attributes kept by the start of their name.
 MAX_NODES = 5000
+DEGRADED_TAGS = ("html", "body", "article", "section", "li", "tr", "div", "a", "h1", "h2", "h3", "h4", "h5", "h6", "time", "img", "p", "ul", "ol", "main")
+KEPT_ATTRIBUTES = "data-|aria-|class|id|href|src|srcset|style|datetime|itemprop|type|category|categories|tag|tags|topic|topics|section|sections|label|labels|theme|themes|subject|subjects"
 
 UTILITY = sorted({*TAXONOMY, *CHROME, *SOFT_UTILITY})
 HIGH_JUNK = sorted({*UTILITY} - {*SOFT_UTILITY})

@@ -56,6 +56,13 @@ def dedup(articles: DataFrame, by: str = "feed_id", pos: str = "position") -> Da
     return ranked.where("_key is null or _k = 1").drop("_key", "_k")
 
 
+def united(selected: DataFrame, found: DataFrame, by: str = "feed_id", pos: str = "position") -> DataFrame:
+    """Selector articles, then automatic ones, positions counted on, the first of each fingerprint kept."""
+    both = selected.withColumn("_part", F.lit(0)).unionByName(found.withColumn("_part", F.lit(1)), allowMissingColumns=True)
+    order = Window.partitionBy(by).orderBy("_part", pos)
+    return dedup(both.withColumn(pos, (F.row_number().over(order) - 1).cast("int")).drop("_part"), by, pos)
+
+
 def run_tiers(candidates: DataFrame, limit: int, last_tier: int, by: str = "page_id") -> DataFrame:
     """Rows of the tiers that run: a tier stops at limit earlier rows of which limit are admitted; the last needs none admitted.
 

@@ -7,6 +7,7 @@ from html import escape
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from feedweave.functions import texts, urls
 
@@ -63,10 +64,46 @@ def status(articles: DataFrame, drops: DataFrame | None = None, version: str = "
     return out.withColumn("generator", F.concat(F.lit(f"feedweave {version} (scrapers: "), listed, F.lit(")"))).withColumn("version", F.lit(version))
 
 
+def described(articles: DataFrame) -> Column:
+    """An item's description: its media (else its image) before the text, which loses the title from its first half and is sanitized."""
+    text, title = F.coalesce("description", F.lit("")), F.coalesce("title", F.lit(""))
+    at = F.instr(text, title)
+    early = (title != "") & (at > 0) & (at - 1 <= F.floor(F.length(text) / 2))
+    text = F.when(early, F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(title), F.length(text)))).otherwise(text)
+    media = F.filter(F.transform("enclosures", lambda e: media_html(e, F.col("title"))), lambda m: m.isNotNull())
+    picture = F.struct(F.col("image").alias("url"), F.lit("image/").alias("type"))
+    media = F.when(F.size(media) > 0, media).when(F.col("image").isNotNull(), F.array(media_html(picture, F.col("title")))).otherwise(F.array().cast("array<string>"))
+    whole = F.trim(F.array_join(F.concat(media, F.array(clean_html(text, F.col("url")))), "\n\n"))
+    return F.when(whole != "", whole)
+
+
+@F.pandas_udf(StringType())
+def clean_html(text: pd.Series, url: pd.Series) -> pd.Series:
+    """Sanitized markup, in Arrow batches; null if nothing is left."""
+    from feedweave.functions.postprocess import sanitize_html
+
+    return pd.Series([sanitize_html(t, u or "") if t else None for t, u in zip(text, url, strict=True)], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def iso_time(raw: pd.Series) -> pd.Series:
+    """A time in any known form as ISO 8601 to the second with its offset; null where it cannot be read."""
+    from feedweave.functions.postprocess import parse_date
+
+    def one(x: str | None) -> str | None:
+        try:
+            return parse_date(x).isoformat(timespec="seconds") if x else None
+        except ValueError:
+            return None
+
+    return raw.map(one, na_action="ignore").astype(object)
+
+
 def json_items(articles: DataFrame) -> DataFrame:
-    """JSON Feed items: content as HTML if it holds an element, else text, else the title; items without content go."""
-    content = F.coalesce("description", "title")
-    html = F.regexp_like(content, F.lit("<[a-zA-Z]"))
+    """JSON Feed items: the composed description as HTML if it holds an element, else as text; else the title as text; items without either go."""
+    articles = articles.withColumns({"_described": described(articles), "_time": iso_time("published_at_raw")})
+    content = F.coalesce("_described", "title")
+    html = F.col("_described").isNotNull() & F.regexp_like(content, F.lit("<[a-zA-Z]"))
     attachments = F.transform("enclosures", lambda e: F.struct(e["url"].alias("url"), e["type"].alias("mime_type"), F.when(e["bytes_length"] > 0, e["bytes_length"]).alias("size_in_bytes")))
     item = F.struct(
         F.col("guid").alias("id"),
@@ -75,7 +112,7 @@ def json_items(articles: DataFrame) -> DataFrame:
         F.when(html, content).alias("content_html"),
         F.when(~html, content).alias("content_text"),
         F.col("image").alias("image"),
-        F.col("published_at_raw").alias("date_published"),
+        F.col("_time").alias("date_published"),
         F.when(F.col("author").isNotNull(), F.array(F.struct(F.col("author").alias("name")))).alias("authors"),
         F.when(F.size("categories") > 0, F.col("categories")).alias("tags"),
         F.when(F.size("enclosures") > 0, attachments).alias("attachments"),
@@ -104,14 +141,20 @@ def first_attachment(enclosures: Column) -> Column:
     return F.get(F.filter(enclosures, lambda e: ~F.startswith(F.lower(e["type"]), F.lit("image/"))), F.lit(0))
 
 
-def media_html(e: Column) -> Column:
+def escaped(x: Column) -> Column:
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        x = F.replace(x, F.lit(char), F.lit(name))
+    return x
+
+
+def media_html(e: Column, title: Column) -> Column:
     """Markup of an enclosure by its kind; null for other kinds."""
-    src = F.replace(F.replace(F.replace(e["url"], F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("<"), F.lit("&lt;"))
+    src, name = escaped(e["url"]), escaped(F.coalesce(title, F.lit("")))
     kind = F.lower(e["type"])
     return (
-        F.when(F.startswith(kind, F.lit("image/")), F.concat(F.lit('<img src="'), src, F.lit('" loading="lazy" referrerpolicy="no-referrer" decoding="async" crossorigin="anonymous">')))
-        .when(F.startswith(kind, F.lit("video/")), F.concat(F.lit('<video controls preload="none" referrerpolicy="no-referrer" crossorigin="anonymous" playsinline><source src="'), src, F.lit('" type="'), e["type"], F.lit('"></video>')))
-        .when(F.startswith(kind, F.lit("audio/")), F.concat(F.lit('<audio controls preload="none" referrerpolicy="no-referrer" crossorigin="anonymous"><source src="'), src, F.lit('" type="'), e["type"], F.lit('"></audio>')))
+        F.when(F.startswith(kind, F.lit("image/")), F.concat(F.lit('<img src="'), src, F.lit('" alt="'), name, F.lit('" title="'), name, F.lit('" loading="lazy" referrerpolicy="no-referrer" decoding="async" crossorigin="anonymous">')))
+        .when(F.startswith(kind, F.lit("video/")), F.concat(F.lit('<video controls preload="none" referrerpolicy="no-referrer" crossorigin="anonymous" playsinline><source src="'), src, F.lit('" type="'), escaped(e["type"]), F.lit('"></video>')))
+        .when(F.startswith(kind, F.lit("audio/")), F.concat(F.lit('<audio controls preload="none" referrerpolicy="no-referrer" crossorigin="anonymous"><source src="'), src, F.lit('" type="'), escaped(e["type"]), F.lit('"></audio>')))
         .when(kind == "application/pdf", F.concat(F.lit('<iframe src="'), src, F.lit('" width="100%" height="75vh" sandbox="" referrerpolicy="no-referrer" loading="lazy"></iframe>')))
     )
 
@@ -120,6 +163,7 @@ def rss(articles: DataFrame, channel: DataFrame, stylesheets: tuple = ()) -> Dat
     """feed_id, xml. stylesheets: (href, type, media)."""
     from feedweave.functions.postprocess import parse_date
 
+    articles = articles.withColumn("description", described(articles))
     items = articles.groupBy("feed_id").agg(F.array_sort(F.collect_list(F.struct("position", "title", "description", "author", "url", "published_at_raw", "categories", first_attachment(F.col("enclosures")).alias("enclosure"), "guid"))).alias("items"))
     head = "".join(f'<?xml-stylesheet href="{escape(h)}" type="{escape(t)}" media="{escape(m)}"?>\n' for h, t, m in stylesheets)
 

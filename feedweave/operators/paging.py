@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedweave.dom import css
+from feedweave.dom.tree import parse
 from feedweave.functions import urls
+from feedweave.functions.urls import resolved
+from feedweave.operators import shred
+from feedweave.sources.shared import written
 
 
 def page_url(url: Column, page: Column, param: str = "page", token: str = "{page}") -> Column:
@@ -25,11 +33,32 @@ def page_urls(pages: DataFrame, max_pages: int = 5, start: int = 1, step: int =
 
 
 def next_links(nodes: DataFrame, rels: str = "next") -> DataFrame:
-    """page_id, href: the first link or anchor whose rel holds next (nodes with a column rel)."""
-    hit = nodes.where(F.col("tag").isin("a", "link") & F.array_contains(F.split(F.lower("rel"), r"\s+"), rels))
+    """page_id, href: the first link or anchor of the node relation whose rel holds next."""
+    hit = nodes.where(F.col("tag").isin("a", "link") & F.array_contains(F.split(F.lower("rel"), r"\s+"), rels) & (F.trim("href") != ""))
     return hit.groupBy("page_id").agg(F.min_by("href", "node_id").alias("href"))
 
 
+def rel_next(responses: DataFrame) -> DataFrame:
+    """feed_id, url: the next page of each response (feed_id, url, body), by rel; feeds that end are left out."""
+    found = next_links(shred.shred(responses, "feed_id", "body", ("page_id", "node_id", "tag", "href", "rel"))).withColumnRenamed("page_id", "feed_id")
+    both = found.join(responses.select("feed_id", F.col("url").alias("base")), "feed_id")
+    return both.select("feed_id", urls.resolve(F.trim("href"), F.col("base")).alias("url")).where("url is not null")
+
+
+def by_selector(selector: str) -> Callable[[DataFrame], DataFrame]:
+    """A next_of for crawl: the target of the first element of a CSS selector, else its text."""
+    css.compile_selector(selector)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            feed, url, body = (c.to_pylist() for c in b.columns)
+            found = [css.first(parse(x), selector) if x is not None else None for x in body]
+            told = [None if n is None else (n.attrs.get("href") or n.text()).strip() for n in found]
+            yield pa.RecordBatch.from_pydict({"feed_id": feed, "url": [resolved(t, u or "") if t else None for t, u in zip(told, url, strict=True)]}, pa.schema([("feed_id", pa.int64()), ("url", pa.string())]))
+
+    return lambda responses: responses.select("feed_id", "url", "body").mapInArrow(run, "feed_id long, url string").where("url is not null")
+
+
 def json_cursor(body: Column, path: str) -> Column:
     """A dotted path into a JSON body as text."""
     return F.get_json_object(body, "$." + path)
@@ -47,20 +76,22 @@ def unvisited(links: DataFrame, visited: DataFrame) -> DataFrame:
     return links.join(visited.select(F.col("url")).distinct(), "url", "left_anti")
 
 
-def crawl(store: DataFrame, start: DataFrame, next_of, max_pages: int = 5) -> DataFrame:
-    """start (feed_id, url) and up to max_pages - 1 follow-ups each: a bounded loop of joins; next_of(responses) gives feed_id, url.
+def crawl(store: DataFrame, start: DataFrame, next_of: Callable[[DataFrame], DataFrame], max_pages: int = 5) -> DataFrame:
+    """start (feed_id, url) and up to max_pages - 1 follow-ups each; next_of(responses) gives feed_id, url.
 
-    An unknown or visited URL ends a feed's paging.
+    feed_id, page_no, url and the stored columns. An unknown or visited URL (fragments aside) ends a feed's paging. Each round is one join
+    with the store and is written, so neither its plan nor its work is repeated by the next.
     """
-    visited = None
-    current = start.withColumn("page_no", F.lit(0))
+    visited: DataFrame | None = None
+    current = start.select("feed_id", "url").withColumn("page_no", F.lit(0))
     for k in range(max_pages):
-        got = follow(current, store).where("body is not null")
+        got = written(follow(current, store).where("body is not null"), "round")
         visited = got if visited is None else visited.unionByName(got)
-        if k + 1 == max_pages:
+        if k + 1 == max_pages or got.isEmpty():
             break
         nxt = next_of(got).select("feed_id", "url").withColumn("page_no", F.lit(k + 1))
-        current = nxt.join(visited.select("feed_id", "url"), ["feed_id", "url"], "left_anti")
+        seen = visited.select("feed_id", urls.without_fragment(F.col("url")).alias("_seen"))
+        current = nxt.withColumn("_seen", urls.without_fragment(F.col("url"))).join(seen, ["feed_id", "_seen"], "left_anti").drop("_seen")
     return visited
 
 

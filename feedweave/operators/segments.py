@@ -1,7 +1,7 @@
 """Segmentation and ranking over the node relation: semantic containers, link lists, clusters, primary links, scores.
 
-Everything is relational on (page_id, node_id, last_desc). Ancestor questions that would pair every node with every other
-are range joins within one page, and a page has at most MAX_NODES nodes.
+Everything is relational on (page_id, node_id, last_desc). Links below a node are differences of a running count; the
+ancestors of listed links are a range join within one page, whose tree the shredder thins beyond MAX_NODES elements.
 """
 
 from __future__ import annotations
@@ -39,9 +39,10 @@ def list_segments(nodes: DataFrame, minimum: int = 2, top: int = 5) -> DataFrame
     """page_id, root_id, link_id, position: each listed anchor climbs to the last ancestor before one with more links."""
     n = nodes.select("page_id", "node_id", "last_desc", "parent_id", "depth", "tag", "chrome", "is_link", "tag_path")
     links = n.where("is_link and not chrome").join(link_lists(nodes, minimum, top).select("page_id", "tag_path", "rank"), ["page_id", "tag_path"]).select("page_id", F.col("node_id").alias("link_id"), "rank")
-    anchors = n.where("is_link").select("page_id", F.col("node_id").alias("a"))
-    inside = n.join(anchors, "page_id").where((F.col("a") >= F.col("node_id")) & (F.col("a") <= F.col("last_desc")))
-    counts = inside.groupBy("page_id", "node_id", "last_desc", "parent_id", "depth", "tag").agg(F.count("*").alias("links"))
+    running = n.withColumn("_so_far", F.sum(F.col("is_link").cast("int")).over(_page(F.col("node_id"))))
+    ends = running.select("page_id", F.col("node_id").alias("last_desc"), F.col("_so_far").alias("_at_end"))
+    counts = running.join(ends, ["page_id", "last_desc"]).withColumn("links", F.col("_at_end") - F.col("_so_far") + F.col("is_link").cast("int"))
+    counts = counts.where("links > 0").select("page_id", "node_id", "last_desc", "parent_id", "depth", "tag", "links")
     parent = counts.select(F.col("page_id").alias("pp"), F.col("node_id").alias("pid"), F.col("links").alias("above"))
     with_parent = counts.join(parent, (F.col("page_id") == F.col("pp")) & (F.col("parent_id") == F.col("pid")), "left")
     edge = with_parent.where((F.coalesce("above", "links") > F.col("links")) | F.col("tag").isin("body", "html")).select(F.col("page_id").alias("ep"), "node_id", "last_desc", "depth", "tag")
@@ -56,7 +57,7 @@ def clusters(nodes: DataFrame, minimum: int = 2, most: int = 40) -> DataFrame:
     body = nodes.where(~F.col("chrome") & ~F.col("tag").isin(*L.CLUSTER_EXCLUDED))
     by_class = F.array_join(F.array_sort("class_names"), " ")
     signature = F.when(F.size("class_names") > 0, F.concat(F.lit("class:"), by_class)).when(F.col("child_tags") != "", F.concat("tag", F.lit(":"), F.col("child_tags")))
-    groups = body.withColumn("signature", signature).where("signature is not null").groupBy("page_id", "signature").agg(F.count("*").alias("size"), F.min("node_id").alias("first_id"), F.avg(texts.word_count(F.col("visible_text"))).alias("avg_words"))
+    groups = body.withColumn("signature", signature).where("signature is not null").groupBy("page_id", "signature").agg(F.count("*").alias("size"), F.min("node_id").alias("first_id"), F.avg("words").alias("avg_words"))
     ranked = groups.where(F.col("size") >= minimum).withColumn("rank", F.row_number().over(_page(F.desc("size"), F.col("first_id"))))
     return ranked.where(F.col("rank") <= most)
 

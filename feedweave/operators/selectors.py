@@ -159,7 +159,7 @@ def query(responses: DataFrame, config: dict) -> DataFrame:
                 for i, item in enumerate(items):
                     try:
                         out.append(row(feed, i, article(item, selectors, url or "", zone)))
-                    except (ValueError, TypeError, KeyError) as e:
+                    except (ValueError, TypeError, KeyError, RecursionError) as e:
                         out.append(row(feed, i, {}, error=f"{type(e).__name__}: {e}"))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), ARTICLE, strict=True)], schema=ARTICLE)
