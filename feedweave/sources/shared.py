@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in spark.checkpoint.dir; a temporary folder where that is unset (tests)."""
+    """df as a table in spark.checkpoint.dir; a temporary folder only where that is unset and driver and tasks are one process (tests)."""
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="feedweave-")
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/feedweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -95,7 +95,7 @@ def test_selector_query_edge_rows(spark):
 @pytest.fixture(scope="module")
 def db():
     c = duckdb.connect()
-    for t in ("pages", "documents", "events", "conversations", "part", "orders"):
+    for t in ("nation", "pages", "documents", "events", "conversations", "part", "orders"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 
