@@ -83,3 +83,10 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         p, fs = _path(t.sparkSession, t._table_path)
         fs.delete(p, True)
+
+
+def discard_part(table: DataFrame, *parts: str) -> None:
+    """Delete partitions (name=value) of a written table that nothing reads any more."""
+    for part in parts:
+        p, fs = _path(table.sparkSession, f"{table._table_path}/{part}")
+        fs.delete(p, True)

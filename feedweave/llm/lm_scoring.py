@@ -8,7 +8,8 @@ No node of the trie is left out at any size, and nothing is broadcast but the co
 2. Slices. All blocks' lists of one slice meet: their counts add up to the slice's part of the trie (all orders from two
    on of these contexts) or of the vocabulary, and every block gets its answers in its own order: the log10 probability of
    each key, the corpus count of each word. The number of slices follows the input's size (SLICE_BYTES).
-3. Blocks. A block's texts and its answers meet and its documents are scored; the document's own counts come in here.
+3. Blocks. A block's texts and its answers meet and its documents are scored; the document's own counts come in here. The
+   texts come in the scan's order, which gives their words the same places again.
 
 A word is known by a 128-bit hash, so that no two words meet. Common keys and words are one entry per block and list, so
 no slice grows with a key's frequency.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedweave.llm import ppm
-from feedweave.llm.common import documents, materialize
+from feedweave.llm.common import discard_part, documents, materialize
 
 BLOCK_BYTES = 12_000_000
 SLICE_BYTES = 32_000_000
@@ -69,6 +70,13 @@ def _unpack(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(x), kind)
 
 
+def _places(text: bytes, place: dict[bytes, int]) -> np.ndarray:
+    """The places of a text's words and end; new words get the next places, so the same texts in the same order give the same."""
+    found = [place.setdefault(w, len(place)) for w in text.lower().split()]
+    found.append(place.setdefault(END_WORD, len(place)))
+    return np.array(found, "<u4")
+
+
 def _rows(kind: int, cols: dict) -> pa.RecordBatch:
     n = len(next(iter(cols.values())))
     return pa.RecordBatch.from_arrays([pa.array([kind] * n, f.type) if f.name == "kind" else pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in ROW], schema=ROW)
@@ -83,18 +91,15 @@ class _Block:
     """Texts of one block with what they ask for: keys and words, in the order in which they are packed."""
 
     def __init__(self, number: int) -> None:
-        self.number, self.bytes, self.texts, self.size = number, 0, [], 0
+        self.number, self.bytes, self.count, self.size = number, 0, 0, 0
         self.place: dict[bytes, int] = {}
         self.tf = np.zeros(0, np.int64)
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, texts: list[bytes], held: list[bool]) -> list[np.ndarray]:
-        """Count some texts; the places of each one's words."""
-        place, ids = self.place, []
-        for t in texts:
-            found = [place.setdefault(w, len(place)) for w in t.lower().split()]
-            found.append(place.setdefault(END_WORD, len(place)))
-            ids.append(np.array(found, "<u4"))
+    def add(self, texts: list[bytes], held: list[bool]) -> list[int]:
+        """Count some texts; their numbers within the block."""
+        place = self.place
+        ids = [_places(t, place) for t in texts]
         trained = [x for x, out in zip(ids, held, strict=True) if not out]
         tf = np.bincount(np.concatenate(trained), minlength=len(place)) if trained else np.zeros(len(place), np.int64)
         tf[: len(self.tf)] += self.tf
@@ -108,7 +113,8 @@ class _Block:
             self.parts = [ppm.merge(self.parts)]
             self.size = len(self.parts[0][0])
         self.bytes += sum(map(len, texts)) + len(texts)
-        return ids
+        self.count += len(texts)
+        return list(range(self.count - len(texts), self.count))
 
     def lists(self, slices: int) -> Iterator[pa.RecordBatch]:
         keys, n = ppm.merge(self.parts)
@@ -139,8 +145,8 @@ def _scan(slices: int):
                 b = whole.slice(at, 200)
                 texts = [(t.as_py() or "").encode() for t in b.column(1)]
                 held = [held_out(i) for i in b.column(0).to_pylist()]
-                ids = block.add(texts, held)
-                yield _rows(TEXTS, {"block": [block.number] * len(texts), "doc_id": b.column(0).to_pylist(), "held_out": held, "a": [zstandard.compress(t, 1) for t in texts], "b": [_pack(x) for x in ids]})
+                numbers = block.add(texts, held)
+                yield _rows(TEXTS, {"slice": numbers, "block": [block.number] * len(texts), "doc_id": b.column(0).to_pylist(), "held_out": held, "a": [zstandard.compress(t, 3) for t in texts]})
                 if block.bytes >= BLOCK_BYTES:
                     yield from block.lists(slices)
                     block = _Block(block.number + 1)
@@ -211,12 +217,14 @@ def _score_block(pdf: pd.DataFrame) -> pd.DataFrame:
     c = np.zeros(len(places), np.int64)
     c[places] = np.concatenate([_unpack(x, "<i8") for x in own["b"]])
     word_logs = np.log10(c + 1.0)
-    docs = pdf[pdf["kind"] == TEXTS]
+    docs = pdf[pdf["kind"] == TEXTS].sort_values("slice")
+    texts = [zstandard.decompress(x) for x in docs["a"]]
     scores = []
-    for chunk in _chunks([zstandard.decompress(x) for x in docs["a"]]):
+    for chunk in _chunks(texts):
         at, owner, _ = ppm.spread(chunk)
         scores.append(np.bincount(owner, ppm.adapted(chunk, owner, logs[find(at)]), minlength=len(chunk)))
-    ids = [_unpack(x, "<u4") for x in docs["b"]]
+    place: dict[bytes, int] = {}
+    ids = [_places(t, place) for t in texts]
     return pd.DataFrame(
         {
             "doc_id": docs["doc_id"].to_numpy(),
@@ -258,8 +266,9 @@ def score(docs: DataFrame) -> DataFrame:
     lists = scanned.where(F.col("kind") <= WORDS).select("kind", "slice", "block", "a", "b", "c").repartition(2 * slices, "kind", "slice")
     answers = materialize(lists.groupBy("kind", "slice").applyInPandas(_answer(low), ANSWER), "answers")
     sums = materialize(answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")), "sums")
-    texts = scanned.where(F.col("kind") == TEXTS).select("kind", "block", "doc_id", "held_out", "a", "b")
-    each = texts.unionByName(answers.select("kind", "block", "doc_id", "held_out", "a", "b")).groupBy("block").applyInPandas(_score_block, SCORED)
+    discard_part(scanned, f"kind={NODES}", f"kind={WORDS}")  # answered
+    texts = scanned.where(F.col("kind") == TEXTS).select("kind", "slice", "block", "doc_id", "held_out", "a", "b")
+    each = texts.unionByName(answers.select("kind", "block", "doc_id", "held_out", "a", "b"), allowMissingColumns=True).groupBy("block").applyInPandas(_score_block, SCORED)
     total = each.crossJoin(F.broadcast(sums))  # one row
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.col("tokens") + F.col("types") + 1.0)
     return total.select("doc_id", "held_out", "n_tokens", "n_known", F.col("tokens").cast("long").alias("train_tokens"), base.alias("base_score"), "score")
