@@ -79,10 +79,16 @@ def described(articles: DataFrame) -> Column:
 
 @F.pandas_udf(StringType())
 def clean_html(text: pd.Series, url: pd.Series) -> pd.Series:
-    """Sanitized markup, in Arrow batches; null if nothing is left."""
-    from feedweave.functions.postprocess import sanitize_html
+    """Sanitized markup, in Arrow batches; null if nothing is left. Markup nested too deep to be walked gives its visible text."""
+    from feedweave.functions.postprocess import sanitize_html, text_of
 
-    return pd.Series([sanitize_html(t, u or "") if t else None for t, u in zip(text, url, strict=True)], dtype=object)
+    def one(markup: str | None, base: str | None) -> str | None:
+        try:
+            return sanitize_html(markup, base or "") if markup else None
+        except RecursionError:
+            return escape(text_of(markup), quote=False) or None
+
+    return pd.Series([one(t, u) for t, u in zip(text, url, strict=True)], dtype=object)
 
 
 @F.pandas_udf(StringType())
