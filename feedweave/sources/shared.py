@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in spark.checkpoint.dir; a temporary folder only where that is unset and driver and tasks are one process (tests)."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        top = tempfile.mkdtemp(prefix="feedweave-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/feedweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one given to setCheckpointDir()."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        raise RuntimeError("set spark.checkpoint.dir, or call SparkContext.setCheckpointDir(), with a folder that driver and executors share")
+    return found.rstrip("/")
+
+
+def new_table(spark: SparkSession, name: str) -> str:
+    """Path of a new table in the shared folder; it goes when the application ends, if not before."""
+    path = f"{shared_dir(spark)}/feedweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder."""
+    path = new_table(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
