@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedweave.sources.shared import new_table
+
 #: White space of every word definition here: space and 0x09-0x0D.
 WS_CLASS = r"\x20\x09-\x0D"
 WS_CHARS = " \t\n\x0b\f\r"
@@ -39,30 +38,11 @@ def plain_names(names: list[str], keep: tuple[str, ...] = ()) -> list[str]:
     return [x if x in keep else f"_in{i}" for i, x in enumerate(names)]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where driver and tasks are one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="feedweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def new_table(spark: SparkSession, name: str) -> str:
-    """Path of a new table in the shared folder; it goes when the application ends, if not before."""
-    path = f"{shared_dir(spark)}/feedweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    p, fs = _path(spark, path)
-    fs.deleteOnExit(p)
-    return path
-
-
 def materialize(df: DataFrame, name: str = "step", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Cut the lineage: write df as a table to the shared folder and return its reader."""
     spark = df.sparkSession
