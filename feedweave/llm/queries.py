@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from feedweave.llm import (
     best_fit_packing,
+    byte_bpe,
     chat_perspectives,
     license_scan,
     lm_scoring,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_chat_perspectives": chat_perspectives.op8_chat_perspectives,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 
 ORACLES = {
