@@ -10,26 +10,29 @@ cut by the pattern, and each worker keeps a bounded table of pieces it has met,
   overlap where a character is split.
 * Decoding joins the tokens' bytes. A character split over tokens comes back whole; bytes that are no UTF-8 (a cut id
   list) become U+FFFD in the text and stay as they are in the bytes. A null list, null ids or unknown ids give null.
-* Very long texts are taken whole; a batch is worked off in slices of SLICE_CHARS characters or one text. Rows, repeated
+* Very long texts are taken whole; a batch is worked off in slices of SLICE_BYTES bytes or one text. Rows, repeated
   or not, are independent; other columns never enter Python.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import documents, whole_text
+from feedweave.llm.common import documents
 
 #: Pieces whose ids a worker keeps; the table is emptied beyond that.
 PIECES = 1 << 18
-SLICE_CHARS = 1 << 21
+SLICE_BYTES = 1 << 21
 ENCODED = "ids array<int>, starts array<int>, ends array<int>"
 DECODED = "bytes binary, text string, n_split int"
 
@@ -90,7 +93,7 @@ class ByteBpe:
         if len(self.known) > PIECES:
             self.known.clear()
         cut, known = [self.cut(x) for x in texts], self.known
-        if new := list({p for pieces in cut for p in pieces if p not in known}):
+        if new := [*(set(chain.from_iterable(cut)) - known.keys())]:
             known.update(zip(new, (np.array(e.ids, "<i4").tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
         return [np.frombuffer(b"".join([known[p] for p in pieces]), "<i4") for pieces in cut]
 
@@ -104,8 +107,10 @@ class ByteBpe:
     def decode(self, ids: np.ndarray) -> bytes | None:
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.tokens)):
             return None
-        found = [self.tokens[i] for i in ids.tolist()]
-        return None if None in found else b"".join(found)
+        try:
+            return b"".join([self.tokens[i] for i in ids.tolist()])
+        except TypeError:  # a free id has no bytes
+            return None
 
     def split_characters(self, ids: np.ndarray, body: bytes) -> int:
         """Characters whose bytes lie in more than one token."""
@@ -125,16 +130,14 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts or [np.empty(0)]).astype(np.int32)))
 
 
-def _slices(texts: list[str]) -> Iterator[list[str]]:
-    part, size = [], 0
-    for x in texts:
-        if part and size + len(x) > SLICE_CHARS:
-            yield part
-            part, size = [], 0
-        part.append(x)
-        size += len(x)
-    if part:
-        yield part
+def _slices(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts of a batch, SLICE_BYTES or one text at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES)))
+        yield [x or "" for x in texts.slice(at, to - at).to_pylist()]
+        at = to
 
 
 def encode(text: Column, path: str | None = None, pattern: str | None = None, *, offsets: bool = True) -> Column:
@@ -145,11 +148,13 @@ def encode(text: Column, path: str | None = None, pattern: str | None = None, *,
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = bpe(path, pattern)
         for batch in batches:
-            texts = [x or "" for x in batch.to_pylist()]
-            ids = [i for part in _slices(texts) for i in coder.encode(part)]
+            ids, where = [], []
+            for texts in _slices(batch):
+                found = coder.encode(texts)
+                ids += found
+                where += [coder.offsets(x, i) for x, i in zip(texts, found, strict=True)] if offsets else []
             cols = [_lists(ids)]
             if offsets:
-                where = [coder.offsets(x, i) for x, i in zip(texts, ids, strict=True)]
                 cols += [_lists([a for a, _ in where]), _lists([b for _, b in where])]
             else:
                 cols += [pa.nulls(len(ids), pa.list_(pa.int32()))] * 2
@@ -158,8 +163,8 @@ def encode(text: Column, path: str | None = None, pattern: str | None = None, *,
     return run(text)
 
 
-def decode(ids: Column, path: str | None = None, pattern: str | None = None, *, as_text: bool = True) -> Column:
-    """Struct of bytes, text and n_split (characters split over tokens) of a column of id lists; text is null where not asked for."""
+def decode(ids: Column, path: str | None = None, pattern: str | None = None) -> Column:
+    """Struct of bytes, text and n_split (characters split over tokens) of a column of id lists."""
     path, pattern = path or rank_file(), pattern or split_pattern()
 
     @F.arrow_udf(f"struct<{', '.join(c.replace(' ', ':', 1) for c in DECODED.split(', '))}>")
@@ -173,22 +178,33 @@ def decode(ids: Column, path: str | None = None, pattern: str | None = None, *,
                 body = None if number is None else coder.decode(number)
                 bodies.append(body)
                 splits.append(None if body is None else coder.split_characters(number, body))
-            texts = [b.decode("utf-8", "replace") if as_text and b is not None else None for b in bodies]
+            texts = [b.decode("utf-8", "replace") if b is not None else None for b in bodies]
             yield pa.StructArray.from_arrays([pa.array(bodies, pa.binary()), pa.array(texts, pa.string()), pa.array(splits, pa.int32())], ["bytes", "text", "n_split"])
 
     return run(ids)
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    ids = docs.select("doc_id", encode(whole_text(), path, offsets=False)["ids"].alias("ids"))
-    back = ids.select("doc_id", "ids", decode(F.col("ids"), path, as_text=False).alias("back"))
-    return back.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2(F.col("back.bytes"), 256).alias("decoded_sha256"),
-        F.col("back.n_split").cast("long").alias("n_split"),
-    )
+def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_split: ids of whole texts and their way back, as hashes, a slice at a time."""
+    path, pattern = path or rank_file(), pattern or split_pattern()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = bpe(path, pattern)
+        shown = [str(i) for i in range(len(coder.tokens))]
+        for b in batches:
+            rows = []
+            for texts in _slices(b.column(1)):
+                for ids in coder.encode(texts):
+                    body = coder.decode(ids)
+                    listed = " ".join([shown[i] for i in ids.tolist()])
+                    rows.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(body).hexdigest(), coder.split_characters(ids, body)))
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols, kinds)], names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long")
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
