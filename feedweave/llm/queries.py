@@ -6,6 +6,7 @@ from feedweave.llm import (
     best_fit_packing,
     byte_bpe,
     chat_perspectives,
+    conversation_trie,
     license_scan,
     lm_scoring,
     ogg_media,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_chat_perspectives": chat_perspectives.op8_chat_perspectives,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op12_conversation_trie": conversation_trie.op12_conversation_trie,
     "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 
