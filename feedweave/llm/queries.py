@@ -13,6 +13,7 @@ from feedweave.llm import (
     quality_rules,
     simhash_dedup,
     source_mixing,
+    spelling_variants,
     suffix_dedup,
     url_filters,
 )
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_chat_perspectives": chat_perspectives.op8_chat_perspectives,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_spelling_variants": spelling_variants.op11_spelling_variants,
     "op12_conversation_trie": conversation_trie.op12_conversation_trie,
     "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
