@@ -70,3 +70,11 @@ def discard_part(table: DataFrame, *parts: str) -> None:
     for part in parts:
         p, fs = _path(table.sparkSession, f"{table._table_path}/{part}")
         fs.delete(p, True)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's missing crc32 of a text's UTF-8, as an expression: reflected polynomial, bit by bit."""
+    code = f"hex(encode({text}))"
+    octets = f"list_transform(range(1, length({code}), 2), lambda i: ('0x' || substr({code}, i::INT, 2))::BIGINT)"
+    eight = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, z: xor(d // 2, 3988292384 * (d % 2)))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda c, b: {eight}), 4294967295)"

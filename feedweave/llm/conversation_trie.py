@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import discard, materialize
+from feedweave.llm.common import crc32_sql, discard, materialize
 
 PIECE = 4096
 BLOCK = 512
@@ -286,3 +286,33 @@ def digests(conversations: DataFrame, piece: int = PIECE, fan: int = FAN, block:
 
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLE = f"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS k
+    FROM conversations),
+convs AS (SELECT conv_id, {crc32_sql("conv_id::VARCHAR")} % 6 AS h, conv_id - conv_id % 100 AS anchor FROM (SELECT DISTINCT conv_id FROM turns)),
+grafted AS (
+    SELECT c.conv_id, 0 AS own, k, role, text FROM convs c JOIN turns t ON t.conv_id = c.anchor AND k < h
+    UNION ALL SELECT c.conv_id, 1, k, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND k >= h),
+numbered AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, k) AS d, role, text FROM grafted),
+keyed AS (
+    SELECT conv_id, d, length(text) AS chars, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY d)) AS key
+    FROM numbered),
+rooted AS (SELECT * FROM keyed UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+ways AS MATERIALIZED (
+    SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY d) AS up, lead(d) OVER (PARTITION BY conv_id ORDER BY d) IS NULL AS last FROM rooted),
+nodes AS (
+    SELECT key, min(conv_id) AS least, min(d) AS depth, min(up) AS up, count(*) AS members, min(chars) AS chars,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+    FROM ways GROUP BY key),
+kids AS (SELECT up AS key, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up),
+sized AS MATERIALIZED (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (key)),
+sums AS (
+    SELECT w.key, sum((s.n_children = 0)::INT)::BIGINT AS n_leaves, sum((s.members - 1) * s.chars)::BIGINT AS saved
+    FROM sized s JOIN ways w ON w.conv_id = s.least AND w.d <= s.depth GROUP BY w.key)
+SELECT s.least AS conv_id, s.depth, p.least AS parent_conv_id, s.members AS n_convs, s.n_children, n_leaves, saved AS saved_tokens, s.ends_sha256
+FROM sized s JOIN sums USING (key) LEFT JOIN sized p ON p.key = s.up
+"""

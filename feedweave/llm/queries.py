@@ -38,4 +38,6 @@ ORACLES = {
     "op3_license_scan": license_scan.oracle(),
     "op6_url_filters": url_filters.oracle(),
     "op8_chat_perspectives": chat_perspectives.ORACLE,
+    "op11_spelling_variants": spelling_variants.ORACLE,
+    "op12_conversation_trie": conversation_trie.ORACLE,
 }

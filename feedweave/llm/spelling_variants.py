@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import discard, documents, materialize
+from feedweave.llm.common import crc32_sql, discard, documents, materialize
 
 #: Words of one trie.
 LIMIT = 1 << 14
@@ -232,3 +232,30 @@ def variants(docs: DataFrame, every: int = 97, least: int = 5, seen: int = 3, li
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(documents(spark, sf_dir))
+
+
+ORACLE = f"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+    FROM (SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+    GROUP BY ALL),
+hashed AS (SELECT run, n, {crc32_sql("doc_id || ':' || run")} AS h FROM runs WHERE length(run) >= 5),
+words AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+vocabulary AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM words WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS MATERIALIZED (
+    SELECT word, n, substr(word, 1, i - 1) AS l, substr(word, i + 1) AS r
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)),
+pairs AS MATERIALIZED (
+    SELECT a.word, b.word AS near, b.n FROM cuts a JOIN cuts b ON a.l = b.l AND a.r = b.r AND a.word <> b.word
+    UNION SELECT v.word, c.word, c.n FROM cuts c JOIN vocabulary v ON v.word = c.l || c.r
+    UNION SELECT c.word, v.word, v.n FROM cuts c JOIN vocabulary v ON v.word = c.l || c.r),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS near_n FROM pairs GROUP BY word),
+forms AS MATERIALIZED (
+    SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n
+    FROM vocabulary v LEFT JOIN best USING (word)),
+way AS (
+    SELECT word, word AS stop FROM forms
+    UNION ALL SELECT way.word, forms.form FROM way JOIN forms ON forms.word = way.stop WHERE forms.form IS NOT NULL),
+ends AS (SELECT way.word, stop AS root FROM way JOIN forms ON forms.word = stop AND forms.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""
