@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedweave.functions import destinations, postprocess, texts, urls
 from feedweave.functions import lexicon as L
-from feedweave.operators import admission, auto, feeds, followups, paging, policy, segments, selectors, shred, structured
+from feedweave.operators import admission, auto, clusters, feeds, followups, paging, policy, segments, selectors, shred, structured
 from feedweave.sources import responses as stored
 from feedweave.sources import shared
 
@@ -163,7 +163,8 @@ def list_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cluster_groups")
 def cluster_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.clusters(shred.shred(pages_of(spark, sf_dir))).select("page_id", "signature", "size", "rank")
+    groups, _ = clusters.grouped(shared.written(shred.shred(pages_of(spark, sf_dir), columns=clusters.NODES), "nodes"))
+    return groups.select("page_id", "signature", "size", "place")
 
 
 @query("surface_class", """SELECT page_id, CASE WHEN len(regexp_extract_all(html, '<a href=')) >= 20 THEN 'high_entropy_surface' ELSE 'unsupported_surface' END AS surface FROM pages""")
@@ -710,3 +711,59 @@ def selected_and_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = bodies(table(spark, sf_dir, "part"), "p_partkey", markup, "p_partkey", "p_name").withColumn("content_type", F.lit("text/html"))
     one, two = ({"selectors": {"items": {"selector": s, "enhance": False}, "url": {"selector": "a", "extractor": "href"}}} for s in ("li", "div"))
     return admission.united(selectors.query(pages, one), selectors.query(pages, two).withColumn("scraper", F.lit("semantic_html"))).select("feed_id", "position", "url", "scraper")
+
+
+def part_nodes(spark: SparkSession, sf_dir: str, html, columns=clusters.NODES) -> DataFrame:
+    """The node relation of a page per part, its markup by a column expression."""
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("page_id"), html.alias("html"))
+    return shared.written(shred.shred(pages, columns=columns), "nodes")
+
+
+@query("cluster_containers", """SELECT p_partkey AS page_id, signature, CAST(size AS BIGINT) AS size, signature = 'row' AND k > 1 AS contains
+FROM (SELECT p_partkey, p_size % 3 + 1 AS k FROM part) AS p, LATERAL (VALUES ('row', 2), ('card', 2 * k), ('mark', 4 * k)) AS g(signature, size)""")
+def cluster_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rows of one to three cards, each with two marks: a row is a container if it has two cards; marks are no layout."""
+    card = '<div class="card"><i class="mark">a</i><i class="mark">b</i></div>'
+    row = F.concat(F.lit('<div class="row">'), F.repeat(F.lit(card), (F.col("p_size") % 3 + 1).cast("int")), F.lit("</div>"))
+    groups, members = clusters.grouped(part_nodes(spark, sf_dir, F.concat(F.lit('<main class="only">'), row, row, F.lit("</main>"))))
+    found = clusters.containers(groups, members).withColumn("contains", F.lit(True))
+    return groups.join(found, clusters.GROUP, "left").select("page_id", "signature", "size", F.coalesce("contains", F.lit(False)).alias("contains"))
+
+
+@query("cluster_overlaps", """SELECT p_partkey AS page_id, CASE WHEN p_partkey % 2 = 0 AND p_size >= CAST(0.8 AS DOUBLE) * (p_size + 3) THEN 'inner' ELSE 'outer' END AS signature FROM part""")
+def cluster_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three wrappers one in the other: the topmost goes first; the innermost stays if it has most of the words and is of layout elements."""
+    tag = F.when(F.col("p_partkey") % 2 == 0, "div").otherwise("span")
+    inner = F.concat(F.lit("<"), tag, F.lit(' class="inner">'), F.repeat(F.lit("word "), F.col("p_size")), F.lit("</"), tag, F.lit(">"))
+    stack = F.concat(F.lit('<section class="top"><div class="outer">three more words '), inner, F.lit("</div></section>"))
+    groups, members = clusters.grouped(part_nodes(spark, sf_dir, F.concat(stack, stack)))
+    return clusters.resolved(groups, members).select("page_id", "signature")
+
+
+@query("cluster_scores", """WITH g AS (SELECT p_partkey AS page_id, unnest([{'s': 'a', 'v': 4.0 + CASE WHEN p_size % 2 = 1 THEN 20 ELSE 0 END, 'i': 0}, {'s': 'b', 'v': 5.0 + CASE WHEN p_size // 2 % 2 = 1 THEN 20 ELSE 0 END, 'i': 1}, {'s': 'c', 'v': 4.0 + CASE WHEN p_size % 5 = 0 THEN 40 ELSE 0 END, 'i': 2}]) AS g FROM part)
+SELECT page_id, first(g.s ORDER BY g.v DESC, g.i) AS signature, CAST(max(g.v) AS DOUBLE) AS score FROM g GROUP BY page_id""")
+def cluster_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of ten words an element, with a heading, a time or a month's name deep in one element each; one of few words is larger but does not count."""
+
+    def group(name: str, n: int, plain: str, marked: str, test) -> list:
+        one = f'<div class="{name}">{"word " * 9}<p><b>%s</b></p></div>'
+        return [F.lit(one % plain * (n - 1)), F.when(test, one % marked).otherwise(one % plain)]
+
+    small = f'<div class="small">{"word " * 4}</div>' * 6
+    size = F.col("p_size")
+    parts = [F.lit(small), *group("a", 2, "word", "<h4>word</h4>", size % 2 == 1), *group("b", 3, "word", '<u datetime="x">word</u>', F.floor(size / 2) % 2 == 1), *group("c", 2, "Marx", "Mar", size % 5 == 0)]
+    best, _ = clusters.best_cluster(part_nodes(spark, sf_dir, F.concat(*parts)))
+    return best.select("page_id", "signature", "score")
+
+
+@query("cluster_feed", """SELECT p_partkey AS feed_id, CAST(position AS INTEGER) AS position, p_name || ' of number ' || n AS title, 'https://shop.example/list#' || n || '-' || p_partkey AS url FROM part, (VALUES (0, 'one'), (1, 'two'), (2, 'three')) AS w(position, n)
+UNION ALL SELECT p_partkey + 1000000, CAST(position AS INTEGER), p_name || ' is item ' || n, 'https://shop.example/posts/' || n || '/' || p_partkey FROM part, (VALUES (0, 'one'), (1, 'two')) AS w(position, n)""")
+def cluster_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without links give their best cluster, whose cards get the address of their id; pages with a link list give that."""
+    cards = "".join(f'<div class="card" id="{n}-%1$d"><h3>%2$s of number {n}</h3><p>Some more words about it.</p></div>' for n in ("one", "two", "three"))
+    links = "".join(f'<li><a href="/posts/{n}/%1$d">%2$s is item {n}</a></li>' for n in ("one", "two"))
+    p = table(spark, sf_dir, "part")
+    bare = bodies(p, "p_partkey", f"<body><main>{cards}</main></body>", "p_partkey", "p_name")
+    linked = bodies(p, "p_partkey", f"<body><main>{cards}<ul>{links}</ul></main></body>", "p_partkey", "p_name").withColumn("feed_id", F.col("feed_id") + 1000000)
+    pages = shared.written(bare.unionByName(linked), "pages")
+    return auto.list_articles(pages, anchorless=True).select("feed_id", "position", "title", "url")

@@ -127,6 +127,11 @@ LANDMARKS = ("nav", "aside", "footer", "menu")
 CHROME_ROOTS = ("nav", "footer", "header")
 STRIPPED = ("script", "style", "noscript", "iframe", "svg", "template")
 CLUSTER_EXCLUDED = ("html", "body", "nav", "footer", "header", "svg", "script", "style")
+#: Words an element must have on average, points of a group, patterns of bold title classes and of dates in text.
+CLUSTER_MIN_WORDS = 5
+CLUSTER_POINTS = {"heading": 20, "time": 20, "date": 40}
+BOLD_CLASS = "font-bold|font-semibold"
+CLUSTER_DATE = r"\b\d{4}[-/]\d{2}[-/]\d{2}\b|\b(?i:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\b"
 LAYOUT = ("div", "section", "article", "li", "ul", "ol")
 
 #: The elements of a page that are kept, those kept beyond that many, and attributes kept by the start of their name.

@@ -52,24 +52,6 @@ def list_segments(nodes: DataFrame, minimum: int = 2, top: int = 5) -> DataFrame
     return one.select("page_id", "root_id", "link_id", (F.row_number().over(_page(F.col("rank"), F.col("link_id"))) - 1).alias("position"))
 
 
-def clusters(nodes: DataFrame, minimum: int = 2, most: int = 40) -> DataFrame:
-    """page_id, signature, size, first_id: groups of equal class lists, or of equal child tags where there is no class."""
-    body = nodes.where(~F.col("chrome") & ~F.col("tag").isin(*L.CLUSTER_EXCLUDED))
-    by_class = F.array_join(F.array_sort("class_names"), " ")
-    signature = F.when(F.size("class_names") > 0, F.concat(F.lit("class:"), by_class)).when(F.col("child_tags") != "", F.concat("tag", F.lit(":"), F.col("child_tags")))
-    groups = body.withColumn("signature", signature).where("signature is not null").groupBy("page_id", "signature").agg(F.count("*").alias("size"), F.min("node_id").alias("first_id"), F.avg("words").alias("avg_words"))
-    ranked = groups.where(F.col("size") >= minimum).withColumn("rank", F.row_number().over(_page(F.desc("size"), F.col("first_id"))))
-    return ranked.where(F.col("rank") <= most)
-
-
-def best_cluster(nodes: DataFrame) -> DataFrame:
-    """The cluster of each page with the highest size, word, heading and date score; under five words on average none."""
-    found = clusters(nodes)
-    score = F.col("size") + F.col("avg_words") / 5
-    ranked = found.where("avg_words >= 5").withColumn("score", score)
-    return ranked.withColumn("k", F.row_number().over(_page(F.desc("score"), F.col("first_id")))).where("k = 1").drop("k")
-
-
 def primary_links(nodes: DataFrame, segments: DataFrame, pages: DataFrame) -> DataFrame:
     """page_id, root_id, link_id, href: of a segment's anchors that are no noise the one of most points, the earliest of equals."""
     anchors = nodes.where("is_link").select("page_id", F.col("node_id").alias("link_id"), F.col("last_desc").alias("link_last"), "href", F.col("visible_text").alias("label"), "child_tags")
@@ -136,3 +118,9 @@ def rank_top(scored: DataFrame, limit: int = 99) -> DataFrame:
     """Segments of non-negative score by score, then position; limit per page."""
     ranked = scored.where("score >= 0").withColumn("rank", F.row_number().over(_page(F.desc("score"), F.col("position"))))
     return ranked.where(F.col("rank") <= limit)
+
+
+def first_eligible(scored: DataFrame, limit: int = 99) -> DataFrame:
+    """The first segments of each page in page order, whatever their score."""
+    ranked = scored.withColumn("rank", F.row_number().over(_page(F.col("position"))))
+    return ranked.where(F.col("rank") <= limit)

@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame
 
 from feedweave.dom.text import eligible_link, silent, visible_text
 from feedweave.dom.tree import Node, parse
-from feedweave.functions.lexicon import CHROME_ROOTS, DEGRADED_TAGS, HEADINGS, KEPT_ATTRIBUTES, MAX_NODES, STRIPPED
+from feedweave.functions.lexicon import CHROME_ROOTS, CLUSTER_DATE, DEGRADED_TAGS, HEADINGS, KEPT_ATTRIBUTES, MAX_NODES, STRIPPED
 
-#: Columns of the relation. visible_text is that of links, headings and body; words counts the visible words of every element.
+#: Columns of the relation. visible_text is that of links, headings and body; words counts the visible words of every element;
+#: own_date tells that a text of the element itself, seen from outside, holds a date: texts of neighbours never touch, so an
+#: element's visible text holds one where it or an element below it does.
 COLUMNS = {
     "page_id": ("long", pa.int64()),
     "node_id": ("int", pa.int32()),
@@ -35,6 +37,7 @@ COLUMNS = {
     "rel": ("string", pa.string()),
     "attributes": ("map<string,string>", pa.map_(pa.string(), pa.string())),
     "own_text": ("string", pa.string()),
+    "own_date": ("boolean", pa.bool_()),
     "visible_text": ("string", pa.string()),
     "words": ("int", pa.int32()),
     "chrome": ("boolean", pa.bool_()),
@@ -46,6 +49,7 @@ COLUMNS = {
 }
 ROWS = 8192
 _KEPT = regex.compile(KEPT_ATTRIBUTES, regex.IGNORECASE)
+_DATE = regex.compile(CLUSTER_DATE)
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
 
 
@@ -110,6 +114,12 @@ def rows(page_id: int | None, root: Node, columns: tuple[str, ...] = tuple(COLUM
     put("rel", lambda n, *_: n.attrs.get("rel") or None)
     put("attributes", lambda n, *_: [(k, v) for k, v in n.attrs.items() if _KEPT.match(k)])
     put("own_text", lambda n, *_: "".join(c for c in n.children if isinstance(c, str)))
+    if "own_date" in want:
+        quiet: set[int] = set()
+        for i, (n, parent, *_) in enumerate(kept):
+            if parent in quiet or silent(n):
+                quiet.add(i)
+        out["own_date"] = [i not in quiet and any(isinstance(c, str) and _DATE.search(c) is not None for c in n.children) for i, (n, *_) in enumerate(kept)]
     put("visible_text", lambda n, *_: visible_text(n) if n.name in HEADINGS or n.name == "body" or eligible_link(n) else None)
     if "words" in want:
         count = word_counts(root)
