@@ -2,8 +2,8 @@
 
 Texts become pieces of at most CAPACITY tokens. A piece goes to the open sequence for which the sum over residual gaps of
 the squared number of open sequences with that gap becomes smallest (a new sequence is one of the choices; ties: the
-tightest). The squares keep many kinds of gaps for pieces to come; the last pieces of a group, ENDGAME of its tokens, have
-none after them and go to the tightest gap. Pieces are dealt evenly over groups of about GROUP pieces whatever their ids or
+tightest). Then, REOPEN times, the sequences with most room (a fifth, a tenth in every other round) are opened again and
+their pieces placed anew by the same rule among the others' gaps, if that takes no more sequences. Pieces are dealt evenly over groups of about GROUP pieces whatever their ids or
 lengths; each group is packed by one task, long pieces first. Its sequences that stay open are then pieces themselves: FAN groups at a time meet in the
 next round, up to one last group, so open ends do not grow with the number of groups.
 
@@ -33,23 +33,23 @@ END = 0
 GROUP = 16_384
 FAN = 64
 BATCH_CHARS = 4_000_000
-ENDGAME = 0.2
+REOPEN = 6
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY, endgame: float = ENDGAME) -> tuple[np.ndarray, np.ndarray]:
-    """Bin number and offset of each length, in the order given; the last endgame of all tokens take the tightest gap."""
-    last = np.cumsum(lengths) > (1 - endgame) * np.sum(lengths)
+def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY, filled: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bin number of each length, in the order given, and how full each bin is then; bins that are there already hold filled."""
     counts = np.zeros(capacity + 1, np.int64)  # open bins per gap
     bins: list[list[int]] = [[] for _ in range(capacity + 1)]
-    used: list[int] = []
-    where, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    used: list[int] = [] if filled is None else filled.tolist()
+    for bin_, full in enumerate(used):
+        if full < capacity:
+            bins[capacity - full].append(bin_)
+            counts[capacity - full] += 1
+    where = np.empty(len(lengths), np.int64)
     huge = np.int64(2**62)
     for k, size in enumerate(lengths.tolist()):
         best = None
-        if size < capacity and last[k]:
-            open_ = np.nonzero(counts[size:capacity])[0]
-            best = int(open_[0]) + size if len(open_) else None
-        elif size < capacity:
+        if size < capacity:
             # from gap g to gap g - size: the squares change by 2 (N[g - size] - N[g] + 1), a full bin leaves the sum
             have = counts[size:capacity]
             change = -2 * have + 1
@@ -64,12 +64,32 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY, endgame: float
         else:
             bin_, gap = bins[best].pop(), best
             counts[best] -= 1
-        where[k], offset[k] = bin_, used[bin_]
+        where[k] = bin_
         used[bin_] += size
         left = gap - size
         if left:
             bins[left].append(bin_)
             counts[left] += 1
+    return where, np.array(used, np.int64)
+
+
+def reopened(lengths: np.ndarray, capacity: int = CAPACITY, rounds: int = REOPEN) -> tuple[np.ndarray, np.ndarray]:
+    """Bin number and offset of each length: the rule, then again for the pieces of the bins with most room."""
+    where, used = sum_of_squares(lengths, capacity)
+    for r in range(rounds):
+        poor = np.argsort(used, kind="stable")[: max(1, len(used) // (10 if r % 2 else 5))]
+        poor = poor[used[poor] < capacity]
+        again, kept = np.isin(where, poor), np.setdiff1d(np.arange(len(used)), poor)
+        placed, full = sum_of_squares(lengths[again], capacity, used[kept])
+        if not again.any() or len(full) > len(used):
+            break
+        where[~again] = np.searchsorted(kept, where[~again])
+        where[again], used = placed, full
+    order = np.argsort(where, kind="stable")
+    before = np.cumsum(lengths[order]) - lengths[order]
+    starts = np.cumsum(used) - used
+    offset = np.empty(len(lengths), np.int64)
+    offset[order] = before - starts[where[order]]
     return where, offset
 
 
@@ -120,7 +140,7 @@ def pack(table: DataFrame, n: int, capacity: int = CAPACITY, group: int = GROUP)
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "deal"], ascending=[False, True], kind="stable")
-        where, offset = sum_of_squares(pdf["length"].to_numpy(), capacity)
+        where, offset = reopened(pdf["length"].to_numpy(), capacity)
         used = np.bincount(where, pdf["length"].to_numpy()).astype(np.int64) if len(where) else np.empty(0, np.int64)
         first = pdf["deal"].to_numpy()[np.unique(where, return_index=True)[1]] if len(where) else np.empty(0, np.int64)
         return pd.DataFrame({"deal": pdf["deal"].to_numpy(), "length": pdf["length"].to_numpy(), "bin": first[where], "offset": offset, "used": used[where]})

@@ -258,9 +258,11 @@ def test_packing_rule_equals_brute_force():
     rng = np.random.default_rng(6)
     for t in range(60):
         lengths = rng.integers(1, 41, int(rng.integers(1, 40)))
-        where, offset = best_fit_packing.sum_of_squares(lengths, 40, 0.0)
-        gaps = []
-        for size, bin_, at in zip(lengths.tolist(), where.tolist(), offset.tolist(), strict=True):
+        filled = rng.integers(1, 41, int(rng.integers(0, 6)))
+        where, used = best_fit_packing.sum_of_squares(lengths, 40, filled)
+        assert (used == np.concatenate([filled, np.zeros(len(used) - len(filled), int)]) + np.bincount(where, lengths, len(used)).astype(int)).all() and used.max() <= 40
+        gaps = (40 - filled).tolist()
+        for size, bin_ in zip(lengths.tolist(), where.tolist(), strict=True):
             choices = {}
             for g in sorted({x for x in gaps if x >= size}):
                 after = list(gaps)
@@ -270,13 +272,35 @@ def test_packing_rule_equals_brute_force():
             best = min(choices.values(), default=None)
             if best is not None and best <= new:
                 want = min(g for g, v in choices.items() if v == best)
-                assert bin_ < len(gaps) and gaps[bin_] == want and at == 40 - want
+                assert bin_ < len(gaps) and gaps[bin_] == want
                 gaps[bin_] -= size
             else:
-                assert bin_ == len(gaps) and at == 0
+                assert bin_ == len(gaps)
                 gaps.append(40 - size)
-        where, _ = best_fit_packing.sum_of_squares(np.sort(lengths)[::-1], 40)
-        assert np.bincount(where, np.sort(lengths)[::-1]).max() <= 40
+
+
+def test_reopened_bins_follow_the_rule():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        lengths = np.sort(rng.integers(1, 41, int(rng.integers(1, 80))))[::-1]
+        where, used = best_fit_packing.sum_of_squares(lengths, 40)
+        bins = [[n for n, b in zip(lengths.tolist(), where.tolist(), strict=True) if b == k] for k in range(len(used))]
+        for r in range(best_fit_packing.REOPEN):  # the same rounds on lists of pieces
+            order = sorted(range(len(bins)), key=lambda k: sum(bins[k]))
+            poor = [k for k in order[: max(1, len(bins) // (10 if r % 2 else 5))] if sum(bins[k]) < 40]
+            kept = [b for k, b in enumerate(bins) if k not in poor]
+            pieces = sorted((n for k in poor for n in bins[k]), reverse=True)
+            placed, full = best_fit_packing.sum_of_squares(np.array(pieces, int), 40, np.array([sum(b) for b in kept], int))
+            if not pieces or len(full) > len(bins):
+                break
+            bins = [list(b) for b in kept] + [[] for _ in range(len(full) - len(kept))]
+            for n, b in zip(pieces, placed.tolist(), strict=True):
+                bins[b].append(n)
+        where, offset = best_fit_packing.reopened(lengths, 40)
+        assert sorted(sorted(lengths[where == k].tolist()) for k in set(where.tolist())) == sorted(map(sorted, bins))
+        for k in set(where.tolist()):
+            rows = sorted(zip(offset[where == k].tolist(), lengths[where == k].tolist(), strict=True))
+            assert rows[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(rows, rows[1:], strict=False)) and sum(rows[-1]) <= 40
 
 
 def test_packing_needs_few_sequences(spark):
