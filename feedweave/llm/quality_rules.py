@@ -183,12 +183,15 @@ def verdict(rules: list[Rule], source: str = "_f") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[Rule]:
-    """Learn from the labelled documents that pass the base checks; at most fit_rows of them, lowest id hash first."""
+    """Learn from the labelled documents that pass the base checks; at most fit_rows of them, lowest id hash first.
+
+    Rows that repeat an id are one document here, that of the least statistics, so no more than fit_rows rows are gathered.
+    """
     picked = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality")
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(fit_rows)
     joined = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most fit_rows small rows
     stats = text_statistics(joined).where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    got = stats.select("doc_id", "_f", (F.col("quality") == 0).cast("int").alias("bad"))
+    got = stats.groupBy("doc_id", (F.col("quality") == 0).cast("int").alias("bad")).agg(F.min("_f").alias("_f"))
     rows = [r["_f"].asDict() | {"bad": r["bad"], "id": r["doc_id"]} for r in got.collect()]
     rows.sort(key=lambda r: (hash_order(r["id"]), tuple(r[f] for f in FEATURES)))
     return learn(rows)

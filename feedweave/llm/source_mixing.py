@@ -127,15 +127,17 @@ def pivotal(items: DataFrame, largest: int, seed: int = 7, block: int = BLOCK) -
 
 
 def _compare(x: Column, y: Column) -> Column:
-    """Long documents first, so that the mass left at the end is that of a short one."""
+    """Long documents first. A long one is settled only after short ones have moved as much mass as it has room, so the one left may be long."""
     a, b = F.struct(-x["a"], x["k"]), F.struct(-y["a"], y["k"])
     return F.when(a < b, F.lit(-1)).when(a > b, F.lit(1)).otherwise(F.lit(0))
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
-    """docs plus the key columns _s, _id, _n (words) and _h (hash of the text)."""
+    """docs plus the key columns _s, _id (the id if it is a whole number, else its hash), _n (words) and _h (hash of the text)."""
+    whole = docs.schema["doc_id"].dataType.typeName() in ("long", "integer", "short", "byte")
+    key = F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
     n = F.size(words_of(whole_text())).cast("long")
-    return docs.withColumns({"_s": F.col("source"), "_id": F.col("doc_id").cast("long"), "_n": n, "_h": F.xxhash64("text", *[c for c in docs.columns if c not in ("text", "doc_id", "source")])})
+    return docs.withColumns({"_s": F.col("source"), "_id": key, "_n": n, "_h": F.xxhash64("text", *[c for c in docs.columns if c not in ("text", "doc_id", "source")])})
 
 
 KEY = ("_s", "_id", "_n", "_h")
@@ -174,18 +176,21 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """docs with every row as often as the mix takes it."""
-    keyed = sized_documents(docs)
-    decided = materialize(copies(keyed.select(*KEY), seed).where("total > 0").select(*KEY, F.col("rows").alias("_rows"), F.col("total").alias("_total")), "copies")
+    """docs with every row as often as the mix takes it; names, types and repeats of docs are free."""
+    names = docs.columns
+    plain = [x if x in ("doc_id", "text", "source") else f"_in{i}" for i, x in enumerate(names)]
+    keyed = sized_documents(docs.toDF(*plain))
+    decided = copies(keyed.select(*KEY), seed).where("total > 0").select(*KEY, F.col("rows").alias("_rows"), F.col("total").alias("_total"))
+    decided = materialize(decided, "copies")
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in KEY]
     joined = keyed.alias("d").join(decided.alias("c"), same).select("d.*", "c._rows", "c._total")
-    single = joined.where("_rows = 1").select(*docs.columns, "_total")
+    single = joined.where("_rows = 1").select(*plain, "_total")
     if not decided.where("_rows > 1").isEmpty():  # equal rows: one of them stands for all copies
-        first = [F.first(c).alias(c) for c in docs.columns]
+        first = [F.first(c).alias(c) for c in plain]
         many = joined.where("_rows > 1").groupBy(*[F.col(c) for c in KEY]).agg(*first, F.first("_total").alias("_total"))
-        single = single.unionByName(many.select(*docs.columns, "_total"))
+        single = single.unionByName(many.select(*plain, "_total"))
     again = single.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_total"))))
-    return again.select(*docs.columns)
+    return again.select(*plain).toDF(*names)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

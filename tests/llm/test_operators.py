@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from feedweave.llm import best_fit_packing, chat_perspectives, license_scan, lm_scoring, ogg_media, ppm, quality_rules, simhash_dedup, source_mixing, suffix_dedup, url_filters
 from feedweave.llm.suffix_sort import suffix_array
@@ -628,3 +629,25 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() == 0
+
+
+def test_mixing_of_any_names_ids_and_repeats(spark):
+    rows = [(f"id {i % 40}", "word " * (3 + i % 50), "abc"[i % 3], i % 7, "x") for i in range(120)] + [(None, "same words here", "a", 1, "y")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string, _rows long, _n string").withColumns({"_total": F.lit(1), "_id": F.lit("z"), "_in3": F.lit(2)})
+    got = source_mixing.mix(docs)
+    assert got.columns == docs.columns
+    assert got.join(docs, docs.columns, "left_anti").count() <= got.where("doc_id is null").count()  # null ids do not join
+    sizes = {s: sum(len(t.split()) for _, t, x, *_ in rows if x == s) for s in "abc"}
+    taken = {r.source: r.n for r in got.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    want = {r._s: r.target for r in source_mixing.copies(source_mixing.sized_documents(docs.select("doc_id", "text", "source")).select(*source_mixing.KEY)).select("_s", "target").distinct().collect()}
+    assert all(abs(taken[s] - want[s]) <= 60 for s in sizes)
+
+
+def test_fit_gathers_one_row_of_an_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_rules, "learn", lambda rows, *_: seen.append(rows) or [])
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "s")] * 3000 + [(2, text + " z", "s")], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(1, 0), (1, 0), (2, 1), (3, 1), (None, 1)], "doc_id long, quality int")
+    quality_rules.fit(docs, labels)
+    assert sorted((r["id"], r["bad"]) for r in seen[0]) == [(1, 1), (2, 0)]
