@@ -767,3 +767,22 @@ def cluster_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = bodies(p, "p_partkey", f"<body><main>{cards}<ul>{links}</ul></main></body>", "p_partkey", "p_name").withColumn("feed_id", F.col("feed_id") + 1000000)
     pages = shared.written(bare.unionByName(linked), "pages")
     return auto.list_articles(pages, anchorless=True).select("feed_id", "position", "title", "url")
+
+
+@query("parent_cards", """SELECT p_partkey AS feed_id, CAST(i AS INTEGER) AS position, 'https://shop.example/' || i || '/' || p_partkey AS url,
+ CASE i WHEN 0 THEN p_brand || chr(10) || p_name || ' is new' WHEN 1 THEN 'Inside ' || p_name END AS description, CASE WHEN i = 0 THEN '2024-03-' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') END AS published, CASE WHEN i = 0 THEN [p_brand] ELSE [] END AS categories
+FROM part, range(0, 5) AS r(i)""")
+def parent_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links as items: the first has its text, date and topic beside it, two wrappers up; the second has a text of its own;
+    the third shares its box with another link, the fourth with a second heading; the fifth stands alone in the page's menu."""
+    markup = (
+        '<body><main><div><div><p><a class="item" href="/0/%1$d">First of %2$s</a></p></div><span class="topic">%3$s</span><p>%2$s is new</p><p>2024-03-%4$02d</p></div>'
+        '<div><a class="item" href="/1/%1$d"><h3>Second of %2$s</h3><p>Inside %2$s</p></a><p>outside</p></div>'
+        '<div><b><a class="item" href="/2/%1$d">Third of %2$s</a></b><p>A text. <a href="/other">Another</a></p></div>'
+        '<div><b><a class="item" href="/3/%1$d">Fourth of %2$s</a></b><h2>One</h2><h3>Two</h3><p>text</p></div></main>'
+        '<nav><ul><li><a class="item" href="/4/%1$d">Fifth of %2$s</a></li></ul></nav></body>'
+    )
+    p = table(spark, sf_dir, "part").withColumn("day", F.col("p_size") % 28 + 1)
+    pages = bodies(p, "p_partkey", markup, "p_partkey", "p_name", "p_brand", "day").withColumn("content_type", F.lit("text/html"))
+    got = selectors.query(pages, {"selectors": {"items": {"selector": "a.item"}}})
+    return got.select("feed_id", "position", "url", "description", F.col("published_at_raw").alias("published"), "categories")

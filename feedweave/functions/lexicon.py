@@ -125,6 +125,7 @@ BLOCKS = ("p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr"
 INVISIBLE = ("svg", "script", "noscript", "style", "template")
 LANDMARKS = ("nav", "aside", "footer", "menu")
 CHROME_ROOTS = ("nav", "footer", "header")
+CARD_STOPS = (*LANDMARKS, *CHROME_ROOTS, "svg", "script", "style", "html", "body")
 STRIPPED = ("script", "style", "noscript", "iframe", "svg", "template")
 CLUSTER_EXCLUDED = ("html", "body", "nav", "footer", "header", "svg", "script", "style")
 #: Words an element must have on average, points of a group, patterns of bold title classes and of dates in text.

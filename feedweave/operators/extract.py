@@ -182,8 +182,21 @@ def published_of(item: Node, lines: list[str]) -> str | None:
     return next((date_core(x) for x in lines if date_shaped(x)), None)
 
 
+def parent_card(item: Node) -> Node | None:
+    """The nearest element above that is no landmark and holds more than the way to the item; null if it looks like a listing.
+
+    A listing has more than one heading or main links to more than one target.
+    """
+    card = next((n for n in item.ancestors() if n.name not in L.CARD_STOPS and len(n.elements()) > 1), None)
+    if card is None:
+        return None
+    below = [n for n in card.walk() if n is not card]
+    targets = {n.attrs["href"] for n in below if n.name == "a" and n.attrs.get("href") and not n.attrs["href"].startswith(L.SKIP_HREF)}
+    return None if len(targets) > 1 or sum(n.name in L.HEADINGS for n in below) > 1 else card
+
+
 def extract(item: Node, base: str, anchor: Node | None = None, *, fallback_anchorless: bool = True) -> dict:
-    """All article fields of an item element."""
+    """All article fields of an item element; text, date and categories of a bare heading or link come from its card."""
     heading = heading_of(item, anchor)
     source = heading if heading is not None else anchor
     title = visible_text(source) if source is not None else first_text(item)
@@ -198,15 +211,25 @@ def extract(item: Node, base: str, anchor: Node | None = None, *, fallback_ancho
     ident = item_id(item, heading, url, anchor)
     if url is None and fallback_anchorless and ident:
         url = resolved(f"#{ident}", base)
-    lines = leftover(item, [heading, anchor, kicker, *[n for n in item.walk() if n.name == "time"]])
-    kept = [x for x in lines if keep_line(x, title)]
+
+    def said(node: Node) -> tuple[list[str], list[str]]:
+        lines = leftover(node, [heading, anchor, kicker, *[n for n in node.walk() if n.name == "time"]])
+        return lines, [x for x in lines if keep_line(x, title)]
+
+    lines, kept = said(item)
+    published, source = published_of(item, lines), item
+    if item.name in (*L.HEADINGS, "a") and published is None and not kept:
+        card = parent_card(item)
+        if card is not None:
+            lines, kept = said(card)
+            published, source = published_of(card, lines), card
     return {
         "title": title,
         "url": url,
         "image": image_of(item, base),
         "description": "\n".join(kept) or None,
         "id": ident,
-        "published_at": published_of(item, lines),
+        "published_at": published,
         "enclosures": enclosures_of(item, base),
-        "categories": categories_of(item, title),
+        "categories": categories_of(source, title),
     }
