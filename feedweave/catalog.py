@@ -662,6 +662,14 @@ def crawled_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.crawl(store, start, paging.by_selector("b.more"), 3).select("feed_id", "page_no", "url")
 
 
+@query("crawled_xpath", _CHAIN)
+def crawled_xpath(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an XPath to the link after the current page's, in a store that holds every page twice."""
+    store, start = _chain(spark, sf_dir, '<body><ul><li><a href="/q">1</a></li><li class="now">2</li><li><a href="/p/%1$d">3</a></li><li><a href="/q">4</a></li></ul></body>')
+    twice = store.unionByName(store.withColumn("body", F.concat("body", F.lit("<!-- again -->"))))
+    return paging.crawl(twice, start, paging.by_selector("//li[contains(@class, 'now')]/following-sibling::li[1]/a/@href"), 3).select("feed_id", "page_no", "url")
+
+
 @query("offset_urls", """SELECT p_partkey AS page_id, CAST(n AS INTEGER) AS page_no, CASE WHEN p_size > 25 THEN 'https://shop.example/l/' || CAST(n * 20 AS VARCHAR) ELSE 'https://shop.example/l?k=' || p_partkey || '&offset=' || CAST(n * 20 AS VARCHAR) END AS url FROM part, range(1, 4) AS r(n)""")
 def offset_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.when(F.col("p_size") > 25, "https://shop.example/l/{offset}").otherwise(F.concat(F.lit("https://shop.example/l?k="), F.col("p_partkey").cast("string"))).alias("base"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page_no"))

@@ -12,7 +12,7 @@ from feedweave.dom import css
 from feedweave.dom.tree import parse
 from feedweave.functions import urls
 from feedweave.functions.urls import resolved
-from feedweave.operators import shred
+from feedweave.operators import shred, xpath
 from feedweave.sources.shared import written
 
 
@@ -46,19 +46,48 @@ def rel_next(responses: DataFrame) -> DataFrame:
 
 
 def by_selector(selector: str) -> Callable[[DataFrame], DataFrame]:
-    """A next_of for crawl: the target of the first element of a CSS selector, else its text."""
-    css.compile_selector(selector)
+    """A next_of for crawl: the target of the first element of a CSS selector, or else of an XPath; its text where it has no href.
+
+    An empty href ends the paging.
+    """
+    try:
+        css.compile_selector(selector)
+    except css.SelectorError:
+        return by_xpath(selector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             feed, url, body = (c.to_pylist() for c in b.columns)
             found = [css.first(parse(x), selector) if x is not None else None for x in body]
-            told = [None if n is None else (n.attrs.get("href") or n.text()).strip() for n in found]
+            told = [None if n is None else n.attrs.get("href", n.text()).strip() for n in found]
             yield pa.RecordBatch.from_pydict({"feed_id": feed, "url": [resolved(t, u or "") if t else None for t, u in zip(told, url, strict=True)]}, pa.schema([("feed_id", pa.int64()), ("url", pa.string())]))
 
     return lambda responses: responses.select("feed_id", "url", "body").mapInArrow(run, "feed_id long, url string").where("url is not null")
 
 
+def by_xpath(path: str) -> Callable[[DataFrame], DataFrame]:
+    """The same by an XPath, over the node relation; it may end in an attribute."""
+    xpath.compile_path(path)
+    columns = tuple(c for c in xpath.NODES if c != "text" or "." in path or "normalize-space" in path)
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            feed, body, node = (c.to_pylist() for c in b.columns)
+            said = [shred.numbered(parse(x))[i].text() for x, i in zip(body, node, strict=True)]
+            yield pa.RecordBatch.from_pydict({"feed_id": feed, "told": said}, pa.schema([("feed_id", pa.int64()), ("told", pa.string())]))
+
+    def next_of(responses: DataFrame) -> DataFrame:
+        nodes = written(shred.shred(responses, "feed_id", "body", columns), "nodes")
+        found = written(xpath.first(nodes, path).withColumnRenamed("page_id", "feed_id"), "found")
+        bare = found.where("href is null and value is null").select("feed_id", "node_id")
+        said = responses.join(bare, "feed_id").select("feed_id", "body", "node_id").mapInArrow(texts, "feed_id long, told string")
+        told = found.where("href is not null or value is not null").select("feed_id", F.coalesce("value", "href").alias("told")).unionByName(said)
+        both = told.where(F.trim("told") != "").join(responses.select("feed_id", F.col("url").alias("base")), "feed_id")
+        return both.select("feed_id", urls.resolve(F.trim("told"), F.col("base")).alias("url")).where("url is not null")
+
+    return next_of
+
+
 def json_cursor(body: Column, path: str) -> Column:
     """A dotted path into a JSON body as text."""
     return F.get_json_object(body, "$." + path)
@@ -80,16 +109,18 @@ def crawl(store: DataFrame, start: DataFrame, next_of: Callable[[DataFrame], Dat
     """start (feed_id, url) and up to max_pages - 1 follow-ups each; next_of(responses) gives feed_id, url.
 
     feed_id, page_no, url and the stored columns. An unknown or visited URL (fragments aside) ends a feed's paging. Each round is one join
-    with the store and is written, so neither its plan nor its work is repeated by the next.
+    with the store and is written, so neither its plan nor its work is repeated by the next. Of several responses stored
+    for a URL the one of the least body hash counts, of several URLs of a feed the least.
     """
     visited: DataFrame | None = None
-    current = start.select("feed_id", "url").withColumn("page_no", F.lit(0))
+    current = start.groupBy("feed_id").agg(F.min("url").alias("url")).withColumn("page_no", F.lit(0))
     for k in range(max_pages):
-        got = written(follow(current, store).where("body is not null"), "round")
+        one = follow(current, store).where("body is not null").groupBy("feed_id").agg(F.min_by(F.struct("*"), F.xxhash64("body")).alias("_r"))
+        got = written(one.select("_r.*"), "round")
         visited = got if visited is None else visited.unionByName(got)
         if k + 1 == max_pages or got.isEmpty():
             break
-        nxt = next_of(got).select("feed_id", "url").withColumn("page_no", F.lit(k + 1))
+        nxt = next_of(got).groupBy("feed_id").agg(F.min("url").alias("url")).withColumn("page_no", F.lit(k + 1))
         seen = visited.select("feed_id", urls.without_fragment(F.col("url")).alias("_seen"))
         current = nxt.withColumn("_seen", urls.without_fragment(F.col("url"))).join(seen, ["feed_id", "_seen"], "left_anti").drop("_seen")
     return visited

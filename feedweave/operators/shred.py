@@ -46,7 +46,11 @@ COLUMNS = {
     "non_leaf": ("boolean", pa.bool_()),
     "child_tags": ("string", pa.string()),
     "degraded": ("boolean", pa.bool_()),
+    "all_attributes": ("map<string,string>", pa.map_(pa.string(), pa.string())),
+    "text": ("string", pa.string()),
 }
+#: What is given unless asked otherwise: all but every attribute and the whole text of every element.
+USUAL = tuple(c for c in COLUMNS if c not in ("all_attributes", "text"))
 ROWS = 8192
 _KEPT = regex.compile(KEPT_ATTRIBUTES, regex.IGNORECASE)
 _DATE = regex.compile(CLUSTER_DATE)
@@ -77,6 +81,11 @@ def elements(root: Node) -> tuple[list[tuple[Node, int, int, str, bool]], list[i
     return out, last, degraded
 
 
+def numbered(root: Node) -> list[Node]:
+    """Elements by their node_id."""
+    return [n for n, *_ in elements(root)[0]]
+
+
 def word_counts(root: Node) -> dict[int, int]:
     """Visible words by id() of each element: children are set apart by a space or line end, so counts add up."""
     order = list(root.walk())
@@ -87,7 +96,7 @@ def word_counts(root: Node) -> dict[int, int]:
     return count
 
 
-def rows(page_id: int | None, root: Node, columns: tuple[str, ...] = tuple(COLUMNS)) -> dict[str, list]:
+def rows(page_id: int | None, root: Node, columns: tuple[str, ...] = USUAL) -> dict[str, list]:
     """The asked-for columns of one page, as lists."""
     kept, last, degraded = elements(root)
     want = set(columns)
@@ -145,10 +154,12 @@ def rows(page_id: int | None, root: Node, columns: tuple[str, ...] = tuple(COLUM
                 names[parent].append(n.name)
         out["child_tags"] = [">".join(x) for x in names]
     put("degraded", lambda *_: degraded)
+    put("all_attributes", lambda n, *_: list(n.attrs.items()))
+    put("text", lambda n, *_: n.text())
     return out
 
 
-def shred(pages: DataFrame, key: str = "page_id", html: str = "html", columns: tuple[str, ...] = tuple(COLUMNS)) -> DataFrame:
+def shred(pages: DataFrame, key: str = "page_id", html: str = "html", columns: tuple[str, ...] = USUAL) -> DataFrame:
     """key, html to nodes with the asked-for columns. A null page has none."""
     schema = pa.schema([(c, COLUMNS[c][1]) for c in columns])
 
