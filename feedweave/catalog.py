@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from feedweave.functions import destinations, postprocess, texts, urls
 from feedweave.functions import lexicon as L
-from feedweave.operators import admission, auto, clusters, feeds, followups, paging, policy, segments, selectors, shred, structured
+from feedweave.operators import admission, auto, clusters, domains, feeds, followups, paging, policy, segments, selectors, shred, structured
+from feedweave.sources import fetch
 from feedweave.sources import responses as stored
 from feedweave.sources import shared
 
@@ -794,3 +795,61 @@ def parent_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = bodies(p, "p_partkey", markup, "p_partkey", "p_name", "p_brand", "day").withColumn("content_type", F.lit("text/html"))
     got = selectors.query(pages, {"selectors": {"items": {"selector": "a.item"}}})
     return got.select("feed_id", "position", "url", "description", F.col("published_at_raw").alias("published"), "categories")
+
+
+@query("captured_by_path", """SELECT p_partkey AS feed_id, 'list' AS strategy, CASE WHEN p_size % 2 = 0 THEN 'div.big' ELSE 'main > div' END AS selector, CAST(2 AS BIGINT) AS matches FROM part WHERE p_size <= 25""")
+def captured_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles known by another host's addresses: links match by the end of the URL, and their headings stand for the cards
+    around them, which share a class or only a path. Large parts have articles the page does not lead to."""
+    card = '<div class="%3$s"><h3><a href="/n/{0}/%1$d">Item {0} of %2$s</a></h3><p><a href="/tag/%1$d">tag</a></p></div>'
+    p = table(spark, sf_dir, "part").withColumn("names", F.when(F.col("p_size") % 2 == 0, "card big").otherwise(""))
+    pages = bodies(p, "p_partkey", f"<body><main>{card.format('one')}{card.format('two')}</main></body>", "p_partkey", "p_name", "names")
+    end = F.when(F.col("p_size") <= 25, F.concat(F.lit("/"), F.col("p_partkey").cast("string"))).otherwise(F.lit("/none"))
+    articles = p.select(F.col("p_partkey").alias("feed_id"), F.explode(F.array(*[F.concat(F.lit(f"https://mirror.example/x/n/{n}"), end) for n in ("one", "two")])).alias("url"))
+    return auto.capture(shared.written(pages, "pages"), articles)
+
+
+@query("registrable_domains", """WITH h AS (SELECT p_partkey AS feed_id, p_partkey AS k, 'n' || (p_partkey % 25) AS cc, p_size % 7 AS shape FROM part)
+SELECT feed_id, CASE shape WHEN 0 THEN 'shop' || k || '.co.' || cc WHEN 1 THEN 'shop' || k || '.' || cc WHEN 2 THEN 'y' || k || '.any.w' || cc WHEN 3 THEN 'www.w' || cc WHEN 4 THEN 'co.' || cc WHEN 5 THEN 'b.unknown' || k ELSE '10.0.0.' || (k % 256) END AS domain FROM h""")
+def registrable_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of seven shapes under suffix rules made of nation numbers: plain, two-label, wildcard, exception, a suffix itself, unknown, an address."""
+    cc = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
+    lines = table(spark, sf_dir, "nation").select(F.explode(F.array(F.lit("// list"), cc, F.concat(F.lit("CO."), cc), F.concat(F.lit("*.w"), cc), F.concat(F.lit("!www.w"), cc, F.lit(" note")))).alias("value"))
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 7).alias("shape"), F.col("p_partkey").cast("string").alias("k"), F.concat(F.lit("n"), (F.col("p_partkey") % 25).cast("string")).alias("cc"))
+    shapes = ("www.shop%1$s.co.%2$s", "a.b.shop%1$s.%2$s", "x.y%1$s.any.w%2$s", "x.www.w%2$s", "co.%2$s", "a.b.unknown%1$s")
+    host = F.when(F.col("shape") == 6, F.concat(F.lit("10.0.0."), (F.col("p_partkey") % 256).cast("string")))
+    for i, shape in enumerate(shapes):
+        host = host.when(F.col("shape") == i, F.format_string(shape, "k", "cc"))
+    hosts = p.select(F.col("p_partkey").alias("feed_id"), F.concat(F.lit("HTTPS://"), F.upper(host), F.lit(":8443/list")).alias("url"))
+    return domains.with_domain(hosts, domains.rules(lines)).select("feed_id", "domain")
+
+
+def part_server(url: str, headers: dict, seconds: float, most: int, peer_allowed) -> tuple[int, dict, bytes]:
+    """A transport that plays a server: /kind/number."""
+    kind, _, number = url.split("/", 3)[3].partition("/")
+    if kind.startswith("r") and kind != "r0":
+        return 302, {"Location": f"/r{int(kind[1:]) - 1}/{number}"}, b""
+    if kind == "away":
+        return 301, {"location": f"https://other.example/r0/{number}"}, b""
+    if kind == "down":
+        return 307, {"Location": f"http://shop.example/r0/{number}"}, b""
+    if kind == "large":
+        return 200, {}, b"x" * (most + 1)
+    if kind == "slow":
+        raise TimeoutError
+    if kind == "inside":
+        peer_allowed("10.1.2.3")
+    return 200, {"Content-Type": "text/html"}, f"<p>page {number}</p>".encode()
+
+
+@query("fetched_pages", """WITH p AS (SELECT p_partkey AS feed_id, p_partkey % 11 AS kind FROM part)
+SELECT feed_id, CAST(CASE WHEN kind <= 5 THEN 200 END AS INTEGER) AS status, CAST(CASE WHEN kind <= 6 THEN kind WHEN kind <= 8 THEN 1 ELSE 0 END AS INTEGER) AS hops,
+ CASE WHEN kind <= 5 THEN NULL WHEN kind = 6 THEN 'too_many_redirects' WHEN kind = 7 THEN 'unsupported_url_scheme' WHEN kind = 8 THEN 'cross_origin_follow_up' WHEN kind = 9 THEN 'response_too_large' WHEN kind = 10 THEN 'private_network' END AS error,
+ CASE WHEN kind <= 5 THEN 'https://shop.example/r0/' || feed_id END AS final_url FROM p""")
+def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per part from a server that redirects up to six times, leaves the origin or TLS, answers at length or sits in a private net."""
+    kinds = F.array(*[F.lit(f"r{k}") for k in range(7)], *map(F.lit, ("down", "away", "large", "inside")))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("feed_id"), F.concat(F.lit("https://shop.example/"), F.get(kinds, (F.col("p_partkey") % 11).cast("int")), F.lit("/"), F.col("p_partkey").cast("string")).alias("url"))
+    requests = p.select("*", F.lit("https://shop.example/").alias("origin"), F.lit("pagination").alias("relation"))
+    got = fetch.fetch(requests, part_server, fetch.Limits(max_bytes=10_000))
+    return got.select("feed_id", F.when(F.col("error").isNull(), F.col("status")).alias("status"), "hops", "error", F.when(F.col("error").isNull(), F.col("final_url")).alias("final_url"))

@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 
 from feedweave.functions import destinations, texts, urls
 from feedweave.functions import lexicon as L
+from feedweave.operators import domains
 
 
-def reasons(candidates: DataFrame, page_url: Column | None = None, *, keep_different_domain: bool = False, by: str = "feed_id", pos: str = "position") -> DataFrame:
-    """candidates (by, pos, id, title, description, url, page_url) plus reason: the first test it fails, null if admitted."""
+def reasons(candidates: DataFrame, page_url: Column | None = None, *, keep_different_domain: bool = False, by: str = "feed_id", pos: str = "position", suffixes: DataFrame | None = None) -> DataFrame:
+    """candidates (by, pos, id, title, description, url, page_url) plus reason: the first test it fails, null if admitted.
+
+    suffixes: a table of public-suffix rules; without it a short list of two-label suffixes tells domains.
+    """
     page = F.col("page_url") if page_url is None else page_url
+    if suffixes is not None and not keep_different_domain:
+        candidates = domains.with_domain(candidates.withColumn("_page", page), suffixes, "url", "_own_domain")
+        candidates = domains.with_domain(candidates, suffixes, "_page", "_page_domain")
     df = candidates.withColumn("_identity", urls.without_fragment(F.col("url")))
     some = F.coalesce(F.trim("title"), F.lit("")) != ""
     said = F.coalesce(F.trim("description"), F.lit("")) != ""
@@ -20,7 +27,7 @@ def reasons(candidates: DataFrame, page_url: Column | None = None, *, keep_diffe
     df = df.withColumns({"_valid": valid, "_first": first & F.col("_identity").isNotNull(), "_facts": destinations.facts(F.col("url"))})
     f = F.col("_facts")
     excluded = f["high_confidence_junk_path"] | f["high_confidence_utility_destination"] | (f["utility_path"] & ~f["content_path"] & ~f["strong_post_suffix"])
-    other = F.lit(False) if keep_different_domain else urls.domain(F.col("url")) != urls.domain(page)
+    other = F.lit(False) if keep_different_domain else F.col("_own_domain") != F.col("_page_domain") if suffixes is not None else urls.domain(F.col("url")) != urls.domain(page)
     reason = (
         F.when(~F.col("_valid"), "invalid")
         .when(~F.col("_first"), "duplicate_url")
@@ -31,7 +38,7 @@ def reasons(candidates: DataFrame, page_url: Column | None = None, *, keep_diffe
         .when(F.col("title").isNotNull() & texts.junk_title_reason(F.trim("title")).isNotNull(), texts.junk_title_reason(F.trim("title")))
         .when(F.col("title").isNotNull() & (texts.word_count(F.col("title")) < L.MIN_WORDS), "low_word_count")
     )
-    return df.withColumn("reason", reason).drop("_identity", "_valid", "_first", "_facts")
+    return df.withColumn("reason", reason).drop("_identity", "_valid", "_first", "_facts", "_page", "_own_domain", "_page_domain")
 
 
 def tallies(df: DataFrame, by: str, what: str) -> DataFrame:

@@ -93,8 +93,13 @@ def json_cursor(body: Column, path: str) -> Column:
     return F.get_json_object(body, "$." + path)
 
 
-def follow(requests: DataFrame, store: DataFrame) -> DataFrame:
-    """requests (url) with their stored responses by URL without fragment; null where nothing is stored."""
+def follow(requests: DataFrame, store: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """requests (url) with their stored responses by URL without fragment; null where nothing is stored.
+
+    A store may also be a function of requests (feed_id, url), such as one that fetches them.
+    """
+    if callable(store):
+        store = store(requests.select("feed_id", "url").distinct())
     r = requests.withColumn("_key", urls.without_fragment(F.col("url")))
     s = store.withColumn("_key", urls.without_fragment(F.col("url"))).drop("url")
     return r.join(s, "_key", "left").drop("_key")
@@ -105,7 +110,7 @@ def unvisited(links: DataFrame, visited: DataFrame) -> DataFrame:
     return links.join(visited.select(F.col("url")).distinct(), "url", "left_anti")
 
 
-def crawl(store: DataFrame, start: DataFrame, next_of: Callable[[DataFrame], DataFrame], max_pages: int = 5) -> DataFrame:
+def crawl(store: DataFrame | Callable[[DataFrame], DataFrame], start: DataFrame, next_of: Callable[[DataFrame], DataFrame], max_pages: int = 5) -> DataFrame:
     """start (feed_id, url) and up to max_pages - 1 follow-ups each; next_of(responses) gives feed_id, url.
 
     feed_id, page_no, url and the stored columns. An unknown or visited URL (fragments aside) ends a feed's paging. Each round is one join

@@ -11,7 +11,7 @@ import ipaddress
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedweave.functions import urls
+from feedweave.functions import texts, urls
 
 #: Names and address ranges that are never requested.
 LOCAL_HOSTS = ("localhost", "localhost.localdomain", "metadata.google.internal")
@@ -41,11 +41,14 @@ def is_address(x: Column) -> Column:
 
 def blocked_address(address: Column) -> Column:
     """Private, loopback, link-local, multicast and unspecified addresses; null and unreadable ones are blocked too."""
-    number = v4_number(address)
-    inside = F.lit(False)
-    for net in map(ipaddress.ip_network, BLOCKED_V4):
-        inside = inside | number.between(int(net.network_address), int(net.broadcast_address))
-    return F.when(number.isNotNull(), inside).when(F.contains(address, F.lit(":")), _v6_blocked(address)).otherwise(F.lit(True))
+
+    def judged(number: Column) -> Column:
+        inside = F.lit(False)
+        for net in map(ipaddress.ip_network, BLOCKED_V4):
+            inside = inside | number.between(int(net.network_address), int(net.broadcast_address))
+        return F.when(number.isNotNull(), inside).when(F.contains(address, F.lit(":")), _v6_blocked(address)).otherwise(F.lit(True))
+
+    return texts.let(v4_number(address), judged)
 
 
 def private_target(url: Column, addresses: Column | None = None) -> Column:
@@ -55,7 +58,11 @@ def private_target(url: Column, addresses: Column | None = None) -> Column:
     """
     host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)), r"[\[\]]", "")
     named = F.lit(False) if addresses is None else F.coalesce(F.size(addresses) <= 0, F.lit(True)) | F.exists(addresses, blocked_address)
-    return F.when(host.isNull() | (host == "") | host.isin(*LOCAL_HOSTS), True).when(is_address(host), blocked_address(host)).otherwise(named)
+
+    def judged(h: Column) -> Column:
+        return F.when(h.isNull() | (h == "") | h.isin(*LOCAL_HOSTS), True).when(is_address(h), blocked_address(h)).otherwise(named)
+
+    return texts.let(host, judged)
 
 
 def _port(url: Column) -> Column:

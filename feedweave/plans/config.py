@@ -19,6 +19,7 @@ SCRAPERS = ("wordpress_api", "schema", "microdata", "microformats2", "json_state
 EXTRACTORS = {"attribute": ("attribute",), "href": (), "html": (), "static": ("static",), "text": ()}
 PAGERS = ("rel_next", "custom_selector", "url_template", "offset", "json_cursor")
 STRATEGIES = ("auto", "faraday", "botasaurus", "local_file")
+FALLBACK_CHAIN = ("faraday", "botasaurus")
 TOPICS = ("sports", "energy", "tech", "science", "news", "entertainment", "jobs", "finance", "security", "travel", "environment", "consumer", "civic", "product", "research")
 STYLESHEET_TYPES = ("text/css", "text/xsl")
 LANGUAGE = re.compile(r"[a-z]{2}(-[A-Z]{2})?")
@@ -160,10 +161,26 @@ def request_budget(config: dict) -> int:
     selectors, auto = config.get("selectors") or {}, config.get("auto_source")
     scrapers = merged(AUTO_DEFAULTS, auto)["scraper"] if auto is not None else {}
     extra = sum(n for name, n in REQUEST_SLOTS.items() if scrapers.get(name, {}).get("enabled"))
-    fallback = 1 if config.get("strategy", "auto") == "auto" else 0
+    fallback = len(strategy_plan(config.get("strategy", "auto"))) - 1
     return min(1 + page_slots((selectors.get("items") or {}).get("pagination")) + extra + fallback, MAX_REQUESTS_CEILING)
 
 
+def strategy_plan(name: str) -> tuple[str, ...]:
+    """Transports to try in order: the chain for auto, else the named one. An unknown name is an error."""
+    if name not in STRATEGIES:
+        raise ValueError(f"unknown strategy {name!r}; one of: {', '.join(STRATEGIES)}")
+    return FALLBACK_CHAIN if name == "auto" else (name,)
+
+
+def valid_strategy(name: object) -> bool:
+    return isinstance(name, str) and name in STRATEGIES
+
+
+def diagnostic_strategy(name: str | None = None) -> str:
+    """The transport of a single request: the chain's first for auto."""
+    return strategy_plan(name or "auto")[0]
+
+
 # --- validation
 
 

@@ -167,3 +167,11 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "c.yml").write_text("channel: {}\n")
     assert cli.main(["validate", str(tmp_path / "c.yml")]) == 1
     assert cli.main(["schema"]) == 0
+
+
+def test_strategy_plans():
+    assert config.strategy_plan("auto") == config.FALLBACK_CHAIN and config.strategy_plan("local_file") == ("local_file",)
+    assert config.diagnostic_strategy() == config.diagnostic_strategy("auto") == config.FALLBACK_CHAIN[0] and config.diagnostic_strategy("botasaurus") == "botasaurus"
+    assert config.valid_strategy("auto") and not config.valid_strategy("none") and not config.valid_strategy(None)
+    with pytest.raises(ValueError, match="unknown strategy"):
+        config.strategy_plan("none")
