@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from feedweave.functions import destinations, postprocess, texts, urls
 from feedweave.functions import lexicon as L
 from feedweave.operators import admission, auto, clusters, domains, feeds, followups, paging, policy, segments, selectors, shred, structured
-from feedweave.sources import fetch
+from feedweave.sources import captures, fetch
 from feedweave.sources import responses as stored
 from feedweave.sources import shared
 
@@ -853,3 +853,11 @@ def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = p.select("*", F.lit("https://shop.example/").alias("origin"), F.lit("pagination").alias("relation"))
     got = fetch.fetch(requests, part_server, fetch.Limits(max_bytes=10_000))
     return got.select("feed_id", F.when(F.col("error").isNull(), F.col("status")).alias("status"), "hops", "error", F.when(F.col("error").isNull(), F.col("final_url")).alias("final_url"))
+
+
+@query("byte_budget", """WITH c AS (SELECT conv_id, list({'t': strlen(text)::BIGINT, 'k': [turn]} ORDER BY turn) FILTER (WHERE strlen(text) BETWEEN 1 AND 900) AS rows FROM conversations GROUP BY conv_id),
+f AS (SELECT conv_id, list_reduce(list_prepend({'t': 0::BIGINT, 'k': []::BIGINT[]}, rows), lambda acc, r: CASE WHEN acc.t + r.t <= 1500 THEN {'t': acc.t + r.t, 'k': list_concat(acc.k, r.k)} ELSE acc END) AS got FROM c WHERE rows IS NOT NULL)
+SELECT conv_id, unnest(got.k) AS turn FROM f""")
+def byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as a conversation's captures: those of 900 bytes at most that fit into 1,500 in order; a long one does not stop shorter ones."""
+    return captures.within_budget(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], "text", 900, 1500).select("conv_id", "turn")
