@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.functions import destinations, postprocess, texts, urls
+from feedweave.functions import dates, destinations, postprocess, texts, urls
 from feedweave.functions import lexicon as L
 from feedweave.operators import admission, auto, clusters, domains, feeds, followups, paging, policy, segments, selectors, shred, structured
 from feedweave.sources import captures, fetch
@@ -362,7 +362,24 @@ def template_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("parse_time_rfc822", "SELECT event_id, strftime(ts, '%a, %d %b %Y %H:%M:%S +0000') AS published FROM events")
 def parse_time_rfc822(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", postprocess.parse_time_column(F.col("ts")).alias("published"))
+    """Times written in five ways are read and written as mail time."""
+    ways = ("yyyy-MM-dd'T'HH:mm:ss'Z'", "MMMM d, yyyy HH:mm:ss", "EEE, dd MMM yyyy HH:mm:ss '+0000'", "d.M.yyyy, h:mm:ss a", "EEEE, d. MMM yyyy 'at' HH:mm:ss")
+    kind, text = F.col("event_id") % len(ways), None
+    for k, way in enumerate(ways):
+        text = (F if text is None else text).when(kind == k, F.date_format("ts", way))
+    return table(spark, sf_dir, "events").select("event_id", postprocess.parse_time_column(text).alias("published"))
+
+
+@query("zoned_dates", """WITH t AS (SELECT event_id, event_id % 240 AS m, CASE event_id % 3 WHEN 0 THEN '2024-10-27' WHEN 1 THEN '2024-03-31' ELSE '2024-07-01' END AS day FROM events),
+o AS (SELECT *, CASE WHEN event_id % 7 = 0 THEN -5 WHEN day = '2024-07-01' THEN 2 WHEN day = '2024-10-27' THEN CASE WHEN m < 120 THEN 2 ELSE 1 END WHEN m < 120 THEN 1 WHEN m < 180 THEN 0 ELSE 2 END AS h FROM t)
+SELECT event_id, strftime(CAST(day AS TIMESTAMP) + to_minutes(CAST(m AS INTEGER)), '%Y-%m-%dT%H:%M:00') || CASE WHEN h < 0 THEN '-0' ELSE '+0' END || abs(h) || ':00' AS published,
+ strftime(CAST(day AS TIMESTAMP) + to_minutes(CAST(m AS INTEGER)) - to_hours(CAST(h AS INTEGER)), '%Y-%m-%d %H:%M') AS utc FROM o""")
+def zoned_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local times around both clock changes and in summer, some with an offset of their own, read for Berlin."""
+    day = F.get(F.array(*map(F.lit, ("2024-10-27", "2024-03-31", "2024-07-01"))), (F.col("event_id") % 3).cast("int"))
+    text = F.format_string("%s %02d:%02d%s", day, F.floor(F.col("event_id") % 240 / 60), F.col("event_id") % 60, F.when(F.col("event_id") % 7 == 0, "-05:00").otherwise(""))
+    m = dates.moment(text, "Europe/Berlin")
+    return table(spark, sf_dir, "events").select("event_id", m.alias("m")).select("event_id", dates.iso(F.col("m")).alias("published"), F.date_format("m.instant", "yyyy-MM-dd HH:mm").alias("utc"))
 
 
 @query("json_pick", "SELECT event_id, props ->> '$.page' AS page, props ->> '$.ref' AS ref FROM events")

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
-from datetime import datetime
+from datetime import datetime, timezone
 from email.utils import format_datetime, parsedate_to_datetime
 from html import escape
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedweave.dom.text import visible_text
 from feedweave.dom.tree import VOID, Node, parse
+from feedweave.functions import dates
 from feedweave.functions.urls import resolved
 
 
@@ -85,7 +86,7 @@ def template_column(text: str, fields: dict[str, Column]) -> Column:
     return F.concat(*parts, F.lit(text[at:]))
 
 
-_FORMATS = ("%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%d", "%Y/%m/%d", "%d.%m.%Y %H:%M", "%d.%m.%Y", "%d %B %Y", "%d %b %Y", "%B %d, %Y", "%b %d, %Y", "%B %d %Y", "%b %d %Y", "%B %d, %Y %H:%M", "%d %B %Y %H:%M", "%B %d, %Y at %I:%M %p", "%m/%d/%Y", "%A, %B %d, %Y", "%A, %B %d, %Y %I:%M %p")
+_FORMATS = ("%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%d", "%Y/%m/%d", "%d.%m.%Y %H:%M", "%d.%m.%Y", "%d %B %Y", "%d %b %Y", "%B %d, %Y", "%b %d, %Y", "%B %d %Y", "%b %d %Y", "%B %d, %Y %H:%M", "%d %B %Y %H:%M", "%B %d, %Y at %I:%M %p", "%d/%m/%Y", "%A, %B %d, %Y", "%A, %B %d, %Y %I:%M %p")
 
 
 def parse_date(text: str, zone: str = "UTC") -> datetime:
@@ -107,7 +108,17 @@ def parse_date(text: str, zone: str = "UTC") -> datetime:
                     continue
             else:
                 raise ValueError(f"no time in {text!r}") from None
-    return got if got.tzinfo else got.replace(tzinfo=ZoneInfo(zone))
+    return got if got.tzinfo else localized(got, zone)
+
+
+def localized(local: datetime, zone: str) -> datetime:
+    """A local time of a zone: standard time where a clock change repeats it, UTC where it is skipped or the zone is unknown."""
+    try:
+        there = local.replace(tzinfo=ZoneInfo(zone), fold=1)
+    except (ZoneInfoNotFoundError, ValueError):
+        return local.replace(tzinfo=timezone.utc)
+    kept = there.astimezone(timezone.utc).astimezone(there.tzinfo).replace(tzinfo=None) == local
+    return there if kept else local.replace(tzinfo=timezone.utc)
 
 
 def parse_time(value: str, zone: str = "UTC") -> str:
@@ -115,9 +126,8 @@ def parse_time(value: str, zone: str = "UTC") -> str:
 
 
 def parse_time_column(value: Column, zone: str = "UTC") -> Column:
-    """A timestamp column as mail time in UTC."""
-    stamp = value if zone == "UTC" else F.to_utc_timestamp(value, zone)
-    return F.concat(F.date_format(stamp, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
+    """A text column as mail time, as parse_time does for one text; null where it is no date."""
+    return dates.mail(dates.moment(value, zone))
 
 
 def parse_uri(value: str, base: str) -> str:

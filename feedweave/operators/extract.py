@@ -5,12 +5,12 @@ from __future__ import annotations
 import mimetypes
 import re
 import zlib
-from datetime import datetime, timezone
 
 from feedweave.dom import css
 from feedweave.dom.text import collapse, eligible_link, visible_text
 from feedweave.dom.tree import Node
 from feedweave.functions import lexicon as L
+from feedweave.functions.postprocess import parse_date
 from feedweave.functions.urls import resolved
 
 KICKER = '[data-tb-kicker], [class*="kicker"], [class*="eyebrow"], [class*="pre-title"], [class*="pretitle"], [class*="overline"]'
@@ -165,21 +165,20 @@ def categories_of(item: Node, title: str | None) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def _instant(stamp: str) -> tuple[float, str]:
-    """Seconds since 1970, local times read as UTC."""
-    try:
-        t = datetime.fromisoformat(stamp)
-    except ValueError:
-        return float("inf"), stamp
-    return (t if t.tzinfo else t.replace(tzinfo=timezone.utc)).timestamp(), stamp
+def dates_of(item: Node, lines: list[str]) -> list[str]:
+    """Texts that may be the item's date: machine dates, then date-shaped lines. The earliest that can be read counts."""
+    stamps = [n.attrs["datetime"].strip() for n in item.walk() if n.attrs.get("datetime", "").strip()]
+    return list(dict.fromkeys([*stamps, *(date_core(x) for x in lines if date_shaped(x))]))
 
 
-def published_of(item: Node, lines: list[str]) -> str | None:
-    """The earliest of the machine dates by instant (those that cannot be read come last); else the first date-shaped line."""
-    stamps = [n.attrs["datetime"].strip() for n in item.walk() if n.attrs.get("datetime", "").strip()]
-    if stamps:
-        return min(stamps, key=_instant)
-    return next((date_core(x) for x in lines if date_shaped(x)), None)
+def dated(texts: list[str]) -> bool:
+    for text in texts:
+        try:
+            parse_date(text)
+        except ValueError:
+            continue
+        return True
+    return False
 
 
 def parent_card(item: Node) -> Node | None:
@@ -217,19 +216,19 @@ def extract(item: Node, base: str, anchor: Node | None = None, *, fallback_ancho
         return lines, [x for x in lines if keep_line(x, title)]
 
     lines, kept = said(item)
-    published, source = published_of(item, lines), item
-    if item.name in (*L.HEADINGS, "a") and published is None and not kept:
+    dates, source = dates_of(item, lines), item
+    if item.name in (*L.HEADINGS, "a") and not kept and not dated(dates):
         card = parent_card(item)
         if card is not None:
             lines, kept = said(card)
-            published, source = published_of(card, lines), card
+            dates, source = dates_of(card, lines) or dates, card
     return {
         "title": title,
         "url": url,
         "image": image_of(item, base),
         "description": "\n".join(kept) or None,
         "id": ident,
-        "published_at": published,
+        "published_at": "\n".join(dates) or None,
         "enclosures": enclosures_of(item, base),
         "categories": categories_of(source, title),
     }

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from feedweave.functions import texts, urls
+from feedweave.functions import dates, texts, urls
 
 DEFAULT_TTL = 360
 
@@ -91,23 +91,14 @@ def clean_html(text: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series([one(t, u) for t, u in zip(text, url, strict=True)], dtype=object)
 
 
-@F.pandas_udf(StringType())
-def iso_time(raw: pd.Series) -> pd.Series:
-    """A time in any known form as ISO 8601 to the second with its offset; null where it cannot be read."""
-    from feedweave.functions.postprocess import parse_date
-
-    def one(x: str | None) -> str | None:
-        try:
-            return parse_date(x).isoformat(timespec="seconds") if x else None
-        except ValueError:
-            return None
-
-    return raw.map(one, na_action="ignore").astype(object)
+def published(articles_raw: Column, zone: str = "UTC") -> Column:
+    """The earliest date among the lines of a raw date text, as a moment of functions.dates."""
+    return dates.earliest(F.split(articles_raw, "\n"), zone)
 
 
-def json_items(articles: DataFrame) -> DataFrame:
+def json_items(articles: DataFrame, zone: str = "UTC") -> DataFrame:
     """JSON Feed items: the composed description as HTML if it holds an element, else as text; else the title as text; items without either go."""
-    articles = articles.withColumns({"_described": described(articles), "_time": iso_time("published_at_raw")})
+    articles = articles.withColumns({"_described": described(articles), "_time": dates.iso(published(F.col("published_at_raw"), zone))})
     content = F.coalesce("_described", "title")
     html = F.col("_described").isNotNull() & F.regexp_like(content, F.lit("<[a-zA-Z]"))
     attachments = F.transform("enclosures", lambda e: F.struct(e["url"].alias("url"), e["type"].alias("mime_type"), F.when(e["bytes_length"] > 0, e["bytes_length"]).alias("size_in_bytes")))
@@ -126,9 +117,9 @@ def json_items(articles: DataFrame) -> DataFrame:
     return articles.where(content.isNotNull()).select("feed_id", "position", item.alias("item"))
 
 
-def json_feed(articles: DataFrame, channel: DataFrame) -> DataFrame:
+def json_feed(articles: DataFrame, channel: DataFrame, zone: str = "UTC") -> DataFrame:
     """feed_id, json: the whole feed, items in order."""
-    items = json_items(articles).groupBy("feed_id").agg(F.array_sort(F.collect_list(F.struct("position", "item"))).alias("items"))
+    items = json_items(articles, zone).groupBy("feed_id").agg(F.array_sort(F.collect_list(F.struct("position", "item"))).alias("items"))
     feed = F.struct(
         F.lit("https://jsonfeed.org/version/1.1").alias("version"),
         F.col("title"),
@@ -165,29 +156,19 @@ def media_html(e: Column, title: Column) -> Column:
     )
 
 
-def rss(articles: DataFrame, channel: DataFrame, stylesheets: tuple = ()) -> DataFrame:
+def rss(articles: DataFrame, channel: DataFrame, stylesheets: tuple = (), zone: str = "UTC") -> DataFrame:
     """feed_id, xml. stylesheets: (href, type, media)."""
-    from feedweave.functions.postprocess import parse_date
-
-    articles = articles.withColumn("description", described(articles))
-    items = articles.groupBy("feed_id").agg(F.array_sort(F.collect_list(F.struct("position", "title", "description", "author", "url", "published_at_raw", "categories", first_attachment(F.col("enclosures")).alias("enclosure"), "guid"))).alias("items"))
+    articles = articles.withColumns({"description": described(articles), "_mail": dates.mail(published(F.col("published_at_raw"), zone))})
+    items = articles.groupBy("feed_id").agg(F.array_sort(F.collect_list(F.struct("position", "title", "description", "author", "url", "_mail", "categories", first_attachment(F.col("enclosures")).alias("enclosure"), "guid"))).alias("items"))
     head = "".join(f'<?xml-stylesheet href="{escape(h)}" type="{escape(t)}" media="{escape(m)}"?>\n' for h, t, m in stylesheets)
 
-    def mail_date(raw: str | None) -> str | None:
-        from email.utils import format_datetime
-
-        try:
-            return format_datetime(parse_date(raw)) if raw else None
-        except ValueError:
-            return None
-
     def tag(name: str, value: object, attrs: str = "") -> str:
         return f"<{name}{attrs}>{escape(str(value), quote=False)}</{name}>" if value not in (None, "") else ""
 
     def one(i: object) -> str:
         e = i["enclosure"]
         return "<item>" + "".join(
-            [tag("title", i["title"]), tag("link", i["url"]), tag("description", i["description"]), tag("author", i["author"]), *[tag("category", c) for c in i["categories"]], f'<enclosure url="{escape(e["url"])}" length="{e["bytes_length"]}" type="{escape(e["type"])}"/>' if e else "", tag("guid", i["guid"], ' isPermaLink="false"'), tag("pubDate", mail_date(i["published_at_raw"]))]
+            [tag("title", i["title"]), tag("link", i["url"]), tag("description", i["description"]), tag("author", i["author"]), *[tag("category", c) for c in i["categories"]], f'<enclosure url="{escape(e["url"])}" length="{e["bytes_length"]}" type="{escape(e["type"])}"/>' if e else "", tag("guid", i["guid"], ' isPermaLink="false"'), tag("pubDate", i["_mail"])]
         ) + "</item>"
 
     def write(batches):
