@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedweave.functions import dates, destinations, postprocess, texts, urls
 from feedweave.functions import lexicon as L
-from feedweave.operators import admission, auto, clusters, domains, feeds, followups, paging, policy, segments, selectors, shred, structured
+from feedweave.operators import admission, auto, clusters, discovery, domains, feeds, followups, paging, policy, segments, selectors, shred, structured
 from feedweave.sources import captures, fetch
 from feedweave.sources import responses as stored
 from feedweave.sources import shared
@@ -878,3 +878,50 @@ SELECT conv_id, unnest(got.k) AS turn FROM f""")
 def byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as a conversation's captures: those of 900 bytes at most that fit into 1,500 in order; a long one does not stop shorter ones."""
     return captures.within_budget(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], "text", 900, 1500).select("conv_id", "turn")
+
+
+@query("page_addresses", """SELECT p_partkey AS page_id, CASE p_size % 6 WHEN 0 THEN 'https://shop.example/c/' || p_partkey WHEN 1 THEN 'https://shop.example/o/' || p_partkey WHEN 2 THEN 'https://shop.example/t/' || p_partkey ELSE 'https://shop.example/b/' END AS url FROM part WHERE p_size % 6 < 4""")
+def page_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical link, og:url, twitter:url, base: the first kind whose first element is an absolute address; relative and blank ones do not count."""
+    kind = F.col("p_size") % 6
+    key = F.col("p_partkey").cast("string")
+    parts = [
+        F.when(kind == 5, "").otherwise('<base target="x"><base href="https://shop.example/b/">'),
+        F.when(kind == 2, F.concat(F.lit('<meta name="twitter:url" content=" HTTPS://Shop.example/t/'), key, F.lit(' ">'))).otherwise(""),
+        F.when(kind == 1, F.concat(F.lit('<meta property="og:url" content="https://shop.example/o/'), key, F.lit('">'))).otherwise('<meta property="og:url" content=" ">'),
+        F.when(kind == 0, F.concat(F.lit('<link rel="canonical" href="https://shop.example/c/'), key, F.lit('">'))).otherwise('<link rel="canonical" href="/relative"><link rel="canonical" href="https://shop.example/second">'),
+    ]
+    html = F.when(kind == 4, "<html><body>none</body></html>").otherwise(F.concat(F.lit("<html><head>"), *parts, F.lit("</head><body></body></html>")))
+    return discovery.page_urls(part_nodes(spark, sf_dir, html, discovery.NODES))
+
+
+@query("alternate_feeds", """SELECT p_partkey AS page_id, CAST(position AS INTEGER) AS position, way || p_partkey AS href, 'application/' || kind || '+xml' AS mime_type FROM part, (VALUES (0, '/rss/', 'rss'), (1, '/atom/', 'atom')) AS w(position, way, kind)""")
+def alternate_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two native feeds in the head among other links, one without a type, one blank, one in the body."""
+    html = F.format_string(
+        '<html><head><link rel="alternate" type="text/html" href="/no"><link rel="alternate" href="/no"><link rel="home Alternate" type="application/rss+xml" href="/no">'
+        '<link rel="home alternate" type=" Application/RSS+xml; charset=utf-8" href=" /rss/%1$d "><link rel="alternate" type="application/rss+xml" href=" "><link rel="alternate" type="application/atom+xml" href="/atom/%1$d"></head>'
+        '<body><link rel="alternate" type="application/rss+xml" href="/no"></body></html>',
+        "p_partkey",
+    )
+    return discovery.alternate_feeds(part_nodes(spark, sf_dir, html, discovery.NODES))
+
+
+@query("sitemap_discovery", """WITH p AS (SELECT p_partkey AS feed_id, p_partkey % 4 AS kind FROM part)
+SELECT feed_id, CAST(0 AS INTEGER) AS position, 'https://p' || feed_id || '.example/direct' AS url FROM p WHERE kind = 0
+UNION ALL SELECT feed_id, CAST(i AS INTEGER), 'https://p' || feed_id || '.example/linked/' || i FROM p, range(0, 2) AS r(i) WHERE kind = 1
+UNION ALL SELECT feed_id, CAST(i AS INTEGER), 'https://p' || feed_id || '.example/sub/' || i FROM p, range(0, 3) AS r(i) WHERE kind = 2""")
+def sitemap_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that are a sitemap, link to one, have an index at the usual place (three of its four sitemaps are read), or none."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("page_id"), (F.col("p_partkey") % 4).alias("kind"), F.format_string("https://p%d.example", "p_partkey").alias("site"))
+    html = F.when(F.col("kind") == 0, F.format_string('<?xml version="1.0"?><s:urlset xmlns:s="x"><s:url><s:loc>%s/direct</s:loc></s:url></s:urlset>', "site")).when(F.col("kind") == 1, '<html><head><link rel="sitemap" href="/maps/own.xml"></head><body></body></html>').otherwise("<html><body>x</body></html>")
+    pages = shared.written(p.select("page_id", "kind", "site", F.concat("site", F.lit("/list")).alias("url"), html.alias("html")), "pages")
+    linked = F.format_string("<urlset><url><loc>%1$s/linked/0</loc></url><url><loc><![CDATA[%1$s/linked/1]]></loc><priority>0.9</priority></url><url><loc>%1$s/low</loc><priority>0.1</priority></url></urlset>", "site")
+    index = F.concat(F.lit("<sitemapindex>"), *[F.format_string(f"<sitemap><loc>%s/m{k}.xml</loc></sitemap>", "site") for k in range(4)], F.lit("</sitemapindex>"))
+    store = pages.where("kind = 1").select(F.concat("site", F.lit("/maps/own.xml")).alias("url"), linked.alias("body"))
+    two = pages.where("kind = 2")
+    store = store.unionByName(two.select(F.concat("site", F.lit("/sitemap.xml")).alias("url"), index.alias("body")))
+    for k in range(4):
+        store = store.unionByName(two.select(F.format_string(f"%s/m{k}.xml", "site").alias("url"), F.format_string(f"<urlset><url><loc>%s/sub/{k}</loc></url></urlset>", "site").alias("body")))
+    nodes = shared.written(shred.shred(pages, columns=discovery.NODES), "nodes")
+    return discovery.sitemap_entries(nodes, pages, store, "2024-01-01").select("feed_id", "position", "url")

@@ -150,11 +150,31 @@ def _inner(x: Column, name: str, prefix: str = r"(?:[\w-]+:)?") -> Column:
     return present(unescape(F.regexp_replace(raw, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")))
 
 
+SITEMAP = "url array<struct<loc:string,lastmod:string,priority:string,changefreq:string,news:struct<publication_date:string,title:string>>>, sitemap array<struct<loc:string>>"
+
+
+def _read_sitemap(body: Column) -> Column:
+    """A sitemap or an index as SITEMAP, by local names; of broken XML the elements that are whole."""
+
+    def parts(name: str) -> Column:
+        return F.regexp_extract_all(body, F.lit(rf"(?s)(<(?:[\w-]+:)?{name}(?:\s[^>]*)?>.*?</(?:[\w-]+:)?{name}\s*>)"), F.lit(1))
+
+    def entry(x: Column) -> Column:
+        news = F.struct(_inner(x, "publication_date", "news:").alias("publication_date"), _inner(x, "title", "news:").alias("title"))
+        return F.struct(*[_inner(x, n).alias(n) for n in ("loc", "lastmod", "priority", "changefreq")], news.alias("news"))
+
+    def kept(x: Column) -> Column:
+        found = F.coalesce(F.size(x["url"]), F.lit(-1)) + F.coalesce(F.size(x["sitemap"]), F.lit(-1)) > -2
+        broken = F.struct(F.transform(parts("url"), entry).alias("url"), F.transform(parts("sitemap"), lambda s: F.struct(_inner(s, "loc").alias("loc"))).alias("sitemap"))
+        return F.when(found, x).otherwise(broken)
+
+    return let(F.from_xml(F.coalesce(body, F.lit("")), SITEMAP, {"ignoreNamespace": "true"}), kept)
+
+
 def sub_sitemaps(bodies: DataFrame, most: int = 3) -> DataFrame:
     """feed_id, position, url of the child sitemaps of an index, the first ones."""
-    found = F.regexp_extract_all("body", F.lit(r"(?s)(<(?:[\w-]+:)?sitemap(?:\s[^>]*)?>.*?</(?:[\w-]+:)?sitemap\s*>)"), F.lit(1))
-    kept = F.filter(F.transform(found, lambda x: _inner(x, "loc")), lambda u: u.isNotNull())
-    return bodies.select("feed_id", F.posexplode(F.slice(kept, 1, most)).alias("position", "url"))
+    found = F.filter(F.transform(_read_sitemap(F.col("body"))["sitemap"], lambda s: present(s["loc"])), lambda u: u.isNotNull())
+    return bodies.select("feed_id", F.posexplode(F.slice(found, 1, most)).alias("position", "url"))
 
 
 def sitemap(bodies: DataFrame, as_of: str, *, min_priority: float = 0.3, max_age_days: int = 30) -> DataFrame:
@@ -162,19 +182,17 @@ def sitemap(bodies: DataFrame, as_of: str, *, min_priority: float = 0.3, max_age
 
     Entries below the priority (0.5 if none is given), never changing, or older than the limit at as_of go; undated stay.
     """
-    found = F.regexp_extract_all("body", F.lit(r"(?s)(<(?:[\w-]+:)?url(?:\s[^>]*)?>.*?</(?:[\w-]+:)?url\s*>)"), F.lit(1))
-    e = bodies.select("feed_id", F.posexplode(found).alias("position", "x"))
-    raw_date = F.coalesce(_inner(F.col("x"), "publication_date", "news:"), _inner(F.col("x"), "lastmod"))
-    given = _inner(F.col("x"), "priority")
+    e = bodies.select("feed_id", F.posexplode(_read_sitemap(F.col("body"))["url"]).alias("position", "x"))
+    given = present(F.col("x.priority"))
     number = F.coalesce(F.nullif(F.regexp_extract(given, r"^\s*([+-]?\d+(?:\.\d+)?)", 1), F.lit("")).cast("double"), F.when(given.isNotNull(), F.lit(0.0)), F.lit(0.5))
     e = e.select(
         "feed_id",
         "position",
-        _inner(F.col("x"), "loc").alias("url"),
-        _inner(F.col("x"), "title", "news:").alias("title"),
-        raw_date.try_cast("timestamp").alias("published_at"),
+        present(F.col("x.loc")).alias("url"),
+        present(F.col("x.news.title")).alias("title"),
+        F.coalesce(present(F.col("x.news.publication_date")), present(F.col("x.lastmod"))).try_cast("timestamp").alias("published_at"),
         number.alias("priority"),
-        F.lower(_inner(F.col("x"), "changefreq")).alias("changefreq"),
+        F.lower(present(F.col("x.changefreq"))).alias("changefreq"),
     )
     fresh = F.col("published_at").isNull() | (F.col("published_at") >= F.lit(as_of).cast("timestamp") - F.expr(f"interval {max_age_days} days"))
     return e.where(F.col("url").isNotNull() & (F.col("priority") >= min_priority) & (F.coalesce("changefreq", F.lit("")) != "never") & fresh)
