@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedweave.functions import dates, destinations, postprocess, texts, urls
 from feedweave.functions import lexicon as L
-from feedweave.operators import admission, auto, clusters, discovery, domains, feeds, followups, paging, policy, segments, selectors, shred, structured
+from feedweave.operators import admission, auto, clusters, diagnostics, discovery, domains, feeds, followups, paging, policy, segments, selectors, shred, structured
 from feedweave.sources import captures, fetch
 from feedweave.sources import responses as stored
 from feedweave.sources import shared
@@ -925,3 +925,46 @@ def sitemap_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
         store = store.unionByName(two.select(F.format_string(f"%s/m{k}.xml", "site").alias("url"), F.format_string(f"<urlset><url><loc>%s/sub/{k}</loc></url></urlset>", "site").alias("body")))
     nodes = shared.written(shred.shred(pages, columns=discovery.NODES), "nodes")
     return discovery.sitemap_entries(nodes, pages, store, "2024-01-01").select("feed_id", "position", "url")
+
+
+@query("page_summaries", """WITH p AS (SELECT p_partkey AS page_id, p_partkey % 4 AS kind, p_size % 8 AS k FROM part)
+SELECT page_id, kind <> 3 AS html_response, kind = 1 AS scheme_downgrade, CAST(CASE kind WHEN 0 THEN 5 WHEN 1 THEN 5 + 2 * k WHEN 2 THEN 4 ELSE 2 END AS BIGINT) AS node_count, CAST(CASE WHEN kind = 1 AND k > 1 THEN k ELSE 0 END AS BIGINT) AS segments,
+ CAST(CASE WHEN kind = 1 AND k > 1 THEN least(k, 5) ELSE 0 END AS INTEGER) AS samples, CAST(CASE WHEN kind = 0 THEN 1 ELSE 0 END AS INTEGER) AS feeds, CASE WHEN kind = 2 THEN 'cloudflare_interstitial' END AS blocked,
+ CASE WHEN kind = 0 THEN 'done' WHEN kind = 1 AND k > 1 THEN 'capture_config' ELSE 'scrape_url' END AS next_step FROM p""")
+def page_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a native feed, with a list of up to seven links, behind a check, and without markup; what was seen and the next step."""
+    kind, k = F.col("p_partkey") % 4, F.col("p_size") % 8
+    item = '<li><a href="/posts/one/{0}">A story of many words {0}</a></li>'
+    items = F.array_join(F.transform(F.sequence(F.lit(0), k), lambda i: F.when(i < k, F.replace(F.lit(item), F.lit("{0}"), i.cast("string"))).otherwise("")), "")
+    html = (
+        F.when(kind == 0, '<html><head><link rel="alternate" type="application/rss+xml" href="/rss"></head><body><p>text</p></body></html>')
+        .when(kind == 1, F.concat(F.lit("<html><head></head><body><main><ul>"), items, F.lit("</ul></main></body></html>")))
+        .when(kind == 2, "<html><head><title>Just a moment...</title></head><body>Checking your browser before accessing</body></html>")
+        .otherwise("<html><body>plain words</body></html>")
+    )
+    p = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("long").alias("page_id"), F.lit("https://shop.example/list").alias("url"), F.when(kind == 1, "http://shop.example/list").otherwise("https://shop.example/list").alias("final_url"),
+        F.lit(200).alias("status"), F.when(kind == 3, "text/plain").otherwise("text/html; charset=utf-8").alias("content_type"), html.alias("html"),
+    )
+    pages = shared.written(p, "pages")
+    nodes = shared.written(shred.shred(pages, columns=diagnostics.NODES), "nodes")
+    articles = auto.list_articles(pages.select(F.col("page_id").alias("feed_id"), "url", F.col("html").alias("body")))
+    got = diagnostics.summary(pages, nodes, shared.written(articles, "articles"))
+    step = diagnostics.inspect_outcome(F.col("alternate_feeds"), F.col("articles_count"))["next_step"]
+    return got.select("page_id", "html_response", "scheme_downgrade", "node_count", "segments", F.size("sample_paths").alias("samples"), F.size("alternate_feeds").alias("feeds"), F.col("blocked_surface").alias("blocked"), step.alias("next_step"))
+
+
+@query("outcomes", """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 6 AS kind, o_orderkey // 6 % 3 AS n, o_orderkey // 18 % 2 = 0 AS flag FROM orders)
+SELECT k, CASE kind WHEN 3 THEN NOT flag WHEN 4 THEN n > 0 WHEN 5 THEN FALSE ELSE TRUE END AS ok, CASE kind WHEN 0 THEN CASE WHEN flag THEN 'done' WHEN n > 0 THEN 'capture_config' ELSE 'scrape_url' END WHEN 1 THEN CASE WHEN n > 0 THEN 'done' WHEN flag THEN 'inspect_url' ELSE 'read_runtime' END
+ WHEN 2 THEN CASE WHEN n > 0 AND flag THEN 'validate_config' ELSE 'inspect_url' END WHEN 3 THEN CASE WHEN flag THEN 'validate_config' ELSE 'apply_config' END WHEN 4 THEN CASE WHEN n > 0 THEN 'done' ELSE 'inspect_url' END
+ ELSE CASE n WHEN 0 THEN 'read_runtime' WHEN 1 THEN 'validate_config' ELSE 'inspect_url' END END AS next_step FROM o""")
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of every kind of call over counts and flags made of order numbers."""
+    n, flag = F.floor(F.col("o_orderkey") / 6) % 3, F.floor(F.col("o_orderkey") / 18) % 2 == 0
+    some = F.when(flag, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    calls = (
+        diagnostics.inspect_outcome(some, n), diagnostics.scrape_outcome(n, flag), diagnostics.capture_outcome(n, F.when(flag, "li")), diagnostics.validate_outcome(some),
+        diagnostics.apply_outcome(n), diagnostics.error_outcome(F.get(F.array(*map(F.lit, ("renderer_not_configured", "config_and_yaml", "other"))), n.cast("int"))),
+    )
+    out = F.get(F.array(*calls), (F.col("o_orderkey") % 6).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), out.alias("o")).select("k", "o.ok", "o.next_step")

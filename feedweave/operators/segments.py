@@ -88,23 +88,37 @@ def observation(title: Column, f: Column, path: Column, marker: Column, context:
     )
 
 
+def features(o: Column) -> tuple[dict[str, tuple[Column, int]], dict[str, tuple[Column, int]]]:
+    """Quality and junk features of an observation by name: test and points."""
+    quality = {
+        "title_3_words": o["words"] >= 3, "title_7_words": o["words"] >= 7, "long_path": o["path_length"] > 6, "content_path": o["content_path"], "publish_marker": o["marker"],
+        "descriptive_context": o["context"], "article_container": o["article"], "content_tokens": o["content_tokens"],
+    }
+    junk = {
+        "utility_path": o["utility_path"] & ~o["content_path"] & ~o["suffix"], "utility_prefix_title": o["prefix"] & (o["words"] <= 6), "shallow": o["shallow"],
+        "no_marker_or_context": ~o["marker"] & ~o["context"], "recommended_off_content": o["recommended"] & ~o["content_path"], "junk_path": o["junk_path"], "junk_tokens": o["junk_tokens"],
+    }
+    return {k: (t, L.QUALITY_POINTS[k]) for k, t in quality.items()}, {k: (t, L.JUNK_POINTS[k]) for k, t in junk.items()}
+
+
 def score(o: Column) -> tuple[Column, Column]:
     """Quality and junk points of an observation; their difference ranks."""
-    q, j = L.QUALITY_POINTS, L.JUNK_POINTS
 
-    def total(pairs: list[tuple[Column, int]]) -> Column:
+    def total(named: dict[str, tuple[Column, int]]) -> Column:
         out = F.lit(0)
-        for test, points in pairs:
+        for test, points in named.values():
             out = out + F.when(test, points).otherwise(0)
         return out
 
-    quality = total(
-        [(o["words"] >= 3, q["title_3_words"]), (o["words"] >= 7, q["title_7_words"]), (o["path_length"] > 6, q["long_path"]), (o["content_path"], q["content_path"]), (o["marker"], q["publish_marker"]), (o["context"], q["descriptive_context"]), (o["article"], q["article_container"]), (o["content_tokens"], q["content_tokens"])]
-    )
-    junk = total(
-        [(o["utility_path"] & ~o["content_path"] & ~o["suffix"], j["utility_path"]), (o["prefix"] & (o["words"] <= 6), j["utility_prefix_title"]), (o["shallow"], j["shallow"]), (~o["marker"] & ~o["context"], j["no_marker_or_context"]), (o["recommended"] & ~o["content_path"], j["recommended_off_content"]), (o["junk_path"], j["junk_path"]), (o["junk_tokens"], j["junk_tokens"])]
-    )
-    return quality, junk
+    quality, junk = features(o)
+    return total(quality), total(junk)
+
+
+def breakdown(o: Column) -> Column:
+    """Points by feature, of those that hold."""
+    quality, junk = features(o)
+    pairs = [x for name, (test, points) in (quality | junk).items() for x in (F.lit(name), F.when(test, points))]
+    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
 
 
 def hard_junk(o: Column, anchored: Column, *, strict: bool = True) -> Column:
