@@ -11,7 +11,8 @@ from feedweave.functions.texts import let
 
 
 def _in(words: list[str]):
-    return lambda s: F.array_contains(F.array(*[F.lit(w) for w in words]), s)
+    """Whether a segment is one of the words; the list is one constant, not a literal a word."""
+    return lambda s: F.array_contains(F.split(F.lit(" ".join(words)), " "), s)
 
 
 def _like(pattern: str):
@@ -37,34 +38,49 @@ def facts(url: Column) -> Column:
 
 
 def _facts(x: Column) -> Column:
+    """The facts in three steps, each bound once: what the segments are, what follows for the address, the verdicts."""
     p, junk, n = x["p"], x["junk"], x["n"]
-    any_junk = F.exists(junk, lambda j: j)
-    lead = F.coalesce(F.get(junk, F.lit(0)), F.lit(False))
-    last, last_junk = F.get(p, n - 1), F.coalesce(F.get(junk, n - 1), F.lit(False))
-    before_last = F.slice(p, 1, F.greatest(n - 1, F.lit(0)))
-    context = F.exists(before_last, lambda s: _content(s) | _yearish(s) | _in(L.DEEP_POST_CONTEXT)(s))
-    trusted = (n > 1) & ~lead & context
-    suffix = F.coalesce((n > 0) & ~last_junk & ~_vanity(last) & (_yearish(last) | _like(L.POST_SLUG)(last)) & trusted, F.lit(False))
-    yearish = F.exists(p, _yearish) & (suffix | trusted)
-    content = ~lead & (F.exists(p, _content) | yearish)
-    utility, vanity, taxonomy = F.exists(p, _utility), F.exists(p, _vanity), F.exists(p, _taxonomy)
-    shallow = (n <= 1) | ((n == 2) & last_junk)
-    all_junk = F.forall(junk, lambda j: j)
-    deep = (n > 1) & F.forall(F.slice(junk, 1, F.greatest(n - 1, F.lit(0))), lambda j: j)
-    free = ~((n == 0) | content | suffix)
-    junk_path = free & (any_junk | taxonomy | all_junk | deep | (shallow & (any_junk | vanity)))
-    utility_dest = free & (vanity | taxonomy | all_junk | deep | (shallow & utility))
-    return F.struct(
-        content.alias("content_path"),
-        utility.alias("utility_path"),
-        vanity.alias("vanity_path"),
-        taxonomy.alias("taxonomy_path"),
-        shallow.alias("shallow"),
-        suffix.alias("strong_post_suffix"),
-        junk_path.alias("high_confidence_junk_path"),
-        utility_dest.alias("high_confidence_utility_destination"),
+    last, before_last = F.get(p, n - 1), F.slice(p, 1, F.greatest(n - 1, F.lit(0)))
+    seen = F.struct(
+        n.alias("n"),
+        F.exists(junk, lambda j: j).alias("any_junk"),
+        F.forall(junk, lambda j: j).alias("all_junk"),
+        F.coalesce(F.get(junk, F.lit(0)), F.lit(False)).alias("lead"),
+        F.coalesce(F.get(junk, n - 1), F.lit(False)).alias("last_junk"),
+        ((n > 1) & F.forall(F.slice(junk, 1, F.greatest(n - 1, F.lit(0))), lambda j: j)).alias("deep"),
+        F.exists(before_last, lambda s: _content(s) | _yearish(s) | _in(L.DEEP_POST_CONTEXT)(s)).alias("context"),
+        (~_vanity(last) & (_yearish(last) | _like(L.POST_SLUG)(last))).alias("post"),
+        *[F.exists(p, test).alias(name) for name, test in (("content", _content), ("year", _yearish), ("utility", _utility), ("vanity", _vanity), ("taxonomy", _taxonomy))],
     )
 
+    def address(s: Column) -> Column:
+        trusted = (s["n"] > 1) & ~s["lead"] & s["context"]
+        suffix = F.coalesce((s["n"] > 0) & ~s["last_junk"] & s["post"] & trusted, F.lit(False))
+        shallow = (s["n"] <= 1) | ((s["n"] == 2) & s["last_junk"])
+        return let(F.struct(s.alias("s"), trusted.alias("trusted"), suffix.alias("suffix"), shallow.alias("shallow")), content)
+
+    def content(t: Column) -> Column:
+        s = t["s"]
+        told = ~s["lead"] & (s["content"] | (s["year"] & (t["suffix"] | t["trusted"])))
+        return let(F.struct(s.alias("s"), t["suffix"].alias("suffix"), t["shallow"].alias("shallow"), told.alias("content")), verdicts)
+
+    def verdicts(t: Column) -> Column:
+        s = t["s"]
+        free = ~((s["n"] == 0) | t["content"] | t["suffix"])
+        both = s["taxonomy"] | s["all_junk"] | s["deep"]
+        return F.struct(
+            t["content"].alias("content_path"),
+            s["utility"].alias("utility_path"),
+            s["vanity"].alias("vanity_path"),
+            s["taxonomy"].alias("taxonomy_path"),
+            t["shallow"].alias("shallow"),
+            t["suffix"].alias("strong_post_suffix"),
+            (free & (s["any_junk"] | both | (t["shallow"] & s["vanity"]))).alias("high_confidence_junk_path"),
+            (free & (s["vanity"] | both | (t["shallow"] & s["utility"]))).alias("high_confidence_utility_destination"),
+        )
+
+    return let(seen, address)
+
 
 def noise_anchor(text: Column, f: Column, heading_anchor: Column, icon_only: Column, in_landmark: Column) -> Column:
     short = f["utility_path"] & ~f["content_path"] & ~f["strong_post_suffix"] & (texts.word_count(text) <= 3)
