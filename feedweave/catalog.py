@@ -144,9 +144,8 @@ def link_counts_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("semantic_segments", "SELECT page_id, 'article' AS tag, CAST(count(*) AS BIGINT) AS segments FROM (SELECT page_id, unnest(regexp_extract_all(html, '<article>')) FROM pages) GROUP BY page_id")
 def semantic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = shred.shred(pages_of(spark, sf_dir))
-    roots = segments.semantic(nodes).join(nodes.select("page_id", F.col("node_id").alias("root_id"), "tag"), ["page_id", "root_id"])
-    return roots.where("tag = 'article'").groupBy("page_id", "tag").agg(F.count("*").alias("segments"))
+    nodes = shred.shred(pages_of(spark, sf_dir), columns=("page_id", "node_id", "last_desc", "tag", "depth", "chrome", "non_leaf"))
+    return segments.semantic(nodes).where("tag = 'article'").groupBy("page_id", "tag").agg(F.count("*").alias("segments"))
 
 
 @query("primary_links")
@@ -968,3 +967,33 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = F.get(F.array(*calls), (F.col("o_orderkey") % 6).cast("int"))
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), out.alias("o")).select("k", "o.ok", "o.next_step")
+
+
+@query("semantic_roots", """SELECT p_partkey AS page_id, CAST(position - p_size % 2 AS INTEGER) AS position, tag, CAST(depth AS INTEGER) AS depth
+FROM part, (VALUES (0, 'li', 5), (1, 'div', 4), (2, 'article', 3), (3, 'section', 3), (4, 'section', 3)) AS w(position, tag, depth) WHERE (p_size % 2 = 0 AND position < 4) OR (p_size % 2 = 1 AND position > 0)""")
+def semantic_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf containers, deepest first: a section around a list item gives way to it, a div around a div, chrome counts for nothing."""
+    item = F.when(F.col("p_size") % 2 == 0, "<ul><li>item</li></ul>").otherwise("<ul><b>none</b></ul>")
+    html = F.concat(F.lit("<html><body><nav><ul><li>menu</li></ul></nav><main><article>a</article><section>s</section><section><p>"), item, F.lit("</p></section><div><p><div>leaf</div></p></div></main></body></html>"))
+    nodes = part_nodes(spark, sf_dir, html, ("page_id", "node_id", "last_desc", "tag", "depth", "chrome", "non_leaf"))
+    roots = segments.semantic(nodes)
+    return roots.join(nodes.select("page_id", F.col("node_id").alias("root_id"), "depth"), ["page_id", "root_id"]).select("page_id", "position", "tag", "depth")
+
+
+@query("chosen_links", """WITH p AS (SELECT p_partkey AS page_id, p_partkey % 5 AS kind FROM part)
+SELECT page_id, CASE kind WHEN 0 THEN '/zzz/one/' WHEN 1 THEN '/posts/some-long-slug/' WHEN 2 THEN '/news/' ELSE '/zzz/' END || page_id AS href, CAST(CASE kind WHEN 0 THEN 130 WHEN 3 THEN 10 ELSE 20 END AS INTEGER) AS points FROM p WHERE kind < 4""")
+def chosen_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A card's link: the heading's before others, content before a utility page, text before an image with the same target,
+    outside before inside an aside; a card with a menu only has none."""
+    cards = (
+        '<a href="/posts/some-long-slug/%1$d">Other</a><h3><a href="/zzz/one/%1$d">The title</a></h3><h4><a href="/posts/x">Later</a></h4>',
+        '<a href="/about">About</a><a href="/posts/some-long-slug/%1$d">A post</a><a href="/zzz/%1$d">Plain</a>',
+        '<a href="/news/%1$d#top"><b><img src="x"></b></a><p><a href="/news/%1$d">Some news</a></p><a href="/news/other">More news</a>',
+        '<aside><a href="/posts/some-long-slug/%1$d">Aside</a></aside><a href="/zzz/%1$d">Plain</a><a href="#x">Here</a>',
+        '<a href="/login">Login</a><a href="/tags/x">Tag</a>',
+    )
+    markup = F.get(F.array(*[F.format_string(c, "p_partkey") for c in cards]), (F.col("p_partkey") % 5).cast("int"))
+    html = F.concat(F.lit("<html><body><main><ul><li>"), markup, F.lit("</li></ul></main></body></html>"))
+    nodes = part_nodes(spark, sf_dir, html, shred.USUAL)
+    pages = nodes.select("page_id").distinct().withColumn("url", F.lit("https://shop.example/list"))
+    return segments.primary_links(nodes, segments.semantic(nodes), pages).select("page_id", "href", "points")

@@ -115,6 +115,9 @@ INTERSTITIALS = (
     ("vercel_security_checkpoint", 1, (r"(?i)Vercel Security Checkpoint", r"(?i)vercel\.com/security", r"(?i)checking the security")),
 )
 
+#: Microdata names of a publish marker; characters and words of a text beside the title that describes.
+PUBLISH_ITEMPROPS = ("datePublished", "dateModified")
+CONTEXT_CHARS, CONTEXT_WORDS = 30, 8
 #: Points of the quality and junk features of a segment.
 QUALITY_POINTS = {"title_3_words": 40, "title_7_words": 15, "long_path": 20, "content_path": 15, "publish_marker": 15, "descriptive_context": 10, "article_container": 10, "content_tokens": 10}
 JUNK_POINTS = {"utility_path": 25, "utility_prefix_title": 15, "shallow": 10, "no_marker_or_context": 10, "recommended_off_content": 10, "junk_path": 5, "junk_tokens": 15}

@@ -16,7 +16,7 @@ from feedweave.operators.admission import tallies
 
 SAMPLE = 5
 #: Columns of the node relation that a summary needs.
-NODES = ("page_id", "node_id", "last_desc", "parent_id", "depth", "tag", "tag_path", "href", "chrome", "is_link", "degraded", "all_attributes")
+NODES = ("page_id", "node_id", "last_desc", "tag", "tag_path", "href", "chrome", "is_link", "boundary_id", "degraded", "all_attributes")
 #: The next steps there are.
 STEPS = ("done", "inspect_url", "validate_config", "apply_config", "scrape_url", "capture_config", "read_runtime")
 GUIDANCE = {

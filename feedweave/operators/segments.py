@@ -1,7 +1,7 @@
 """Segmentation and ranking over the node relation: semantic containers, link lists, clusters, primary links, scores.
 
-Everything is relational on (page_id, node_id, last_desc). Links below a node are differences of a running count; the
-ancestors of listed links are a range join within one page, whose tree the shredder thins beyond MAX_NODES elements.
+Everything is relational on (page_id, node_id, last_desc). What lies inside what is told by sweeps over a page in document
+order (windows): the next heading or container from an element on lies in it if it comes before the element's end.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from feedweave.functions import destinations, texts, urls
 from feedweave.functions import lexicon as L
+from feedweave.sources.shared import written
 
 CONTAINERS = ("article", "section", "li", "tr", "div")
 
@@ -19,13 +20,26 @@ def _page(*order: Column):
     return Window.partitionBy("page_id").orderBy(*order)
 
 
+def _ahead(*, own: bool) -> Window:
+    return Window.partitionBy("page_id").orderBy(F.desc("node_id")).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+
+
 def semantic(nodes: DataFrame) -> DataFrame:
-    """page_id, root_id, position: leaf containers outside chrome, deepest first; divs around other containers do not count."""
+    """page_id, root_id, last_desc, tag, position: leaf containers outside chrome, deepest first; those around other containers than div do not count."""
     leaf = nodes.where(F.col("tag").isin(*CONTAINERS) & ~F.col("chrome") & ~F.col("non_leaf")).select("page_id", "node_id", "last_desc", "tag", "depth")
-    inner = leaf.where("tag <> 'div'").select(F.col("page_id").alias("p"), F.col("node_id").alias("n"))
-    around = (F.col("page_id") == F.col("p")) & (F.col("n") > F.col("node_id")) & (F.col("n") <= F.col("last_desc"))
-    kept = leaf.join(inner, around, "left_anti")
-    return kept.select("page_id", F.col("node_id").alias("root_id"), "last_desc", (F.row_number().over(_page(F.desc("depth"), F.col("node_id"))) - 1).alias("position"))
+    inner = F.min(F.when(F.col("tag") != "div", F.col("node_id"))).over(_ahead(own=False))
+    kept = leaf.withColumn("_inner", inner).where(F.col("_inner").isNull() | (F.col("_inner") > F.col("last_desc")))
+    return kept.select("page_id", F.col("node_id").alias("root_id"), "last_desc", "tag", (F.row_number().over(_page(F.desc("depth"), F.col("node_id"))) - 1).alias("position"))
+
+
+def linked(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """Links with their label, url, facts f, and icon: no words, but an image inside."""
+    image = F.min(F.when(F.col("tag").isin("img", "svg"), F.col("node_id"))).over(_ahead(own=True))
+    links = nodes.select("page_id", "node_id", "last_desc", "tag_path", "chrome", "landmark_id", "boundary_id", "href", F.col("visible_text").alias("label"), "is_link", image.alias("_image")).where("is_link")
+    links = links.join(pages.select("page_id", F.col("url").alias("_base")), "page_id")
+    links = links.withColumn("url", urls.resolve(F.trim(F.regexp_replace("href", "#.*$", "")), F.col("_base")))
+    icon = (texts.word_count(F.col("label")) == 0) & F.coalesce(F.col("_image") <= F.col("last_desc"), F.lit(False))
+    return links.withColumns({"f": destinations.facts(F.col("url")), "icon": icon}).drop("is_link", "_image", "_base")
 
 
 def link_lists(nodes: DataFrame, minimum: int = 2, top: int = 5) -> DataFrame:
@@ -35,42 +49,49 @@ def link_lists(nodes: DataFrame, minimum: int = 2, top: int = 5) -> DataFrame:
     return ranked.where(F.col("rank") <= top).select("page_id", "tag_path", "links", "rank")
 
 
-def list_segments(nodes: DataFrame, minimum: int = 2, top: int = 5) -> DataFrame:
-    """page_id, root_id, link_id, position: each listed anchor climbs to the last ancestor before one with more links."""
-    n = nodes.select("page_id", "node_id", "last_desc", "parent_id", "depth", "tag", "chrome", "is_link", "tag_path")
-    links = n.where("is_link and not chrome").join(link_lists(nodes, minimum, top).select("page_id", "tag_path", "rank"), ["page_id", "tag_path"]).select("page_id", F.col("node_id").alias("link_id"), "rank")
-    running = n.withColumn("_so_far", F.sum(F.col("is_link").cast("int")).over(_page(F.col("node_id"))))
-    ends = running.select("page_id", F.col("node_id").alias("last_desc"), F.col("_so_far").alias("_at_end"))
-    counts = running.join(ends, ["page_id", "last_desc"]).withColumn("links", F.col("_at_end") - F.col("_so_far") + F.col("is_link").cast("int"))
-    counts = counts.where("links > 0").select("page_id", "node_id", "last_desc", "parent_id", "depth", "tag", "links")
-    parent = counts.select(F.col("page_id").alias("pp"), F.col("node_id").alias("pid"), F.col("links").alias("above"))
-    with_parent = counts.join(parent, (F.col("page_id") == F.col("pp")) & (F.col("parent_id") == F.col("pid")), "left")
-    edge = with_parent.where((F.coalesce("above", "links") > F.col("links")) | F.col("tag").isin("body", "html")).select(F.col("page_id").alias("ep"), "node_id", "last_desc", "depth", "tag")
-    up = links.join(edge, (F.col("page_id") == F.col("ep")) & (F.col("link_id") >= F.col("node_id")) & (F.col("link_id") <= F.col("last_desc")))
-    boundary = up.groupBy("page_id", "link_id", "rank").agg(F.max_by("node_id", "depth").alias("root_id"), F.max_by("tag", "depth").alias("root_tag")).where(~F.col("root_tag").isin("body", "html"))
-    one = boundary.withColumn("k", F.row_number().over(Window.partitionBy("page_id", "root_id").orderBy("rank", "link_id"))).where("k = 1")
-    return one.select("page_id", "root_id", "link_id", (F.row_number().over(_page(F.col("rank"), F.col("link_id"))) - 1).alias("position"))
+def list_segments(nodes: DataFrame, minimum: int = 2, top: int = 5, pages: DataFrame | None = None) -> DataFrame:
+    """page_id, root_id, link_id, position: each listed anchor stands for the last element around it before one with more links.
+
+    Anchors in chrome do not count, nor, where pages (page_id, url) are given, those that are noise.
+    """
+    links = nodes.where("is_link and not chrome").select("page_id", "node_id", "tag_path", "boundary_id", "is_link")
+    if pages is not None:
+        no = F.lit(False)
+        heard = linked(nodes, pages).where(~F.col("chrome") & ~destinations.noise_anchor(F.col("label"), F.col("f"), no, F.col("icon"), no))
+        links = written(links.join(heard.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi"), "links")
+    found = links.join(link_lists(links, minimum, top).select("page_id", "tag_path", "rank"), ["page_id", "tag_path"]).where("boundary_id is not null")
+    one = found.groupBy("page_id", F.col("boundary_id").alias("root_id")).agg(F.min(F.struct("rank", F.col("node_id").alias("link_id"))).alias("_l"))
+    return one.select("page_id", "root_id", "_l.link_id", (F.row_number().over(_page(F.col("_l.rank"), F.col("_l.link_id"))) - 1).alias("position"))
 
 
 def primary_links(nodes: DataFrame, segments: DataFrame, pages: DataFrame) -> DataFrame:
-    """page_id, root_id, link_id, href: of a segment's anchors that are no noise the one of most points, the earliest of equals."""
-    anchors = nodes.where("is_link").select("page_id", F.col("node_id").alias("link_id"), F.col("last_desc").alias("link_last"), "href", F.col("visible_text").alias("label"), "child_tags")
-    heads = nodes.where("is_heading").select(F.col("page_id").alias("hp"), F.col("node_id").alias("h"), F.col("last_desc").alias("hl"), F.col("visible_text").alias("heading"))
-    marks = nodes.where(F.col("tag").isin(*L.LANDMARKS)).select(F.col("page_id").alias("mp"), F.col("node_id").alias("m"), F.col("last_desc").alias("ml"))
-    pair = segments.select("page_id", "root_id", "last_desc").join(anchors, "page_id").where((F.col("link_id") >= F.col("root_id")) & (F.col("link_id") <= F.col("last_desc")))
-    landmark = (F.col("page_id") == F.col("mp")) & (F.col("m") > F.col("root_id")) & (F.col("m") < F.col("link_id")) & (F.col("link_id") <= F.col("ml"))
-    pair = pair.join(marks, landmark, "left_anti")
-    in_heading = (F.col("page_id") == F.col("hp")) & (((F.col("h") < F.col("link_id")) & (F.col("link_id") <= F.col("hl"))) | ((F.col("h") > F.col("link_id")) & (F.col("h") <= F.col("link_last"))))
-    near = pair.join(heads, in_heading, "left").groupBy("page_id", "root_id", "link_id", "href", "label", "child_tags").agg(F.max("heading").alias("heading"))
-    near = near.join(pages.select("page_id", F.col("url").alias("base")), "page_id")
-    near = near.withColumn("url", urls.resolve(F.trim(F.regexp_replace("href", "#.*$", "")), F.col("base")))
-    near = near.withColumn("f", destinations.facts(F.col("url")))
-    is_head = F.col("heading").isNotNull()
-    icon = (texts.word_count(F.col("label")) == 0) & F.regexp_like("child_tags", F.lit("(^|>)(img|svg)(>|$)"))
-    noise = destinations.noise_anchor(F.col("label"), F.col("f"), is_head, icon, F.lit(False))
-    points = F.when(is_head, 100).otherwise(0) + F.when(F.col("heading") == F.col("label"), 20).otherwise(0) + F.when(texts.word_count(F.col("label")) >= 1, 10).otherwise(0) + F.when(F.col("f.content_path"), 10).otherwise(0)
-    best = near.where(~noise).withColumn("points", points).withColumn("k", F.row_number().over(Window.partitionBy("page_id", "root_id").orderBy(F.desc("points"), "link_id")))
-    return best.where("k = 1").select("page_id", "root_id", "link_id", "href", "url", "points")
+    """page_id, root_id, link_id, href, url, points: of a segment's anchors that are no noise the best of each target, of these the best.
+
+    segments (page_id, root_id, last_desc, tag): divs do not nest, nor do the others, so a link lies in the last of either
+    kind before it or in none. Equals: the earliest anchor of a target, the target that comes first.
+    """
+    nested = F.col("tag") == "div" if "tag" in segments.columns else F.lit(False)
+    starts = nodes.select("page_id", "node_id", F.min(F.when(F.col("is_heading"), F.col("node_id"))).over(_ahead(own=True)).alias("heading_id"))
+    heads = nodes.where("is_heading").select("page_id", F.col("node_id").alias("heading_id"), F.col("last_desc").alias("heading_last"), F.trim("visible_text").alias("heading"))
+    roots = segments.select("page_id", F.col("root_id").alias("node_id"), "last_desc", nested.alias("nested")).join(starts, ["page_id", "node_id"])
+    roots = roots.withColumn("heading_id", F.when(F.col("heading_id") <= F.col("last_desc"), F.col("heading_id"))).join(heads, ["page_id", "heading_id"], "left")
+    root = F.struct(F.col("node_id").alias("root_id"), "last_desc", "heading_id", "heading_last", "heading")
+    links = linked(nodes, pages).where(~F.col("chrome")).select("page_id", "node_id", F.struct("landmark_id", "href", F.trim("label").alias("label"), "url", "f", "icon").alias("link"))
+    both = roots.select("page_id", "node_id", "nested", root.alias("root")).unionByName(links, allowMissingColumns=True)
+    # a segment that is a link itself comes before it
+    order = Window.partitionBy("page_id").orderBy("node_id", F.col("link").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.last(F.when(F.col("nested") == kind, F.col("root")), ignorenulls=True).over(order) for kind in (False, True)]
+    pair = both.withColumn("_in", F.array(*last)).where("link is not null").select("page_id", F.col("node_id").alias("link_id"), "link.*", F.explode("_in").alias("r"))
+    pair = pair.where("r is not null and link_id <= r.last_desc").select("*", "r.*").drop("r")
+    is_head = F.col("heading_id").isNotNull() & (F.col("link_id") >= F.col("heading_id")) & (F.col("link_id") <= F.col("heading_last"))
+    said, content = texts.word_count(F.col("label")) >= 1, F.col("f.content_path")
+    noise = destinations.noise_anchor(F.col("label"), F.col("f"), is_head, F.col("icon"), F.col("landmark_id") > F.col("root_id"))
+    points = F.when(is_head, 100).otherwise(0) + F.when(said & (F.col("heading") == F.col("label")), 20).otherwise(0) + F.when(said, 10).otherwise(0) + F.when(content, 10).otherwise(0)
+    found = pair.withColumns({"_head": is_head, "points": points, "_noise": noise}).where(~F.col("_noise") & (said | content | F.col("_head")))
+    target = Window.partitionBy("page_id", "root_id", "url")
+    found = found.withColumns({"_k": F.row_number().over(target.orderBy(F.desc("points"), "link_id")), "_seen": F.min("link_id").over(target)}).where("_k = 1")
+    best = found.withColumn("_k", F.row_number().over(Window.partitionBy("page_id", "root_id").orderBy(F.desc("points"), "_seen"))).where("_k = 1")
+    return best.select("page_id", "root_id", "link_id", "href", "url", "points")
 
 
 def observation(title: Column, f: Column, path: Column, marker: Column, context: Column, article: Column, tokens: Column) -> Column:

@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame
 
 from feedweave.dom.text import eligible_link, silent, visible_text
 from feedweave.dom.tree import Node, parse
-from feedweave.functions.lexicon import CHROME_ROOTS, CLUSTER_DATE, DEGRADED_TAGS, HEADINGS, KEPT_ATTRIBUTES, MAX_NODES, STRIPPED
+from feedweave.functions.lexicon import CHROME_ROOTS, CLUSTER_DATE, DEGRADED_TAGS, HEADINGS, KEPT_ATTRIBUTES, LANDMARKS, MAX_NODES, STRIPPED
 
 #: Columns of the relation. visible_text is that of links, headings and body; words counts the visible words of every element;
 #: own_date tells that a text of the element itself, seen from outside, holds a date: texts of neighbours never touch, so an
-#: element's visible text holds one where it or an element below it does.
+#: element's visible text holds one where it or an element below it does. landmark_id is the nearest landmark above, -1 without
+#: one; boundary_id the nearest element from it upwards whose parent has more links, null from body on.
 COLUMNS = {
     "page_id": ("long", pa.int64()),
     "node_id": ("int", pa.int32()),
@@ -45,6 +46,8 @@ COLUMNS = {
     "is_heading": ("boolean", pa.bool_()),
     "non_leaf": ("boolean", pa.bool_()),
     "child_tags": ("string", pa.string()),
+    "landmark_id": ("int", pa.int32()),
+    "boundary_id": ("int", pa.int32()),
     "degraded": ("boolean", pa.bool_()),
     "all_attributes": ("map<string,string>", pa.map_(pa.string(), pa.string())),
     "text": ("string", pa.string()),
@@ -96,6 +99,23 @@ def word_counts(root: Node) -> dict[int, int]:
     return count
 
 
+def boundaries(kept: list[tuple[Node, int, int, str, bool]]) -> list[int | None]:
+    """Of each element the nearest from it upwards whose parent has more links; a link counts as one, whatever is in it."""
+    links = [int(eligible_link(n)) for n, *_ in kept]
+    below = list(links)
+    for i in range(len(kept) - 1, 0, -1):
+        if kept[i][1] >= 0:
+            below[kept[i][1]] += below[i]
+    count = [1 if link else b for link, b in zip(links, below, strict=True)]
+    out: list[int | None] = []
+    for i, (n, parent, _, _, chrome) in enumerate(kept):
+        if parent < 0 or n.name == "body":
+            out.append(None)
+        else:
+            out.append(i if not chrome and count[parent] > count[i] else out[parent])
+    return out
+
+
 def rows(page_id: int | None, root: Node, columns: tuple[str, ...] = USUAL) -> dict[str, list]:
     """The asked-for columns of one page, as lists."""
     kept, last, degraded = elements(root)
@@ -153,6 +173,13 @@ def rows(page_id: int | None, root: Node, columns: tuple[str, ...] = USUAL) -> d
             if parent >= 0:
                 names[parent].append(n.name)
         out["child_tags"] = [">".join(x) for x in names]
+    if "landmark_id" in want:
+        near: list[int] = []
+        for _, parent, *_ in kept:
+            near.append(-1 if parent < 0 else parent if kept[parent][0].name in LANDMARKS else near[parent])
+        out["landmark_id"] = near
+    if "boundary_id" in want:
+        out["boundary_id"] = boundaries(kept)
     put("degraded", lambda *_: degraded)
     put("all_attributes", lambda n, *_: list(n.attrs.items()))
     put("text", lambda n, *_: n.text())
