@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from email.utils import format_datetime, parsedate_to_datetime
 from html import escape
@@ -11,7 +12,6 @@ from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedweave.dom.text import visible_text
 from feedweave.dom.tree import VOID, Node, parse
 from feedweave.functions import dates
 from feedweave.functions.urls import resolved
@@ -136,18 +136,32 @@ def parse_uri(value: str, base: str) -> str:
     return resolved(value, base) or ""
 
 
-def _sanitized(n: Node, base: str) -> str:
-    out = []
-    for c in n.children:
-        if isinstance(c, str):
-            out.append(escape(c, quote=False))
-            continue
-        if c.name in DROPPED_WHOLE:
-            continue
-        body = _sanitized(c, base)
+def folded(root: Node, text: Callable[[str], str], element: Callable[[Node, str, int], str], enter: Callable[[Node], bool] = lambda _: True) -> str:
+    """The tree as one text, from the leaves up: element gets a node, the text of its children and how many lists it is in.
+
+    Open elements are kept in a list, so nesting of any depth is read. What is not entered gives nothing.
+    """
+    open_: list[tuple[Node, Iterator, list[str], int]] = [(root, iter(root.children), [], 0)]
+    while True:
+        node, children, parts, lists = open_[-1]
+        for c in children:
+            if isinstance(c, str):
+                parts.append(text(c))
+            elif enter(c):
+                open_.append((c, iter(c.children), [], lists + (node.name in ("ul", "ol"))))
+                break
+        else:
+            open_.pop()
+            body = "".join(parts)
+            if not open_:
+                return body
+            open_[-1][2].append(element(node, body, lists))
+
+
+def _sanitized(root: Node, base: str) -> str:
+    def element(c: Node, body: str, _lists: int) -> str:
         if c.name not in ALLOWED:
-            out.append(body)
-            continue
+            return body
         attrs = {k: v for k, v in c.attrs.items() if k in ALLOWED_ATTRS and not v.strip().lower().startswith(("javascript:", "vbscript:"))}
         for k in ("href", "src"):
             if k in attrs and c.name in ("a", "img", "iframe", "audio", "video", "source"):
@@ -156,8 +170,9 @@ def _sanitized(n: Node, base: str) -> str:
         html = tag if c.name in VOID else f"{tag}{body}</{c.name}>"
         if c.name == "img" and not any(a.name == "a" for a in c.ancestors()) and attrs.get("src"):
             html = f'<a href="{escape(attrs["src"])}"{"".join(f' {k}="{v}"' for k, v in FORCED["a"].items())}>{html}</a>'
-        out.append(html)
-    return "".join(out)
+        return html
+
+    return folded(root, lambda x: escape(x, quote=False), element, lambda c: c.name not in DROPPED_WHOLE)
 
 
 def sanitize_html(value: str, base: str) -> str | None:
@@ -170,11 +185,7 @@ def sanitize_html(value: str, base: str) -> str | None:
 def html_to_markdown(value: str, base: str) -> str:
     """Headings, emphasis, links, images, lists, code, quotes and rules."""
 
-    def run(n: Node, depth: int = 0) -> str:
-        return "".join(c if isinstance(c, str) else one(c, depth) for c in n.children)
-
-    def one(n: Node, depth: int) -> str:
-        body = run(n, depth + (n.name in ("ul", "ol")))
+    def one(n: Node, body: str, depth: int) -> str:
         bare = body.strip()
         if n.name in ("h1", "h2", "h3", "h4", "h5", "h6"):
             return f"\n\n{'#' * int(n.name[1])} {bare}\n\n"
@@ -208,7 +219,7 @@ def html_to_markdown(value: str, base: str) -> str:
         return body
 
     clean = sanitize_html(value, base)
-    return re.sub(r"\n{3,}", "\n\n", run(parse(clean))).strip() + "\n" if clean else ""
+    return re.sub(r"\n{3,}", "\n\n", folded(parse(clean), str, one)).strip() + "\n" if clean else ""
 
 
 def _inline(text: str) -> str:
@@ -271,7 +282,3 @@ def apply_step(value: object, step: dict, context: object) -> str | None:
     if not isinstance(value, str):
         raise InvalidType(f"{step['name']} takes text, not {type(value).__name__}")
     return STEPS[step["name"]][0](value, step, context)
-
-
-def text_of(html: str) -> str:
-    return visible_text(parse(html)) or ""

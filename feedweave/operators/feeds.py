@@ -78,17 +78,17 @@ def described(articles: DataFrame) -> Column:
 
 
 @F.pandas_udf(StringType())
-def clean_html(text: pd.Series, url: pd.Series) -> pd.Series:
-    """Sanitized markup, in Arrow batches; null if nothing is left. Markup nested too deep to be walked gives its visible text."""
-    from feedweave.functions.postprocess import sanitize_html, text_of
+def _cleaned(text: pd.Series, url: pd.Series) -> pd.Series:
+    from feedweave.functions.postprocess import sanitize_html
 
-    def one(markup: str | None, base: str | None) -> str | None:
-        try:
-            return sanitize_html(markup, base or "") if markup else None
-        except RecursionError:
-            return escape(text_of(markup), quote=False) or None
+    return pd.Series([sanitize_html(t, u or "") if t else None for t, u in zip(text, url, strict=True)], dtype=object)
 
-    return pd.Series([one(t, u) for t, u in zip(text, url, strict=True)], dtype=object)
+
+def clean_html(text: Column, url: Column) -> Column:
+    """Sanitized markup; null if nothing is left. Text without markup or entities does not leave the JVM."""
+    plain = ~F.regexp_like(text, F.lit("[<&>]"))
+    tidy = F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n"), F.lit(" \n\t\r\x0b\f"))
+    return F.when(plain, F.nullif(tidy, F.lit(""))).otherwise(_cleaned(F.when(~plain, text), url))
 
 
 def published(articles_raw: Column, zone: str = "UTC") -> Column:

@@ -52,8 +52,11 @@ def by_selector(selector: str) -> Callable[[DataFrame], DataFrame]:
     """
     try:
         css.compile_selector(selector)
-    except css.SelectorError:
-        return by_xpath(selector)
+    except css.SelectorError as e:
+        try:
+            return by_xpath(selector)
+        except xpath.XPathError as x:
+            raise css.SelectorError(f"neither CSS ({e}) nor XPath ({x}): {selector!r}") from x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

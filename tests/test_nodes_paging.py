@@ -1,6 +1,7 @@
 """The node relation on deep, large and odd pages; paging rounds, unions and descriptions on odd rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from feedweave.dom import css
 from feedweave.dom.text import visible_text
@@ -71,3 +72,15 @@ def test_united_and_described(spark):
     got = [r[0] for r in df.select(feeds.described(df)).collect()]
     assert got[:2] == [": said <b>so</b>", "a long text about the Title"] and got[3] is None
     assert 'alt=""' in got[2] and 'alt="a&quot;b"' in got[4] and 'src="http://x.org/?a&amp;b"' in got[4]
+
+
+def test_deep_markup_is_sanitized_whole(spark):
+    from feedweave.functions import postprocess
+
+    deep = "<b>" * 5000 + "<i onclick='x'>in</i>" + "</b>" * 5000
+    assert postprocess.sanitize_html(deep, "https://x.org/") == "<b>" * 5000 + "<i>in</i>" + "</b>" * 5000
+    assert postprocess.html_to_markdown("<blockquote>" * 1500 + "in", "https://x.org/").strip().endswith("in")
+    assert postprocess.html_to_markdown("<ul><li>a<ol><li>b</li><li>c</li></ol></li></ul>", "") == "- a\n  1. b\n  2. c\n"
+    rows = spark.createDataFrame([(deep,), ("plain  text\n\n\n\nmore ",), ("a &amp; b",), (" ",), (None,), ("<script>x</script>",)], "t string")
+    got = [r[0] for r in rows.select(feeds.clean_html(F.col("t"), F.lit("https://x.org/"))).collect()]
+    assert got == ["<b>" * 5000 + "<i>in</i>" + "</b>" * 5000, "plain text\n\nmore", "a &amp; b", None, None, None]
