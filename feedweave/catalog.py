@@ -148,19 +148,6 @@ def semantic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.semantic(nodes).where("tag = 'article'").groupBy("page_id", "tag").agg(F.count("*").alias("segments"))
 
 
-@query("primary_links")
-def primary_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = pages_of(spark, sf_dir)
-    nodes = shred.shred(pages)
-    roots = nodes.where("tag = 'li'").select("page_id", F.col("node_id").alias("root_id"), "last_desc")
-    return segments.primary_links(nodes, roots, pages)
-
-
-@query("list_segments")
-def list_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.list_segments(shred.shred(pages_of(spark, sf_dir)))
-
-
 @query("cluster_groups")
 def cluster_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups, _ = clusters.grouped(shared.written(shred.shred(pages_of(spark, sf_dir), columns=clusters.NODES), "nodes"))
@@ -227,14 +214,36 @@ def page_destination_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").withColumn("f", destinations.facts(F.col("url"))).select("page_id", *[F.col(f"f.{c}").alias(c) for c in FACTS])
 
 
-@query("noise_anchor", f"""WITH {NAV}, {facts_sql('nav', 'page_id, position, title')} SELECT page_id, position, taxonomy_path OR (utility_path AND NOT content_path AND NOT strong_post_suffix AND {WC.format(x='title')} <= 3)
+NOISE = f"""taxonomy_path OR (utility_path AND NOT content_path AND NOT strong_post_suffix AND {WC.format(x='title')} <= 3)
  OR (regexp_matches(title, {lit(L.RECOMMENDED_TEXT)}) AND shallow) OR (regexp_matches(title, {lit(L.UTILITY_PREFIX_TEXT)}) AND high_confidence_utility_destination) OR (regexp_matches(title, {lit(L.UTILITY_TEXT)}) AND vanity_path)
- OR (NOT content_path AND regexp_matches(title, {lit(L.UTILITY_TEXT)}) AND NOT strong_post_suffix) AS noise FROM facts""")
+ OR (NOT content_path AND regexp_matches(title, {lit(L.UTILITY_TEXT)}) AND NOT strong_post_suffix)"""
+
+
+@query("noise_anchor", f"WITH {NAV}, {facts_sql('nav', 'page_id, position, title')} SELECT page_id, position, {NOISE} AS noise FROM facts")
 def noise_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     no = F.lit(False)
     return nav(spark, sf_dir).withColumn("f", destinations.facts(F.col("url"))).select("page_id", "position", destinations.noise_anchor(F.col("title"), F.col("f"), no, no, no).alias("noise"))
 
 
+@query("primary_links", f"""WITH {NAV}, {facts_sql('nav', 'page_id, position, title, href')} SELECT page_id, href, CAST(10 * ({WC.format(x='title')} >= 1)::INT + 10 * content_path::INT AS INTEGER) AS points
+FROM facts WHERE NOT ({NOISE}) AND ({WC.format(x='title')} >= 1 OR content_path)""")
+def primary_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every item of the navigation, as main content, its link if that is no noise."""
+    pages = open_navigation(spark, sf_dir).select(F.col("feed_id").alias("page_id"), "url", F.col("body").alias("html"))
+    nodes = shared.written(shred.shred(pages), "nodes")
+    roots = nodes.where("tag = 'li'").select("page_id", F.col("node_id").alias("root_id"), "last_desc")
+    return segments.primary_links(nodes, roots, pages).select("page_id", "href", "points")
+
+
+@query("list_segments", f"WITH {NAV} SELECT page_id, position, href FROM (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM nav) WHERE n >= 2")
+def list_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The navigation, as main content, is a link list; each item stands for its link."""
+    pages = open_navigation(spark, sf_dir).select(F.col("feed_id").alias("page_id"), F.col("body").alias("html"))
+    nodes = shared.written(shred.shred(pages), "nodes")
+    found = segments.list_segments(nodes)
+    return found.join(nodes.select("page_id", F.col("node_id").alias("link_id"), "href"), ["page_id", "link_id"]).select("page_id", "position", "href")
+
+
 def doc_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", "^([^\n]*)", 1).alias("title"), "text")
 
@@ -997,3 +1006,19 @@ def chosen_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = part_nodes(spark, sf_dir, html, shred.USUAL)
     pages = nodes.select("page_id").distinct().withColumn("url", F.lit("https://shop.example/list"))
     return segments.primary_links(nodes, segments.semantic(nodes), pages).select("page_id", "href", "points")
+
+
+@query("channel_headers", """SELECT p_partkey AS feed_id, CAST(CASE WHEN p_size % 3 = 0 THEN 360 ELSE ceil(p_size * 50 / 60.0) END AS INTEGER) AS ttl, CASE WHEN p_size % 2 = 0 THEN 'de' ELSE 'fr' END AS language,
+ TIMESTAMP '2024-03-01' + to_hours(CAST(p_size AS INTEGER)) AS last_build_date, CASE WHEN p_size % 5 > 0 THEN 'https://img.example/' || p_partkey || '.png' END AS image, p_name AS author, p_brand || ' & more' AS description FROM part""")
+def channel_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels by response headers and meta tags: age limits in minutes, the header's language before the page's, dates, an image's address in a text."""
+    markup = '<html lang="fr"><head><meta name="author" content="%2$s"><meta content="%3$s &amp; more" name="description"><meta property="og:image" content="%4$s"></head><body></body></html>'
+    p = table(spark, sf_dir, "part").withColumn("shot", F.when(F.col("p_size") % 5 == 0, "no address").when(F.col("p_size") % 5 == 1, F.format_string(" see https://Img.example:443/%d.png", "p_partkey")).otherwise(F.format_string("https://img.example/%d.png", "p_partkey")))
+    stamp = F.concat(F.date_format(F.timestamp_add("HOUR", F.col("p_size"), F.lit("2024-03-01").cast("timestamp")), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    pairs = F.array(
+        F.struct(F.lit("last-modified").alias("k"), stamp.alias("v")),
+        F.struct(F.lit("cache-control").alias("k"), F.when(F.col("p_size") % 3 == 0, "no-store").otherwise(F.format_string("public, max-age=%d", F.col("p_size") * 50)).alias("v")),
+        F.struct(F.lit("content-language").alias("k"), F.when(F.col("p_size") % 2 == 0, "de-AT, en").otherwise("").alias("v")),
+    )
+    pages = p.select(F.col("p_partkey").alias("feed_id"), F.lit("https://shop.example/").alias("url"), F.format_string(markup, "p_partkey", "p_name", "p_brand", "shot").alias("body"), F.map_from_entries(pairs).alias("headers"))
+    return feeds.channels(pages).select("feed_id", "ttl", "language", "last_build_date", "image", "author", "description")

@@ -39,7 +39,7 @@ def channels(responses: DataFrame, overrides: dict | None = None, *, min_ttl: in
         F.coalesce(F.lit(o.get("language")), F.when(head_lang != "", head_lang), F.when(page_lang != "", page_lang)).alias("language"),
         F.greatest(ttl, F.lit(min_ttl)).alias("ttl"),
         F.coalesce(stamp, F.lit(as_of).cast("timestamp")).alias("last_build_date"),
-        F.coalesce(F.lit(o.get("image")), meta("og:image", "property")).alias("image"),
+        F.coalesce(F.lit(o.get("image")), urls.sanitize(meta("og:image", "property"))).alias("image"),
         F.coalesce(F.lit(o.get("author")), meta("author")).alias("author"),
     )
 
