@@ -12,8 +12,9 @@ is that of two passes in C, not of a Python loop.
 
 Defined cases: null text counts as empty, and an empty payload is padded to 64 zero bytes; a null media value gives no
 packets; a damaged page raises OggError in ``demux`` and gives an error string in ``packets``; a page whose granule
-position does not fit its packets (one without a packet's end that has a position, or the reverse) is damaged; streams
-that are no PCM have a time only where a page ends; equal texts give equal bytes; very long texts are stored whole; memory
+position does not fit its packets (one without a packet's end that has a position, or the reverse) is damaged; packets of
+PCM and Opus streams are counted back, those of others have a time only where a page ends, and seconds need a stream whose
+header names its rate (PCM, Opus, Vorbis); equal texts give equal bytes; very long texts are stored whole; memory
 holds one text and its media form at a time within a batch; repeated rows give repeated results; an empty table gives an
 empty result; ``store`` and ``packets`` read their own columns by place, so no other column's name can clash with theirs.
 """
@@ -34,7 +35,10 @@ from feedweave.llm.common import documents
 RATE = 8000
 #: Samples a packet, in turn: several short packets share a page, the longest spans pages (65,025 bytes at most each).
 PACKETS = (200, 700, 3000, 66_000)
-PCM_NAME = b"PCM     "
+#: Names of stream headers; Opus: granules a second and samples of a frame by its kind.
+PCM_NAME, OPUS_NAME, VORBIS_NAME = b"PCM     ", b"OpusHead", b"\x01vorbis"
+OPUS_RATE = 48_000
+OPUS_SILK, OPUS_CELT = (480, 960, 1920, 2880), (120, 240, 480, 960)
 PAGE_SEGMENTS = 255
 BLOCK = 64
 CAPTURE = b"OggS"
@@ -123,29 +127,71 @@ class Stream:
     pages: int = 0
     ended: bool = False
 
+    @property
+    def head(self) -> bytes:
+        return self.packets[0] if self.packets else b""
+
     @property
     def pcm(self) -> bool:
-        return bool(self.packets) and self.packets[0][:8] == PCM_NAME
+        return self.head[:8] == PCM_NAME
+
+    @property
+    def opus(self) -> bool:
+        return self.head[:8] == OPUS_NAME and len(self.head) >= 19
+
+    @property
+    def clock(self) -> tuple[int, int] | None:
+        """Granules a second, and how many come before time 0; None where the header does not tell."""
+        if self.pcm and len(self.head) >= PCM_HEAD.size:
+            return PCM_HEAD.unpack_from(self.head)[4], 0
+        if self.opus:
+            return OPUS_RATE, int.from_bytes(self.head[10:12], "little")
+        if self.head[:7] == VORBIS_NAME and len(self.head) >= 16:
+            return int.from_bytes(self.head[12:16], "little"), 0
+        return None
+
+    def seconds(self, granule: int) -> float | None:
+        clock = self.clock
+        return max(0, granule - clock[1]) / clock[0] if clock and clock[0] and granule >= 0 else None
+
+    def lengths(self) -> list[int] | None:
+        """Granules of each packet, headers without any; None for streams whose packets do not tell."""
+        if self.pcm:
+            frame = 1
+            if len(self.head) >= PCM_HEAD.size:
+                *_, bits, channels, _, _ = PCM_HEAD.unpack_from(self.head)
+                frame = max(1, bits // 8 * channels)
+            return [0, *(len(p) // frame for p in self.packets[1:])]
+        return [0, 0, *map(opus_length, self.packets[2:])][: len(self.packets)] if self.opus else None
+
+
+def opus_length(packet: bytes) -> int:
+    """Samples at 48 kHz of an Opus packet, by its first bytes: the frame's size and how many there are."""
+    if not packet:
+        return 0
+    kind, count = packet[0] >> 3, (1, 2, 2, packet[1] & 63 if len(packet) > 1 else 0)[packet[0] & 3]
+    return count * (OPUS_SILK[kind & 3] if kind < 12 else OPUS_SILK[kind & 1] if kind < 16 else OPUS_CELT[kind & 3])
 
 
 def _timed(s: Stream) -> None:
     """Ends of all packets, from those of pages."""
     s.ends = [-1] * len(s.packets)
+    length = s.lengths()
     first, before = 0, 0
     for k, (end, granule) in enumerate(s.page_ends):
         s.ends[end - 1] = granule
-        if s.pcm:
+        if length is not None:
             at = granule
             for i in range(end - 2, first - 1, -1):
-                at -= len(s.packets[i + 1]) if i + 1 else 0
+                at -= length[i + 1]
                 s.ends[i] = at
-            start = at - (len(s.packets[first]) if first else 0)
-            if k and start != before:
+            start = at - length[first]
+            if k and start != before and not (s.opus and before == 0 and start > 0):  # Opus may be cut out of a longer stream
                 if start > before or k + 1 < len(s.page_ends):
                     raise OggError(f"stream {s.serial} has a gap or overlap at sample {before}")
                 at = before  # the last page may cut its samples short: count forward
                 for i in range(first, end - 1):
-                    at += len(s.packets[i])
+                    at += length[i]
                     s.ends[i] = min(at, granule)
         first, before = end, granule
 
@@ -228,8 +274,8 @@ def features(samples: bytes, rate: int, streams: dict[int, Stream]) -> str:
 PACKET_SCHEMA = "serial long, packet int, granule long, seconds double, bytes binary, error string"
 
 
-def packets(df: DataFrame, media_col: str, key_col: str, rate: int = RATE) -> DataFrame:
-    """One row per packet of every Ogg value: key, serial, packet number, granule, end time in seconds, bytes; or an error."""
+def packets(df: DataFrame, media_col: str, key_col: str) -> DataFrame:
+    """One row per packet of every Ogg value: key, serial, packet number, granule, end time in seconds by the stream's own rate, bytes; or an error."""
     kind = df.schema[key_col].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +284,7 @@ def packets(df: DataFrame, media_col: str, key_col: str, rate: int = RATE) -> Da
                 rows, error = [], None
                 try:
                     for s in demux(media).values() if media is not None else ():
-                        rows += [(s.serial, i, g, g / rate if g >= 0 else None, p, None) for i, (p, g) in enumerate(zip(s.packets, s.ends, strict=True))]
+                        rows += [(s.serial, i, g, s.seconds(g), p, None) for i, (p, g) in enumerate(zip(s.packets, s.ends, strict=True))]
                 except OggError as e:
                     error = str(e)
                 if error:

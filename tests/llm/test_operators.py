@@ -417,6 +417,38 @@ def test_ogg_counts_back_within_a_page():
     assert s.ends == [0, 10, 30, 70, 75] and len(ogg_media.samples_of(s)) == 75  # the last page cuts five samples
 
 
+def pages_of(serial, packets):
+    """A page for each group of (packet, granule of the page)."""
+    out = []
+    for k, (group, granule) in enumerate(packets):
+        lacing = b"".join(b"\xff" * (len(p) // 255) + bytes([len(p) % 255]) for p in group)
+        out.append(ogg_media._page((2 if not k else 0) | (4 if k + 1 == len(packets) else 0), granule, serial, k, lacing, b"".join(group)))
+    return b"".join(out)
+
+
+def test_ogg_times_by_the_streams_own_rate(spark):
+    pcm = ogg_media.mux(bytes(32_000), 16_000)
+    opus_head = b"OpusHead" + bytes([1, 2]) + (312).to_bytes(2, "little") + (44_100).to_bytes(4, "little") + bytes(3)
+    frames = [bytes([31 << 3]) + b"a", bytes([31 << 3 | 1]) + b"bb", bytes([3 << 3 | 3, 2]) + b"cc", bytes([12 << 3]) + b"d"]  # 20, 40, 120 and 10 ms
+    assert [ogg_media.opus_length(p) for p in frames] == [960, 1920, 5760, 480] and ogg_media.opus_length(b"") == 0
+    opus = pages_of(5, [([opus_head], 0), ([b"OpusTags"], 0), (frames[:2], 2880), (frames[2:], 9000)])  # the end cuts 120 samples
+    late = pages_of(6, [([opus_head], 0), ([b"OpusTags"], 0), (frames[:2], 102_880), (frames[2:3], 108_640)])  # cut out of a longer stream
+    vorbis = pages_of(7, [([b"\x01vorbis" + bytes(4) + b"\2" + (44_100).to_bytes(4, "little") + bytes(14)], 0), ([b"x", b"y"], 22_050)])
+    other = pages_of(8, [([b"\x80theora"], 0), ([b"x"], 64)])
+    media = spark.createDataFrame([(1, pcm), (2, opus), (3, late), (4, vorbis), (5, other)], "id long, m binary")
+    got = collections.defaultdict(list)
+    for r in ogg_media.packets(media, "m", "id").orderBy("key", "serial", "packet").collect():
+        got[r.key, r.serial].append((r.granule, r.seconds))
+        assert r.error is None
+    assert got[1, 1][-1] == got[1, 2][-1] == (16_000, 1.0)
+    assert [g for g, _ in got[2, 5]] == [0, 0, 960, 2880, 8640, 9000] and got[2, 5][2][1] == (960 - 312) / 48_000 and got[2, 5][0][1] == 0
+    assert [g for g, _ in got[3, 6]] == [0, 0, 100_960, 102_880, 108_640]
+    assert got[4, 7] == [(0, 0), (-1, None), (22_050, 0.5)] and got[5, 8] == [(0, None), (64, None)]
+    gap = pages_of(5, [([opus_head], 0), ([b"OpusTags"], 0), (frames[:1], 960), (frames[1:2], 9000), (frames[2:3], 14_760)])
+    with pytest.raises(ogg_media.OggError):
+        ogg_media.demux(gap)
+
+
 def test_ogg_rows(spark, docs):
     rows = docs.select("doc_id", "text").mapInArrow(ogg_media._digest, ogg_media.OUT_DDL).collect()
     want = collections.Counter()
