@@ -30,10 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows with much work each: a table of fewer splits than cores is dealt over them, a larger one is read by its splits."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages to be parsed: a table of fewer splits than cores is dealt over them, a larger one is read by its splits."""
-    pages, cores = table(spark, sf_dir, "pages"), spark.sparkContext.defaultParallelism
-    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+    """Pages to be parsed."""
+    return dealt(table(spark, sf_dir, "pages"))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +250,7 @@ def list_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", "^([^\n]*)", 1).alias("title"), "text")
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.regexp_extract("text", "^([^\n]*)", 1).alias("title"), "text")
 
 
 TITLES = "t AS (SELECT doc_id, regexp_extract(text, '^([^\\n]*)', 1) AS title, text FROM documents)"
@@ -375,7 +380,7 @@ def parse_time_rfc822(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, text = F.col("event_id") % len(ways), None
     for k, way in enumerate(ways):
         text = (F if text is None else text).when(kind == k, F.date_format("ts", way))
-    return table(spark, sf_dir, "events").select("event_id", postprocess.parse_time_column(text).alias("published"))
+    return dealt(table(spark, sf_dir, "events").select("event_id", "ts")).select("event_id", postprocess.parse_time_column(text).alias("published"))
 
 
 @query("zoned_dates", """WITH t AS (SELECT event_id, event_id % 240 AS m, CASE event_id % 3 WHEN 0 THEN '2024-10-27' WHEN 1 THEN '2024-03-31' ELSE '2024-07-01' END AS day FROM events),

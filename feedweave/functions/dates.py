@@ -31,50 +31,65 @@ def _number(x: Column) -> Column:
     return x.try_cast("int")
 
 
+def _groups(x: Column, pattern: str, n: int) -> Column:
+    """The groups of a pattern that x matches, by one pass over it."""
+    return F.split(F.regexp_replace(x, pattern, "|".join(f"${k}" for k in range(1, n + 1))), r"\|", -1)
+
+
+def _month(name: Column) -> Column:
+    return let(F.instr(F.lit(MONTHS), F.lower(F.left(name, F.lit(3)))), lambda at: F.when((at > 0) & ((at - 1) % 3 == 0), F.floor((at - 1) / 3) + 1).cast("int"))
+
+
 def _day(x: Column) -> Column:
-    """Struct y, m, d of a date without a time; null fields where it has none."""
+    """Struct y, m, d of a date without a time; null where it has none."""
 
-    def part(pattern: str, k: int) -> Column:
-        return F.regexp_extract(x, pattern, k)
+    def date(y: Column, m: Column, d: Column) -> Column:
+        return F.struct(_number(y).alias("y"), m.cast("int").alias("m"), _number(d).alias("d"))
 
-    def month(name: Column) -> Column:
-        at = F.instr(F.lit(MONTHS), F.lower(F.left(name, F.lit(3))))
-        return F.when((at > 0) & ((at - 1) % 3 == 0), F.floor((at - 1) / 3) + 1).cast("int")
+    def numbers(g: Column) -> Column:
+        late = F.length(g[2]) > 2
+        short = F.when(late, g[2]).otherwise(g[0])
+        year = F.when(F.length(short) > 2, _number(short)).otherwise(_number(short) + F.when(_number(short) >= 69, 1900).otherwise(2000))
+        return F.struct(year.cast("int").alias("y"), _number(g[1]).alias("m"), _number(F.when(late, g[0]).otherwise(g[2])).alias("d"))
 
-    a, b, c = (part(_NUMBERS, k) for k in (1, 2, 3))
-    late = F.length(c) > 2
-    short = F.when(late, c).otherwise(a)
-    year = F.when(F.length(short) > 2, _number(short)).otherwise(_number(short) + F.when(_number(short) >= 69, 1900).otherwise(2000))
-    numbers = F.struct(year.alias("y"), _number(b).alias("m"), _number(F.when(late, a).otherwise(c)).alias("d"))
-    day_first = F.struct(_number(part(_DAY_FIRST, 3)).alias("y"), month(part(_DAY_FIRST, 2)).alias("m"), _number(part(_DAY_FIRST, 1)).alias("d"))
-    month_first = F.struct(_number(part(_MONTH_FIRST, 3)).alias("y"), month(part(_MONTH_FIRST, 1)).alias("m"), _number(part(_MONTH_FIRST, 2)).alias("d"))
-    return F.when(F.regexp_like(x, F.lit(_NUMBERS)), numbers).when(F.regexp_like(x, F.lit(_DAY_FIRST)), day_first).when(F.regexp_like(x, F.lit(_MONTH_FIRST)), month_first)
+    digits = F.regexp_like(x, F.lit(r"^\d{1,4}[./-]\d"))
+    first = F.regexp_like(x, F.lit(r"^\d"))
+    return (
+        F.when(digits, F.when(F.regexp_like(x, F.lit(_NUMBERS)), let(_groups(x, _NUMBERS, 3), numbers)))
+        .when(first, F.when(F.regexp_like(x, F.lit(_DAY_FIRST)), let(_groups(x, _DAY_FIRST, 3), lambda g: date(g[2], _month(g[1]), g[0]))))
+        .when(F.regexp_like(x, F.lit(_MONTH_FIRST)), let(_groups(x, _MONTH_FIRST, 3), lambda g: date(g[2], _month(g[0]), g[1])))
+    )
 
 
 def _local(text: Column) -> Column:
     """Struct of local time (without zone) and the offset in seconds it names, null without one."""
 
     def read(x: Column) -> Column:
-        clock = [F.regexp_extract(x, _CLOCK, k) for k in range(1, 6)]
-        hour, late = _number(clock[0]), F.lower(F.left(clock[3], F.lit(1)))
-        hour = F.when(late == "p", hour % 12 + 12).when(late == "a", hour % 12).otherwise(hour)
-        day = _day(F.trim(F.regexp_replace(x, r"(?:\s*(?:,|\bat\b)?\s*|T)" + _CLOCK, "")))
-        zone = F.upper(clock[4])
+        return let(F.regexp_extract(x, _CLOCK, 0), lambda clock: parted(x, clock))
+
+    def parted(x: Column, clock: Column) -> Column:
+        day = F.regexp_replace(F.left(x, F.length(x) - F.length(clock)), r"(?:\s*(?:,|\bat\b)?\s*|T)$", "")
+        parts = F.struct(F.when(clock != "", _groups(clock, _CLOCK, 5)).alias("g"), F.when(clock != "", day).otherwise(x).alias("day"))
+        return let(parts, timed)
+
+    def timed(p: Column) -> Column:
+        clock = [p["g"][k] for k in range(5)]
+        late, zone = F.lower(F.left(clock[3], F.lit(1))), F.upper(clock[4])
+        hour = F.when(late == "p", _number(clock[0]) % 12 + 12).when(late == "a", _number(clock[0]) % 12).otherwise(_number(clock[0]))
         sign = F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)
-        digits = F.regexp_replace(zone, r"\D", "")
-        seconds = sign * (_number(F.left(digits, F.lit(2))) * 3600 + _number(F.right(digits, F.lit(2))) * 60)
-        offset = F.when(zone == "Z", 0).when(F.regexp_like(zone, F.lit(r"^[+-]")), seconds)
+        seconds = sign * (_number(F.substr(zone, F.lit(2), F.lit(2))) * 3600 + _number(F.right(zone, F.lit(2))) * 60)
+        offset = F.when(zone == "Z", 0).when(F.left(zone, F.lit(1)).isin("+", "-"), seconds)
 
         def made(d: Column) -> Column:
-            minute, second = F.coalesce(_number(clock[1]), F.lit(0)), F.coalesce(_number(clock[2]), F.lit(0))
-            at = F.try_make_timestamp_ntz(d["y"], d["m"], d["d"], F.coalesce(hour, F.lit(0)), minute, second)
+            times = [F.coalesce(_number(clock[k]), F.lit(0)) for k in (1, 2)]
+            at = F.try_make_timestamp_ntz(d["y"], d["m"], d["d"], F.coalesce(hour, F.lit(0)), *times)
             return F.struct(at.alias("at"), offset.cast("int").alias("offset"))
 
-        return let(day, made)
+        return let(_day(p["day"]), made)
 
     plain = F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " "))
     plain = F.regexp_replace(plain, r"^\p{L}{2,9}\.?, ?(?=[\p{L}\d])", "")  # a weekday
-    return let(F.when(F.length(plain) <= MAX_CHARS, plain), read)
+    return let(plain, lambda x: F.when(F.length(x) <= MAX_CHARS, read(x)))
 
 
 def moment(text: Column, zone: str = "UTC") -> Column:
@@ -117,9 +132,9 @@ def _offset(seconds: Column, gap: str) -> Column:
 
 def iso(m: Column) -> Column:
     """A moment as ISO 8601 to the second, in its own offset."""
-    return F.concat(F.date_format(m["at"], "yyyy-MM-dd'T'HH:mm:ss"), _offset(m["offset"], ":"))
+    return let(m, lambda x: F.concat(F.date_format(x["at"], "yyyy-MM-dd'T'HH:mm:ss"), _offset(x["offset"], ":")))
 
 
 def mail(m: Column) -> Column:
     """A moment as mail and RSS write it, in its own offset."""
-    return F.concat(F.date_format(m["at"], "EEE, dd MMM yyyy HH:mm:ss "), _offset(m["offset"], ""))
+    return let(m, lambda x: F.concat(F.date_format(x["at"], "EEE, dd MMM yyyy HH:mm:ss "), _offset(x["offset"], "")))

@@ -62,13 +62,18 @@ def date_core(line: Column) -> Column:
 
 
 def date_shaped(line: Column) -> Column:
+    """Whether a line, without chips, is a date; lines without a digit and long ones without a chip are not looked at closely."""
+
     def shape(core: Column) -> Column:
         hit = F.lit(False)
         for p in L.DATE_SHAPES:
             hit = hit | F.regexp_like(core, F.lit(p))
-        return (core != "") & (F.length(core) <= L.MAX_DATE_CHARS) & hit
+        return (F.length(core) <= L.MAX_DATE_CHARS) & (core != "") & hit
 
-    return let(date_core(line), shape)
+    parted = F.lit(False)
+    for sep in L.CHIP_SEPARATORS:
+        parted = parted | (F.instr(line, sep) > 0)
+    return ((F.length(line) <= L.MAX_DATE_CHARS) | parted) & F.regexp_like(line, F.lit("[0-9]")) & let(F.when(parted, date_core(line)).otherwise(line), shape)
 
 
 def keep_line(line: Column, title: Column) -> Column:
