@@ -1,9 +1,11 @@
-"""Token ids of whole texts for a word-BPE tokenizer file, by a cache of white-space separated chunks.
+"""Token ids of whole texts for a word-BPE tokenizer file, by caches of words and of white-space separated chunks.
 
-The tokenizer never looks across white space, so a text's ids are the ids of its chunks. Each worker keeps a bounded cache
-of chunks; new chunks of Latin letters and ASCII signs are merged all at once with vector operations, others, and texts
-with other white space than blanks, tabs and line ends, go through the library. Texts that may hold an added token (it is
-found before chunks are) go through the library as a whole. Equal to the library's ids (tested).
+Texts of Latin-1 characters are cut into the tokenizer's words with vector operations over all their characters at once; a
+table of words, compared whole, gives the ids, and new words are merged all at once. For other texts: the tokenizer never
+looks across white space, so a text's ids are the ids of its chunks. Each worker keeps a bounded cache of chunks; new chunks
+of Latin letters and ASCII signs are merged all at once, others, and texts with other white space than blanks, tabs and line
+ends, go through the library. Texts that may hold an added token (it is found before chunks are) go through the library as a
+whole. Equal to the library's ids (tested).
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ from itertools import chain
 
 import numpy as np
 
-CACHE = 300_000
+CACHE = 300_000  # chunks
+WORDS = 1_000_000  # words of Latin-1 texts
+STEP = 65_536  # words that enter the table at a time
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
 
@@ -70,6 +74,90 @@ NO_RANK = np.int32(2**31 - 1)
 WIDE = 1 << 17
 
 
+SPACE, LETTER, NUMBER, OTHER = range(4)
+KIND = np.array([SPACE if chr(b) in " \t\n\x0b\f\r" else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(b))[0], OTHER) for b in range(256)], np.uint8)
+LOWER = np.array([ord(chr(b).lower()) for b in range(256)], np.uint8)
+SHORT = 16  # bytes of a word in two keys
+_FIRST, _SECOND = (np.array([(1 << 8 * min(max(n - d, 0), 8)) - 1 for n in range(SHORT + 1)], np.uint64) for d in (0, 8))
+
+
+class WordTable:
+    """Numbers of words, each told by two 64-bit keys that hold all of it: open addressing, many words a step."""
+
+    def __init__(self, bits: int = 18) -> None:
+        self.n = 0
+        self.empty(bits)
+
+    def empty(self, bits: int) -> None:
+        self.bits = bits
+        self.first, self.second = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.number = np.full(1 << bits, -1, np.int32)
+
+    def slot(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        h = first * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Number of each word, -1 for words that are not there."""
+        slot, last = self.slot(first, second), (1 << self.bits) - 1
+        out = self.number[slot]
+        left = np.nonzero((out >= 0) & ((self.first[slot] != first) | (self.second[slot] != second)))[0]
+        slot = slot[left]
+        while len(left):
+            slot = slot + 1 & last
+            out[left] = n = self.number[slot]
+            on = (n >= 0) & ((self.first[slot] != first[left]) | (self.second[slot] != second[left]))
+            left, slot = left[on], slot[on]
+        return out
+
+    def add(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each word, repeats included, and the places of those that are new, by their numbers."""
+        if 2 * (self.n + len(first)) > 1 << self.bits:
+            self.grow((2 * (self.n + len(first))).bit_length())
+        out, fresh = np.empty(len(first), np.int32), []
+        left, slot, last = np.arange(len(first), dtype=np.int32), self.slot(first, second), (1 << self.bits) - 1
+        while len(left):
+            free = self.number[slot] < 0
+            want, at = left[free], slot[free]
+            self.number[at] = want  # of those that want one slot, one gets it
+            got = self.number[at] == want
+            want, at = want[got], at[got]
+            self.first[at], self.second[at] = first[want], second[want]
+            self.number[at] = np.arange(self.n, self.n + len(want))
+            self.n += len(want)
+            fresh.append(want)
+            same = (self.first[slot] == first[left]) & (self.second[slot] == second[left])
+            out[left[same]] = self.number[slot[same]]
+            left, slot = left[~same], slot[~same] + 1 & last
+        return out, np.concatenate(fresh) if fresh else left
+
+    def grow(self, bits: int) -> None:
+        used, n = self.number >= 0, self.n
+        first, second, number = self.first[used], self.second[used], self.number[used]
+        self.empty(bits)
+        self.n = 0
+        anew = self.add(first, second)[0]
+        old = np.empty(len(anew), np.int32)
+        old[anew] = number
+        used = self.number >= 0
+        self.number[used] = old[self.number[used]]
+        self.n = n
+
+
+def utf8(raw: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 of words of Latin-1 bytes, one after another, and how many bytes each has."""
+    wide = raw > 127
+    if not wide.any():
+        return raw, lens
+    at = np.arange(len(raw)) + np.cumsum(wide) - wide
+    out = np.empty(len(raw) + int(wide.sum()), np.uint8)
+    out[at] = np.where(wide, 0xC0 | raw >> 6, raw)
+    out[at[wide] + 1] = 0x80 | raw[wide] & 0x3F
+    return out, lens + np.add.reduceat(wide.astype(np.int64), np.cumsum(lens) - lens)
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The slices flat[start : start + len], one after another."""
     ends = np.cumsum(lens)
@@ -103,6 +191,7 @@ class WordTokens:
 
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.clear()
+        self.clear_words()
 
     def may_hold_added(self, text: str) -> bool:
         return any(x in text for x in self.literal) or (self.folded is not None and self.folded(text) is not None)
@@ -111,13 +200,15 @@ class WordTokens:
         self.at: dict[str, int] = {}
         self.flat, self.starts, self.lens = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def merge(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def clear_words(self) -> None:
+        self.table, self.long = WordTable(), {}
+        self.words = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)  # ids, start and length by number
+
+    def merge(self, raw: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many pre-tokens, one after another, and how many each has: each round merges every word's pair of least rank."""
-        if not tokens:
+        if not len(lens):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
-        lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        raw = np.frombuffer(b"".join(tokens), np.uint8)
-        word = np.repeat(np.arange(len(tokens)), lens)
+        word = np.repeat(np.arange(len(lens)), lens)
         sym = self.plain[raw]
         last = np.cumsum(lens) - 1
         sym[last] = self.final[raw[last]]
@@ -144,7 +235,7 @@ class WordTokens:
             word, sym = word[live], sym[live]
         words, syms = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(words, kind="stable")
-        return syms[order].astype(np.uint32), np.bincount(words, minlength=len(tokens))
+        return syms[order].astype(np.uint32), np.bincount(words, minlength=len(lens))
 
     def learn(self, chunks: list[str]) -> None:
         """Ids of new chunks into the cache."""
@@ -174,7 +265,8 @@ class WordTokens:
                 parts = self.split(low)
                 flat += [number(p, len(known)) for p in parts]
                 counts.append(len(parts))
-        ids, lens = self.merge([p.encode() for p in known])
+        tokens = [p.encode() for p in known]
+        ids, lens = self.merge(np.frombuffer(b"".join(tokens), np.uint8), np.fromiter(map(len, tokens), np.int64, len(tokens)))
         other = [e.ids for e in self.lib.encode_batch(odd, add_special_tokens=False)] if odd else []
         ids = np.concatenate((ids, np.array([x for o in other for x in o], np.uint32)))
         lens = np.concatenate((lens, np.fromiter(map(len, other), np.int64, len(other))))
@@ -191,10 +283,62 @@ class WordTokens:
         self.flat = np.concatenate((self.flat, ids))
         self.lens = np.concatenate((self.lens, own))
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids (uint32) of each text."""
-        odd = {k: np.array(self.exact.encode(t, add_special_tokens=False).ids, np.uint32) for k, t in enumerate(texts) if not t.isascii() and _ODD_SPACE.search(t) or _CONTROL.search(t) or self.may_hold_added(t)}
-        split = [() if k in odd else t.split() for k, t in enumerate(texts)]
+    def learn_words(self, low: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> None:
+        """Ids of words that got the next numbers."""
+        ids, own = self.merge(*utf8(gather(low, starts, lens), lens))
+        flat, at, n = self.words
+        self.words = np.concatenate((flat, ids)), np.concatenate((at, len(flat) + np.cumsum(own) - own)), np.concatenate((n, own))
+
+    def by_words(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text of Latin-1 bytes."""
+        buf = np.frombuffer(b" ".join([*texts, b" " * 2 * SHORT]), np.uint8)
+        low, kind = LOWER[buf], KIND[buf]
+        new = kind == NUMBER
+        new[0] = True
+        new[1:] |= kind[1:] != kind[:-1]
+        quote = np.nonzero((buf == ord("'")) & new)[0]  # 's|'t|'re|'ve|'m|'ll|'d
+        a, b = low[quote + 1], low[quote + 2]
+        one = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+        two = ((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+        new[quote[one | two] + 1] = False
+        new[quote[one] + 2] = True
+        new[quote[two] + 3] = True
+        at = np.nonzero(new)[0]
+        word = kind[at] != SPACE
+        starts, lens = at[word], np.diff(at, append=len(buf))[word]
+        if self.table.n > WORDS:
+            self.clear_words()
+        eight = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))  # the eight bytes from each place on
+        short = np.minimum(lens, SHORT)
+        first, second = eight[starts] & _FIRST[short], eight[starts + 8] & _SECOND[short]
+        number = self.table.find(first, second)
+        large = np.nonzero(lens > SHORT)[0]
+        number[large] = 0
+        miss = np.nonzero(number < 0)[0]
+        fresh = []
+        for k in range(0, len(miss), STEP):
+            part = miss[k : k + STEP]
+            number[part], places = self.table.add(first[part], second[part])
+            fresh.append(part[places])
+        for k, s, n in zip(large.tolist(), starts[large].tolist(), lens[large].tolist(), strict=True):
+            w = low[s : s + n].tobytes()
+            if w not in self.long:
+                self.long[w] = self.table.n
+                self.table.n += 1
+                fresh.append([k])
+            number[k] = self.long[w]
+        if fresh:
+            fresh = np.concatenate(fresh)
+            self.learn_words(low, starts[fresh], lens[fresh])
+        flat, at, n = self.words
+        own = n[number]
+        sums = np.concatenate(([0], np.cumsum(own)))
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        return np.split(gather(flat, at[number], own), sums[np.searchsorted(starts, ends)][:-1])
+
+    def by_chunks(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text without odd white space or added tokens."""
+        split = [t.split() for t in texts]
         if len(self.at) > CACHE:
             self.clear()
         new = set().union(*split).difference(self.at)
@@ -205,8 +349,27 @@ class WordTokens:
         lens = self.lens[idx]
         ids = gather(self.flat, self.starts[idx], lens)
         cuts = np.concatenate(([0], np.cumsum(lens)))[np.cumsum(n)]
-        out = np.split(ids, cuts[:-1]) if len(cuts) else []
-        return [odd.get(k, x) for k, x in enumerate(out)]
+        return np.split(ids, cuts[:-1])
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids (uint32) of each text."""
+        out: dict[int, np.ndarray] = {}
+        latin: dict[int, bytes] = {}
+        rest: dict[int, str] = {}
+        for k, t in enumerate(texts):
+            if not t.isascii() and _ODD_SPACE.search(t) or _CONTROL.search(t) or self.may_hold_added(t):
+                out[k] = np.array(self.exact.encode(t, add_special_tokens=False).ids, np.uint32)
+            elif "\0" in t:  # keys end in zeros
+                rest[k] = t
+            else:
+                try:
+                    latin[k] = t.encode("latin-1")
+                except UnicodeEncodeError:
+                    rest[k] = t
+        for part, ids in ((latin, self.by_words), (rest, self.by_chunks)):
+            if part:
+                out |= zip(part, ids(list(part.values())), strict=True)
+        return [out[k] for k in range(len(texts))]
 
 
 _CONTROL = re.compile("[\x1c-\x1f]")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from feedweave.llm import best_fit_packing, chat_perspectives, license_scan, lm_scoring, ogg_media, ppm, quality_rules, simhash_dedup, source_mixing, suffix_dedup, url_filters
+from feedweave.llm import best_fit_packing, chat_perspectives, license_scan, lm_scoring, ogg_media, ppm, quality_rules, simhash_dedup, source_mixing, suffix_dedup, url_filters, word_tokens
 from feedweave.llm.suffix_sort import suffix_array
 from feedweave.llm.word_tokens import WordTokens
 
@@ -245,6 +245,37 @@ def test_tokens_equal_the_unaltered_library():
     assert WordTokens(path)(texts[:1])[0].tolist() == [637, 49407, 1237]
 
 
+def test_latin_words_equal_the_library_and_are_merged_once(monkeypatch):
+    path = best_fit_packing.tokenizer_path()
+    w, rng = WordTokens(path), np.random.default_rng(8)
+    merged, merge = [], w.merge
+    monkeypatch.setattr(w, "merge", lambda *a: (lambda got: (merged.append(len(got[1])), got)[1])(merge(*a)))
+    for text in ("stone", "Stone.", "STONE!! (stone)", "stone's stone,"):
+        assert w([text])[0].tolist() == w.lib.encode(text, add_special_tokens=False).ids
+    assert sum(merged) == 7  # stone . !! ( ) 's and the comma
+    signs = [chr(c) for c in range(1, 256)]
+    near = list("aeStTdDmMrRvVlL''\u00c9\u00e9\u00df\u00b2\u00bd1.- \n")
+    made = ["".join(rng.choice(near if k % 3 else signs, int(rng.integers(0, 60)))) for k in range(3000)]
+    made += ["a" * n + "\u00e9" * m for n in range(14, 19) for m in range(4)]
+    made += ["", "'", "x'", "it's'll''re've'S'D 5's", "\0", "a\0 a\0\0 a", "a\u0153 b", "a\u2019s b"]
+    want = [x.ids for x in w.exact.encode_batch(made, add_special_tokens=False)]
+    monkeypatch.setattr(word_tokens, "STEP", 7)
+    for words in (10**6, 50):  # the table kept, and emptied before each batch
+        monkeypatch.setattr(word_tokens, "WORDS", words)
+        assert [x.tolist() for k in range(0, len(made), 500) for x in w(made[k : k + 500])] == want
+
+
+def test_word_table_grows():
+    rng, t, known = np.random.default_rng(9), word_tokens.WordTable(2), {}
+    for _ in range(30):
+        first, second = rng.integers(0, 40, 200).astype(np.uint64), rng.integers(0, 40, 200).astype(np.uint64)
+        words = list(zip(first.tolist(), second.tolist(), strict=True))
+        assert t.find(first, second).tolist() == [known.get(x, -1) for x in words]
+        number, fresh = t.add(first, second)
+        known |= {words[k]: n for n, k in enumerate(fresh.tolist(), len(known))}
+        assert t.n == len(known) == len(set(known.values())) and number.tolist() == [known[x] for x in words]
+
+
 def test_packing_numbers_of_large_tasks_do_not_meet(spark):
     docs = spark.range(0, 2_000_200, 1, 2).selectExpr("id as doc_id", "'' as text")
     r = best_fit_packing.pieces(docs, best_fit_packing.tokenizer_path()).selectExpr("count(*) as n", "count(distinct deal) as deals").first()
