@@ -107,3 +107,12 @@ def test_query_equals_sql(spark, db, name):
     want = sorted(str([r[c] for c in sorted(r)]) for r in (dict(zip(cols, x, strict=True)) for x in cur.fetchall()))
     got = sorted(str([r[c] for c in sorted(r)]) for r in (x.asDict() for x in catalog.QUERIES[name](spark, SF).collect()))
     assert got == want
+
+
+def test_references_by_name_need_their_semicolon():
+    h1, a = (next(n for n in parse('<h1>a &amp;&amp &lt b&copyc &#65;&nosuch;</h1><a href="/x?a=1&copy=2&amp;b=3">l</a>').walk() if n.name == t) for t in ("h1", "a"))
+    assert h1.text() == "a &&amp &lt b&copyc A&nosuch;" and a.attrs["href"] == "/x?a=1&copy=2&b=3"
+    # the same where another piece of markup has the standard tokenizer read on
+    late = parse("<!-- odd --><h1 title='&amp;&amp'>T &amp; U &amp</h1><script>a &amp;&amp b</script>")
+    found = {n.name: n for n in late.walk()}
+    assert found["h1"].text() == "T & U &amp" and found["h1"].attrs["title"] == "&&amp" and found["script"].text() == "a &amp;&amp b"
