@@ -25,11 +25,11 @@ def _ahead(*, own: bool) -> Window:
 
 
 def semantic(nodes: DataFrame) -> DataFrame:
-    """page_id, root_id, last_desc, tag, position: leaf containers outside chrome, deepest first; those around other containers than div do not count."""
+    """page_id, root_id, last_desc, tag, depth, position: leaf containers outside chrome, deepest first; those around other containers than div do not count."""
     leaf = nodes.where(F.col("tag").isin(*CONTAINERS) & ~F.col("chrome") & ~F.col("non_leaf")).select("page_id", "node_id", "last_desc", "tag", "depth")
     inner = F.min(F.when(F.col("tag") != "div", F.col("node_id"))).over(_ahead(own=False))
     kept = leaf.withColumn("_inner", inner).where(F.col("_inner").isNull() | (F.col("_inner") > F.col("last_desc")))
-    return kept.select("page_id", F.col("node_id").alias("root_id"), "last_desc", "tag", (F.row_number().over(_page(F.desc("depth"), F.col("node_id"))) - 1).alias("position"))
+    return kept.select("page_id", F.col("node_id").alias("root_id"), "last_desc", "tag", "depth", (F.row_number().over(_page(F.desc("depth"), F.col("node_id"))) - 1).alias("position"))
 
 
 def linked(nodes: DataFrame, pages: DataFrame) -> DataFrame:
