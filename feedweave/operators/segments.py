@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from feedweave.functions import destinations, texts, urls
 from feedweave.functions import lexicon as L
-from feedweave.sources.shared import written
+from feedweave.sources.shared import by_merge, written
 
+#: Columns of the node relation that lists of links need; those that containers and their links need.
+LISTED = ("page_id", "node_id", "last_desc", "tag", "tag_path", "href", "visible_text", "chrome", "is_link", "landmark_id", "boundary_id")
+CONTAINED = (*LISTED, "depth", "non_leaf", "is_heading")
 CONTAINERS = ("article", "section", "li", "tr", "div")
 
 
@@ -36,7 +39,7 @@ def linked(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """Links with their label, url, facts f, and icon: no words, but an image inside."""
     image = F.min(F.when(F.col("tag").isin("img", "svg"), F.col("node_id"))).over(_ahead(own=True))
     links = nodes.select("page_id", "node_id", "last_desc", "tag_path", "chrome", "landmark_id", "boundary_id", "href", F.col("visible_text").alias("label"), "is_link", image.alias("_image")).where("is_link")
-    links = links.join(pages.select("page_id", F.col("url").alias("_base")), "page_id")
+    links = links.join(by_merge(pages.select("page_id", F.col("url").alias("_base"))), "page_id")
     links = links.withColumn("url", urls.resolve(F.trim(F.regexp_replace("href", "#.*$", "")), F.col("_base")))
     icon = (texts.word_count(F.col("label")) == 0) & F.coalesce(F.col("_image") <= F.col("last_desc"), F.lit(False))
     return links.withColumns({"f": destinations.facts(F.col("url")), "icon": icon}).drop("is_link", "_image", "_base")
@@ -58,8 +61,8 @@ def list_segments(nodes: DataFrame, minimum: int = 2, top: int = 5, pages: DataF
     if pages is not None:
         no = F.lit(False)
         heard = linked(nodes, pages).where(~F.col("chrome") & ~destinations.noise_anchor(F.col("label"), F.col("f"), no, F.col("icon"), no))
-        links = written(links.join(heard.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi"), "links")
-    found = links.join(link_lists(links, minimum, top).select("page_id", "tag_path", "rank"), ["page_id", "tag_path"]).where("boundary_id is not null")
+        links = written(links.join(by_merge(heard.select("page_id", "node_id")), ["page_id", "node_id"], "left_semi"), "links")
+    found = links.join(by_merge(link_lists(links, minimum, top).select("page_id", "tag_path", "rank")), ["page_id", "tag_path"]).where("boundary_id is not null")
     one = found.groupBy("page_id", F.col("boundary_id").alias("root_id")).agg(F.min(F.struct("rank", F.col("node_id").alias("link_id"))).alias("_l"))
     return one.select("page_id", "root_id", "_l.link_id", (F.row_number().over(_page(F.col("_l.rank"), F.col("_l.link_id"))) - 1).alias("position"))
 
@@ -73,8 +76,8 @@ def primary_links(nodes: DataFrame, segments: DataFrame, pages: DataFrame) -> Da
     nested = F.col("tag") == "div" if "tag" in segments.columns else F.lit(False)
     starts = nodes.select("page_id", "node_id", F.min(F.when(F.col("is_heading"), F.col("node_id"))).over(_ahead(own=True)).alias("heading_id"))
     heads = nodes.where("is_heading").select("page_id", F.col("node_id").alias("heading_id"), F.col("last_desc").alias("heading_last"), F.trim("visible_text").alias("heading"))
-    roots = segments.select("page_id", F.col("root_id").alias("node_id"), "last_desc", nested.alias("nested")).join(starts, ["page_id", "node_id"])
-    roots = roots.withColumn("heading_id", F.when(F.col("heading_id") <= F.col("last_desc"), F.col("heading_id"))).join(heads, ["page_id", "heading_id"], "left")
+    roots = segments.select("page_id", F.col("root_id").alias("node_id"), "last_desc", nested.alias("nested")).join(by_merge(starts), ["page_id", "node_id"])
+    roots = roots.withColumn("heading_id", F.when(F.col("heading_id") <= F.col("last_desc"), F.col("heading_id"))).join(by_merge(heads), ["page_id", "heading_id"], "left")
     root = F.struct(F.col("node_id").alias("root_id"), "last_desc", "heading_id", "heading_last", "heading")
     links = linked(nodes, pages).where(~F.col("chrome")).select("page_id", "node_id", F.struct("landmark_id", "href", F.trim("label").alias("label"), "url", "f", "icon").alias("link"))
     both = roots.select("page_id", "node_id", "nested", root.alias("root")).unionByName(links, allowMissingColumns=True)
