@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from feedweave.functions import texts, urls
 from feedweave.operators import discovery, policy, segments, structured
 from feedweave.operators.admission import tallies
+from feedweave.sources.shared import by_merge
 
 SAMPLE = 5
 #: Columns of the node relation that a summary needs.
@@ -60,21 +61,23 @@ def summary(pages: DataFrame, nodes: DataFrame, articles: DataFrame | None = Non
     (feed_id, reason) also admission_drops.
     """
     counts = nodes.groupBy("page_id").agg(F.count("*").alias("node_count"), F.bool_or("degraded").alias("degraded"))
-    listed = segments.list_segments(nodes).join(nodes.select("page_id", F.col("node_id").alias("root_id"), "tag_path"), ["page_id", "root_id"])
+    listed = segments.list_segments(nodes).join(by_merge(nodes.select("page_id", F.col("node_id").alias("root_id"), "tag_path")), ["page_id", "root_id"])
     found = listed.groupBy("page_id").agg(F.count("*").alias("segments"))
     paths = samples(listed, "page_id", ["position"], "tag_path", "sample_paths")
     links = discovery.alternate_feeds(nodes).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("position", "href", "mime_type"))).alias("alternate_feeds"))
     html = F.contains(F.coalesce("content_type", F.lit("")), F.lit("text/html"))
     facts = pages.select("page_id", "url", "final_url", "status", html.alias("html_response"), F.coalesce(policy.downgrade(F.col("final_url"), F.col("url")), F.lit(False)).alias("scheme_downgrade"), texts.interstitial(F.col("html")).alias("blocked_surface"))
-    out = facts.join(counts, "page_id", "left").join(found, "page_id", "left").join(paths, "page_id", "left").join(links, "page_id", "left")
+    out = facts
+    for each in (counts, found, paths, links):
+        out = out.join(by_merge(each), "page_id", "left")
     none = F.array().cast("array<string>")
     out = out.withColumns({"segments": F.coalesce("segments", F.lit(0).cast("long")), "sample_paths": F.coalesce("sample_paths", none), "alternate_feeds": F.coalesce(F.transform("alternate_feeds", lambda x: F.struct(x["href"].alias("href"), x["mime_type"].alias("mime_type"))), F.array().cast("array<struct<href:string,mime_type:string>>"))})
     if articles is not None:
         n = articles.groupBy(F.col("feed_id").alias("page_id")).agg(F.count("*").alias("articles_count"))
-        out = out.join(n, "page_id", "left").withColumn("articles_count", F.coalesce("articles_count", F.lit(0).cast("long")))
+        out = out.join(by_merge(n), "page_id", "left").withColumn("articles_count", F.coalesce("articles_count", F.lit(0).cast("long")))
         if order:
             readers = discovery.eligible_readers(articles, order).withColumnRenamed("feed_id", "page_id")
-            out = out.join(readers, "page_id", "left").withColumn("readers", F.coalesce("readers", none))
+            out = out.join(by_merge(readers), "page_id", "left").withColumn("readers", F.coalesce("readers", none))
     if drops is not None:
         out = out.join(tallies(drops, "feed_id", "reason").select(F.col("feed_id").alias("page_id"), F.col("tallies").alias("admission_drops")), "page_id", "left")
     return out
