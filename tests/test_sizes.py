@@ -8,7 +8,7 @@ from feedweave import catalog
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["semantic_roots", "chosen_links", "captured_by_path", "listed_links", "cluster_overlaps", "cluster_scores", "page_summaries"])
+@pytest.mark.parametrize("name", ["semantic_roots", "chosen_links", "captured_by_path", "listed_links", "cluster_overlaps", "cluster_scores", "page_summaries", "cluster_feed"])
 def test_no_broadcast(spark, name):
     """Tables of alike pages are tiny by their files; by them Spark would send millions of rows to every executor."""
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
